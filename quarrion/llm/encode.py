@@ -48,11 +48,10 @@ class Encoder:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            pieces = text.replace("\n", " \n").split(" ")
-            # Blank runs, other blanks and blank edges show as empty or bare pieces or as more words.
-            if "" in pieces or "\n" in pieces or len(pieces) != len(text.split()):
+            if " ".join(text.split()) != text.replace("\n", " "):  # other blanks, blank runs or edges
                 whole.append(i)
                 continue
+            pieces = text.replace("\n", " \n").split(" ")
             pieces[0] = f"\t{pieces[0]}"  # no space stands before the first, and no other piece holds a tab
             ids = list(map(get, pieces))
             if None in ids:
