@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrion.llm import bitplane
+from quarrion.llm import binpack, bitplane, divergence, mixing, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,3 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op5_bitplane_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.token_files(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_warc_zip_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_vector_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binpack.shards(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.scores(table(spark, sf_dir, "documents"))
