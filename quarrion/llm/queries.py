@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrion.llm import binpack, bitplane, divergence, mixing, warc
+from quarrion.llm import binpack, bitplane, divergence, mixing, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +45,8 @@ def op7_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
