@@ -57,8 +57,11 @@ def repeated_words(words: Column) -> Column:
         pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(pairs, covered))
 
-    hashes = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
-    return F.when(F.size(words) < 3, F.lit(0)).otherwise(let(hashes, windows)).cast("long")
+    def of(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+        return F.when(F.size(w) < 3, F.lit(0)).otherwise(let(hashes, windows))
+
+    return let(words, of).cast("long")
 
 
 def counted(docs: DataFrame) -> DataFrame:
@@ -143,7 +146,9 @@ def judged(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     d = d.withColumn("_n_words", F.size("_words").cast("long"))
     d = d.withColumn("_word_chars", F.get("_chars", F.lit(0))).withColumn("_n_symbols", F.get("_found", F.lit(0)))
     d = d.withColumn("_n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    d = d.withColumn("_n_repeat_words", repeated_words(F.col("_words")))
+    # The optimizer would push a filter on the verdict below the projections that it rests on, and so compute them
+    # twice; it pushes none through a projection with a column that isn't deterministic and is used above.
+    d = d.withColumns({"_n_repeat_words": repeated_words(F.col("_words")), "_row": F.monotonically_increasing_id()})
     d = d.withColumn("_base_failed", (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words")))
     live = ~F.col("_base_failed") & F.col("_ref").isNotNull()
     by_class = F.when(live & (F.get("_chars", F.lit(1)) >= CLASS_CHARS), js_distance(F.col("_classes"), F.col("_ref._ref_classes")))
@@ -162,4 +167,4 @@ def scores(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame) -> DataFrame:
     """The rows of docs that pass, with docs' columns."""
     refs = references(docs.select("text", "lang"))
-    return judged(docs, refs).where("_kept").select(*docs.columns)
+    return judged(docs, refs).where("_kept and _row >= 0").select(*docs.columns)
