@@ -1 +1 @@
-
+"""Query plans over the supplied tables."""
