@@ -64,11 +64,15 @@ def repeated_words(words: Column) -> Column:
     return let(words, of).cast("long")
 
 
+def _lang() -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("~"))
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """docs with _words (array), _lang and _classes (counts by class, blanks, others)."""
     d = docs.withColumn("_text", C.text_of())
     d = d.withColumn("_words", F.filter(F.split("_text", C.BLANK), lambda x: x != ""))
-    d = d.withColumn("_lang", F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("~")))
+    d = d.withColumn("_lang", _lang())
     chars, dense = F.char_length("_text"), F.char_length(F.array_join("_words", ""))
     found = [F.regexp_count("_text", F.lit(c)).cast("long") for c in CLASSES]
     d = d.withColumn("_found", F.array(*found)).withColumn("_chars", F.array(dense.cast("long"), chars.cast("long")))
@@ -81,12 +85,16 @@ def references(docs: DataFrame) -> DataFrame:
 
     Read from all of docs(text, lang); also a row '*' for languages too rare to have their own.
     """
-    d = counted(docs.select("text", "lang"))
+    d = docs.select(_lang().alias("_lang"), C.text_of().alias("_text"))
     k = len(CLASSES) + 2
-    per = C.cut(d.groupBy("_lang").agg(F.array(*(F.sum(F.get("_classes", F.lit(i))) for i in range(k))).alias("c"), F.sum(F.size("_words")).cast("long").alias("n")), "langs")
+    found = [F.regexp_count("_text", F.lit(x)) for x in (*CLASSES, r"[\x20\x09-\x0D]", C.WORD)]
+    sums = d.select("_lang", F.char_length("_text").alias("_all"), *(x.alias(f"_{i}") for i, x in enumerate(found)))
+    sums = sums.groupBy("_lang").agg(*(F.sum(f"_{i}").cast("long").alias(f"_{i}") for i in range(k)), F.sum("_all").cast("long").alias("_all"))
+    rest = F.greatest(F.col("_all") - sum((F.col(f"_{i}") for i in range(1, k - 1)), F.col("_0")), F.lit(0).cast("long"))
+    per = C.cut(sums.select("_lang", F.array(*(F.col(f"_{i}") for i in range(k - 1)), rest).alias("c"), F.col(f"_{k - 1}").alias("n")), "langs")
     total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     own = per.where(F.col("n") * LANGS >= F.lit(max(total, 1))).select("_lang", F.lit(True).alias("own"))
-    words = d.select("_lang", F.explode("_words").alias("w")).groupBy("_lang", "w").count()
+    words = d.select("_lang", F.explode(F.split("_text", C.BLANK)).alias("w")).where("w <> ''").groupBy("_lang", "w").count()
     words = C.cut(words.join(F.broadcast(own), "_lang", "left").withColumn("_lang", F.when(F.col("own"), F.col("_lang")).otherwise("*")).groupBy("_lang", "w").agg(F.sum("count").alias("count")), "words")
     per = per.join(F.broadcast(own), "_lang", "left").withColumn("_lang", F.when(F.col("own"), F.col("_lang")).otherwise("*"))
     per = C.cut(per.groupBy("_lang").agg(F.array(*(F.sum(F.get("c", F.lit(i))) for i in range(k))).alias("c"), F.sum("n").alias("n")), "langs")
