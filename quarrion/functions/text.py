@@ -178,9 +178,16 @@ def fts_query(query: Column) -> Column:
     units = F.regexp_extract_all(query, F.lit('"[^"]*"|\\b(?:AND|OR|NOT)\\b|[^\\s"]+'), F.lit(0))
     blank = lambda x: x.startswith('"') & ~x.rlike(r"[\p{L}\p{N}]")
     operator = lambda x: x.isin("AND", "OR", "NOT")
-    kept = F.filter(units, lambda x: ~blank(x))
-    kept = F.filter(kept, lambda x, i: ~operator(x) | ((i > 0) & (i + 1 < F.size(kept)) & ~operator(F.get(kept, i - 1)) & ~operator(F.get(kept, i + 1))))
-    return F.array_join(F.filter(kept, lambda x, i: ~operator(x) | ((i > 0) & (i + 1 < F.size(kept)))), " ")
+    none = F.lit("")
+
+    def step(acc: Column, x: Column) -> Column:
+        """An operator waits for an operand on either side; of several in a row the first holds."""
+        glue = F.when(acc["out"] == "", none).when(acc["op"] == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), acc["op"], F.lit(" ")))
+        waiting = F.when(acc["op"] == "", x).otherwise(acc["op"])
+        out = F.when(operator(x), acc["out"]).otherwise(F.concat(acc["out"], glue, x))
+        return F.struct(out.alias("out"), F.when(operator(x), waiting).otherwise(none).alias("op"))
+
+    return F.aggregate(F.filter(units, lambda x: ~blank(x)), F.struct(none.alias("out"), none.alias("op")), step, lambda acc: acc["out"])
 
 
 def importance(path: Column) -> Column:

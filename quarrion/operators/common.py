@@ -15,6 +15,16 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the checkpoint folder, so that what follows doesn't repeat it and plans stay small."""
+    sc = df.sparkSession.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir("/tmp/quarrion-checkpoints")
+    return df.checkpoint()
+
+
 def top(df: DataFrame, by: list, order: list, n: int, rank: str | None = None) -> DataFrame:
     """The first n rows of each group; rank: a column that numbers them from 0."""
     ranked = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rn") <= n)

@@ -15,7 +15,7 @@ from quarrion import config
 from quarrion.config import Config
 from quarrion.functions import text as T
 from quarrion.operators import fuse, graph, rank, search
-from quarrion.operators.common import small, top
+from quarrion.operators.common import settled, small, top
 
 # Words too common for a list of their own, expansions by intent, and scores.
 PLAIN_TERMS = "function method string number object return const import export class boolean array".split()
@@ -120,23 +120,25 @@ def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None)
     def best(hits: DataFrame, n: int) -> DataFrame:
         return top(hits, ["prompt_id"], [F.desc("score"), "id"], n)
 
-    any_ = search.bm25(c, words, text)
+    long_ = terms.where((F.length("term") >= 6) & ~F.col("term").isin(*PLAIN_TERMS))
+    asked = words.select("term").unionByName(idw.select("term")).unionByName(extra.select("term")).unionByName(long_.select("term")).distinct()
+    parts = settled(search.term_parts(c, asked, text))
+    any_ = search.summed(parts, words)
     n_terms = words.groupBy("prompt_id").agg(F.count("*").alias("n"))
     lists.append(_list(best(any_, cfg.fts_limit), "fts-or", 2.0))
     few = n_terms.where("n between 2 and 6")
     lists.append(_list(best(any_.join(few, "prompt_id").where("n_terms = n"), cfg.fts_limit), "fts-and", 2.0))
-    long_ = terms.where((F.length("term") >= 6) & ~F.col("term").isin(*PLAIN_TERMS))
-    one = search.bm25(c, long_.select(F.concat_ws("\t", F.col("prompt_id").cast("string"), "term").alias("prompt_id"), "term"), text)
+    one = search.summed(parts, long_.select(F.concat_ws("\t", F.col("prompt_id").cast("string"), "term").alias("prompt_id"), "term"))
     one = top(one, ["prompt_id"], [F.desc("score"), "id"], min(cfg.fts_limit, 8)).withColumn("k", F.split("prompt_id", "\t"))
     lists.append(_list(one.select(F.get("k", F.lit(0)).cast("long").alias("prompt_id"), "id", "score", F.concat(F.lit("fts-term:"), F.get("k", F.lit(1))).alias("s")), F.col("s"), 0.4))
-    lists.append(_list(best(search.bm25(c, extra, text), min(cfg.fts_limit, 8)), "intent-aware", 1.0))
+    lists.append(_list(best(search.summed(parts, extra), min(cfg.fts_limit, 8)), "intent-aware", 1.0))
     phrases = i.select("prompt_id", F.explode("quoted").alias("q")).select(F.concat_ws("\t", F.col("prompt_id").cast("string"), "q").alias("prompt_id"), T.words(F.col("q")).alias("words")).where(F.size("words") > 0)
     posts = search.postings(c, text, phrases.select(F.explode("words").alias("term")))
     quoted = search.match_phrase(posts, phrases).select(F.get(F.split("prompt_id", "\t"), F.lit(0)).cast("long").alias("prompt_id"), "id", F.lit(1.0).alias("score"))
     lists.append(_list(best(quoted.groupBy("prompt_id", "id").agg(F.sum("score").alias("score")), cfg.fts_limit), "quoted-term", 1.0))
 
     symbol = by_symbol(c, ids)
-    id_text = best(search.bm25(c, idw, text), cfg.fts_limit).join(c.select("id", "symbol_kind"), "id")
+    id_text = best(search.summed(parts, idw), cfg.fts_limit).join(c.select("id", "symbol_kind"), "id")
     exact = symbol.where(F.lower("symbol_name") == F.lower("name")).select("prompt_id", "source_file", F.col("id").alias("_own")).distinct()
     siblings = top(c.join(exact, "source_file").where("id <> _own"), ["prompt_id", "_own"], ["id"], 8)
     strong = symbol.select("prompt_id", "id", F.lit(ID_SYMBOL).alias("score")).unionByName(class_children(c, symbol).withColumn("score", F.lit(ID_CHILD)))
@@ -177,14 +179,14 @@ def retrieved(chunks: DataFrame, edges: DataFrame, prompts: DataFrame, feedback:
     """prompts to at most cfg.max_results chunks each, with score, rank and why: fuse, expand by graph, merge, re-score, diversify,
     drop what is contained or repeated, cap segments, cut."""
     cfg = cfg or Config()
-    i = intents(prompts)
-    direct = fuse.rrf(candidate_lists(chunks, i, cfg), trace=True)
+    i = settled(intents(prompts))
+    direct = settled(fuse.rrf(candidate_lists(chunks, i, cfg), trace=True))
     best = top(direct, ["prompt_id"], [F.desc("score"), "id"], 5).join(chunks.select("id", "keywords", "symbol_name"), "id")
     shaped = best.select("prompt_id", F.explode(F.concat(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), T.is_identifier), F.array(F.coalesce("symbol_name", F.lit(""))))).alias("node")).where(F.length("node") > 2)
     seeds = _terms(i.select("prompt_id", F.concat("identifiers", "quoted").alias("x")), "x", "node").unionByName(shaped).distinct()
     merged = direct.select("prompt_id", "id", "score")
     if cfg.graph_expansion and cfg.graph_depth:
-        near = graph.expanded(edges, seeds, cfg.graph_depth, cfg.graph_max_nodes)
+        near = settled(graph.expanded(edges, seeds, cfg.graph_depth, cfg.graph_max_nodes))
         ent = chunks.select("id", F.explode(F.array_distinct(F.concat(F.coalesce("keywords", F.array().cast("array<string>")), F.array(F.coalesce("symbol_name", F.lit("")))))).alias("node"))
         hits = ent.join(near, "node")
         merged = fuse.merge_expanded(direct, fuse.entity_scores(hits))
@@ -197,12 +199,12 @@ def retrieved(chunks: DataFrame, edges: DataFrame, prompts: DataFrame, feedback:
     else:
         h = h.withColumn("feedback", F.lit(0.0))
     names = i.select("prompt_id", F.transform("identifiers", lambda x: F.lower(x)).alias("ids"), T.match_tokens(F.concat("identifiers", F.filter("concepts", lambda x: ~F.contains(x, F.lit(" "))))).alias("terms"))
-    h = rank.rescored(h.join(small(names), "prompt_id"), cfg, as_of_ms)
+    h = settled(rank.rescored(h.join(small(names), "prompt_id"), cfg, as_of_ms))
     h = h.withColumn("exact", F.coalesce(F.array_contains("ids", F.lower("symbol_name")), F.lit(False)))
     if cfg.diversity_filter:
-        h = rank.diversified(h, cfg)
+        h = settled(rank.diversified(h, cfg))
     if cfg.containment_dedup:
-        h = rank.containment(h)
-    h = rank.segment_cap(rank.hash_deduplicated(h))
+        h = settled(rank.containment(h))
+    h = rank.segment_cap(settled(rank.hash_deduplicated(h)))
     h = top(h, ["prompt_id"], [F.desc("score"), "id"], cfg.max_results, "rank")
     return h.join(direct.select("prompt_id", "id", "contributions"), ["prompt_id", "id"], "left")

@@ -42,9 +42,19 @@ def term_stats(posts: DataFrame) -> DataFrame:
 
 
 def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] | None = None) -> DataFrame:
-    """(prompt_id, view_id, id, score, n_terms) of the chunks that hold any of the prompts' terms.
+    """(prompt_id, view_id, id, score, n_terms) of the chunks that hold any of the prompts' terms(prompt_id, term)."""
+    return summed(term_parts(chunks, terms, columns), terms)
 
-    terms: (prompt_id, term). Weights multiply a column's term frequency.
+
+def summed(parts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Scores of prompts from the parts that single terms give."""
+    return parts.join(small(terms.distinct()), "term").groupBy("prompt_id", "view_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("n_terms"))
+
+
+def term_parts(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] | None = None) -> DataFrame:
+    """(view_id, id, term, part): what each of the given terms(term) adds to the score of each chunk that holds it.
+
+    Weights multiply a column's term frequency. Prompts play no part, so several term sets can share one pass.
     """
     columns = columns or {"content": 1.0}
     posts = postings(chunks, columns, terms)
@@ -56,8 +66,7 @@ def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] | None =
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.col("idf") * F.col("tf") * (config.K1 + 1) / (F.col("tf") + config.K1 * (1 - config.B + config.B * F.col("dl") / F.col("avgdl")))
     known = df.join(F.broadcast(stats), "view_id").select("view_id", "term", idf.alias("idf"), "avgdl")  # a row a view
-    scored = tf.join(known, ["view_id", "term"]).join(dl, ["view_id", "id"]).select("view_id", "id", "term", part.alias("part"))
-    return scored.join(small(terms.distinct()), "term").groupBy("prompt_id", "view_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("n_terms"))
+    return tf.join(known, ["view_id", "term"]).join(dl, ["view_id", "id"]).select("view_id", "id", "term", part.alias("part"))
 
 
 def match_all(posts: DataFrame, terms: DataFrame) -> DataFrame:
