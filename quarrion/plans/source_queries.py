@@ -211,3 +211,55 @@ def r18_retrieve(spark, sf_dir):
     c = c.withColumns({"view_id": F.lit("v"), "section_title": none, "summary": none, "keywords": F.array().cast("array<string>"), "symbol_name": none, "symbol_kind": none, "parent_symbol": none, "file_stem": T.file_stem(F.col("source_file")), "updated_at": F.lit(0).cast("long")})
     h = retrieve.retrieved(c, corpus.edges(spark, sf_dir), corpus.prompts(spark, sf_dir))
     return h.select("prompt_id", "id", "source_file", "score", "rank")
+
+
+@query("a13_fact_overlap", sql("""
+, w AS (SELECT item_id AS id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS term FROM benchmark),
+h AS (SELECT p.prompt_id, w.id, count(*) AS overlap FROM w JOIN prompt_terms p USING (term) GROUP BY ALL)
+SELECT prompt_id, id, overlap FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY overlap DESC, id) AS k FROM h) WHERE k <= 5""", "prompts", "prompt_terms"))
+def a13_fact_overlap(spark, sf_dir):
+    from quarrion.operators import knowledge
+
+    facts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("fact"))
+    return knowledge.fact_hits(facts, corpus.prompt_terms(corpus.prompts(spark, sf_dir)))
+
+
+@query("r20_facts_as_hits", sql(FULL_SQL + """,
+m AS (SELECT prompt_id, max(score) AS m FROM hit GROUP BY 1)
+SELECT prompt_id, id, round(score, 6) AS score FROM hit UNION ALL SELECT prompt_id, 'fact:' || prompt_id, round(m * 0.8, 6) FROM m""", *BASE))
+def r20_facts_as_hits(spark, sf_dir):
+    from quarrion.operators import knowledge
+
+    h = full(spark, sf_dir).select("prompt_id", "id", "score")
+    found = h.select("prompt_id").distinct().withColumn("id", F.col("prompt_id"))
+    return knowledge.with_facts(h, found).withColumn("score", F.round("score", 6))
+
+
+@query("a11_call_terms", r"""
+WITH c AS (SELECT page_id, unnest(regexp_extract_all(html, '\b([A-Za-z_][A-Za-z0-9_]{3,})\(', 1)) AS term FROM pages)
+SELECT page_id % 7 AS prompt_id, term, count(*) AS n FROM c GROUP BY ALL HAVING count(*) >= 2""")
+def a11_call_terms(spark, sf_dir):
+    from quarrion.operators import knowledge
+
+    return knowledge.call_terms(table(spark, sf_dir, "pages").select((F.col("page_id") % 7).alias("prompt_id"), F.col("html").alias("content")))
+
+
+@query("j13_edges_with_chunks", """
+WITH e AS (SELECT l_orderkey AS source, l_partkey + 1000000 AS target, l_suppkey AS c FROM lineitem WHERE l_orderkey % 50 = 0),
+b AS (SELECT source AS node, target AS neighbour, c FROM e UNION ALL SELECT target, source, c FROM e)
+SELECT b.node, b.neighbour, s_name AS source_file FROM b LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON s_suppkey = b.c WHERE b.node % 100 = 0""")
+def j13_edges_with_chunks(spark, sf_dir):
+    from quarrion.operators import knowledge
+
+    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target"), F.col("l_suppkey").alias("source_chunk_id"))
+    nodes = e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).where("node % 100 = 0")
+    chunks = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("source_file"))
+    return knowledge.neighbours_with_chunks(e, nodes, chunks).select("node", "neighbour", "source_file")
+
+
+@query("c15_topics", "SELECT DISTINCT source AS source_file, lang AS section_title FROM documents WHERE doc_id % 2 = 0")
+def c15_topics(spark, sf_dir):
+    from quarrion.operators import knowledge
+
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("source_file"), F.col("lang").alias("section_title"), F.when(F.col("doc_id") % 2 == 0, "markdown").otherwise("code").alias("file_type"))
+    return knowledge.topics(d)

@@ -172,3 +172,21 @@ def test_memory_policy(spark):
     got = {(r.prompt_id, r.kind) for r in memory.merged_memory(p, facts, ev).collect()}
     assert got == {(1, "fact"), (2, "fact"), (2, "error")}
     assert memory.merged_memory(p, facts, ev, "off").collect() == []
+
+
+def test_knowledge(spark):
+    from quarrion.operators import knowledge
+
+    ev = "array<struct<view_id:string>>"
+    facts = spark.createDataFrame([("view", "v", "old", "user", [])], f"scope string, scope_id string, fact string, provenance string, evidence {ev}")
+    new = spark.createDataFrame([("view", "v", "old", "user", [("v",)]), ("group", "g", "x", "code", []), ("project", "p", "y", "code", [("v",)])], facts.schema)
+    all_ = knowledge.remembered(facts, new)
+    assert sorted(r.fact for r in all_.collect()) == ["old", "y"]
+    assert [r.fact for r in knowledge.visible(all_, ["v"], [], "g").collect()] == ["old"]
+    hits = spark.createDataFrame([(1, "a", 10.0)], "prompt_id long, id string, score double")
+    links = spark.createDataFrame([("l1", "a", "b", [("v",)]), ("l2", "b", "c", [("v",)]), ("l3", "a", "z", [("w",)])], f"id string, source string, target string, evidence {ev}")
+    assert {r.id: r.score for r in knowledge.with_links(hits, links, ["v"]).collect()} == {"a": 10.0, "b": 6.0, "c": pytest.approx(3.6)}
+    chunks = spark.createDataFrame([("1", "run", "f.ts", 3, "body"), ("2", "Run", "g.ts", 9, "other")], "id string, symbol_name string, source_file string, start_line int, content string")
+    edges = spark.createDataFrame([("run", "stop", "calls", 2.0)], "source string, target string, type string, weight double")
+    view = {(r.part, r.text) for r in knowledge.symbol_view(chunks, edges, spark.createDataFrame([("RUN",)], "name string")).collect()}
+    assert view == {("body", "body"), ("place", "g.ts:9"), ("edge", "out calls stop")}
