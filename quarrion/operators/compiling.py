@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from xml.sax.saxutils import escape as _escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -16,6 +17,10 @@ LAYER_ORDER = ("session", "repo", "workspace", "global")
 CODE = re.compile(r"[{}()\[\];=<>]")
 
 
+def escape(text: str) -> str:
+    return _escape(text, {'"': "&quot;", "'": "&apos;"})
+
+
 def tokens(text: str) -> int:
     """The estimate of quarrion.functions.text.token_estimate, for the packer."""
     n = len(text)
@@ -140,8 +145,22 @@ def markdown(packed: pd.DataFrame) -> str:
     return "\n".join(out)
 
 
-def compiled(hits: DataFrame, prompts: DataFrame, cfg: Config | None = None, budget: int | None = None) -> DataFrame:
-    """(prompt_id, output, tokens, n_body, n_excerpt, n_stub): one rendering a prompt, within the budget.
+def xml(packed: pd.DataFrame, most: int) -> tuple[str, list]:
+    """(document, kept rows): whole elements only, in layer order; one that doesn't fit is left out, and smaller ones after it may."""
+    order = packed.assign(_l=packed.layer.map({x: i for i, x in enumerate(LAYER_ORDER)}), _s=packed.kind == "stub").sort_values(["_s", "_l"], kind="stable")
+    head, tail, parts, kept = "<context>\n", "</context>", [], []
+    for r in order.itertuples():
+        name = "more" if r.kind == "stub" else "chunk"
+        body = escape(r.body) if r.kind == "stub" else f"<![CDATA[{r.body.replace(']]>', ']]]]><![CDATA[>')}]]>"
+        element = f'<{name} path="{escape(r.source_file)}" layer="{escape(r.layer)}">{body}</{name}>\n'
+        if tokens(head + "".join(parts) + element + tail) <= most:
+            parts.append(element)
+            kept.append(r.Index)
+    return head + "".join(parts) + tail, kept
+
+
+def compiled(hits: DataFrame, prompts: DataFrame, cfg: Config | None = None, budget: int | None = None, form: str = "markdown") -> DataFrame:
+    """(prompt_id, output, tokens, n_body, n_excerpt, n_stub): one rendering a prompt, as markdown or xml, within the budget.
 
     hits: prompt_id, id, source_file, layer, line, content, score, bounded a prompt by the final cap. prompts: prompt_id, terms.
     Packing is a walk in order of score, so a prompt is one group; prompts run in parallel. A rendering over the budget
@@ -154,8 +173,12 @@ def compiled(hits: DataFrame, prompts: DataFrame, cfg: Config | None = None, bud
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
         packed = pack(pdf, inner, list(pdf.terms.iloc[0]))
-        text = markdown(packed)
-        while tokens(text) > most and len(packed):
+        if form == "xml":
+            text, kept = xml(packed, most)
+            packed = packed.loc[kept]
+        else:
+            text = markdown(packed)
+        while form != "xml" and tokens(text) > most and len(packed):
             packed = packed.iloc[:-1]
             text = markdown(packed)
         n = packed.kind.value_counts()

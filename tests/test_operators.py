@@ -161,6 +161,12 @@ def test_compile(spark):
     for budget in (1200, 400, 60):
         r = compiling.compiled(hits_, prompts, budget=budget).first()
         assert r.tokens <= budget and "alpha" in r.output
+    import xml.dom.minidom
+
+    for budget in (1200, 200, 90):
+        r = compiling.compiled(hits_, prompts, budget=budget, form="xml").first()
+        doc = xml.dom.minidom.parseString(r.output)
+        assert r.tokens <= budget and len(doc.getElementsByTagName("chunk")) == r.n_body + r.n_excerpt >= 1
     r = compiling.compiled(hits_, prompts, budget=1200).first()
     assert "needle" in r.output and r.n_excerpt == 1 and r.output.index("note") < r.output.index("alpha")
 
