@@ -57,9 +57,12 @@ def term_parts(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] |
     Weights multiply a column's term frequency. Prompts play no part, so several term sets can share one pass.
     """
     columns = columns or {"content": 1.0}
-    posts = postings(chunks, columns, terms)
-    weight = F.create_map(*(F.lit(x) for c, w in columns.items() for x in (c, float(w))))
-    tf = posts.groupBy("view_id", "term", "id").agg(F.sum(F.col("tf") * F.element_at(weight, F.col("col"))).alias("tf"))
+    words = None
+    for c, weight in columns.items():  # each occurrence counts its column's weight; positions aren't needed here
+        w = chunks.select("view_id", "id", F.lit(float(weight)).alias("w"), F.explode(T.words(F.coalesce(F.col(c), F.lit("")))).alias("term"))
+        words = w if words is None else words.unionByName(w)
+    words = words.join(small(terms.select("term").distinct()), "term", "left_semi")
+    tf = words.groupBy("view_id", "term", "id").agg(F.sum("w").alias("tf"))
     dl = lengths(chunks, columns)
     stats = view_stats(dl)
     df = tf.groupBy("view_id", "term").agg(F.count("*").alias("df"))
