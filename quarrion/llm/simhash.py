@@ -203,13 +203,18 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
-    """docs with one row of each component, the one with the smallest doc_id; rows without doc_id stay."""
-    rows = fingerprints(docs, shingle)
-    kept = rows.join(_classes(rows, radius).hint("merge"), "fp").where("doc_id = component_id")
+def one_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """docs with one row of each component, by rows(doc_id, h, fp) and classes(fp, component_id)."""
+    kept = rows.join(classes.hint("merge"), "fp").where("doc_id = component_id")
     # Two texts under one doc_id in one component: the smaller hash stays.
     kept = C.cut(kept.groupBy("doc_id").agg(F.min("h").alias("_h"), F.count("*").alias("_n")), "kept")
     stay = docs.withColumn("_h", F.xxhash64(C.text_of())).join(kept.select("doc_id", "_h"), ["doc_id", "_h"], "left_semi")
     if not kept.where("_n > 1").isEmpty():  # repeated rows
         stay = stay.dropDuplicates(["doc_id"])
     return stay.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
+    """docs with one row of each component, the one with the smallest doc_id; rows without doc_id stay."""
+    rows = fingerprints(docs, shingle)
+    return one_of_each(docs, rows, _classes(rows, radius))
