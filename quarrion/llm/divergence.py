@@ -1,12 +1,13 @@
 """Quality rules: base counts, and distribution divergence from language references.
 
 Native DataFrame functions only. References are learned from all documents: for each
-language (null is one of its own; languages under 1/LANGS of all words are pooled) the histogram of
-character classes, and of its common words, those with at least 1/COMMON of its words. So
-there are at most LANGS + 1 references with at most COMMON words each, which are broadcast.
+language (null is one of its own) of at least ENOUGH words, whatever its share, the histogram of
+character classes, and of its common words, those with at least 1/COMMON of its words. Up to LANGS
+references, with at most COMMON words each, are broadcast; more are joined by shuffle.
 A document is rejected if the Jensen-Shannon distance (base 2, 0 to 1) of its own
 histogram from its language's exceeds a limit: for classes a constant, for words one that
-allows for the noise of short texts. Documents under the guards' lengths aren't judged by them.
+allows for the noise of short texts. Documents under the guards' lengths aren't judged by them,
+and those of a language with fewer words by neither.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from quarrion.llm import common as C
 
 LANGS = 500
 COMMON = 200
+#: Words from which a language's histogram is stable: a word at the limit of the common ones is expected ten times.
+ENOUGH = 10 * COMMON
 #: Character classes besides blanks and all others; the first is the base rule's symbols.
 CLASSES = (r"[#*$%&|<>]", r"\p{Lu}", r"[0-9]", r"[.,;:!?'\"()\-]")
 #: Limits: of the class distance; of the word distance at infinite length, and what it gains by 1 / sqrt(words).
@@ -68,6 +71,11 @@ def _lang() -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("~"))
 
 
+def _few(refs: DataFrame) -> DataFrame:
+    """refs, a row a language, with a broadcast hint if there are LANGS at most."""
+    return F.broadcast(refs) if refs.limit(LANGS + 1).count() <= LANGS else refs.hint("merge")
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """docs with _words (array), _lang and _classes (counts by class, blanks, others)."""
     d = docs.withColumn("_text", C.text_of())
@@ -83,7 +91,7 @@ def counted(docs: DataFrame) -> DataFrame:
 def references(docs: DataFrame) -> DataFrame:
     """_lang, _ref_classes (shares), _common (words by code point), _ref_words (their shares, then the rest's).
 
-    Read from all of docs(text, lang); also a row '*' for languages too rare to have their own.
+    Read from all of docs(text, lang); none for languages of fewer than ENOUGH words.
     """
     d = docs.select(_lang().alias("_lang"), C.text_of().alias("_text"))
     k = len(CLASSES) + 2
@@ -92,13 +100,10 @@ def references(docs: DataFrame) -> DataFrame:
     sums = sums.groupBy("_lang").agg(*(F.sum(f"_{i}").cast("long").alias(f"_{i}") for i in range(k)), F.sum("_all").cast("long").alias("_all"))
     rest = F.greatest(F.col("_all") - sum((F.col(f"_{i}") for i in range(1, k - 1)), F.col("_0")), F.lit(0).cast("long"))
     per = C.cut(sums.select("_lang", F.array(*(F.col(f"_{i}") for i in range(k - 1)), rest).alias("c"), F.col(f"_{k - 1}").alias("n")), "langs")
-    total = per.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    own = per.where(F.col("n") * LANGS >= F.lit(max(total, 1))).select("_lang", F.lit(True).alias("own"))
+    per = per.where(F.col("n") >= ENOUGH)
     words = d.select("_lang", F.explode(F.split("_text", C.BLANK)).alias("w")).where("w <> ''").groupBy("_lang", "w").count()
-    words = C.cut(words.join(F.broadcast(own), "_lang", "left").withColumn("_lang", F.when(F.col("own"), F.col("_lang")).otherwise("*")).groupBy("_lang", "w").agg(F.sum("count").alias("count")), "words")
-    per = per.join(F.broadcast(own), "_lang", "left").withColumn("_lang", F.when(F.col("own"), F.col("_lang")).otherwise("*"))
-    per = C.cut(per.groupBy("_lang").agg(F.array(*(F.sum(F.get("c", F.lit(i))) for i in range(k))).alias("c"), F.sum("n").alias("n")), "langs")
-    often = words.join(F.broadcast(per.select("_lang", "n")), "_lang").where(F.col("count") * COMMON >= F.col("n"))
+    words = C.cut(words, "words")
+    often = words.join(_few(per.select("_lang", "n")), "_lang").where(F.col("count") * COMMON >= F.col("n"))
     tops = often.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("w", (F.col("count") / F.col("n")).alias("p")))).alias("top"))
     refs = per.join(tops, "_lang", "left")
     sum_ = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
@@ -142,14 +147,13 @@ def judged(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     class_distance, word_distance and kept, prefixed by '_'.
 
-    Null text: no words, so it fails the base rules. Null or unknown lang: the reference of
-    null, or of rare languages. Distances are null where a guard's length isn't reached.
+    Null text: no words, so it fails the base rules. Distances are null where a guard's length
+    isn't reached, and where refs has no reference of the lang; the rule then passes.
     """
     refs = references(docs) if refs is None else refs
     d = counted(docs)
     known = refs.select("_lang", F.struct("_ref_classes", "_common", "_ref_words").alias("_ref"))
-    named = [x[0] for x in known.select("_lang").collect()]  # LANGS + 1 at most
-    d = d.withColumn("_lang", F.when(F.col("_lang").isin(named), F.col("_lang")).otherwise("*")).join(F.broadcast(known), "_lang", "left")
+    d = d.join(_few(known), "_lang", "left")
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(C.WORD))
     d = d.withColumn("_n_words", F.size("_words").cast("long"))
     d = d.withColumn("_word_chars", F.get("_chars", F.lit(0))).withColumn("_n_symbols", F.get("_found", F.lit(0)))
