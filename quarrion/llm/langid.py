@@ -9,8 +9,8 @@ bits); from each count goes what the language's own false-positive rate leads to
 the largest decides.
 
 The training sample is bounded: about SAMPLE labelled documents of each language, the first
-SAMPLE_CHARS characters of each. Languages with under 1/LANGS of the training rows aren't
-learned, so the filter holds LANGS languages at most. Prediction reads whole texts.
+SAMPLE_CHARS characters of each. Every language with a training row is learned, however small
+its share; a table with over LANGS languages is refused. Prediction reads whole texts.
 """
 
 from __future__ import annotations
@@ -121,8 +121,9 @@ def fit(docs: DataFrame) -> Filter:
     """Learn from documents(doc_id, text, lang) that aren't held out; null languages and texts don't count."""
     known = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     per = known.groupBy("lang").count().withColumnRenamed("count", "n")
-    total = known.count()
-    n = {r.lang: r.n for r in per.where(F.col("n") * LANGS >= total).collect()}  # LANGS rows at most
+    n = {r.lang: r.n for r in per.limit(LANGS + 1).collect()}
+    if len(n) > LANGS:
+        raise ValueError(f"more than {LANGS} languages are labelled")
     if not n:
         return Filter.build({})
     u = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(13)), 11) / F.lit(float(1 << 53))
