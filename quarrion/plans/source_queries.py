@@ -131,9 +131,9 @@ def p8_junk_symbols(spark, sf_dir):
     return w.where(F.length("term") > 2).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def links(spark, sf_dir):
-    """Orders as links between customers and order items, with a line's hashes as evidence."""
-    li = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0")
+def links(spark, sf_dir, orders="l_orderkey % 10 = 0"):
+    """Orders as links between customers and order items, with a line's hashes as evidence; by default the tenth that the SQL takes."""
+    li = table(spark, sf_dir, "lineitem").where(orders)
     e = F.struct(F.concat(F.lit("p"), "l_partkey").alias("ref"), F.concat(F.lit("v"), (F.col("l_suppkey") % 5).cast("string")).alias("view_id"), F.col("l_partkey").cast("string").alias("file"), F.col("l_returnflag").alias("file_hash"), F.col("l_linestatus").alias("chunk_hash"))
     return li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(e).alias("evidence")).withColumns({"source": F.concat(F.lit("o"), F.col("id").cast("string")), "target": F.concat(F.lit("t"), (F.col("id") % 97).cast("string")), "type": F.lit("uses")})
 
@@ -169,7 +169,7 @@ def g6_save_links(spark, sf_dir):
 @query("j20_link_frontier")
 def j20_link_frontier(spark, sf_dir):
     seeds = table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("prompt_id"), F.concat(F.lit("o"), "o_orderkey").alias("ref"))
-    return graph.link_frontier(links(spark, sf_dir), seeds, ["v0", "v1", "v2", "v3", "v4"])
+    return graph.link_frontier(links(spark, sf_dir, "true"), seeds, ["v0", "v1", "v2", "v3", "v4"])
 
 
 @query("x6_session_search", """
