@@ -12,16 +12,18 @@ import json
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.llm import common as C
-from quarrion.llm.encode import encoder
+from quarrion.llm.encode import SLICE, encoder
 
 MAGIC = b"QPLANES1"
 BLOCK = 1 << 16
@@ -55,25 +57,25 @@ class Writer:
     def __init__(self, out, kind: str = "byte", level: int = 1):
         self.out, self.kind, self.zip = out, kind, zstandard.ZstdCompressor(level=level)
         self.at = self.out.write(MAGIC) or len(MAGIC)
-        self.held: list[bytes] = []
+        self.held: list[np.ndarray] = []
         self.n_held = self.n_ids = 0
         self.docs: list[int] = []
         self.lengths: list[int] = []
         self.notes: list[str | None] = []
         self.chunks: list[dict] = []
 
-    def add(self, doc_id: int | None, ids: bytes, note: str | None = None) -> None:
-        """ids: little-endian unsigned 32-bit integers; doc_id may be null; note: kept with the document."""
-        self.docs.append(doc_id)
-        self.lengths.append(len(ids) // 4)
-        self.notes.append(note)
-        self.held.append(ids)
-        self.n_held += len(ids) // 4
+    def add(self, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray, notes: list[str | None] | None = None) -> None:
+        """Documents with their numbers of ids, and all their ids one after another; doc_ids may be null; notes are kept with them."""
+        self.docs += doc_ids
+        self.lengths += lengths.tolist()
+        self.notes += notes or [None] * len(doc_ids)
+        self.held.append(np.ascontiguousarray(ids, "<u4"))
+        self.n_held += len(ids)
         if self.n_held >= BLOCK:
             self._flush(False)
 
     def _flush(self, all_: bool) -> None:
-        ids = np.frombuffer(b"".join(self.held), dtype="<u4")
+        ids = np.concatenate([np.zeros(0, "<u4"), *self.held])
         end = len(ids) if all_ else len(ids) - len(ids) % BLOCK
         for k in range(0, end, BLOCK):
             part, places = ids[k : min(k + BLOCK, end)], []
@@ -84,7 +86,7 @@ class Writer:
                 self.at += len(data)
             self.chunks.append({"n": len(part), "planes": places})
         self.n_ids += end
-        self.held, self.n_held = [ids[end:].tobytes()], len(ids) - end
+        self.held, self.n_held = [ids[end:].copy()], len(ids) - end
 
     def close(self) -> tuple[int, int]:
         """(documents, ids)"""
@@ -149,18 +151,18 @@ def open_file(uri: str):
     return Reader(fs.open_input_file(path), fs.get_file_info(path).size)
 
 
-def encode_batches(batches, path: str | None, end_id: int):
-    """(row of columns without the text, ids with end id) of batches whose second column is the text."""
-    coder, end = encoder(path), np.array([end_id], dtype="<u4").tobytes()
+def encode_batches(batches, path: str | None, end_id: int, special_as_text: bool = False):
+    """(columns without the text, ids of all rows with their end ids, number of each) of slices of batches whose second column is the text."""
+    coder = encoder(path, special_as_text)
     for batch in batches:
-        texts = [x or "" for x in batch.column(1).to_pylist()]
-        rest = [batch.column(k).to_pylist() for k in range(batch.num_columns) if k != 1]
-        for s in C.slices(texts, map(len, texts)):
-            for row, ids in zip(zip(*(r[s] for r in rest), strict=True), coder.encode(texts[s]), strict=True):
-                yield row, ids + end
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+        for s in C.slices(sizes, sizes, SLICE):
+            part = batch.slice(s.start, s.stop - s.start)
+            ids, counts = coder.encode(part.column(1), end_id)
+            yield [part.column(k).to_pylist() for k in range(part.num_columns) if k != 1], ids, counts
 
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte") -> DataFrame:
+def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte", special_as_text: bool = False) -> DataFrame:
     """Encode documents(doc_id, text) and write a file a partition of ascending doc_id.
 
     Returns the manifest (part, path, n_docs, n_ids), materialised in the shared folder.
@@ -172,15 +174,14 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
     d = d.repartitionByRange("doc_id", "_h", "_i").sortWithinPartitions("doc_id", "_h", "_i").select("doc_id", "text")
 
     def write(batches):
-        part, rows = TaskContext.get().partitionId(), encode_batches(batches, tokenizer, end_id)
-        if (first := next(rows, None)) is None:
+        part, slices = TaskContext.get().partitionId(), encode_batches(batches, tokenizer, end_id, special_as_text)
+        if (first := next(slices, None)) is None:
             return
         uri = f"{folder}/ids-{part:06d}.qpl"
         with C.atomic_file(uri) as out:
             w = Writer(out, kind)
-            w.add(first[0][0], first[1])
-            for (doc,), ids in rows:
-                w.add(doc, ids)
+            for (doc_ids,), ids, counts in chain([first], slices):
+                w.add(doc_ids, counts, ids)
             n_docs, n_ids = w.close()
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [uri], "n_docs": [n_docs], "n_ids": [n_ids]}, schema)
 
@@ -219,7 +220,11 @@ def read_ids(manifest: DataFrame) -> DataFrame:
     return df.mapInArrow(read, shape)
 
 
-def token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte") -> DataFrame:
-    """Write documents as bit-plane files under folder (default: a new one in the shared folder) and read them back."""
+def token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte", special_as_text: bool = False) -> DataFrame:
+    """Write documents(doc_id, text) as bit-plane files under folder (default: a new one in the shared folder) and read them back.
+
+    Rows as in write_ids and read_ids. Strings of special tokens in a text are encoded as the library does by default, so as
+    those tokens; special_as_text makes them ordinary text. Other columns, whatever their names, aren't read.
+    """
     folder = folder or C.fresh_folder(docs.sparkSession, "token-files")
-    return read_ids(write_ids(docs, folder, tokenizer, end_id, kind))
+    return read_ids(write_ids(docs, folder, tokenizer, end_id, kind, special_as_text))

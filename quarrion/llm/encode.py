@@ -1,24 +1,40 @@
-"""Whole-text BPE encoding with the tokenizers library, made cheap by remembering words.
-
-The byte-level BPE of this kind of vocabulary first cuts a text by a fixed pattern whose
-tokens hold a space only as their first character. A single space (or line feed) between
-two characters that aren't blank is therefore always a boundary, so a text is cut there, each
-distinct piece is encoded once by the library, and the ids of the pieces are joined.
-Texts with any other blank run go to the library whole. The result equals encoding each
-whole text; a test holds the two against each other.
+"""Whole-text BPE encoding with the tokenizers library, made cheap by remembering pieces.
+
+A byte-level BPE of this kind first cuts a text by a fixed pattern, in which only a blank's own alternative
+and the leading space of a word hold blanks. After a character that isn't blank, no match runs on into
+a blank, and the pattern never looks back; so a blank after a character that isn't one is always a boundary.
+Texts are cut there, each distinct piece of a batch is looked up once, unknown ones go to the library,
+and the ids are gathered from one buffer. A file whose parts don't promise this (another pre-tokenizer,
+a normalizer, padding) has its texts encoded whole, as are texts that hold an added token's string.
+The result equals encoding each whole text by the library with its own defaults; a test holds the two
+against each other.
 """
 
 from __future__ import annotations
 
+import json
 import os
+from itertools import chain, repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; when full, it forgets all and starts again.
-CACHE_PIECES = 1_200_000
-#: Longer pieces aren't remembered.
+#: Pieces that a worker remembers; when full, it forgets those that it met in one slice only, and if few are left, all.
+CACHE_PIECES = 600_000
+#: Longer pieces (bytes) aren't remembered.
 LONG_PIECE = 48
-_ENCODERS: dict[str, Encoder] = {}
+#: Bytes of text whose pieces are looked up together.
+SLICE = 4 << 20
+#: Pieces whose ids are gathered at a time.
+GATHER = 1 << 17
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+#: Unknown pieces that the library gets as one text, a line each, and in one call.
+TOGETHER, CALL = 512, 8192
+#: Blanks other than ASCII's as UTF-8, by length (fixed values: the white space of Unicode, and U+180E, once one).
+_WIDE = {2: ("c285", "c2a0"), 3: ("e19a80", "e1a08e", *(f"e280{x:02x}" for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), "e2819f", "e38080")}
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 
 def default_path() -> str:
@@ -27,53 +43,175 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def cuttable(file: dict) -> bool:
+    """Whether a tokenizer file promises that blanks after other characters are boundaries."""
+    pre, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True)
+    post = (file.get("post_processor") or {}).get("type", "ByteLevel")
+    return plain and file.get("normalizer") is None and file.get("truncation") is None and file.get("padding") is None and model.get("type") == "BPE" and not model.get("dropout") and post == "ByteLevel"
+
+
+def _wide_before(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which places in UTF-8 bytes follow a blank of _WIDE."""
+    found = np.zeros(len(at), bool)
+    some = np.nonzero(data[at - 1] >= 0x80)[0]
+    if len(some):
+        w, bad = at[some], np.zeros(len(some), bool)
+        for n, kinds in _WIDE.items():
+            full = w >= n
+            code = np.zeros(len(w), "u4")
+            for k in range(n):
+                code[full] = code[full] << np.uint32(8) | data[w[full] - n + k]
+            bad |= np.isin(code, np.array([int(x, 16) for x in kinds], "u4"))
+        found[some[bad]] = True
+    return found
+
+
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """Places in UTF-8 bytes at which a blank follows a character that isn't one; the first byte is none."""
+    at = np.nonzero(_BLANK[data])[0]
+    at = at[at > 0]
+    at = at[~_BLANK[data[at - 1]]]
+    return at[~_wide_before(data, at)]
+
+
+def _plain(pieces: pa.LargeBinaryArray) -> np.ndarray:
+    """Which pieces are short, hold no line feed and don't end in a blank."""
+    _, offsets, data = pieces.buffers()
+    ends = np.frombuffer(offsets, "i8", len(pieces) + 1, pieces.offset * 8)
+    good = np.diff(ends) <= LONG_PIECE
+    good &= ends[1:] > ends[:-1]
+    if not len(pieces) or not ends[-1]:
+        return good
+    data = np.frombuffer(data, "u1", int(ends[-1]))
+    last = ends[1:][good]
+    good[good] = ~_BLANK[data[last - 1]] & ~_wide_before(data, last)
+    good[np.searchsorted(ends, np.nonzero(data == 10)[0], side="right") - 1] = False
+    return good
+
+
 class Encoder:
-    def __init__(self, path: str):
+    """special_as_text: strings of special tokens in a text count as ordinary text (the library's default is not)."""
+
+    def __init__(self, path: str, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        get, out, open_, whole, lack = self.known.get, [b""] * len(texts), [], [], {}
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            if " ".join(text.split()) != text.replace("\n", " "):  # other blanks, blank runs or edges
-                whole.append(i)
+        self.model.encode_special_tokens = special_as_text
+        with open(path, encoding="utf-8") as f:
+            about = json.load(f)
+        self.cuts = cuttable(about)
+        self.added = [t["content"] for t in about.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
+        line = self.model.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if self.cuts and len(line) == 1 else None
+        self.known: dict[bytes, int] = {}
+        self.begin, self.length, self.met = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), np.zeros(1 << 16, "u1")
+        self.ids, self.n_ids = np.zeros(1 << 18, "<u4"), 0
+
+    def _forget(self) -> None:
+        """Keep the pieces that were met in two slices or more since the last time, if they aren't too many."""
+        n = len(self.known)
+        stay = np.nonzero(self.met[:n] > 1)[0]
+        if len(stay) > CACHE_PIECES // 2:
+            stay = stay[:0]
+        pieces = list(self.known)
+        self.known = {pieces[i]: k for k, i in enumerate(stay.tolist())}
+        length = self.length[stay].astype("i8")
+        begin = np.cumsum(length) - length
+        self.ids = self.ids[np.repeat(self.begin[stay] - begin, length) + np.arange(length.sum())]
+        self.begin, self.length, self.met, self.n_ids = begin, self.length[stay], np.zeros(len(stay), "u1"), len(self.ids)
+
+    def _library(self, pieces: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Their ids one after another, and how many each has; plain: as _plain() says."""
+        parts = [self._call(pieces[k : k + CALL], plain) for k in range(0, len(pieces), CALL)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def _call(self, pieces: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
+        if plain and self.line is not None:
+            # No piece ends in a blank, so a line feed after it is a token of its own.
+            lines = [b"\n".join(pieces[k : k + TOGETHER]).decode() for k in range(0, len(pieces), TOGETHER)]
+            if not any(t in x for x in lines for t in self.added):
+                ids = np.concatenate([np.array([*x.ids, self.line], "<u4") for x in self.model.encode_batch_fast(lines, add_special_tokens=False)])
+                ends = np.nonzero(ids == self.line)[0]
+                if len(ends) == len(pieces):
+                    return ids[ids != self.line], np.diff(ends, prepend=-1) - 1
+        found = [x.ids for x in self.model.encode_batch_fast([x.decode() for x in pieces], add_special_tokens=False)]
+        n = np.fromiter(map(len, found), "i8", len(found))
+        return np.fromiter(chain.from_iterable(found), "<u4", int(n.sum())), n
+
+    def _places(self, array: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, length) in self.ids of each distinct piece. What isn't remembered lies there until the next call."""
+        pieces = array.to_pylist()
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), "i8", len(pieces))
+        old = at >= 0
+        begin, length = np.zeros(len(at), "i8"), np.zeros(len(at), "i8")
+        begin[old], length[old] = self.begin[at[old]], self.length[at[old]]
+        self.met[at[old]] = np.minimum(self.met[at[old]], 1) + 1
+        plain = _plain(array)
+        for kind in (True, False):
+            some = np.nonzero(~old & (plain == kind))[0]
+            if not len(some):
                 continue
-            pieces = text.replace("\n", " \n").split(" ")
-            pieces[0] = f"\t{pieces[0]}"  # no space stands before the first, and no other piece holds a tab
-            ids = list(map(get, pieces))
-            if None in ids:
-                for k, x in enumerate(ids):
-                    if x is None:
-                        lack[pieces[k]] = None
-                open_.append((i, pieces, ids))
-            else:
-                out[i] = b"".join(ids)
-        if lack:
-            new = dict(zip(lack, self._library([x if x[0] == "\n" else x[1:] if x[0] == "\t" else f" {x}" for x in lack]), strict=True))
-            self.known.update((k, v) for k, v in new.items() if len(k) <= LONG_PIECE)
-            for i, pieces, ids in open_:
-                out[i] = b"".join([new[p] if x is None else x for p, x in zip(pieces, ids, strict=True)])
-        for i, x in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        return out
-
-
-def encoder(path: str | None) -> Encoder:
-    """One encoder a worker process and vocabulary file."""
-    path = path or default_path()
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+            new = [pieces[i] for i in some.tolist()]
+            ids, n = self._library(new, kind)
+            if self.n_ids + len(ids) > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(self.n_ids // 2 + 2 * len(ids), "<u4")])
+            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+            begin[some], length[some] = self.n_ids + np.cumsum(n) - n, n
+            self.n_ids += len(ids)
+            if not kind:  # the odd ones that are short enough
+                keep = [k for k, x in enumerate(new) if len(x) <= LONG_PIECE]
+                new, some, n = [new[k] for k in keep], some[keep], n[keep]
+            first, total = len(self.known), len(self.known) + len(new)
+            if total > len(self.begin):
+                self.begin, self.length, self.met = (np.concatenate([a, np.zeros(total, a.dtype)]) for a in (self.begin, self.length, self.met))
+            self.begin[first:total], self.length[first:total], self.met[first:total] = begin[some], n, 1
+            self.known.update(zip(new, range(first, total), strict=True))
+        return begin, length
+
+    def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after another, number of each); end_id, if given, follows each text. Null: empty."""
+        if len(self.known) > CACHE_PIECES or self.n_ids > 32 * CACHE_PIECES:
+            self._forget()
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pa.concat_arrays([texts])  # its offsets begin at 0 from here on
+        n = len(texts)
+        _, offsets, data = texts.buffers()
+        ends = np.frombuffer(offsets, "i8", n + 1, texts.offset * 8)
+        base, ends = int(ends[0]), ends - ends[0]
+        data = np.frombuffer(data, "u1", int(ends[-1]), base) if ends[-1] else np.zeros(0, "u1")
+        cuts = np.zeros(0, "i8")
+        if self.cuts:
+            cuts = boundaries(data)
+            held = np.zeros(n, bool)
+            for x in self.added:
+                held |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+            cuts = cuts[ends[np.searchsorted(ends, cuts)] != cuts]
+            if held.any():
+                cuts = cuts[~held[np.searchsorted(ends, cuts, side="right") - 1]]
+        # A piece begins at each text's begin and each cut; empty texts give empty pieces.
+        begins = np.sort(np.concatenate([ends, cuts]), kind="stable")
+        pieces = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(np.ascontiguousarray(begins, "i8")), pa.py_buffer(np.ascontiguousarray(data))])
+        coded = pieces.dictionary_encode()
+        begin, length = self._places(coded.dictionary)
+        codes = coded.indices.to_numpy()
+        sums = np.concatenate([[0], np.cumsum(length[codes])])
+        ids = np.empty(sums[-1], "<u4")
+        for k in range(0, len(codes), GATHER):
+            c, at = codes[k : k + GATHER], sums[k : k + GATHER + 1]
+            ids[at[0] : at[-1]] = self.ids[np.repeat(begin[c] - at[:-1], length[c]) + np.arange(at[0], at[-1])]
+        cuts_before = np.searchsorted(cuts, ends)
+        of_text = sums[np.arange(n + 1) + cuts_before]
+        counts = np.diff(of_text)
+        if end_id is not None:
+            ids, counts = np.insert(ids, of_text[1:], end_id), counts + 1
+        return ids, counts
+
+
+def encoder(path: str | None = None, special_as_text: bool = False) -> Encoder:
+    """One encoder a worker process, vocabulary file and setting."""
+    key = path or default_path(), special_as_text
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(*key)
+    return _ENCODERS[key]

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,32 +28,35 @@ from quarrion.llm import common as C
 
 LENGTH = 1024
 PIECE = 256
+#: Bytes of text a part: its ids, at most one a byte, are held in memory when it is packed.
+PART_BYTES = 64 << 20
 SHAPE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def encode_parts(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
+def encode_parts(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """Encode documents(doc_id, text, source) into one bit-plane file a part; returns (part, path, source, tokens), materialised.
 
     Parts are dealt by row, so that each has a like mix and a source or repeated document of any size is spread.
+    There are enough of them that one holds about PART_BYTES of text, whatever the session's shuffle partitions.
     """
-    n = C.partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
+    n = max(C.partitions(docs.sparkSession), -(-size // PART_BYTES))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"), F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("_i"))
     d = d.repartition(n, "_i").sortWithinPartitions("_i").drop("_i")
     shape = "part long, path string, source string, tokens long"
     schema = C.arrow(shape)
 
     def write(batches):
-        part, rows = TaskContext.get().partitionId(), bitplane.encode_batches(batches, tokenizer, end_id)
-        if (first := next(rows, None)) is None:
+        part, slices = TaskContext.get().partitionId(), bitplane.encode_batches(batches, tokenizer, end_id, special_as_text)
+        if (first := next(slices, None)) is None:
             return
         uri, tokens = f"{folder}/part-{part:06d}.qpl", {}
         with C.atomic_file(uri) as out:
-            w, row = bitplane.Writer(out), first
-            while row is not None:
-                (doc, source), ids = row
-                w.add(doc, ids, source)
-                tokens[source] = tokens.get(source, 0) + len(ids) // 4
-                row = next(rows, None)
+            w = bitplane.Writer(out)
+            for (doc_ids, sources), ids, counts in chain([first], slices):
+                w.add(doc_ids, counts, ids, sources)
+                for s, n in zip(sources, counts.tolist(), strict=True):
+                    tokens[s] = tokens.get(s, 0) + n
             w.close()
         yield pa.RecordBatch.from_pydict({"part": [part] * len(tokens), "path": [uri] * len(tokens), "source": list(tokens), "tokens": list(tokens.values())}, schema)
 
@@ -130,15 +134,16 @@ def packed(queues: dict, shares: dict, deficits: dict, first: int, length: int,
         sequence += 1
 
 
-def pack(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, tokenizer: str | None = None, weights: dict[str | None, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, tokenizer: str | None = None, weights: dict[str | None, float] | None = None, special_as_text: bool = False) -> DataFrame:
     """A row a piece of documents(doc_id, text, source): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
 
     Null text: the end id alone. Null sources are one queue. Null ids and repeated rows are documents like others.
-    An empty table gives an empty result. Sequences hold `length` ids, but for each part's last.
+    An empty table gives an empty result. Sequences hold `length` ids, but for each part's last. Strings of special tokens are
+    encoded as in bitplane.token_files. Columns of docs with the result's names, or any others, aren't read.
     """
     spark = docs.sparkSession
     folder = C.fresh_folder(spark, "packing")
-    plan = planned(encode_parts(docs, folder, tokenizer), length, weights)
+    plan = planned(encode_parts(docs, folder, tokenizer, 0, special_as_text), length, weights)
     schema = C.arrow(SHAPE)
 
     def run(batches):

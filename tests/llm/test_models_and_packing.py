@@ -49,13 +49,10 @@ def test_va_huge_components(spark):
     assert got == brute_top(rows, lambda i: True, 3)
 
 
-def test_va_reads_few(spark):
+def test_va_reads_few(spark, tmp_path):
     """Of clustered vectors, most are ruled out by their cells."""
     d = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").limit(2000).toPandas()
-    folder = "/tmp/quarrion-test-va"
-    import os
-
-    os.makedirs(folder, exist_ok=True)
+    folder = str(tmp_path)
     m = vafile.write_files(spark.createDataFrame(d).coalesce(1), folder).collect()
     ids, x = d.vec_id.to_numpy()[:50], np.floor(64 * np.stack(d.embedding[:50]).astype("f8")).astype("i8")
     s = vafile.Search(ids, x, 20)
@@ -124,11 +121,10 @@ def test_toxicity_without_labels(spark):
 
 def test_packing(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
-    odd = [(5000, None, "src0"), (5001, "", None), (5002, "dup", "x"), (5002, "dup", "x"), (None, "no id", "x"), (5003, "the " * 6000, "src1")]
+    odd = [(5000, None, "src0"), (5001, "", None), (5002, "dup", "x"), (5002, "dup", "x"), (None, "no id", "x"), (5003, "the " * 6000, "src1"), (5004, "hello <|endoftext|> world", "src1")]
     df = d.unionByName(spark.createDataFrame(odd, d.schema)).withColumn("length", F.lit(1))
     got = packing.pack(df).collect()
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     docs = Counter()
     for r in df.collect():
         ids = np.array(t.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4")

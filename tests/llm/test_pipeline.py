@@ -40,7 +40,6 @@ def test_stages(spark):
     copies = {r.doc_id: r.copies for r in mixing.mix(dedup).collect()}
     assert Counter(r[0] for r in rows(mixed)) == Counter({i: n for i, n in copies.items() if n})
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     want, ids = Counter(), {}
     for r in mixed.collect():
         ids[r.doc_id] = np.array(t.encode(r.text, add_special_tokens=False).ids + [0], "<u4").tobytes()
