@@ -81,6 +81,18 @@ class atomic_file:  # noqa: N801
             self.fs.delete_file(self.temp)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """stem, lengthened until no column of df begins with it (names are compared without case)."""
+    while any(c.lower().startswith(stem.lower()) for c in df.columns):
+        stem += "_"
+    return stem
+
+
+def same_columns(df: DataFrame) -> list[Column]:
+    """df's columns, whatever their names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def text_of(name: str = "text") -> Column:
     """The text, empty where null."""
     return F.coalesce(F.col(name), F.lit(""))

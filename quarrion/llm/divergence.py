@@ -8,6 +8,9 @@ A document is rejected if the Jensen-Shannon distance (base 2, 0 to 1) of its ow
 histogram from its language's exceeds a limit: for classes a constant, for words one that
 allows for the noise of short texts. Documents under the guards' lengths aren't judged by them,
 and those of a language with fewer words by neither.
+
+Texts are read twice: once to count each language's words, once to count all else and to compare
+words. What the second pass finds is written out, and the classes are compared from there.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ COMMON = 200
 #: Words from which a language's histogram is stable: a word at the limit of the common ones is expected ten times.
 ENOUGH = 10 * COMMON
 #: Character classes besides blanks and all others; the first is the base rule's symbols.
-CLASSES = (r"[#*$%&|<>]", r"\p{Lu}", r"[0-9]", r"[.,;:!?'\"()\-]")
+CLASSES = ("#*$%&|<>", r"\p{Lu}", "0-9", r".,;:!?'\"()\-")
 #: Limits: of the class distance; of the word distance at infinite length, and what it gains by 1 / sqrt(words).
 CLASS_LIMIT = 0.30
 WORD_LIMIT, WORD_SLACK = 0.19, 1.0
-#: Guards: fewest characters for the class rule, fewest words for the word rule.
-CLASS_CHARS, WORD_WORDS = 200, 50
+#: Guards: fewest characters for the class rule, fewest words for the word rule (the base rule asks for 50 itself).
+CLASS_CHARS, WORD_WORDS = 200, 60
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -76,107 +79,136 @@ def _few(refs: DataFrame) -> DataFrame:
     return F.broadcast(refs) if refs.limit(LANGS + 1).count() <= LANGS else refs.hint("merge")
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """docs with _words (array), _lang and _classes (counts by class, blanks, others)."""
-    d = docs.withColumn("_text", C.text_of())
-    d = d.withColumn("_words", F.filter(F.split("_text", C.BLANK), lambda x: x != ""))
-    d = d.withColumn("_lang", _lang())
-    chars, dense = F.char_length("_text"), F.char_length(F.array_join("_words", ""))
-    found = [F.regexp_count("_text", F.lit(c)).cast("long") for c in CLASSES]
-    d = d.withColumn("_found", F.array(*found)).withColumn("_chars", F.array(dense.cast("long"), chars.cast("long")))
-    rest = F.greatest(F.get("_chars", F.lit(0)) - F.aggregate("_found", F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0))
-    return d.withColumn("_classes", F.concat("_found", F.array(F.get("_chars", F.lit(1)) - F.get("_chars", F.lit(0)), rest)))
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda t, x: t + x)
 
 
-def references(docs: DataFrame) -> DataFrame:
-    """_lang, _ref_classes (shares), _common (words by code point), _ref_words (their shares, then the rest's).
+def class_counts(text: Column, words: Column) -> Column:
+    """Characters by class, then blanks, then others. Runs of other characters are cut out, and what is left is counted."""
+    found = [F.char_length(F.regexp_replace(text, f"[^{c}]++", "")).cast("long") for c in CLASSES]
+    blanks = (F.char_length(text) - F.char_length(F.array_join(words, ""))).cast("long")
+    return let(F.array(*found, blanks), lambda x: F.concat(x, F.array(F.greatest(F.char_length(text) - F.aggregate(x, F.lit(0).cast("long"), lambda t, y: t + y), F.lit(0)))))
 
-    Read from all of docs(text, lang); none for languages of fewer than ENOUGH words.
-    """
-    d = docs.select(_lang().alias("_lang"), C.text_of().alias("_text"))
-    k = len(CLASSES) + 2
-    found = [F.regexp_count("_text", F.lit(x)) for x in (*CLASSES, r"[\x20\x09-\x0D]", C.WORD)]
-    sums = d.select("_lang", F.char_length("_text").alias("_all"), *(x.alias(f"_{i}") for i, x in enumerate(found)))
-    sums = sums.groupBy("_lang").agg(*(F.sum(f"_{i}").cast("long").alias(f"_{i}") for i in range(k)), F.sum("_all").cast("long").alias("_all"))
-    rest = F.greatest(F.col("_all") - sum((F.col(f"_{i}") for i in range(1, k - 1)), F.col("_0")), F.lit(0).cast("long"))
-    per = C.cut(sums.select("_lang", F.array(*(F.col(f"_{i}") for i in range(k - 1)), rest).alias("c"), F.col(f"_{k - 1}").alias("n")), "langs")
-    per = per.where(F.col("n") >= ENOUGH)
-    words = d.select("_lang", F.explode(F.split("_text", C.BLANK)).alias("w")).where("w <> ''").groupBy("_lang", "w").count()
+
+def word_references(docs: DataFrame) -> DataFrame:
+    """lang, n (words), common (words by code point) and shares, of all docs(text, lang); none for languages of fewer than ENOUGH words."""
+    words = docs.select(_lang().alias("lang"), F.explode(F.split(C.text_of(), C.BLANK)).alias("w")).where("w <> ''").groupBy("lang", "w").count()
     words = C.cut(words, "words")
-    often = words.join(_few(per.select("_lang", "n")), "_lang").where(F.col("count") * COMMON >= F.col("n"))
-    tops = often.groupBy("_lang").agg(F.sort_array(F.collect_list(F.struct("w", (F.col("count") / F.col("n")).alias("p")))).alias("top"))
-    refs = per.join(tops, "_lang", "left")
-    sum_ = F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x)
-    p = F.coalesce(F.transform("top", lambda x: x["p"]), F.array().cast("array<double>"))
-    rest = F.greatest(F.lit(1.0) - F.aggregate(p, F.lit(0.0), lambda a, x: a + x), F.lit(0.0))
-    return C.cut(
-        refs.withColumn("_sum", F.greatest(sum_, F.lit(1))).select(
-            "_lang", F.transform("c", lambda x: x / F.col("_sum")).alias("_ref_classes"), F.coalesce(F.transform("top", lambda x: x["w"]), F.array().cast("array<string>")).alias("_common"), F.concat(p, F.array(rest)).alias("_ref_words")
-        ),
-        "references",
-    )
+    per = words.groupBy("lang").agg(F.sum("count").alias("n")).where(F.col("n") >= ENOUGH)
+    often = words.join(_few(per), "lang").where(F.col("count") * COMMON >= F.col("n"))
+    tops = often.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("w", (F.col("count") / F.col("n")).alias("p")))).alias("top"))  # COMMON rows a language at most
+    none = F.array().cast("array<struct<w: string, p: double>>")
+    top = per.join(tops, "lang", "left").withColumn("top", F.coalesce("top", none))
+    return C.cut(top.select("lang", "n", F.transform("top", lambda x: x["w"]).alias("common"), F.transform("top", lambda x: x["p"]).alias("shares")), "word-references")
 
 
-def js_distance(counts: Column, shares: Column) -> Column:
-    """Jensen-Shannon distance, base 2, of counts (normalised here) from shares; 0 where there are no counts."""
+def class_references(rows: DataFrame) -> DataFrame:
+    """lang and classes (shares), of rows(lang, classes)."""
+    sums = rows.groupBy("lang").agg(*(F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(len(CLASSES) + 2)))
+    counts = F.array(*(F.col(f"c{i}").cast("double") for i in range(len(CLASSES) + 2)))
+    return C.cut(sums.select("lang", let(counts, lambda x: let(F.greatest(_sum(x), F.lit(1.0)), lambda n: F.transform(x, lambda y: y / n))).alias("classes")), "class-references")
 
-    def part(a: Column, m: Column) -> Column:
-        return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
 
-    def of(pair: Column) -> Column:
-        n = F.aggregate(pair["a"], F.lit(0.0), lambda s, x: s + x)
-        both = let(n, lambda t: F.zip_with(pair["a"], pair["b"], lambda a, b: let(F.struct((a / t).alias("p"), b.alias("q")), lambda z: part(z["p"], (z["p"] + z["q"]) / 2) + part(z["q"], (z["p"] + z["q"]) / 2))))
-        return F.when(n <= 0, F.lit(0.0)).otherwise(F.sqrt(F.greatest(F.aggregate(both, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0))))
+def _part(a: Column, m: Column) -> Column:
+    return F.when(a > 0, a * F.log2(a / m)).otherwise(0.0)
 
-    return let(F.struct(counts.cast("array<double>").alias("a"), shares.alias("b")), of)
 
+def _both(p: Column, q: Column) -> Column:
+    """A cell's share of twice the Jensen-Shannon divergence."""
+    return let(F.struct(p.alias("p"), q.alias("q")), lambda z: _part(z["p"], (z["p"] + z["q"]) / 2) + _part(z["q"], (z["p"] + z["q"]) / 2))
 
-def word_counts(words: Column, common: Column) -> Column:
-    """How often each common word occurs, then the rest. Words are looked up once; the codes are then sorted
-    and counted by run."""
-    codes = F.filter(F.transform(words, lambda x: F.array_position(common, x)), lambda c: c > 0)
 
-    def tally(found: Column) -> Column:
-        each = F.transform(common, lambda w, i: F.size(F.filter(found, lambda c: c == i + 1)))
-        return F.concat(each, F.array(F.size(words) - F.size(found)))
+def js_distance(counts: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance, base 2, of counts (normalised here) from shares; 0 where there are no counts."""
 
-    return let(codes, tally)
+    def of(pair: Column) -> Column:
+        n = _sum(pair["a"])
+        both = let(n, lambda t: F.zip_with(pair["a"], pair["b"], lambda a, b: _both(a / t, b)))
+        return F.when(n <= 0, F.lit(0.0)).otherwise(F.sqrt(F.greatest(_sum(both) / 2, F.lit(0.0))))
+
+    return let(F.struct(counts.cast("array<double>").alias("a"), shares.alias("b")), of)
 
 
-def judged(docs: DataFrame, refs: DataFrame | None = None) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    class_distance, word_distance and kept, prefixed by '_'.
+def word_distance(words: Column, common: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance of a document's words from its language's: cells are the common words and all others.
 
-    Null text: no words, so it fails the base rules. Distances are null where a guard's length
-    isn't reached, and where refs has no reference of the lang; the rule then passes.
+    Common words that don't occur add their share; those that do are found by a set operation, and counted by their
+    first and last place in the sorted words.
     """
-    refs = references(docs) if refs is None else refs
-    d = counted(docs)
-    known = refs.select("_lang", F.struct("_ref_classes", "_common", "_ref_words").alias("_ref"))
-    d = d.join(_few(known), "_lang", "left")
-    lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(C.WORD))
-    d = d.withColumn("_n_words", F.size("_words").cast("long"))
-    d = d.withColumn("_word_chars", F.get("_chars", F.lit(0))).withColumn("_n_symbols", F.get("_found", F.lit(0)))
-    d = d.withColumn("_n_dup_lines", let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    # The optimizer would push a filter on the verdict below the projections that it rests on, and so compute them
-    # twice; it pushes none through a projection with a column that isn't deterministic and is used above.
-    d = d.withColumns({"_n_repeat_words": repeated_words(F.col("_words")), "_row": F.monotonically_increasing_id()})
-    d = d.withColumn("_base_failed", (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words")))
-    live = ~F.col("_base_failed") & F.col("_ref").isNotNull()
-    by_class = F.when(live & (F.get("_chars", F.lit(1)) >= CLASS_CHARS), js_distance(F.col("_classes"), F.col("_ref._ref_classes")))
-    by_word = F.when(live & (F.col("_n_words") >= WORD_WORDS), let(F.col("_ref"), lambda r: js_distance(word_counts(F.col("_words"), r["_common"]), r["_ref_words"])))
-    d = d.withColumn("_class_distance", by_class).withColumn("_word_distance", by_word)
-    fine = (F.coalesce("_class_distance", F.lit(0.0)) <= CLASS_LIMIT) & (F.coalesce("_word_distance", F.lit(0.0)) <= WORD_LIMIT + WORD_SLACK / F.sqrt("_n_words"))
-    return d.withColumn("_kept", ~F.col("_base_failed") & fine)
+
+    def of(s: Column) -> Column:
+        n = F.size(s["up"])
+
+        def cell(w: Column) -> Column:
+            k = n + 2 - F.array_position(s["up"], w) - F.array_position(s["down"], w)
+            return F.struct((k / n).alias("p"), F.get(shares, (F.array_position(common, w) - 1).cast("int")).alias("q"))
+
+        def total(cells: Column) -> Column:
+            p, q = _sum(F.transform(cells, lambda c: c["p"])), _sum(F.transform(cells, lambda c: c["q"]))
+            here = _sum(F.transform(cells, lambda c: _both(c["p"], c["q"])))
+            all_q = _sum(shares)
+            rest = _both(F.greatest(1 - p, F.lit(0.0)), F.greatest(1 - all_q, F.lit(0.0)))
+            return F.sqrt(F.greatest((here + F.greatest(all_q - q, F.lit(0.0)) + rest) / 2, F.lit(0.0)))
+
+        return let(F.transform(F.array_intersect(common, s["up"]), cell), total)
+
+    return let(F.sort_array(words), lambda up: let(F.struct(up.alias("up"), F.reverse(up).alias("down")), of))
+
+
+def measured(docs: DataFrame, keep: list[Column], name: str) -> DataFrame:
+    """The columns `keep` of docs(text, lang) and, in a struct column `name`, all that the rules rest on but the class distance; materialised."""
+    refs = F.struct("common", "shares").alias(f"{name}_ref")
+    known = _few(word_references(docs.select("text", "lang")).select(F.col("lang").alias(f"{name}_lang"), refs))
+    text, words = F.col(f"{name}_text"), F.col(f"{name}_words")
+    d = docs.withColumns({f"{name}_text": C.text_of(), f"{name}_lang": _lang()})
+    d = d.withColumn(f"{name}_words", F.filter(F.split(text, C.BLANK), lambda x: x != ""))
+    d = d.join(known, f"{name}_lang", "left")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(C.WORD))
+    n = F.size(words).cast("long")
+    counts = {
+        "lang": F.col(f"{name}_lang"),
+        "n_words": n,
+        "word_chars": F.char_length(F.array_join(words, "")).cast("long"),
+        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_repeat_words": repeated_words(words),
+        "classes": class_counts(text, words),
+        "known": F.col(f"{name}_ref").isNotNull(),
+        "word_distance": F.when(F.col(f"{name}_ref").isNotNull() & (n >= WORD_WORDS), let(F.col(f"{name}_ref"), lambda r: word_distance(words, r["common"], r["shares"]))),
+    }
+    return C.cut(d.select(*keep, F.struct(*(v.alias(k) for k, v in counts.items())).alias(name)), "measured")
+
+
+def judged(rows: DataFrame, name: str) -> DataFrame:
+    """rows, from measured(), with n_symbols, base_failed, class_distance and kept added to the struct column `name`."""
+    m = F.col(name)
+    refs = class_references(rows.select(m["lang"].alias("lang"), m["classes"].alias("classes")))
+    d = rows.join(_few(refs.select(F.col("lang").alias(f"{name}_lang"), F.col("classes").alias(f"{name}_ref"))), m["lang"] == F.col(f"{name}_lang"), "left")
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    chars = F.aggregate(m["classes"], F.lit(0).cast("long"), lambda t, x: t + x)
+    by_class = F.when(~failed & m["known"] & (chars >= CLASS_CHARS), js_distance(m["classes"], F.col(f"{name}_ref")))
+    by_word = F.when(~failed, m["word_distance"])
+    fine = (F.coalesce(by_class, F.lit(0.0)) <= CLASS_LIMIT) & (F.coalesce(by_word, F.lit(0.0)) <= WORD_LIMIT + WORD_SLACK / F.sqrt(m["n_words"]))
+    new = m.withField("n_symbols", F.get(m["classes"], F.lit(0))).withField("base_failed", failed).withField("class_distance", by_class).withField("word_distance", by_word).withField("kept", ~failed & fine)
+    return d.withColumn(name, new).drop(f"{name}_lang", f"{name}_ref")
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """doc_id and the values of judged(), for documents(doc_id, text, lang)."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance and word_distance of documents(doc_id, text, lang).
+
+    Null text: no words, so it fails the base rules. Distances are null where a guard's length isn't reached, where the
+    base rules fail, and where the language has too few words for a reference; that rule then passes. Null ids and
+    repeated rows are judged like others, an empty table gives an empty result, and other columns aren't read.
+    """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
-    return judged(docs.select("doc_id", "text", "lang")).select("doc_id", *(F.col(f"_{x}").alias(x) for x in names))
+    d = judged(measured(docs.select("doc_id", "text", "lang"), [F.col("doc_id")], "_m"), "_m")
+    return d.select("doc_id", *(F.col("_m")[x].alias(x) for x in names))
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with docs' columns."""
-    refs = references(docs.select("text", "lang"))
-    return judged(docs, refs).where("_kept and _row >= 0").select(*docs.columns)
+    """The rows of docs(text, lang and any others) that pass, with docs' columns, whatever their names.
+
+    Cases are as in scores(): null texts go, repeated rows share a fate, an empty table stays empty.
+    """
+    name = C.free_name(docs, "_m")
+    d = judged(measured(docs, C.same_columns(docs), name), name)
+    return d.where(F.col(name)["kept"]).select(*C.same_columns(docs))

@@ -40,12 +40,16 @@ def test_base_counts(spark):
 
 
 def test_distances_by_hand(spark):
-    """The distances against a plain computation over the same references."""
+    """The distances and the verdict against a plain computation of the references and the rules."""
     import math
 
     d = spark.read.parquet(f"{SF}/documents.parquet")
+    short = [r.text for r in d.where("lang = 'en'").limit(200).collect()]
+    extra = [(90_000 + k, " ".join(" ".join(short).split()[100 * k : 100 * k + 49 + k]), "en") for k in range(20)] + [(90_100, "x1 #2 " * 400, "en"), (90_101, "AB CD " * 90, "fr"), (90_102, "word " * 3000, "xx")]
+    d = d.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
     rows = d.collect()
-    classes = [re.compile(c.replace(r"\p{Lu}", "[" + "".join(chr(x) for x in range(0x600) if chr(x).isupper()) + "]")) for c in divergence.CLASSES]
+    upper = "[" + "".join(chr(x) for x in range(0x600) if chr(x).isupper()) + "]"
+    classes = [re.compile(upper if c == r"\p{Lu}" else f"[{c}]") for c in divergence.CLASSES]
 
     def cls(t):
         found = [len(c.findall(t)) for c in classes]
@@ -63,21 +67,29 @@ def test_distances_by_hand(spark):
         ref[r.lang] = [a + b for a, b in zip(ref[r.lang], cls(r.text), strict=True)]
         words[r.lang].update(WORD.findall(r.text))
     got = {r.doc_id: r for r in divergence.scores(d).collect()}
-    n_kept = 0
+    kept = set()
     for r in rows:
         g, w = got[r.doc_id], WORD.findall(r.text)
-        n_kept += g.kept
-        if g.base_failed:
-            continue
-        total = sum(ref[r.lang])
-        if len(r.text) >= divergence.CLASS_CHARS:
-            assert abs(g.class_distance - jsd(cls(r.text), [x / total for x in ref[r.lang]])) < 1e-9
-        c, n = words[r.lang], sum(words[r.lang].values())
-        common = sorted(x for x, k in c.items() if k * divergence.COMMON >= n)
-        mine, q = Counter(w), [c[x] / n for x in common]
-        p = [mine[x] for x in common]
-        assert abs(g.word_distance - jsd([*p, len(w) - sum(p)], [*q, 1 - sum(q)])) < 1e-6
-    assert n_kept > 0.5 * len(rows)
+        n, _, _, _, repeats = base(r.text)
+        by_class = by_word = None
+        if n >= 50 and 100 * repeats <= 50 * n and sum(words[r.lang].values()) >= divergence.ENOUGH:
+            total = sum(ref[r.lang])
+            if len(r.text) >= divergence.CLASS_CHARS:
+                by_class = jsd(cls(r.text), [x / total for x in ref[r.lang]])
+            if n >= divergence.WORD_WORDS:
+                c, all_ = words[r.lang], sum(words[r.lang].values())
+                common = sorted(x for x, k in c.items() if k * divergence.COMMON >= all_)
+                mine, q = Counter(w), [c[x] / all_ for x in common]
+                p = [mine[x] for x in common]
+                by_word = jsd([*p, n - sum(p)], [*q, 1 - sum(q)])
+        for mine, plain in ((g.class_distance, by_class), (g.word_distance, by_word)):
+            assert (mine is None) == (plain is None) and (mine is None or abs(mine - plain) < 1e-6), r.doc_id
+        fine = (by_class or 0) <= divergence.CLASS_LIMIT and (by_word or 0) <= divergence.WORD_LIMIT + divergence.WORD_SLACK / math.sqrt(max(n, 1))
+        assert g.kept == (not g.base_failed and fine), r.doc_id
+        if g.kept:
+            kept.add(r.doc_id)
+    assert sorted(r.doc_id for r in divergence.kept(d).collect()) == sorted(kept)
+    assert 0.5 * len(rows) < len(kept) < len(rows) and any(got[i].word_distance is None and i in kept for i in got)
 
 
 def test_quality_labels(spark):

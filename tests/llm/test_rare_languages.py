@@ -25,7 +25,7 @@ def test_own_references(spark, monkeypatch, langs):
     d = corpus(spark)
     with monkeypatch.context() as m:
         m.setattr(divergence, "LANGS", langs)
-        refs = {r[0] for r in divergence.references(d).select("_lang").collect()}
+        refs = {r[0] for r in divergence.word_references(d).select("lang").collect()}
         got = divergence.scores(d).join(d.select("doc_id", "lang"), "doc_id").collect()
     assert refs == {"=big", "=b", "=c", "~"}
     assert len(got) == sum(SIZES.values())
