@@ -15,7 +15,6 @@ its share; a table with over LANGS languages is refused. Prediction reads whole
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -33,7 +32,6 @@ SHARE = 2e-5
 SLOTS, PROBES = 1 << 20, 3
 #: Characters that are looked up at a time.
 CHUNK = 1 << 18
-LETTER = re.compile(r"[^\W\d_]")
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype="u8")
 _IS_LETTER: list[np.ndarray] = []
 
@@ -45,6 +43,10 @@ def _letters() -> np.ndarray:
     return _IS_LETTER[0]
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def grams(text: str):
     """Hashes of the n-grams of a lower-cased text, other characters than letters as blanks; those with two
     blanks or more in a row are left out. In chunks."""
@@ -108,7 +110,7 @@ class Filter:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score); und without a letter or a learned language. Ties go to the first by code point."""
-        if not text or not LETTER.search(text) or not self.langs:
+        if not text or not has_letter(text) or not self.langs:
             return "und", 0.0
         n, found = self.counts(text)
         right = np.maximum((found - n * self.wrong) / (1 - self.wrong), 0.0)
@@ -153,7 +155,9 @@ def identified(docs: DataFrame, model: Filter | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of documents(doc_id, text, lang).
 
     Null texts and those without a letter: und, score 0. Letters but no n-gram of any language: the first
-    language, score 0. Without training rows all are und. Null ids are predicted, not learned from.
+    language, score 0. Without training rows all are und. Null ids are predicted, not learned from. Repeated
+    rows are learned from as often as they stand there, and predicted alike; an empty table gives an empty
+    result; columns with the result's names, and others, aren't read.
     """
     model = model or fit(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # SLOTS words for each 64 languages

@@ -83,6 +83,41 @@ def test_language_filter(spark):
     assert {r.lang_pred for r in langid.identified(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_filter_by_plain_counts(spark):
+    """Kept n-grams, lookups and predictions against plain sets, one n-gram at a time."""
+    r = random.Random(12)
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop", "dd": "абвгдежз"}
+    rows = [(k, " ".join("".join(r.choice(alphabets[lang]) for _ in range(r.randint(2, 7))) for _ in range(r.randint(1, 80))), lang) for k, lang in enumerate(list(alphabets) * 40)]
+    rows += [(1000, "², ½ 5 _", "aa"), (1001, "Ⅷ", "bb"), (1002, "ª", "cc"), (1003, "Ab CD" * 9, None), (1004, None, "aa"), (1005, "l" * 70_000, "bb"), (1005, "l" * 70_000, "bb")]
+    d = spark.createDataFrame([(*x, 1, "s") for x in rows], "doc_id long, text string, lang string, score int, lang_pred string")
+    f = langid.fit(d)
+
+    def plain(text):
+        t = "".join(c if c.isalpha() else " " for c in text.lower())
+        return [t[k : k + 4] for k in range(len(t) - 3) if "  " not in t[k : k + 4]]
+
+    counts = {x: Counter() for x in alphabets}
+    for i, t, lang in rows:
+        if t and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            counts[lang].update(plain(t[: langid.SAMPLE_CHARS]))
+    kept = {lang: {g for g, n in c.items() if n >= max(2, sum(c.values()) * langid.SHARE)} for lang, c in counts.items()}
+    assert f.langs == sorted(alphabets)
+    got = {x.doc_id: x for x in langid.identified(d, f).collect()}
+    for i, t, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        mine = plain(t)
+        exact = [sum(g in kept[x] for g in mine) for x in f.langs]
+        n, found = f.counts(t)
+        assert n == len(mine) and all(e <= c for e, c in zip(exact, found, strict=True))  # no false negatives
+        assert sum(found) - sum(exact) <= 1 + 0.01 * n * len(f.langs)
+        if sorted(exact)[-1] > sorted(exact)[-2] + 2:
+            assert got[i].lang_pred == f.langs[exact.index(max(exact))]
+        right = sorted((max((c - n * w) / (1 - w), 0) for c, w in zip(found.tolist(), f.wrong, strict=True)), reverse=True)
+        assert abs(got[i].score - (right[0] / (right[0] + right[1]) if right[0] else 0)) < 1e-12
+
+
 def test_bitmask_filter_holds_what_it_was_given():
     r = np.random.default_rng(2)
     known = {f"l{i:03d}": r.integers(0, 2**63, 500).astype("u8") for i in range(70)}
