@@ -87,9 +87,65 @@ def test_shards_balance_on_table(spark):
     assert max(sizes) < 1.05 * sum(sizes) / 4
 
 
+def plain_place(items, left):
+    """Largest first; highest dot product among the shards with room, else the least overrun."""
+    left, out = [list(x) for x in left], {}
+    for i in sorted(range(len(items)), key=lambda i: (-max(items[i]), -sum(items[i]), i)):
+        room = [s for s, x in enumerate(left) if all(a >= b for a, b in zip(x, items[i], strict=True))]
+        if room:
+            s = max(room, key=lambda s: (sum(a * b for a, b in zip(left[s], items[i], strict=True)), -s))
+        else:
+            s = max(range(len(left)), key=lambda s: (min(a - b for a, b in zip(left[s], items[i], strict=True)), -s))
+        out[i] = s
+        left[s] = [a - b for a, b in zip(left[s], items[i], strict=True)]
+    return [out[i] for i in range(len(items))]
+
+
 def test_placement_is_by_dot_product():
     items = np.array([[0.5, 0.1], [0.1, 0.5], [0.4, 0.4], [0.0, 0.0]])
-    assert binpack.place(items, 2)[:2] == [0, 1]
+    assert binpack.place(items, np.full((2, 2), 0.5))[:2] == [0, 1]
+    r = np.random.default_rng(5)
+    for n in (0, 1, 40, 300):
+        items = r.integers(0, 64, (n, 3)) / 1024.0  # sums of these are exact
+        left = np.full((16, 3), items.sum(axis=0).max(initial=0) / 16)
+        want = plain_place(items.tolist(), left.tolist())
+        assert binpack.place(items, left) == want
+
+
+def test_every_group_is_placed_by_itself(spark, monkeypatch):
+    """With all groups light and one part, shards are those of a plain placement of the groups."""
+    r = np.random.default_rng(8)
+    texts = ["".join(r.choice(list("ab ")) for _ in range(r.integers(1, 60))) for _ in range(200)]
+    rows = [(k, texts[k % len(texts)] if k % 3 else texts[0]) for k in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(binpack, "HEAVY", 1)  # no group holds all
+    got = binpack.shards(df, 4).collect()
+    shard = {}
+    for x in got:
+        shard.setdefault(x.text_crc32, set()).add(x.shard)
+    assert all(len(s) == 1 for s in shard.values())
+    groups = {}
+    for g, t in df.selectExpr("xxhash64(text) g", "text").collect():
+        b, n, k, _ = groups.get(g, (0, 0, 0, t))
+        groups[g] = (b + len(t.encode()) + 1, n + len(t.split()), k + 1, t)
+    order = sorted(groups)
+    items = np.array([groups[g][:3] for g in order], dtype=float)
+    items = items / items.sum(axis=0)
+    want = plain_place(items.tolist(), [[0.25] * 3] * 4)
+    assert [shard[zlib.crc32(groups[g][3].encode())] for g in order] == [{s} for s in want]
+
+
+def test_parts_of_groups_balance(spark, monkeypatch):
+    monkeypatch.setattr(binpack, "PART_GROUPS", 500)
+    df = spark.createDataFrame([(k, f"text {k} " * (k * 7919 % 13 + 1)) for k in range(6000)], "doc_id long, text string")
+    got = binpack.shards(df, 16).collect()
+    sizes, counts, slots = defaultdict(int), defaultdict(int), defaultdict(list)
+    for x in got:
+        sizes[x.shard] += x.size
+        counts[x.shard] += 1
+        slots[x.shard].append(x.slot)
+    assert len(got) == 6000 and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(sizes.values()) < 1.02 * sum(sizes.values()) / 16 and max(counts.values()) < 1.03 * 6000 / 16
 
 
 def test_checkpoint_folder_is_taken_from_the_session(spark):
