@@ -98,6 +98,27 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def hot_limit(rows: int) -> int:
+    """A key with more rows than this is hot: there are under 100,000 such keys, whatever the number of rows."""
+    return max(1000, rows // 100_000)
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """left, left-joined with right, which has one row a key; null keys match nothing.
+
+    hot(key, n): the keys of left that exceed hot_limit(), and their rows. Such a key's rows are dealt over as many pieces as
+    hold the limit each, and right's row goes to all of them. hot is small by that limit, so it is broadcast.
+    """
+    limit = hot.agg(F.min("n")).first()[0]
+    if limit is None:
+        return left.join(right.hint("merge"), key, "left")
+    pieces = F.broadcast(hot.select(F.col(key), F.ceil(F.col("n") / F.lit(limit)).cast("int").alias("_pieces")))
+    spread = F.sequence(F.lit(0), F.coalesce("_pieces", F.lit(1)) - 1)
+    many = right.join(pieces, key, "left").withColumn("_piece", F.explode(spread)).drop("_pieces")
+    dealt = left.join(pieces, key, "left").withColumn("_piece", F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("_pieces")).cast("int"))).drop("_pieces")
+    return dealt.join(many.hint("merge"), [key, "_piece"], "left").drop("_piece")
+
+
 def slices(values: list, sizes: Iterable[int], most: int = 4 << 20) -> Iterator[slice]:
     """Slices of a batch whose sizes sum to about `most` at a time (one row at least)."""
     begin = total = 0

@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star steps.
 
 Each step is two joins on the smallest neighbour, so nothing is collected for a node of any
-degree; a hub's edges are one key of a join, which the adaptive planner splits. The number
-of rounds is logarithmic in practice; lineage is cut after each.
+degree; the edges of a hub are dealt over pieces. The number of rounds is logarithmic in practice;
+lineage is cut after each.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from quarrion.llm import common as C
 
 
 def _star(edges: DataFrame, seen: DataFrame) -> DataFrame:
-    """seen: rows (u, v), v a neighbour of u; edges' u goes with the smallest of its neighbours and itself."""
-    least = seen.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return edges.join(least.hint("merge"), "u")
+    """seen: rows (u, v), v a neighbour of u; edges' u goes with m, the smallest of its neighbours and itself."""
+    least = C.cut(seen.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m")), "least")
+    limit = C.hot_limit(least.agg(F.sum("n")).first()[0] or 0)
+    return C.salted_join(edges, least.drop("n"), "u", least.where(F.col("n") > limit).select("u", "n"))
 
 
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:

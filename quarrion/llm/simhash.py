@@ -1,20 +1,19 @@
 """SimHash near-duplicates with BK-trees.
 
 Distinct fingerprints, each with its smallest doc_id, are the nodes. For a radius of 2 the
-64 bits are cut into BLOCKS of 16: two fingerprints that differ in 2 bits or fewer agree on
-two whole blocks at least, so each fingerprint goes to the shard of every pair of blocks
+64 bits are cut into blocks: two fingerprints that differ in 2 bits or fewer agree on all
+blocks but two at least, so each fingerprint goes to the shard of every choice of all blocks but two,
 and every linked pair meets in one. A shard's tree is built where its fingerprints are, one
 shuffle of 24-byte rows, instead of broadcasting trees that grow with the corpus. In a
 BK-tree a node's children are keyed by their integer Hamming distance to it, and a search
 follows only the edges within the radius of its own distance. A shard reports a spanning
-forest, not pairs. Shards of over TREE_LIMIT fingerprints leave the tree: there, two
-fingerprints are within 2 bits exactly if they share a value one bit flip (or none) away,
-so the flips are joined; each such value has 65 members at most.
+forest, not pairs. The first level has 4 blocks. Shards of over DENSE fingerprints are cut again,
+into 8 and then 16 blocks; a shard of the last level has 8 bits open, so its tree has 256 nodes at most.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, groupby
+from itertools import chain, combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +25,11 @@ from quarrion.llm import common as C
 from quarrion.llm.components import components
 
 RADIUS = 2
-BLOCKS = 4
-TREE_LIMIT = 4096
+#: Blocks by level, and the fingerprints above which a shard goes to the next.
+LEVELS = (4, 8, 16)
+DENSE = 2048
+#: Dense shards (16 bytes each) up to which their keys are broadcast; beyond, they're joined by shuffle.
+DENSE_SENT = 1 << 20
 #: Shingles that are hashed and counted at a time.
 CHUNK = 1 << 16
 
@@ -96,11 +98,11 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return C.cut(text.mapInArrow(run, shape), "fingerprints")
 
 
-def _keys(radius: int) -> list[tuple[int, int]]:
-    """(number, mask) of each choice of BLOCKS - radius blocks of bits."""
-    width = 64 // BLOCKS
-    whole = [((1 << width) - 1) << (width * k) for k in range(BLOCKS)]
-    return [(i, sum(c)) for i, c in enumerate(combinations(whole, BLOCKS - radius))]
+def _keys(blocks: int, radius: int) -> list[tuple[int, int]]:
+    """(number, mask) of each choice of blocks - radius blocks of bits."""
+    width = 64 // blocks
+    whole = [((1 << width) - 1) << (width * k) for k in range(blocks)]
+    return [(i, sum(c)) for i, c in enumerate(combinations(whole, blocks - radius))]
 
 
 def _signed(x: int) -> int:
@@ -131,9 +133,30 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Edges (a, b) between rep ids of nodes(fp, rep), with distinct fp, that connect all within the radius (2 at most)."""
     if not 0 < radius <= 2:
         raise ValueError("the radius is 1 or 2")
-    shards = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in _keys(radius))))
-    keyed = nodes.withColumn("k", shards).select("k.i", "k.v", "fp", "rep").repartition("i", "v").sortWithinPartitions("i", "v", "fp")
-    shape = "a long, b long, fp long"
+    out, left = None, nodes
+    for level, blocks in enumerate(LEVELS):
+        shards = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("v")) for i, m in _keys(blocks, radius))))
+        keyed = left.withColumn("k", shards).select("k.i", "k.v", "fp", "rep")
+        dense = None
+        if level + 1 < len(LEVELS):
+            dense = C.cut(keyed.groupBy("i", "v").count().where(F.col("count") > DENSE).select("i", "v"), "dense")
+            n = dense.count()
+            keys = F.broadcast(dense) if n <= DENSE_SENT else dense
+            open_ = keyed.join(keys, ["i", "v"], "left_anti") if n else keyed
+        else:
+            n, open_ = 0, keyed
+        found = C.cut(_trees(open_, radius), "links")
+        out = found if out is None else out.unionByName(found)
+        if not n:
+            break
+        left = C.cut(keyed.join(keys, ["i", "v"], "left_semi").select("fp", "rep").distinct(), "dense-nodes")
+    return out
+
+
+def _trees(keyed: DataFrame, radius: int) -> DataFrame:
+    """Edges (a, b) found by a tree for each shard (i, v) of keyed(i, v, fp, rep)."""
+    rows_ = keyed.repartition("i", "v").sortWithinPartitions("i", "v", "fp")
+    shape = "a long, b long"
     schema = C.arrow(shape)
 
     def search(batches):
@@ -146,38 +169,15 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             first = next(shard)
             if (second := next(shard, None)) is None:
                 continue
-            held = [(first[2], first[3]), (second[2], second[3])]
-            for r in shard:
-                held.append((r[2], r[3]))
-                if len(held) > TREE_LIMIT:  # too large for a tree: passed on
-                    out += [(rep, None, fp) for fp, rep in held]
-                    held = []
-                    break
-            if held:
-                out += [(a, b, None) for a, b in _forest([(fp & (1 << 64) - 1, rep) for fp, rep in held], radius)]
-            else:
-                for r in shard:
-                    out.append((r[3], None, r[2]))
-                    if len(out) >= 50_000:
-                        yield _batch(out, schema)
-                        out = []
+            held = [(x[2] & (1 << 64) - 1, x[3]) for x in chain([first, second], shard)]  # DENSE, or 256, at most
+            out += _forest(held, radius)
             if len(out) >= 50_000:
                 yield _batch(out, schema)
                 out = []
         if out:
             yield _batch(out, schema)
 
-    found = C.cut(keyed.mapInArrow(search, shape), "links")
-    rest = found.where("b is null").select("fp", F.col("a").alias("rep")).distinct()
-    flips = F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64)))) if radius == 2 else None
-    if flips is None:  # within 1: one of the two is the other's flip
-        flips = F.explode(F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << k))) for k in range(64))))
-        own = rest.select(F.col("fp").alias("x"), F.col("rep").alias("b"))
-        more = rest.withColumn("x", flips).join(own, "x").select(F.col("rep").alias("a"), "b")
-    else:
-        near = rest.withColumn("x", flips).select("x", "rep")
-        more = near.join(near.groupBy("x").agg(F.min("rep").alias("b")), "x").select(F.col("rep").alias("a"), "b")
-    return found.where("b is not null").select("a", "b").unionByName(more.where("a <> b").distinct())
+    return rows_.mapInArrow(search, shape)
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
@@ -199,22 +199,35 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) ->
     equals, or null if they have none, but link nothing themselves. No rows give no rows.
     """
     rows = fingerprints(docs, shingle)
-    found = rows.join(_classes(rows, radius).hint("merge"), "fp", "left")
+    found = _joined(rows, _classes(rows, radius))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _joined(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows(fp, ...) with their component_id; a fingerprint that many rows share is dealt over pieces."""
+    hot = C.cut(rows.groupBy("fp").agg(F.count("*").alias("n")).where(F.col("n") > C.hot_limit(rows.count())), "hot")
+    return C.salted_join(rows, classes, "fp", hot)
+
+
 def one_of_each(docs: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """docs with one row of each component, by rows(doc_id, h, fp) and classes(fp, component_id)."""
-    kept = rows.join(classes.hint("merge"), "fp").where("doc_id = component_id")
+    """docs with one row of each component, by rows(doc_id, h, fp) and classes(fp, component_id); docs' columns may have any names."""
+    kept = _joined(rows, classes).where("doc_id = component_id")
     # Two texts under one doc_id in one component: the smaller hash stays.
-    kept = C.cut(kept.groupBy("doc_id").agg(F.min("h").alias("_h"), F.count("*").alias("_n")), "kept")
-    stay = docs.withColumn("_h", F.xxhash64(C.text_of())).join(kept.select("doc_id", "_h"), ["doc_id", "_h"], "left_semi")
-    if not kept.where("_n > 1").isEmpty():  # repeated rows
-        stay = stay.dropDuplicates(["doc_id"])
-    return stay.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    kept = C.cut(kept.groupBy("doc_id").agg(F.min("h").alias("h"), F.count("*").alias("n")), "kept")
+    id_ = F.col("doc_id").cast("long")
+    whole = docs.select(F.struct(*C.same_columns(docs)).alias("row"), id_.alias("doc_id"), F.xxhash64(C.text_of()).alias("h"))
+    stay = whole.join(kept, ["doc_id", "h"])
+    once = stay.where("n = 1").select("row.*")
+    if not kept.where("n > 1").isEmpty():  # repeated rows: the first by their values as JSON
+        once = once.unionByName(stay.where("n > 1").groupBy("doc_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*"))
+    return once.unionByName(docs.where(id_.isNull()))
 
 
 def deduplicated(docs: DataFrame, radius: int = RADIUS, shingle: int = 3) -> DataFrame:
-    """docs with one row of each component, the one with the smallest doc_id; rows without doc_id stay."""
+    """docs with one row of each component, the one with the smallest doc_id; rows without doc_id stay.
+
+    Null and blank texts are one component. Of repeated rows of a doc_id one stays, the same in each run. An empty
+    table stays empty. Columns of docs may have any names.
+    """
     rows = fingerprints(docs, shingle)
     return one_of_each(docs, rows, _classes(rows, radius))

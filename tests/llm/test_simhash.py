@@ -84,10 +84,11 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-@pytest.mark.parametrize("limit", [4096, 3])
-def test_dense_groups(spark, monkeypatch, limit):
-    """Trees, and with a low limit the joined flips, against all pairs."""
-    monkeypatch.setattr(simhash, "TREE_LIMIT", limit)
+@pytest.mark.parametrize(("limit", "sent"), [(4096, 1 << 20), (3, 1 << 20), (3, 0)])
+def test_dense_groups(spark, monkeypatch, limit, sent):
+    """Trees of one level, and with a low limit of all three, against all pairs."""
+    monkeypatch.setattr(simhash, "DENSE", limit)
+    monkeypatch.setattr(simhash, "DENSE_SENT", sent)
     r = random.Random(9)
     base = [r.getrandbits(64) for _ in range(3)]
     codes = {b ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))) for b in base for _ in range(60)} | {r.getrandbits(64) for _ in range(40)}
@@ -99,6 +100,33 @@ def test_dense_groups(spark, monkeypatch, limit):
         assert {d: got.get(d, d) for d in want} == want
 
 
+def test_last_level_is_bounded():
+    keys = simhash._keys(simhash.LEVELS[-1], simhash.RADIUS)
+    assert len(keys) == 120 and all((~m & (1 << 64) - 1).bit_count() == 8 for _, m in keys)
+    for blocks in simhash.LEVELS:
+        for a, b in ((0, 1), (0, 63), (17, 40)):  # any two bits are outside of some mask
+            assert any(not (m >> a & 1 or m >> b & 1) for _, m in simhash._keys(blocks, 2))
+
+
+def test_hot_fingerprint_and_hub(spark, monkeypatch):
+    from quarrion.llm import common as C
+
+    monkeypatch.setattr(C, "hot_limit", lambda rows: 5)
+    rows = [(k, "same text here") for k in range(60)] + [(100 + k, f"other {k} words") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = classes([(i, plain(t)) for i, t in rows])
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()} == want
+    hub = spark.createDataFrame([(0, k) for k in range(1, 40)] + [(50, 51), (39, 51)], "a long, b long")
+    assert {r.node: r.root for r in components(hub).collect()} == {k: 0 for k in (*range(1, 40), 50, 51)}
+
+
+def test_repeated_rows_are_chosen_alike(spark):
+    rows = [(1, "a b c", x, x) for x in ("z", "k", "m", None)] + [(2, "d e f g", "q", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h string, row string")
+    got = [sorted(map(tuple, simhash.deduplicated(df.repartition(n)).collect())) for n in (1, 3, 4)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2 and simhash.deduplicated(df).columns == df.columns
+
+
 def test_table(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, plain(r.text)) for r in d.collect()]
