@@ -160,6 +160,8 @@ def encode_batches(batches, path: str | None, end_id: int, special_as_text: bool
             part = batch.slice(s.start, s.stop - s.start)
             ids, counts = coder.encode(part.column(1), end_id)
             yield [part.column(k).to_pylist() for k in range(part.num_columns) if k != 1], ids, counts
+            del ids, counts
+        pa.default_memory_pool().release_unused()
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte", special_as_text: bool = False) -> DataFrame:

@@ -14,14 +14,14 @@ from __future__ import annotations
 
 import json
 import os
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; when full, it forgets those that it met in one slice only, and if few are left, all.
-CACHE_PIECES = 600_000
+#: Pieces that a worker remembers, some 60 bytes each; when full, it forgets those that it met in one slice only, and if that isn't half, all.
+CACHE_PIECES = 800_000
 #: Longer pieces (bytes) aren't remembered.
 LONG_PIECE = 48
 #: Bytes of text whose pieces are looked up together.
@@ -33,6 +33,7 @@ _ENCODERS: dict[tuple[str, bool], Encoder] = {}
 TOGETHER, CALL = 512, 8192
 #: Blanks other than ASCII's as UTF-8, by length (fixed values: the white space of Unicode, and U+180E, once one).
 _WIDE = {2: ("c285", "c2a0"), 3: ("e19a80", "e1a08e", *(f"e280{x:02x}" for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), "e2819f", "e38080")}
+_MIX = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xCBF29CE484222325], "u8")
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -75,21 +76,109 @@ def boundaries(data: np.ndarray) -> np.ndarray:
     return at[~_wide_before(data, at)]
 
 
-def _plain(pieces: pa.LargeBinaryArray) -> np.ndarray:
-    """Which pieces are short, hold no line feed and don't end in a blank."""
+def _parts(pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes)"""
     _, offsets, data = pieces.buffers()
-    ends = np.frombuffer(offsets, "i8", len(pieces) + 1, pieces.offset * 8)
-    good = np.diff(ends) <= LONG_PIECE
-    good &= ends[1:] > ends[:-1]
-    if not len(pieces) or not ends[-1]:
-        return good
-    data = np.frombuffer(data, "u1", int(ends[-1]))
-    last = ends[1:][good]
+    offsets = np.frombuffer(offsets, "i8", len(pieces) + 1, pieces.offset * 8)
+    n = int(offsets[-1] - offsets[0])
+    return offsets - offsets[0], np.frombuffer(data, "u1", n, int(offsets[0])) if n else np.zeros(0, "u1")
+
+
+def _plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Which pieces are short, hold no line feed and don't end in a blank."""
+    good = np.diff(offsets) <= LONG_PIECE
+    good &= offsets[1:] > offsets[:-1]
+    last = offsets[1:][good]
     good[good] = ~_BLANK[data[last - 1]] & ~_wide_before(data, last)
-    good[np.searchsorted(ends, np.nonzero(data == 10)[0], side="right") - 1] = False
+    good[np.searchsorted(offsets, np.nonzero(data == 10)[0], side="right") - 1] = False
     return good
 
 
+def hashed(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each piece; of long ones, of their beginning."""
+    size = np.diff(offsets)
+    order = np.argsort(-size, kind="stable")  # the longest first, so that each step works on a run
+    size, start, h = size[order], offsets[:-1][order], np.full(len(order), _MIX[2], "u8")
+    for j in range(min(LONG_PIECE, int(size[0])) if len(size) else 0):
+        n = int(np.searchsorted(-size, -j, side="left"))
+        h[:n] = (h[:n] ^ data[start[:n] + j]) * _MIX[0]
+    h ^= size.astype("u8")
+    h = (h ^ (h >> np.uint64(32))) * _MIX[1]
+    out = np.empty_like(h)
+    out[order] = h ^ (h >> np.uint64(29))
+    return out
+
+
+class _Known:
+    """Pieces and their ids: hashes in order, and for each where its bytes and ids lie. Bytes are compared, so equal hashes do no harm."""
+
+    def __init__(self):
+        self.codes, self.row = np.zeros(0, "u8"), np.zeros(0, "i4")
+        self.begin, self.at = np.zeros(0, "i4"), np.zeros(0, "i4")
+        self.length, self.size, self.met = np.zeros(0, "i2"), np.zeros(0, "u1"), np.zeros(0, "u1")
+        self.bytes, self.ids, self.n_ids = np.zeros(0, "u1"), np.zeros(1 << 16, "<u4"), 0
+
+    def find(self, codes: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The row of each piece, or -1."""
+        out = np.full(len(codes), -1, "i8")
+        if not len(self.codes) or not len(codes):
+            return out
+        k = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        hit = np.nonzero((self.codes[k] == codes) & (self.size[self.row[k]] == np.diff(offsets)))[0]
+        row, n = self.row[k[hit]].astype("i8"), np.diff(offsets)[hit]
+        ends = np.cumsum(n)
+        within = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+        wrong = self.bytes[np.repeat(self.at[row].astype("i8"), n) + within] != data[np.repeat(offsets[hit], n) + within]
+        same = np.ones(len(hit), bool)
+        same[np.searchsorted(ends, np.nonzero(wrong)[0], side="right")] = False
+        out[hit[same]] = row[same]
+        return out
+
+    def put(self, ids: np.ndarray) -> int:
+        """Where the ids now lie."""
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(self.n_ids // 4 + 2 * len(ids), "<u4")])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n_ids += len(ids)
+        return self.n_ids - len(ids)
+
+    def add(self, some: np.ndarray, codes: np.ndarray, begin: np.ndarray, length: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
+        """Remember some of the pieces; of equal hashes one."""
+        new, first = np.unique(codes[some], return_index=True)
+        place = np.searchsorted(self.codes, new)
+        free = np.ones(len(new), bool)
+        if len(self.codes):
+            free = self.codes[np.minimum(place, len(self.codes) - 1)] != new
+        new, place, some = new[free], place[free], some[first[free]]
+        n, size = len(self.begin), np.diff(offsets)[some]
+        ends = np.cumsum(size)
+        bytes_ = data[np.repeat(offsets[some] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        self.at = np.concatenate([self.at, (len(self.bytes) + ends - size).astype("i4")])
+        self.bytes = np.concatenate([self.bytes, bytes_])
+        self.begin = np.concatenate([self.begin, begin[some].astype("i4")])
+        self.length = np.concatenate([self.length, length[some].astype("i2")])
+        self.size = np.concatenate([self.size, size.astype("u1")])
+        self.met = np.concatenate([self.met, np.ones(len(some), "u1")])
+        self.codes, self.row = np.insert(self.codes, place, new), np.insert(self.row, place, np.arange(n, n + len(some), dtype="i4"))
+
+    def forget(self) -> None:
+        """Keep the pieces that were met in two slices or more since the last time, if they aren't over half of the room."""
+        stay = np.nonzero(self.met > 1)[0]
+        if len(stay) > CACHE_PIECES // 2:
+            stay = stay[:0]
+        new = np.full(len(self.met), -1, "i4")
+        new[stay] = np.arange(len(stay))
+        row = new[self.row]
+        self.codes, self.row = self.codes[row >= 0], row[row >= 0]
+        for name, of, size in (("ids", "begin", "length"), ("bytes", "at", "size")):
+            n = getattr(self, size)[stay].astype("i8")
+            ends = np.cumsum(n)
+            places = np.repeat(getattr(self, of)[stay] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+            setattr(self, name, getattr(self, name)[places])
+            setattr(self, of, (ends - n).astype("i4"))
+        self.length, self.size, self.met, self.n_ids = self.length[stay], self.size[stay], np.zeros(len(stay), "u1"), len(self.ids)
+
+
 class Encoder:
     """special_as_text: strings of special tokens in a text count as ordinary text (the library's default is not)."""
 
@@ -105,22 +194,7 @@ class Encoder:
         self.added = [t["content"] for t in about.get("added_tokens") or [] if not (special_as_text and t.get("special"))]
         line = self.model.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if self.cuts and len(line) == 1 else None
-        self.known: dict[bytes, int] = {}
-        self.begin, self.length, self.met = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), np.zeros(1 << 16, "u1")
-        self.ids, self.n_ids = np.zeros(1 << 18, "<u4"), 0
-
-    def _forget(self) -> None:
-        """Keep the pieces that were met in two slices or more since the last time, if they aren't too many."""
-        n = len(self.known)
-        stay = np.nonzero(self.met[:n] > 1)[0]
-        if len(stay) > CACHE_PIECES // 2:
-            stay = stay[:0]
-        pieces = list(self.known)
-        self.known = {pieces[i]: k for k, i in enumerate(stay.tolist())}
-        length = self.length[stay].astype("i8")
-        begin = np.cumsum(length) - length
-        self.ids = self.ids[np.repeat(self.begin[stay] - begin, length) + np.arange(length.sum())]
-        self.begin, self.length, self.met, self.n_ids = begin, self.length[stay], np.zeros(len(stay), "u1"), len(self.ids)
+        self.known = _Known()
 
     def _library(self, pieces: list[bytes], plain: bool) -> tuple[np.ndarray, np.ndarray]:
         """Their ids one after another, and how many each has; plain: as _plain() says."""
@@ -140,40 +214,31 @@ class Encoder:
         n = np.fromiter(map(len, found), "i8", len(found))
         return np.fromiter(chain.from_iterable(found), "<u4", int(n.sum())), n
 
-    def _places(self, array: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
-        """(begin, length) in self.ids of each distinct piece. What isn't remembered lies there until the next call."""
-        pieces = array.to_pylist()
-        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), "i8", len(pieces))
+    def _places(self, pieces: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """(begin, length) in the known ids of each distinct piece. What isn't remembered lies there until the next call."""
+        k = self.known
+        offsets, data = _parts(pieces)
+        codes = hashed(data, offsets)
+        at = k.find(codes, data, offsets)
         old = at >= 0
         begin, length = np.zeros(len(at), "i8"), np.zeros(len(at), "i8")
-        begin[old], length[old] = self.begin[at[old]], self.length[at[old]]
-        self.met[at[old]] = np.minimum(self.met[at[old]], 1) + 1
-        plain = _plain(array)
+        begin[old], length[old] = k.begin[at[old]], k.length[at[old]]
+        k.met[at[old]] = 2
+        plain = _plain(data, offsets)
         for kind in (True, False):
             some = np.nonzero(~old & (plain == kind))[0]
             if not len(some):
                 continue
-            new = [pieces[i] for i in some.tolist()]
-            ids, n = self._library(new, kind)
-            if self.n_ids + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(self.n_ids // 2 + 2 * len(ids), "<u4")])
-            self.ids[self.n_ids : self.n_ids + len(ids)] = ids
-            begin[some], length[some] = self.n_ids + np.cumsum(n) - n, n
-            self.n_ids += len(ids)
-            if not kind:  # the odd ones that are short enough
-                keep = [k for k, x in enumerate(new) if len(x) <= LONG_PIECE]
-                new, some, n = [new[k] for k in keep], some[keep], n[keep]
-            first, total = len(self.known), len(self.known) + len(new)
-            if total > len(self.begin):
-                self.begin, self.length, self.met = (np.concatenate([a, np.zeros(total, a.dtype)]) for a in (self.begin, self.length, self.met))
-            self.begin[first:total], self.length[first:total], self.met[first:total] = begin[some], n, 1
-            self.known.update(zip(new, range(first, total), strict=True))
+            ids, n = self._library(pieces.take(pa.array(some)).to_pylist(), kind)
+            begin[some], length[some] = k.put(ids) + np.cumsum(n) - n, n
+        short = np.nonzero(~old & (np.diff(offsets) <= LONG_PIECE))[0]
+        k.add(short, codes, begin, length, data, offsets)
         return begin, length
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of each); end_id, if given, follows each text. Null: empty."""
-        if len(self.known) > CACHE_PIECES or self.n_ids > 32 * CACHE_PIECES:
-            self._forget()
+        if len(self.known.codes) > CACHE_PIECES or self.known.n_ids > 16 * CACHE_PIECES:
+            self.known.forget()
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         texts = pa.concat_arrays([texts])  # its offsets begin at 0 from here on
         n = len(texts)
@@ -200,7 +265,7 @@ class Encoder:
         ids = np.empty(sums[-1], "<u4")
         for k in range(0, len(codes), GATHER):
             c, at = codes[k : k + GATHER], sums[k : k + GATHER + 1]
-            ids[at[0] : at[-1]] = self.ids[np.repeat(begin[c] - at[:-1], length[c]) + np.arange(at[0], at[-1])]
+            ids[at[0] : at[-1]] = self.known.ids[np.repeat(begin[c] - at[:-1], length[c]) + np.arange(at[0], at[-1])]
         cuts_before = np.searchsorted(cuts, ends)
         of_text = sums[np.arange(n + 1) + cuts_before]
         counts = np.diff(of_text)
