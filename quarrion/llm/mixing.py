@@ -40,24 +40,43 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_size": F.regexp_count(text, F.lit(C.WORD)).cast("long"), "_key": _key(), "_u": u})
 
 
+def _ranked(per: DataFrame) -> DataFrame:
+    """per with _rank: 0, 1, ... by code point, nulls last. Ranges of sources are numbered each in a task; one number a range goes to the driver."""
+    d = per.repartitionByRange((F.col("_key") == "~").cast("int"), "_key").withColumn("_range", F.spark_partition_id())
+    d = C.cut(d, "source-ranges")
+    counts = sorted((r["_range"], r["count"]) for r in d.groupBy("_range").count().collect())
+    begin, total = {}, 0
+    for k, n in counts:
+        begin[k] = total
+        total += n
+    if not begin:
+        return d.withColumn("_rank", F.lit(0).cast("long")).drop("_range")
+    first = F.element_at(F.create_map(*(F.lit(x) for k, n in begin.items() for x in (k, n))), F.col("_range"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy((F.col("_key") == "~").cast("int"), "_key"))
+    return d.withColumn("_rank", (first + within - 1).cast("long")).drop("_range")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """_key, source_size, docs, target: the weights share the sum of all sizes; a target stops at
     CAP times its source's size, and the excess goes to the others by weight until none is above.
 
-    One row a source, ranked by code point, nulls last. The level at which the filling ends is
-    found by prefix sums over the sources ordered by cap over weight.
+    One row a source, ranked by code point, nulls last. Each round of the filling is one aggregation; a
+    round caps at least one source more, and few rounds are needed, as the level grows by the excess.
     """
     per = sizes.groupBy("_key").agg(F.sum("_size").alias("source_size"), F.count("*").alias("docs"))
-    named = Window.orderBy((F.col("_key") == "~").cast("int"), "_key")
-    pick = F.get(F.array(*map(F.lit, weights)), ((F.row_number().over(named) - 1) % len(weights)).cast("int"))
-    per = per.withColumn("_w", pick.cast("double")).withColumn("_cap", (F.col("source_size") * CAP).cast("double"))
-    by = Window.orderBy(F.col("_cap") / F.col("_w"), "_key")
-    all_ = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    full = F.coalesce(F.sum("_cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    rest = F.sum("_w").over(by.rowsBetween(0, Window.unboundedFollowing))
-    per = per.withColumn("_level", (F.sum("source_size").over(all_) - full) / rest)
-    level = F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.struct(F.col("_cap") / F.col("_w"), "_key", "_level"))).over(all_)
-    return per.withColumn("target", F.least("_cap", F.col("_w") * level["_level"])).select("_key", "source_size", "docs", "target")
+    pick = F.get(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights)).cast("int"))
+    per = _ranked(per).withColumn("_w", pick.cast("double")).withColumn("_cap", (F.col("source_size") * CAP).cast("double")).drop("_rank")
+    per = C.cut(per, "source-caps")
+    total = float(per.agg(F.sum("source_size")).first()[0] or 0)
+    full, level, n = 0.0, 0.0, -1
+    while True:  # per holds the sources; full: what the capped ones take
+        over = F.col("_cap") < F.col("_w") * F.lit(level)
+        sums = per.agg(F.coalesce(F.sum(F.when(over, F.col("_cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~over, F.col("_w"))), F.lit(0.0)), F.count(F.when(over, 1))).first()
+        full, rest = sums[0], sums[1]
+        if sums[2] == n or rest <= 0:
+            break
+        n, level = sums[2], (total - full) / rest
+    return per.withColumn("target", F.least("_cap", F.col("_w") * F.lit(level))).select("_key", "source_size", "docs", "target")
 
 
 def _exact(x: Column) -> Column:
@@ -142,7 +161,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; columns as in docs."""
+    """The documents themselves, each as often as the mix takes it; columns as in docs, whatever their names.
+
+    Cases are as in mix(): null texts have no words and, as their rate isn't bound by a target, follow their source's;
+    repeated rows share a fate, an empty table stays empty.
+    """
     sizes = C.cut(sized(docs.select("doc_id", "text", "source")).drop("text", "source"), "mix-rows")
-    d = copies(sized(docs), plan(sizes, weights)).where("_copies > 0")
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    whole = docs.select(F.struct(*C.same_columns(docs)).alias("row"), "doc_id", "text", "source")
+    d = copies(sized(whole), plan(sizes, weights)).where("_copies > 0")
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")
