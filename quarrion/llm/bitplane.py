@@ -21,6 +21,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrion.llm import common as C
 from quarrion.llm.encode import SLICE, encoder
@@ -195,16 +196,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id
 def read_ids(manifest: DataFrame) -> DataFrame:
     """Documents of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The manifest has a row a file, as many as the writing job had tasks; their starts are summed here.
+    The manifest has a row a file, as many as the writing job had tasks; their starts are summed in order.
     """
-    spark, start, files = manifest.sparkSession, 0, []
-    for row in sorted(manifest.collect()):
-        files.append((row.path, start))
-        start += row.n_ids
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
+    starts = C.cut(manifest.select("path", "part", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("start")), "starts")
     shape = "doc_id long, start long, n_tokens long, ids_crc32 long"
     schema = C.arrow(shape)
-    if not files:
-        return spark.createDataFrame([], shape)
 
     def read(batches):
         for batch in batches:
@@ -218,8 +215,7 @@ def read_ids(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    df = spark.createDataFrame(spark.sparkContext.parallelize(files, len(files)), "path string, start long")
-    return df.mapInArrow(read, shape)
+    return C.a_task_each(starts, "part").select("path", "start").mapInArrow(read, shape)
 
 
 def token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte", special_as_text: bool = False) -> DataFrame:

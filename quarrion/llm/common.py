@@ -98,6 +98,12 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def a_task_each(df: DataFrame, key: str) -> DataFrame:
+    """df with a partition for about each row, by key. It stays in the JVM: rows that come from a Python list would need a
+    second Python worker beside each task's own."""
+    return df.repartitionByRange(max(1, df.count()), key)
+
+
 def hot_limit(rows: int) -> int:
     """A key with more rows than this is hot: there are under 100,000 such keys, whatever the number of rows."""
     return max(1000, rows // 100_000)

@@ -161,6 +161,4 @@ def pack(docs: DataFrame, length: int = LENGTH, piece: int = PIECE, tokenizer: s
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    n = max(1, plan.count())
-    files = plan.select("path", "first", "sources").repartitionByRange(n, "first")
-    return files.mapInArrow(run, SHAPE)
+    return C.a_task_each(plan.select("path", "first", "sources"), "first").select("path", "first", "sources").mapInArrow(run, SHAPE)
