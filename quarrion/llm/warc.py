@@ -1,10 +1,11 @@
 """WARC in ZIP packages: write records into stored members, and read them by range.
 
-A package is a ZIP file with two stored (uncompressed) members: archive/data.warc.gz, a
-gzip member a record, and indexes/index.cdxj, a line a record with its offset and length in
-the first. The reader parses the end record, the ZIP64 end record and locator, the central
-directory with ZIP64 extra fields, and the local header of a member, and then fetches
-single records by range; nothing is extracted.
+A package is a ZIP file whose members are stored (uncompressed): archive/data.warc.gz, a
+gzip member a record, and indexes/index.cdxj, a line a record: sort key, time, and a JSON object with the
+record's file, offset and length. The reader parses the end record, the ZIP64 end record and locator, the
+central directory with ZIP64 extra fields, and the local header of a member, and then fetches
+single records by range; nothing is extracted. It takes packages of others, too: indexes as .cdxj,
+.cdx or, in gzip, .cdx.gz, also if the ZIP file compresses them, and archives whose records are plain or gzip members.
 """
 
 from __future__ import annotations
@@ -12,10 +13,11 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -25,6 +27,9 @@ from pyspark.sql import functions as F
 
 from quarrion.llm import common as C
 
+PIECE = 1 << 20
+#: The mandatory date of records whose pages have none.
+DATE = "1970-01-01T00:00:00Z"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: ZIP signatures, and the values that stand for "see the ZIP64 field" (fixed by the format).
 END, END64, LOCATOR, CENTRAL, LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
@@ -39,6 +44,8 @@ class Package:
         tail_n = min(size, 22 + FULL16)
         tail = self._at(size - tail_n, tail_n)
         k = tail.rfind(END)
+        while k >= 0 and (k + 22 > tail_n or k + 22 + struct.unpack("<H", tail[k + 20 : k + 22])[0] != tail_n):
+            k = tail.rfind(END, 0, k + 3)  # these bytes are part of the comment
         if k < 0:
             raise ValueError("no end of central directory")
         n, length, at = struct.unpack("<HII", tail[k + 10 : k + 20])
@@ -49,7 +56,7 @@ class Package:
             if record[:4] != END64:
                 raise ValueError("no ZIP64 end of central directory")
             n, length, at = struct.unpack("<QQQ", record[32:56])
-        elif FULL16 == n or FULL32 in (length, at):
+        elif FULL32 in (length, at):  # FULL16 members may be just that many
             raise ValueError("ZIP64 locator is missing")
         self.members: dict[str, tuple[int, int, int]] = dict(self._central(self._at(at, length), n))
         self.begin: dict[str, int] = {}
@@ -73,10 +80,11 @@ class Package:
             while len(extra) >= 4:
                 kind, m = struct.unpack("<HH", extra[:4])
                 if kind == 1:  # 64-bit values of those fields that are full, in this order
-                    wide = list(struct.unpack(f"<{m // 8}Q", extra[4 : 4 + m // 8 * 8]))
-                    whole = wide.pop(0) if whole == FULL32 else whole
-                    stored = wide.pop(0) if stored == FULL32 else stored
-                    at = wide.pop(0) if at == FULL32 else at
+                    full = [whole == FULL32, stored == FULL32, at == FULL32]
+                    if min(m, len(extra) - 4) < 8 * sum(full):
+                        raise ValueError("ZIP64 extra field is damaged")
+                    wide = iter(struct.unpack(f"<{sum(full)}Q", extra[4 : 4 + 8 * sum(full)]))
+                    whole, stored, at = (next(wide) if f else x for f, x in zip(full, (whole, stored, at), strict=True))
                 extra = extra[4 + m :]
             yield name, (method, stored, at)
             k += 46 + n_name + n_extra + n_note
@@ -94,20 +102,62 @@ class Package:
         n = stored - offset if n is None else min(n, stored - offset)
         return self._at(self.begin[name] + offset, n)
 
+    def _member(self, name: str) -> Iterator[bytes]:
+        """The whole of a stored or deflated member, in pieces."""
+        method, stored, at = self.members[name]
+        head = self._at(at, 30)
+        begin = at + 30 + sum(struct.unpack("<HH", head[26:30]))
+        unzip = zlib.decompressobj(-15) if method == 8 else None
+        if method not in (0, 8):
+            raise ValueError(f"{name} has compression method {method}")
+        for k in range(0, stored, PIECE):
+            data = self._at(begin + k, min(PIECE, stored - k))
+            yield unzip.decompress(data) if unzip else data
+
     def indexes(self) -> Iterator[dict]:
+        """Each index line's object, with file (a member's name), offset and length; a line may begin with a key and a time."""
         for name in self.members:
-            if name.startswith("indexes/") and name.endswith(".cdxj"):
-                for line in self.read(name).decode().splitlines():
-                    yield json.loads(line)
+            if name.startswith("indexes/") and name.endswith((".cdxj", ".cdx", ".cdx.gz")):
+                pieces, rest = self._member(name), b""
+                for data in _gunzipped(pieces) if name.endswith(".gz") else pieces:
+                    *lines, rest = (rest + data).split(b"\n")
+                    yield from filter(None, map(self._entry, lines))
+                if entry := self._entry(rest):
+                    yield entry
+
+    def _entry(self, line: bytes) -> dict | None:
+        k = line.find(b"{")
+        if k < 0 or line.startswith(b"!"):  # a blank line or the header
+            return None
+        x = json.loads(line[k:])
+        file = x.get("file") or x["filename"]
+        file = file if file in self.members else f"archive/{file}"
+        return x | {"file": file, "offset": int(x["offset"]), "length": int(x["length"])}
 
     def record(self, entry: dict) -> tuple[dict[str, str], bytes]:
         """(headers, block) of the record that an index line names."""
-        data = zlib.decompress(self.read(entry["file"], entry["offset"], entry["length"]), 31)
+        data = self.read(entry["file"], entry["offset"], entry["length"])
+        if data[:2] == b"\x1f\x8b":
+            data = zlib.decompress(data, 31)
         head, _, rest = data.partition(b"\r\n\r\n")
-        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        lines = head.decode().split("\r\n")
+        if not lines[0].startswith("WARC/"):
+            raise ValueError("no WARC record there")
+        fields = dict(re.split(r":[ \t]*", x, maxsplit=1) for x in lines[1:])
         return fields, rest[: int(fields["Content-Length"])]
 
 
+def _gunzipped(pieces: Iterable[bytes]) -> Iterator[bytes]:
+    """The contents of gzip members that follow one another."""
+    unzip = zlib.decompressobj(31)
+    for data in pieces:
+        while data:
+            yield unzip.decompress(data)
+            data = unzip.unused_data
+            if unzip.eof:
+                unzip = zlib.decompressobj(31)
+
+
 def open_package(uri: str) -> Package:
     fs, path = C.file_system(uri)
     return Package(fs.open_input_file(path), fs.get_file_info(path).size)
@@ -117,12 +167,20 @@ def sha1_32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def sort_key(url: str | None) -> str:
+    """The key of an index line: the host's labels in reverse, then the path; blanks are escaped."""
+    rest = re.sub(r"^[a-z][a-z0-9+.-]*://", "", "".join(f"%{ord(c):02X}" if c <= " " else c for c in (url or "").lower()))
+    host, slash, path = rest.partition("/")
+    return f"{','.join(reversed(host.split('.')))}){slash}{path}"
+
+
 def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     """A gzip member with a response, or, where refers_to is given, a revisit record."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
     fields = {
         "WARC-Type": "response" if refers_to is None else "revisit",
         "WARC-Record-ID": f"<urn:page:{page_id}>",
+        "WARC-Date": DATE,
         "WARC-Target-URI": " ".join((url or "").split()),
         "WARC-Payload-Digest": f"sha1:{digest}",
         "X-Payload-Length": len(payload),
@@ -139,13 +197,15 @@ def record_bytes(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
 def write_packages(pages: DataFrame, folder: str) -> DataFrame:
     """Write a package a partition; returns the manifest (path, n_records), materialised.
 
-    Only keys are shuffled to find each payload's response: its digest and largest page_id.
+    Only keys are aggregated to find each payload's response: its digest and largest page_id. A payload that many pages
+    share is dealt over pieces when they're joined.
     """
     p = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("_d", F.unhex(F.sha1("html")))
-    last = p.groupBy("_d").agg(F.max("page_id").alias("_last"))
-    # A payload that a third of the pages share makes one long key here; the adaptive planner splits it.
-    p = p.join(last.hint("merge"), "_d").select("page_id", "url", "html", F.when(F.col("page_id") == F.col("_last"), F.lit(None)).otherwise(F.col("_last")).alias("refers"))
+    last = C.cut(p.groupBy("_d").agg(F.max("page_id").alias("_last"), F.count("*").alias("n")), "payloads")
+    limit = C.hot_limit(last.agg(F.sum("n")).first()[0] or 0)
+    p = C.salted_join(p, last.drop("n"), "_d", last.where(F.col("n") > limit).select("_d", "n"))
+    p = p.select("page_id", "url", "html", F.when(F.col("page_id") == F.col("_last"), F.lit(None)).otherwise(F.col("_last")).alias("refers"))
     shape = "path string, n_records long"
     schema = C.arrow(shape)
 
@@ -160,9 +220,10 @@ def write_packages(pages: DataFrame, folder: str) -> DataFrame:
                     payload = html.encode()
                     data = record_bytes(page_id, url, payload, sha1_32(payload), refers)
                     member.write(data)
-                    lines.append(json.dumps({"id": page_id, "file": DATA, "offset": at, "length": len(data)}))
+                    about = {"url": url or "", "digest": f"sha1:{sha1_32(payload)}", "length": str(len(data)), "offset": str(at), "filename": DATA.rpartition("/")[2], "id": page_id}
+                    lines.append(f"{sort_key(url)} {DATE.translate({45: None, 58: None, 84: None, 90: None})} {json.dumps(about)}")
                     at += len(data)
-            package.writestr(INDEX, "\n".join(lines))
+            package.writestr(INDEX, "\n".join(sorted(lines)) + "\n")
         yield pa.RecordBatch.from_pydict({"path": [uri], "n_records": [len(lines)]}, schema)
 
     return C.cut(p.mapInArrow(write, shape), "packages")
@@ -174,11 +235,8 @@ def read_packages(manifest: DataFrame, verify: bool = True) -> DataFrame:
     A response's length and digest come from its payload (which must match its header);
     a revisit's from its headers, as its payload is its response's.
     """
-    spark, paths = manifest.sparkSession, sorted(r.path for r in manifest.collect())  # a row a package
     shape = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     schema = C.arrow(shape)
-    if not paths:
-        return spark.createDataFrame([], shape)
 
     def number(urn: str | None) -> int | None:
         return int(x) if urn and (x := urn[len("<urn:page:") : -1]) != "None" else None
@@ -189,17 +247,25 @@ def read_packages(manifest: DataFrame, verify: bool = True) -> DataFrame:
                 package, rows = open_package(uri), []
                 for entry in package.indexes():
                     head, block = package.record(entry)
-                    kind, digest, n = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:"), int(head["X-Payload-Length"])
+                    kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
                     if kind == "response":
                         payload = block.partition(b"\r\n\r\n")[2]
                         n = len(payload)
                         if verify and sha1_32(payload) != digest:
                             raise ValueError(f"record {head['WARC-Record-ID']} is damaged")
+                    else:
+                        n = int(head["X-Payload-Length"])
                     rows.append((number(head["WARC-Record-ID"]), n, digest, kind, number(head.get("WARC-Refers-To"))))
-                for k in range(0, len(rows), 10_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 10_000], strict=True), schema.types, strict=True)], schema=schema)
+                    if len(rows) == 10_000:
+                        yield table(rows)
+                        rows = []
+                if rows:
+                    yield table(rows)
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return spark.createDataFrame(spark.sparkContext.parallelize([(p,) for p in paths], len(paths)), "path string").mapInArrow(read, shape)
+    return C.a_task_each(manifest.select("path"), "path").mapInArrow(read, shape)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
@@ -208,6 +274,7 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     Null html: an empty payload. Of equal payloads the largest page_id is the response; a
     repeated row of that page_id is a response too. A null page_id compares as smallest:
     its record revisits the response, or is one if no page of that payload has an id.
-    Null urls give an empty target. An empty table gives no package and no rows.
+    Null urls give an empty target. An empty table gives no package and no rows. Other columns, and any that
+    have the result's names, aren't read.
     """
     return read_packages(write_packages(pages, folder or C.fresh_folder(pages.sparkSession, "packages")))

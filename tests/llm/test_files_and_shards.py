@@ -52,6 +52,72 @@ def test_zip64_directory(monkeypatch, big):
     assert len(p.members) == 5 and p.read("archive/é3", 10, 4) == b"\3" * 4 and p.read("archive/é4", 290, 50) == b"\4" * 10
 
 
+def test_end_record_in_the_comment_and_full_counts():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a", b"x" * 10)
+        z.comment = b"see PK\5\6 and then some bytes, more than twenty-two"
+    data = out.getvalue()
+    assert warc.Package(io.BytesIO(data), len(data)).read("a") == b"x" * 10
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k in range(65_535):
+            z.writestr(str(k), b"")
+    data = out.getvalue()
+    assert warc.END64 not in data and len(warc.Package(io.BytesIO(data), len(data)).members) == 65_535
+
+
+def test_short_zip64_field_is_refused(monkeypatch):
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 100)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("a", b"x" * 300)
+    data = bytearray(out.getvalue())
+    k = data.rfind(b"PK\1\2")
+    data[k + 46 + 1 + 2 : k + 46 + 1 + 4] = (4).to_bytes(2, "little")  # the field's length in the central directory
+    with pytest.raises(ValueError, match="damaged"):
+        warc.Package(io.BytesIO(bytes(data)), len(data))
+
+
+@pytest.mark.parametrize("kind", ["cdxj", "cdx.gz", "deflated"])
+@pytest.mark.parametrize("packed", [True, False])
+def test_packages_of_others(kind, packed):
+    """Index lines with key and time, text numbers and file names; indexes in gzip or deflated; plain and gzip records."""
+    import gzip
+    import json
+
+    whole, lines = b"", ["!meta 0 {}"]
+    for k in range(40):
+        body = f"HTTP/1.1 200 OK\r\n\r\nhello {k}".encode()
+        raw = f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID:<urn:uuid:{k}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        data = gzip.compress(raw) if packed else raw
+        lines.append(f"org,example)/{k} 20240101000000 " + json.dumps({"url": f"http://example.org/{k}", "length": str(len(data)), "offset": str(len(whole)), "filename": "a.warc"}))
+        whole += data
+    index = "\n".join(lines).encode()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("archive/a.warc", whole)
+        if kind == "cdx.gz":
+            z.writestr("indexes/index.cdx.gz", gzip.compress(index[:1000]) + gzip.compress(index[1000:]))
+        else:
+            z.writestr("indexes/index.cdxj", index, zipfile.ZIP_DEFLATED if kind == "deflated" else zipfile.ZIP_STORED)
+    data = out.getvalue()
+    p = warc.Package(io.BytesIO(data), len(data))
+    got = [p.record(e) for e in p.indexes()]
+    assert [h["WARC-Record-ID"] for h, _ in got] == [f"<urn:uuid:{k}>" for k in range(40)]
+    assert [b.partition(b"\r\n\r\n")[2] for _, b in got] == [f"hello {k}".encode() for k in range(40)]
+
+
+def test_written_records_and_index(spark, tmp_path):
+    df = spark.createDataFrame([(2, "http://Shop.Example.org/a b", "x"), (1, "http://example.org/", "y")], "page_id long, url string, html string").coalesce(1)
+    m = warc.write_packages(df, str(tmp_path)).collect()
+    p = warc.open_package(m[0].path)
+    lines = p.read(warc.INDEX).decode().splitlines()
+    assert lines == sorted(lines) and sorted(x.split(" ", 2)[0] for x in lines) == ["org,example)/", "org,example,shop)/a%20b"] and {x.split()[1] for x in lines} == {"19700101000000"}
+    heads = [p.record(e)[0] for e in p.indexes()]
+    assert all({"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(h) for h in heads)
+
+
 def test_compressed_member_is_refused():
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
