@@ -5,7 +5,8 @@ cells (each dimension's range cut into 2**BITS equal parts, so BITS bits a compo
 cells' bounds, and the exact vectors. A search scans the cells alone: they give a lower and an upper
 bound of each inner product, and a vector whose upper bound is under the k-th largest lower bound is
 out. Of the rest, exact vectors are read in order of upper bound until the k-th best
-score is certain. Queries go in blocks of BLOCK, each of which scans all files; what it holds is
+score is certain. Queries go in blocks of BLOCK; a task searches a group of files for a block, and where there are
+several groups, so that few queries keep all cores busy, their best are merged. What a task holds is
 bounded: when more than HELD candidates wait, they are resolved, exactly, and the scan goes on
 with the better bound.
 """
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quarrion.llm import common as C
 
@@ -240,28 +242,40 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, bits: int = BITS, folder: s
     vectors(vec_id, embedding); is_query: the condition that makes a row a query. Rows with a null vec_id, a null
     vector, or null or non-finite components take no part; short vectors count as if padded with zeros. Rows
     with the query's own vec_id aren't its candidates, and a repeated query row is answered each time. Fewer
-    candidates than k give fewer rows. Scores beyond 64 bits are held at the largest or smallest long, and tie there.
+    candidates than k give fewer rows; an empty table gives an empty result; other columns aren't read. Scores beyond 64 bits are held at the largest or smallest long, and tie there.
     """
     spark = vectors.sparkSession
-    paths = [r.path for r in write_files(vectors, folder or C.fresh_folder(spark, "va"), bits).collect()]
-    paths.sort()
-    shape = "query_id long, rank int, vec_id long, score long"
+    paths = sorted(r.path for r in write_files(vectors, folder or C.fresh_folder(spark, "va"), bits).collect())
+    shape = "query_id long, rank int, vec_id long, score long, _q long"
     schema = C.arrow(shape)
     queries = vectors.where("vec_id is not null").where(is_query).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    queries = C.cut(queries.withColumn("_q", F.monotonically_increasing_id()), "va-queries")
     blocks = max(1, -(-queries.count() // BLOCK))
-
-    def search(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, BLOCK):
-                part = b.slice(at, BLOCK)
-                rows, q = integers(part.column(1))
-                if not len(rows):
-                    continue
-                s = Search(part.column(0).to_numpy(zero_copy_only=False)[rows], q, k)
-                for segment in segments_of(paths):
-                    s.scan(segment)
-                s.resolve()
-                if len(s.query):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.ids[s.query]), pa.array((s.rank + 1).astype("i4")), pa.array(s.vec), pa.array(s.score)], schema=schema)
-
-    return queries.repartition(blocks).mapInArrow(search, shape)
+    groups = max(1, min(len(paths), -(-tasks(spark) // blocks)))
+    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(blocks))).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def search(key, table):
+        parts = []
+        for at in range(0, table.num_rows, BLOCK):
+            part = table.slice(at, BLOCK).combine_chunks()
+            rows, q = integers(part.column("embedding").chunk(0))
+            if not len(rows):
+                continue
+            s = Search(part.column("vec_id").to_numpy()[rows], q, k)
+            for segment in segments_of(paths[key[1].as_py() :: groups]):
+                s.scan(segment)
+            s.resolve()
+            if len(s.query):
+                parts.append(pa.Table.from_arrays([pa.array(s.ids[s.query]), pa.array((s.rank + 1).astype("i4")), pa.array(s.vec), pa.array(s.score), pa.array(part.column("_q").to_numpy()[rows][s.query])], schema=schema))
+        return pa.concat_tables(parts) if parts else schema.empty_table()
+
+    found = dealt.groupBy("_b", "_g").applyInArrow(search, shape)
+    if groups > 1:  # k rows a query and group
+        by = Window.partitionBy("_q").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k)
+    return found.drop("_q")
+
+
+def tasks(spark) -> int:
+    """Tasks that keep the cluster's cores busy."""
+    return 2 * spark.sparkContext.defaultParallelism

@@ -24,9 +24,10 @@ def brute_top(rows, is_query, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize("held", [1 << 21, 40])
-def test_va_search(spark, monkeypatch, held):
+@pytest.mark.parametrize(("held", "tasks"), [(1 << 21, 8), (40, 8), (40, 1)])
+def test_va_search(spark, monkeypatch, held, tasks):
     monkeypatch.setattr(vafile, "HELD", held)
+    monkeypatch.setattr(vafile, "tasks", lambda spark: tasks)
     monkeypatch.setattr(vafile, "SEGMENT", 64)
     monkeypatch.setattr(vafile, "BLOCK", 7)
     r = np.random.default_rng(4)
