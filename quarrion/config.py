@@ -34,7 +34,7 @@ class Config:
     graph_expansion: bool = True
     containment_dedup: bool = True
     diversity_filter: bool = True
-    patterns: tuple[str, ...] = ("**/*.md", "**/*.txt", "**/*.py", "**/*.ts", "**/*.js", "**/*.go", "**/*.json", "**/*.yaml", "**/*.yml", "**/*.toml", "**/*.proto")
+    patterns: tuple[str, ...] = ("**/*.md", "**/*.txt", "**/AGENTS.md", "**/CLAUDE.md", "**/SKILLS.md", "**/.cursor/rules/**", "**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.py", "**/*.go", "**/go.mod", "**/*.proto", "**/*.rs", "**/*.java", "**/*.c", "**/*.cpp", "**/*.h", "**/*.hpp", "**/*.cs", "**/*.json", "**/*.yaml", "**/*.yml", "**/*.toml", "**/*.ini")
     ignore: tuple[str, ...] = ("**/node_modules/**", "**/.git/**", "**/dist/**")
 
     def __post_init__(self):

@@ -44,11 +44,24 @@ def lead_scores(hits: DataFrame) -> DataFrame:
     return hits.withColumn("lead", lead)
 
 
-def tier(hits: DataFrame) -> DataFrame:
-    """(prompt_id, tier) from the five best: exact-implementation if one is an exact hit with a body, exact if one is exact, file if all share a file."""
-    t = top(hits, ["prompt_id"], [F.desc("score"), "id"], 5)
-    per = t.groupBy("prompt_id").agg(F.max(F.col("exact") & (F.col("token_count") > 40)).alias("b"), F.max("exact").alias("e"), F.count_distinct("source_file").alias("f"))
-    return per.select("prompt_id", F.when(F.col("b"), "exact-implementation").when(F.col("e"), "exact").when(F.col("f") == 1, "file").otherwise("explore").alias("tier"))
+#: Prompts that ask how something works (fixed patterns).
+IMPLEMENTATION = (r"(how|what) does .* (work|function|do)", r"(explain|describe) .* implementation", r"how is .* implemented")
+
+
+def tier(hits: DataFrame, intents: DataFrame) -> DataFrame:
+    """(prompt_id, tier) from the five best hits(prompt_id, id, source_file, symbol_name, score) and intents(prompt_id, prompt, identifiers, concepts).
+
+    An identifier that is the symbol of a hit of 10 or more: exact, or exact-implementation if the prompt asks how it works. Else
+    file, if the stem of a hit of 5 or more is among the concepts; else explore.
+    """
+    best = top(hits, ["prompt_id"], [F.desc("score"), "id"], 5).select("prompt_id", "source_file", "symbol_name", "score").join(intents, "prompt_id")
+    stem = F.split_part(F.regexp_extract("source_file", r"([^/\\]*)$", 1), F.lit("."), F.lit(1))
+    named = (F.coalesce("symbol_name", F.lit("")) != "") & F.array_contains("identifiers", F.coalesce("symbol_name", F.lit(""))) & (F.col("score") >= 10)
+    asks = F.lit(False)
+    for p in IMPLEMENTATION:
+        asks = asks | F.col("prompt").rlike(f"(?i){p}")
+    per = best.groupBy("prompt_id").agg(F.max(named).alias("e"), F.max(F.array_contains("concepts", stem) & (F.col("score") >= 5)).alias("f"), F.max(asks).alias("i"))
+    return per.select("prompt_id", F.when(F.col("e") & F.col("i"), "exact-implementation").when(F.col("e"), "exact").when(F.col("f"), "file").otherwise("explore").alias("tier"))
 
 
 def fitted(content: str, most: int, terms: list[str]) -> str:

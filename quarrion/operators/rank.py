@@ -12,6 +12,8 @@ from quarrion.operators.common import top
 
 # Paths that are never answers, and words too common to match inside a name.
 POISON = r"/node_modules/|/\.git/|changelog|changes\.md|history\.md|\.map$|\.lock$|\.min\.js$|\.min\.css$"
+#: Verbs with which the main functions of a module begin.
+PRIMARY_VERBS = "extract parse compile expand start init register create add search match load merge detect apply stem".split()
 WEAK_INSIDE = "source file path name type data index test config value event context layer token budget".split()
 
 
@@ -50,9 +52,24 @@ def name_multiplier(symbol: Column, kind: Column, tokens: Column, parent: Column
     return F.greatest(F.lit(1.0), F.coalesce(F.array_max(F.transform(ids, by_id)), F.lit(1.0)), F.coalesce(F.array_max(F.transform(terms, by_term)), F.lit(1.0)))
 
 
-def rescored(hits: DataFrame, cfg: Config | None = None, as_of_ms: Column | None = None) -> DataFrame:
+def foreign(workspace: Column, root: str) -> Column:
+    """Whether a workspace's folder is neither the root, inside it, around it, nor named like it."""
+    near = (workspace == root) | F.startswith(workspace, F.lit(root + "/")) | F.startswith(F.lit(root), F.concat(workspace, F.lit("/"))) | (F.regexp_extract(workspace, "([^/]*)$", 1) == root.rpartition("/")[2])
+    return F.coalesce((F.length(workspace) > 0) & ~near, F.lit(False))
+
+
+def primary_symbol(symbol: Column, ids: Column, terms: Column) -> Column:
+    """Whether a symbol begins with a verb of PRIMARY_VERBS and overlaps what the prompt names (ids and terms, lower case)."""
+    s = F.lower(F.coalesce(symbol, F.lit("")))
+    by_id = F.exists(ids, lambda t: (s == t) | F.startswith(s, t) | F.startswith(t, s) | ((F.length(t) >= 5) & F.contains(s, t)))
+    by_term = F.exists(terms, lambda t: (F.length(t) >= 5) & F.contains(s, t))
+    return F.coalesce(s.rlike(f"^({'|'.join(PRIMARY_VERBS)})") & (by_id | by_term), F.lit(False))
+
+
+def rescored(hits: DataFrame, cfg: Config | None = None, as_of_ms: Column | None = None, root: str | None = None) -> DataFrame:
     """hits with score re-computed: what is added comes before what multiplies, in this order.
 
+    root: the folder that prompts are asked from; hits of the workspace layer from elsewhere (column workspace) then count 0.3.
     Needs score, graph_boost, importance, feedback, ids, terms, layer, updated_at, source_file, section_title, symbol_name,
     symbol_kind, parent_symbol, file_stem, token_count. Poisoned paths are dropped before anything is computed.
     """
@@ -68,7 +85,9 @@ def rescored(hits: DataFrame, cfg: Config | None = None, as_of_ms: Column | None
     n = F.coalesce("token_count", F.lit(0))
     exact = F.coalesce(F.array_contains("ids", F.lower("symbol_name")), F.lit(False))
     kind, low = F.coalesce("symbol_kind", F.lit("")), F.lower("source_file")
+    far = (F.col("layer") == "workspace") & foreign(F.col("workspace"), root) if root else F.lit(False)
     factors = (
+        (far, 0.3),
         (F.coalesce("section_title", F.lit("")) == "File Structure", 0.45),
         (low.rlike(r"\.(test|spec)\.|/tests?/"), 0.55),
         (low.rlike(r"readme\.md$"), 0.4),
@@ -81,6 +100,7 @@ def rescored(hits: DataFrame, cfg: Config | None = None, as_of_ms: Column | None
         (file_named(F.col("file_stem"), F.col("ids"), F.col("terms")), 2.5),
         (F.coalesce("symbol_name", F.lit("")) == "constructor", 0.35),
         (F.coalesce(F.col("symbol_name").rlike("^get[A-Z]"), F.lit(False)) & (n < 40), 0.5),
+        (primary_symbol(F.col("symbol_name"), F.col("ids"), F.col("terms")), 1.3),
     )
     for condition, factor in factors:
         s = s * F.when(condition, F.lit(factor)).otherwise(F.lit(1.0))
@@ -150,9 +170,21 @@ def segment_cap(hits: DataFrame, n: int = 4) -> DataFrame:
     return hits.where(F.coalesce(F.col("symbol_kind") != "segment", F.lit(True))).unionByName(best)
 
 
+def signal_symbol(symbol: Column, signals: Column) -> Column:
+    """Whether a symbol equals, holds or lies in a signal term (5 letters or more, lower case), or shares a word of 5 letters or more with one."""
+    s = F.lower(symbol)
+    whole = F.exists(signals, lambda t: (s == t) | ((F.length(t) >= 5) & (F.contains(s, t) | F.contains(t, s))))
+    parts = F.filter(F.transform(F.split(symbol, r"(?=[A-Z])|[_\-.]+"), lambda p: F.lower(p)), lambda p: F.length(p) >= 5)
+    words = F.flatten(F.transform(signals, lambda t: F.split(t, r"[\s_-]+")))
+    return F.coalesce((s != "") & (whole | F.arrays_overlap(parts, words) | F.arrays_overlap(parts, signals)), F.lit(False))
+
+
 def relative_cut(hits: DataFrame) -> DataFrame:
-    """The five best, what reaches max(5, 0.35 of the best), exact hits, and files of the five best."""
+    """The five best, what reaches max(5, 0.35 of the best), exact hits, tiny ones that reach 0.4 of that, hits whose symbol is a
+    signal (columns symbol_name and signals), and, if they have a symbol, those from files of the five best."""
     w = Window.partitionBy("prompt_id")
-    r = hits.withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "id"))).withColumn("_m", F.max("score").over(w))
+    r = hits.withColumn("_r", F.row_number().over(w.orderBy(F.desc("score"), "id"))).withColumn("_m", F.greatest(F.lit(5.0), 0.35 * F.max("score").over(w)))
     r = r.withColumn("_f", F.max(F.col("_r") <= 5).over(Window.partitionBy("prompt_id", "source_file")))
-    return r.where((F.col("_r") <= 5) | (F.col("score") >= F.greatest(F.lit(5.0), 0.35 * F.col("_m"))) | F.col("exact") | F.col("_f")).drop("_r", "_m", "_f")
+    tiny = (F.coalesce("token_count", F.lit(0)) < 60) & (F.col("score") >= 0.4 * F.col("_m"))
+    named = F.coalesce("symbol_name", F.lit("")) != ""
+    return r.where((F.col("_r") <= 5) | (F.col("score") >= F.col("_m")) | F.col("exact") | tiny | signal_symbol(F.col("symbol_name"), F.col("signals")) | (named & F.col("_f"))).drop("_r", "_m", "_f")

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from quarrion import config
 from quarrion.functions import text as T
 from quarrion.functions.stem import porter
-from quarrion.operators.common import small, top
+from quarrion.operators.common import settled, small, top
 
 
 def postings(chunks: DataFrame, columns: dict[str, float] | None = None, keep: DataFrame | None = None) -> DataFrame:
@@ -91,6 +91,57 @@ def match_phrase(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     return start.where("have = n").select("prompt_id", "view_id", "id").distinct()
 
 
+def match_phrase_from_rarest(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(prompt_id, view_id, id) of the chunks(view_id, id, content) in which the words of a phrase follow one another.
+
+    phrases: (prompt_id, words array). A chunk must hold the phrase's rarest word; only such pairs are looked at, on the chunk's
+    whole words, so that frequent words cost nothing.
+    """
+    words = chunks.select("id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("term"))
+    asked = phrases.where(F.size("words") > 0).select("prompt_id", F.explode(F.array_distinct("words")).alias("term"))
+    terms = small(asked.select("term").distinct())
+    held = settled(words.join(terms, "term", "left_semi"))
+    df = held.groupBy("term").agg(F.count("*").alias("df"))
+    # A word that no chunk holds is the rarest: its phrase has no hit.
+    rare = asked.join(df, "term", "left").groupBy("prompt_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).where("r.df > 0")
+    pairs = held.join(small(rare.select("prompt_id", F.col("r.term").alias("term"))), "term").select("prompt_id", "id")
+    line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
+    both = pairs.join(small(phrases.select("prompt_id", line(F.col("words")).alias("p"))), "prompt_id").join(chunks.select("view_id", "id", "content"), "id")
+    return both.where(F.contains(line(T.words(F.col("content"))), F.col("p"))).select("prompt_id", "view_id", "id")
+
+
+def events_found(events: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
+    """The n best of events(id, content) for each prompt of terms(prompt_id, term), by unweighted BM25, ranked from 0."""
+    return top_hits(bm25(events.withColumn("view_id", F.lit("")), terms).withColumn("score", F.round("score", 9)), n)
+
+
+def term_coverage(chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(prompt_id, id, coverage): share of a prompt's terms(prompt_id, term) that occur in a chunk(id, content), also inside words.
+
+    Terms are whole words, so an occurrence lies inside a word of the chunk: terms meet the vocabulary by its substrings of
+    up to three characters, and no chunk meets a prompt that shares nothing with it.
+    """
+    wanted = terms.distinct()
+    words = settled(chunks.select("id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("word")))
+    head = lambda c, n: F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(c, k, F.lit(n)))
+    grams = F.array_distinct(F.concat(*(head(F.col("word"), n) for n in (1, 2, 3))))
+    vocabulary = words.select("word").distinct().select("word", F.explode(grams).alias("g"))
+    short = wanted.select("term").distinct().withColumn("g", F.substring("term", 1, 3))
+    inside = vocabulary.join(small(short), "g").where(F.contains("word", F.col("term"))).select("word", "term").distinct()
+    hits = words.join(inside, "word").select("id", "term").distinct()
+    n = wanted.groupBy("prompt_id").agg(F.count("*").alias("n"))
+    got = hits.join(small(wanted), "term").groupBy("prompt_id", "id").agg(F.count("*").alias("k"))
+    return got.join(small(n), "prompt_id").select("prompt_id", "id", (F.col("k") / F.col("n")).alias("coverage"))
+
+
+def recall(expected: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(prompt_id, n_expected, n_found, recall) of expected(prompt_id, source_file) among found(prompt_id, source_file), the k best;
+    of more than k expected files, k count as all."""
+    f = found.select("prompt_id", "source_file").distinct().withColumn("hit", F.lit(1))
+    per = expected.join(f, ["prompt_id", "source_file"], "left").groupBy("prompt_id").agg(F.count("*").alias("n_expected"), F.count("hit").alias("n_found"))
+    return per.withColumn("recall", F.col("n_found") / F.least(F.col("n_expected"), F.lit(k)))
+
+
 def match_prefix(posts: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(prompt_id, view_id, id) of the chunks with a word that begins with one of the prefixes (prompt_id, prefix).
 

@@ -16,11 +16,11 @@ sym AS (SELECT source AS node, target AS neighbour, type, weight, 'out' AS direc
 
 
 def seeds(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 200 = 0")
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0")
     return o.select(F.col("o_orderkey").alias("prompt_id"), F.concat(F.lit("order:"), "o_orderkey").alias("node"))
 
 
-@query("g3_neighbours", sql(BOTH + "\nSELECT node, neighbour, type, round(weight, 6) AS weight, direction FROM sym WHERE node IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderkey % 200 = 0)", "edges"))
+@query("g3_neighbours", sql(BOTH + "\nSELECT node, neighbour, type, round(weight, 6) AS weight, direction FROM sym WHERE node IN (SELECT 'order:' || o_orderkey FROM orders WHERE o_orderkey % 100 = 0)", "edges"))
 def g3_neighbours(spark, sf_dir):
     return graph.neighbours(corpus.edges(spark, sf_dir), seeds(spark, sf_dir))
 
@@ -31,7 +31,7 @@ def j12_edge_degrees(spark, sf_dir):
 
 
 G2 = """,
-s AS (SELECT 'order:' || o_orderkey AS node, o_orderkey AS prompt_id FROM orders WHERE o_orderkey % 200 = 0),
+s AS (SELECT 'order:' || o_orderkey AS node, o_orderkey AS prompt_id FROM orders WHERE o_orderkey % 100 = 0),
 e0 AS (SELECT node, neighbour, max(weight) AS weight FROM sym WHERE weight >= 0.5 GROUP BY ALL),
 e AS (SELECT * FROM e0 WHERE node IN (SELECT node FROM e0 GROUP BY node HAVING count(*) <= 30) AND length(neighbour) >= 3),
 l1 AS (SELECT prompt_id, neighbour AS node, max(weight) * 0.5 AS score FROM s JOIN e USING (node) WHERE NOT EXISTS (SELECT 1 FROM s t WHERE t.prompt_id = s.prompt_id AND t.node = e.neighbour) GROUP BY ALL),
@@ -53,7 +53,7 @@ def g2_expand_best_first(spark, sf_dir):
 
 @query("g5_trace", """
 WITH l AS (SELECT 'c' || c_custkey AS source, 'n' || c_nationkey AS target FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders),
-s AS (SELECT o_orderkey AS prompt_id, 'o' || o_orderkey AS node FROM orders WHERE o_orderkey % 300 = 0)
+s AS (SELECT o_orderkey AS prompt_id, 'o' || o_orderkey AS node FROM orders WHERE o_orderkey % 100 = 0)
 SELECT s.prompt_id, c.target AS node, CAST(3 AS BIGINT) AS depth, s.node || '>' || a.target || '>' || b.target || '>' || c.target AS path
 FROM s JOIN l a ON a.source = s.node JOIN l b ON b.source = a.target JOIN l c ON c.source = b.target
 UNION ALL SELECT s.prompt_id, b.target, 2, s.node || '>' || a.target || '>' || b.target FROM s JOIN l a ON a.source = s.node JOIN l b ON b.source = a.target
@@ -63,7 +63,7 @@ def g5_trace(spark, sf_dir):
         return table(spark, sf_dir, name).select(F.lit("v").alias("view_id"), F.concat(F.lit(a), x).alias("source"), F.concat(F.lit(b), y).alias("target"), F.lit("fk").alias("type"))
 
     links = pair("customer", "c", "n", "c_custkey", "c_nationkey").unionByName(pair("nation", "n", "r", "n_nationkey", "n_regionkey")).unionByName(pair("orders", "o", "c", "o_orderkey", "o_custkey"))
-    s = table(spark, sf_dir, "orders").where("o_orderkey % 300 = 0").select(F.col("o_orderkey").alias("prompt_id"), F.lit("v").alias("view_id"), F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    s = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("prompt_id"), F.lit("v").alias("view_id"), F.concat(F.lit("o"), "o_orderkey").alias("node"))
     return graph.traced(links, s, depth=4).withColumn("path", F.array_join("path", ">"))
 
 
@@ -144,8 +144,8 @@ def m4_importance(spark, sf_dir):
 
 
 MEM = FACTS + r""",
-ev AS (SELECT event_id AS id, event_type, event_type || ' ' || user_id AS content FROM events WHERE event_id < 500),
-pr AS (SELECT item_id AS prompt_id, CASE WHEN item_id % 2 = 0 THEN 'fix' ELSE 'general' END AS intent, list_distinct(list_append(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), 'error')) AS terms FROM benchmark WHERE item_id < 8),
+ev AS (SELECT event_id AS id, event_type, event_type || ' ' || user_id AS content FROM events),
+pr AS (SELECT item_id AS prompt_id, CASE WHEN item_id % 2 = 0 THEN 'fix' ELSE 'general' END AS intent, list_distinct(list_append(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> ''), 'error')) AS terms FROM benchmark),
 items AS (SELECT 'fact' AS kind, CAST(id AS VARCHAR) AS id, fact AS content, confidence * 10 AS score FROM facts WHERE confidence >= 0.6
   UNION ALL SELECT CASE WHEN event_type = 'error' THEN 'error' ELSE 'event' END, CAST(id AS VARCHAR), content, 5.0 FROM ev),
 w AS (SELECT kind, id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS term FROM items),
@@ -159,8 +159,8 @@ SELECT prompt_id, kind, id, round(score, 6) AS score, tokens FROM z WHERE stop I
 
 @query("m5_memory_merge", MEM)
 def m5_memory_merge(spark, sf_dir):
-    ev = table(spark, sf_dir, "events").where("event_id < 500").select(F.col("event_id").alias("id"), "event_type", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("content"))
-    pr = table(spark, sf_dir, "benchmark").where("item_id < 8").select(F.col("item_id").alias("prompt_id"), F.when(F.col("item_id") % 2 == 0, "fix").otherwise("general").alias("intent"), F.array_distinct(F.array_append(T.words(F.col("text")), F.lit("error"))).alias("terms"))
+    ev = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", F.concat_ws(" ", "event_type", F.col("user_id").cast("string")).alias("content"))
+    pr = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id"), F.when(F.col("item_id") % 2 == 0, "fix").otherwise("general").alias("intent"), F.array_distinct(F.array_append(T.words(F.col("text")), F.lit("error"))).alias("terms"))
     return memory.merged_memory(pr, facts(spark, sf_dir), ev).withColumn("score", F.round("score", 6))
 
 

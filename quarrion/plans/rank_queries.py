@@ -151,12 +151,16 @@ def w5_primaries(spark, sf_dir):
     return compiling.primaries(full(spark, sf_dir).withColumn("lead", F.col("score"))).select("prompt_id", "id", "rank")
 
 
-@query("p11_relative_cut", sql(FULL_SQL + """,
-x AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) AS r, max(score) OVER (PARTITION BY prompt_id) AS m FROM hit),
-y AS (SELECT *, bool_or(r <= 5) OVER (PARTITION BY prompt_id, source_file) AS f FROM x)
-SELECT prompt_id, id FROM y WHERE r <= 5 OR score >= greatest(5, 0.35 * m) OR exact OR f""", *BASE))
+@query("p11_relative_cut", sql(FULL_SQL + r""",
+g AS (SELECT prompt_id, list_filter(list(term), lambda t: length(t) >= 4) AS g FROM prompt_terms GROUP BY ALL),
+x AS (SELECT hit.*, g.g, regexp_extract(content, '[A-Za-z]{4,}') AS symbol, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) AS r, greatest(5, 0.35 * max(score) OVER (PARTITION BY prompt_id)) AS m FROM hit JOIN g USING (prompt_id)),
+y AS (SELECT *, bool_or(r <= 5) OVER (PARTITION BY prompt_id, source_file) AS f, lower(symbol) AS s FROM x)
+SELECT prompt_id, id FROM y WHERE r <= 5 OR score >= m OR exact OR (token_count < 60 AND score >= 0.4 * m)
+  OR s <> '' AND (f OR len(list_filter(g, lambda t: s = t OR length(t) >= 5 AND (contains(s, t) OR contains(t, s)))) > 0)""", *BASE))
 def p11_relative_cut(spark, sf_dir):
-    return rank.relative_cut(full(spark, sf_dir)).select("prompt_id", "id")
+    g = corpus.prompt_terms(corpus.prompts(spark, sf_dir)).where(F.length("term") >= 4).groupBy("prompt_id").agg(F.collect_list("term").alias("signals"))
+    h = full(spark, sf_dir).withColumn("symbol_name", F.regexp_extract("content", "[A-Za-z]{4,}", 0))
+    return rank.relative_cut(h.join(g, "prompt_id")).select("prompt_id", "id")
 
 
 @query("o4_final_top", sql(FULL_SQL + "\nSELECT prompt_id, id, k - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) AS k FROM hit) WHERE k <= 25", *BASE))
@@ -165,7 +169,7 @@ def o4_final_top(spark, sf_dir):
 
 
 @query("r12_scoring", """
-WITH h AS (SELECT p_partkey, replace(p_name, ' ', '_') AS sn, lower(p_type) AS up, split_part(p_name, ' ', 2) AS fs, ['class', 'function', 'variable', 'segment'][p_size % 4 + 1] AS kind,
+WITH h AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'load_widget' || p_partkey ELSE replace(p_name, ' ', '_') END AS sn, lower(p_type) AS up, split_part(p_name, ' ', 2) AS fs, ['class', 'function', 'variable', 'segment'][p_size % 4 + 1] AS kind,
   p_size * 40 AS n, ['global','workspace','repo','session'][p_partkey % 4 + 1] AS layer, p_partkey % 12 AS imp, p_partkey % 3 - 1 AS fb, p_partkey % 17 AS gb,
   'src/' || split_part(p_name, ' ', 2) || CASE WHEN p_partkey % 9 = 0 THEN '/tests/' ELSE '/' END || p_partkey || CASE WHEN p_partkey % 23 = 0 THEN '.lock' ELSE '.ts' END AS path, CASE WHEN p_partkey % 2 = 0 THEN lower(p_type) END AS parent,
   p_partkey % 40 + 1 AS base FROM part),
@@ -184,19 +188,23 @@ SELECT p_partkey, round((base + least(gb, 10) + least(imp, 10) / 10.0 * 2.0 + fb
   * CASE WHEN parent IS NOT NULL AND kind = 'function' THEN 1.2 ELSE 1 END * CASE WHEN parent IS NOT NULL AND kind = 'segment' THEN 1.05 ELSE 1 END
   * CASE WHEN kind = 'class' AND n < 80 AND sn NOT IN ('small_ring', 'widget') THEN 0.55 ELSE 1 END
   * CASE WHEN sn IN ('small_ring', 'widget') THEN 1 WHEN n > 1800 THEN 0.5 WHEN n > 1100 THEN 0.75 ELSE 1 END
-  * CASE WHEN fs IN ('widget', 'smallring') THEN 2.5 ELSE 1 END, 6) AS score FROM b""")
+  * CASE WHEN fs IN ('widget', 'smallring') THEN 2.5 ELSE 1 END
+  * CASE WHEN layer = 'workspace' AND p_partkey % 3 = 0 THEN 0.3 ELSE 1 END
+  * CASE WHEN regexp_matches(sn, '^(extract|parse|compile|expand|start|init|register|create|add|search|match|load|merge|detect|apply|stem)')
+         AND (sn IN ('small_ring', 'widget') OR contains(sn, 'widget') OR contains(sn, 'small_ring') OR contains(sn, 'economy')) THEN 1.3 ELSE 1 END, 6) AS score FROM b""")
 def r12_scoring(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     pick = lambda values, by: F.get(F.array(*map(F.lit, values)), by.cast("int"))
     fs, key = F.split_part("p_name", F.lit(" "), F.lit(2)), F.col("p_partkey")
     folder = F.when(key % 9 == 0, "/tests/").otherwise("/")
     h = p.select(
-        "p_partkey", F.translate("p_name", " ", "_").alias("symbol_name"), F.when(key % 2 == 0, F.lower("p_type")).alias("parent_symbol"), fs.alias("file_stem"), pick(("class", "function", "variable", "segment"), F.col("p_size") % 4).alias("symbol_kind"),
+        "p_partkey", F.when(key % 7 == 0, F.concat(F.lit("load_widget"), key.cast("string"))).otherwise(F.translate("p_name", " ", "_")).alias("symbol_name"), F.when(key % 2 == 0, F.lower("p_type")).alias("parent_symbol"), fs.alias("file_stem"), pick(("class", "function", "variable", "segment"), F.col("p_size") % 4).alias("symbol_kind"),
         (F.col("p_size") * 40).alias("token_count"), pick(corpus.LAYERS, key % 4).alias("layer"), (key % 12).alias("importance"), (key % 3 - 1).alias("feedback"), (key % 17).alias("graph_boost"),
         F.concat(F.lit("src/"), fs, folder, key.cast("string"), F.when(key % 23 == 0, ".lock").otherwise(".ts")).alias("source_file"), (key % 40 + 1).alias("score"),
         F.array(F.lit("small_ring"), F.lit("widget")).alias("ids"), F.array(F.lit("economy"), F.lit("ring")).alias("terms"), F.lit(None).cast("string").alias("section_title"),
+        pick(("/else/where", "/home/me/app", "/home/me/app/sub"), key % 3).alias("workspace"),
     )
-    return rank.rescored(h).select("p_partkey", r6(F.col("score"), "score"))
+    return rank.rescored(h, root="/home/me/app").select("p_partkey", r6(F.col("score"), "score"))
 
 
 @query("p9_poison_paths", """

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quarrion.operators import retrieve, scope
+from quarrion.functions import text as T
+from quarrion.operators import retrieve, scope, search
 from quarrion.operators.common import r6, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
 from quarrion.plans.registry import query, table
+from quarrion.plans.search_queries import BASE, BM25
 from quarrion.sources import upkeep
 
 
@@ -251,11 +253,16 @@ def s21_line_range(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", upkeep.line_range(F.col("text"), 2, 3).alias("lines"))
 
 
-@query("a15_recall", sql("""
-, h AS (SELECT DISTINCT p.prompt_id, c.source_file FROM prompts p JOIN documents d ON contains(d.text, p.prompt) JOIN chunks c ON c.doc_id = d.doc_id)
-SELECT count(*) AS n_expected, count(DISTINCT prompt_id) AS n_prompts FROM h""", "chunks", "prompts"))
+@query("a15_recall", sql(BM25 + r""",
+top AS (SELECT DISTINCT prompt_id, source_file FROM (SELECT bm.prompt_id, c.source_file, row_number() OVER (PARTITION BY bm.prompt_id ORDER BY round(score, 9) DESC, bm.id) AS k FROM bm JOIN chunks c USING (id)) WHERE k <= 15),
+q AS (SELECT prompt_id, list_filter(regexp_split_to_array(lower(prompt), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM prompts),
+t AS (SELECT source_file, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS c FROM chunks),
+expected AS (SELECT DISTINCT q.prompt_id, t.source_file FROM q JOIN t ON contains(t.c, ' ' || array_to_string(q.w, ' ') || ' '))
+SELECT e.prompt_id, count(*) AS n_expected, count(top.source_file) AS n_found, round(count(top.source_file) / least(count(*), 15), 6) AS recall
+FROM expected e LEFT JOIN top USING (prompt_id, source_file) GROUP BY ALL""", *BASE))
 def a15_recall(spark, sf_dir):
-    d, p = table(spark, sf_dir, "documents"), corpus.prompts(spark, sf_dir)
-    # The stated passages against all documents.
-    h = d.join(F.broadcast(p), F.contains("text", F.col("prompt"))).select("prompt_id", "doc_id").distinct()
-    return h.agg(F.count("*").alias("n_expected"), F.count_distinct("prompt_id").alias("n_prompts"))
+    c, p = corpus.chunks(spark, sf_dir), corpus.prompts(spark, sf_dir)
+    files = c.select("id", "source_file")
+    expected = search.match_phrase_from_rarest(c, p.select("prompt_id", T.words(F.col("prompt")).alias("words"))).join(files, "id").select("prompt_id", "source_file").distinct()
+    best = search.top_hits(search.bm25(c, corpus.prompt_terms(p)).withColumn("score", F.round("score", 9)), 15).join(files, "id")
+    return search.recall(expected, best, 15).withColumn("recall", F.round("recall", 6))

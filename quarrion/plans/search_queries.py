@@ -53,25 +53,21 @@ def a7_index_stats(spark, sf_dir):
 
 
 @query("x3_match_all", sql("""
-, few AS (SELECT prompt_id, term FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY term) AS k FROM prompt_terms) WHERE k <= 2)
 SELECT h.prompt_id, h.view_id, h.id FROM (
-  SELECT f.prompt_id, w.view_id, w.id, count(*) AS k FROM few f JOIN (SELECT DISTINCT view_id, id, term FROM words) w USING (term) GROUP BY ALL) h
-JOIN (SELECT prompt_id, count(*) AS k FROM few GROUP BY ALL) g ON g.prompt_id = h.prompt_id AND g.k = h.k""", *BASE))
+  SELECT f.prompt_id, w.view_id, w.id, count(*) AS k FROM prompt_terms f JOIN (SELECT DISTINCT view_id, id, term FROM words) w USING (term) GROUP BY ALL) h
+JOIN (SELECT prompt_id, count(*) AS k FROM prompt_terms GROUP BY ALL) g ON g.prompt_id = h.prompt_id AND g.k = h.k""", *BASE))
 def x3_match_all(spark, sf_dir):
-    from quarrion.operators.common import top
-
-    few = top(corpus.prompt_terms(corpus.prompts(spark, sf_dir)), ["prompt_id"], ["term"], 2)
-    return search.match_all(search.postings(corpus.chunks(spark, sf_dir), keep=few), few)
+    terms = corpus.prompt_terms(corpus.prompts(spark, sf_dir))
+    return search.match_all(search.postings(corpus.chunks(spark, sf_dir), keep=terms), terms)
 
 
 @query("x3_match_phrase", sql(r"""
-, q AS (SELECT prompt_id, list_slice(list_filter(regexp_split_to_array(lower(prompt), '[^\p{L}\p{N}]+'), lambda x: x <> ''), 1, 3) AS w FROM prompts),
+, q AS (SELECT prompt_id, list_filter(regexp_split_to_array(lower(prompt), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM prompts),
 t AS (SELECT id, view_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS c FROM chunks)
 SELECT q.prompt_id, t.view_id, t.id FROM q JOIN t ON contains(t.c, ' ' || array_to_string(q.w, ' ') || ' ')""", "chunks", "prompts"))
 def x3_match_phrase(spark, sf_dir):
-    q = corpus.prompts(spark, sf_dir).select("prompt_id", F.slice(T.words(F.col("prompt")), 1, 3).alias("words"))
-    terms = q.select(F.explode("words").alias("term"))
-    return search.match_phrase(search.postings(corpus.chunks(spark, sf_dir), keep=terms), q)
+    q = corpus.prompts(spark, sf_dir).select("prompt_id", T.words(F.col("prompt")).alias("words"))
+    return search.match_phrase_from_rarest(corpus.chunks(spark, sf_dir), q)
 
 
 @query("x3_match_prefix", sql("""
@@ -84,9 +80,9 @@ def x3_match_prefix(spark, sf_dir):
 
 @query("x4_sanitize_term", r"""
 SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(replace(t, '"', ' '), '[-–—]+', ' ', 'g'), '\b(AND|OR|NOT)\b', ' ', 'g'), '\s+', ' ', 'g')) AS term
-FROM (SELECT conv_id, turn, 'a-b "' || substr(text, 1, 60) || '" AND NOT--x' AS t FROM conversations)""")
+FROM (SELECT conv_id, turn, 'a-b "' || text || '" AND NOT--x' AS t FROM conversations)""")
 def x4_sanitize_term(spark, sf_dir):
-    t = F.concat(F.lit('a-b "'), F.substring("text", 1, 60), F.lit('" AND NOT--x'))
+    t = F.concat(F.lit('a-b "'), F.col("text"), F.lit('" AND NOT--x'))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.fts_term(t).alias("term"))
 
 
@@ -189,17 +185,17 @@ def p16_identifier_shapes(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.is_identifier(x).alias("shaped"))
 
 
-@query("u5_ordered_distinct", sql("\nSELECT prompt_id, list(term) AS terms FROM (SELECT prompt_id, unnest([1]) AS one, term FROM prompt_terms) GROUP BY prompt_id", "prompts", "prompt_terms").replace("list(term)", "list_sort(list(term))"))
+@query("u5_ordered_distinct", sql(r"""
+, w AS (SELECT prompt_id, list_filter(regexp_split_to_array(lower(prompt), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS u FROM prompts)
+SELECT prompt_id, list_transform(list_filter(list_transform(u, lambda x, i: struct_pack(x := x, i := i)), lambda s: list_position(u, s.x) = s.i), lambda s: s.x) AS terms FROM w""", "prompts"))
 def u5_ordered_distinct(spark, sf_dir):
-    return corpus.prompt_terms(corpus.prompts(spark, sf_dir)).groupBy("prompt_id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    return corpus.prompts(spark, sf_dir).select("prompt_id", F.array_distinct(T.words(F.col("prompt"))).alias("terms"))
 
 
 @query("a12_term_coverage", sql("""
-, d AS (SELECT DISTINCT prompt_id, term FROM prompt_terms WHERE prompt_id < 10)
-SELECT d.prompt_id, c.id, round(sum(CASE WHEN contains(lower(c.content), d.term) THEN 1 ELSE 0 END) / count(*), 6) AS coverage
-FROM d CROSS JOIN (SELECT * FROM chunks WHERE line = 0) c GROUP BY ALL HAVING coverage >= 0.5""", "chunks", "prompts", "prompt_terms"))
+, n AS (SELECT prompt_id, count(*) AS n FROM prompt_terms GROUP BY ALL)
+SELECT p.prompt_id, c.id, round(count(*) / any_value(n.n), 6) AS coverage
+FROM prompt_terms p JOIN chunks c ON contains(lower(c.content), p.term) JOIN n USING (prompt_id) GROUP BY ALL HAVING coverage >= 0.5""", "chunks", "prompts", "prompt_terms"))
 def a12_term_coverage(spark, sf_dir):
-    t = corpus.prompt_terms(corpus.prompts(spark, sf_dir).where("prompt_id < 10")).groupBy("prompt_id").agg(F.collect_list("term").alias("terms"))
-    c = corpus.chunks(spark, sf_dir).where("line = 0")
-    # The stated ten prompts against all first lines.
-    return c.crossJoin(F.broadcast(t)).select("prompt_id", "id", r6(search.contains_words(F.col("content"), F.col("terms")), "coverage")).where("coverage >= 0.5")
+    found = search.term_coverage(corpus.chunks(spark, sf_dir), corpus.prompt_terms(corpus.prompts(spark, sf_dir)))
+    return found.select("prompt_id", "id", r6(F.col("coverage"), "coverage")).where("coverage >= 0.5")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrion.functions import text as T
-from quarrion.operators import compiling, graph, rank, retrieve
+from quarrion.operators import compiling, graph, rank, retrieve, search
 from quarrion.operators.common import r6, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
@@ -131,27 +131,27 @@ def p8_junk_symbols(spark, sf_dir):
     return w.where(F.length("term") > 2).groupBy("term").agg(F.count("*").alias("n"))
 
 
-def links(spark, sf_dir, orders="l_orderkey % 10 = 0"):
-    """Orders as links between customers and order items, with a line's hashes as evidence; by default the tenth that the SQL takes."""
-    li = table(spark, sf_dir, "lineitem").where(orders)
+def links(spark, sf_dir):
+    """Orders as links between customers and order items, with a line's hashes as evidence."""
+    li = table(spark, sf_dir, "lineitem")
     e = F.struct(F.concat(F.lit("p"), "l_partkey").alias("ref"), F.concat(F.lit("v"), (F.col("l_suppkey") % 5).cast("string")).alias("view_id"), F.col("l_partkey").cast("string").alias("file"), F.col("l_returnflag").alias("file_hash"), F.col("l_linestatus").alias("chunk_hash"))
     return li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(e).alias("evidence")).withColumns({"source": F.concat(F.lit("o"), F.col("id").cast("string")), "target": F.concat(F.lit("t"), (F.col("id") % 97).cast("string")), "type": F.lit("uses")})
 
 
 @query("j22_evidence_status", """
 SELECT l_orderkey AS id, CASE max(CASE WHEN p_partkey IS NULL THEN 1 WHEN l_returnflag <> 'A' OR l_linestatus <> 'F' THEN 2 ELSE 0 END) WHEN 2 THEN 'invalid' WHEN 1 THEN 'unavailable' ELSE 'valid' END AS status
-FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON p_partkey = l_partkey WHERE l_orderkey % 10 = 0 GROUP BY 1""")
+FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_partkey % 3 <> 0) ON p_partkey = l_partkey GROUP BY 1""")
 def j22_evidence_status(spark, sf_dir):
     now = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0").select(F.concat(F.lit("p"), "p_partkey").alias("ref"), F.lit("A").alias("file_hash"), F.lit("F").alias("chunk_hash"), F.lit(1).alias("generation"))
     return graph.evidence_status(links(spark, sf_dir), now)
 
 
-@query("g7_invalidate_views", "SELECT l_orderkey AS id FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1 HAVING bool_and(l_suppkey % 5 <> 2)")
+@query("g7_invalidate_views", "SELECT l_orderkey AS id FROM lineitem GROUP BY 1 HAVING bool_and(l_suppkey % 5 <> 2)")
 def g7_invalidate_views(spark, sf_dir):
     return graph.invalidated(links(spark, sf_dir), views=["v2"]).select("id")
 
 
-@query("g7_invalidate_files", "SELECT l_orderkey AS id FROM lineitem WHERE l_orderkey % 10 = 0 GROUP BY 1 HAVING bool_and(NOT (l_suppkey % 5 = 1 AND l_partkey % 2 = 0))")
+@query("g7_invalidate_files", "SELECT l_orderkey AS id FROM lineitem GROUP BY 1 HAVING bool_and(NOT (l_suppkey % 5 = 1 AND l_partkey % 2 = 0))")
 def g7_invalidate_files(spark, sf_dir):
     gone = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.lit("v1").alias("view_id"), F.col("p_partkey").cast("string").alias("file"))
     return graph.invalidated(links(spark, sf_dir), files=gone).select("id")
@@ -168,27 +168,38 @@ def g6_save_links(spark, sf_dir):
 
 @query("j20_link_frontier")
 def j20_link_frontier(spark, sf_dir):
-    seeds = table(spark, sf_dir, "orders").where("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("prompt_id"), F.concat(F.lit("o"), "o_orderkey").alias("ref"))
-    return graph.link_frontier(links(spark, sf_dir, "true"), seeds, ["v0", "v1", "v2", "v3", "v4"])
-
-
-@query("x6_session_search", """
-WITH q AS (SELECT item_id AS prompt_id, unnest(list_slice(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) > 6)), 1, 100)) AS term FROM benchmark),
-w AS (SELECT DISTINCT conv_id || ':' || turn AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term FROM conversations)
-SELECT prompt_id, id, count(*) AS shared FROM q JOIN w USING (term) GROUP BY ALL""")
+    seeds = table(spark, sf_dir, "orders").where("o_orderkey % 100 = 0").select(F.col("o_orderkey").alias("prompt_id"), F.concat(F.lit("o"), "o_orderkey").alias("ref"))
+    return graph.link_frontier(links(spark, sf_dir), seeds, ["v0", "v1", "v2", "v3", "v4"])
+
+
+@query("x6_session_search", r"""
+WITH q AS (SELECT item_id AS prompt_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) > 6))) AS term FROM benchmark),
+w AS (SELECT conv_id || ':' || turn AS id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS term FROM conversations),
+dl AS (SELECT c.conv_id || ':' || c.turn AS id, (SELECT count(*) FROM w WHERE w.id = c.conv_id || ':' || c.turn) AS dl FROM conversations c),
+st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
+tf AS (SELECT id, term, CAST(count(*) AS DOUBLE) AS tf FROM w GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+bm AS (SELECT q.prompt_id, tf.id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl))), 9) AS score
+       FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), st GROUP BY ALL)
+SELECT prompt_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) - 1 AS rank FROM bm) WHERE rank < 10""")
 def x6_session_search(spark, sf_dir):
-    from quarrion.operators.common import small
-
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id"), F.explode(F.slice(F.array_distinct(F.filter(T.words(F.col("text")), lambda x: F.length(x) > 6)), 1, 100)).alias("term"))
-    c = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.explode(F.array_distinct(T.words(F.col("text")))).alias("term"))
-    return c.join(small(q), "term").groupBy("prompt_id", "id").agg(F.count("*").alias("shared"))
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id"), F.explode(F.array_distinct(F.filter(T.words(F.col("text")), lambda x: F.length(x) > 6))).alias("term"))
+    events = table(spark, sf_dir, "conversations").select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.col("text").alias("content"))
+    return search.events_found(events, q).select("prompt_id", "id", "rank", r6(F.col("score"), "score"))
 
 
-@query("c4_tier", sql(FULL_SQL + """,
-t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) AS k FROM hit) WHERE k <= 5)
-SELECT prompt_id, CASE WHEN bool_or(exact AND token_count > 40) THEN 'exact-implementation' WHEN bool_or(exact) THEN 'exact' WHEN count(DISTINCT source_file) = 1 THEN 'file' ELSE 'explore' END AS tier FROM t GROUP BY prompt_id""", *BASE))
+@query("c4_tier", sql(FULL_SQL + r""",
+b AS (SELECT prompt_id, list_distinct(list_filter(regexp_split_to_array(lower(prompt), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 4)) AS w, prompt_id % 4 = 1 AS asks FROM prompts),
+t AS (SELECT prompt_id, 4 * score AS score, regexp_extract(content, '[a-z]{4,}') AS symbol, regexp_extract(content, '[a-z]+ ([a-z]+)', 1) AS stem, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) AS k FROM hit),
+x AS (SELECT t.prompt_id, bool_or(symbol <> '' AND list_contains(w, symbol) AND score >= 10) AS e, bool_or(list_contains(w, stem) AND score >= 5) AS f, any_value(asks) AS asks FROM t JOIN b USING (prompt_id) WHERE k <= 5 GROUP BY ALL)
+SELECT prompt_id, CASE WHEN e AND asks THEN 'exact-implementation' WHEN e THEN 'exact' WHEN f THEN 'file' ELSE 'explore' END AS tier FROM x""", *BASE))
 def c4_tier(spark, sf_dir):
-    return compiling.tier(full(spark, sf_dir))
+    w = F.array_distinct(F.filter(T.words(F.col("prompt")), lambda x: F.length(x) >= 4))
+    asked = F.when(F.col("prompt_id") % 4 == 1, F.concat(F.lit("How does it work? "), "prompt")).otherwise(F.col("prompt"))
+    i = corpus.prompts(spark, sf_dir).select("prompt_id", asked.alias("prompt"), w.alias("identifiers"), w.alias("concepts"))
+    path = F.concat(F.lit("d/"), F.regexp_extract("content", "[a-z]+ ([a-z]+)", 1), F.lit(".x.txt"))
+    h = full(spark, sf_dir).withColumns({"symbol_name": F.regexp_extract("content", "[a-z]{4,}", 0), "source_file": path, "score": 4 * F.col("score")})
+    return compiling.tier(h, i)
 
 
 @query("c9_compile")
@@ -245,13 +256,13 @@ def a11_call_terms(spark, sf_dir):
 
 
 @query("j13_edges_with_chunks", """
-WITH e AS (SELECT l_orderkey AS source, l_partkey + 1000000 AS target, l_suppkey AS c FROM lineitem WHERE l_orderkey % 50 = 0),
+WITH e AS (SELECT l_orderkey AS source, l_partkey + 1000000 AS target, l_suppkey AS c FROM lineitem),
 b AS (SELECT source AS node, target AS neighbour, c FROM e UNION ALL SELECT target, source, c FROM e)
 SELECT b.node, b.neighbour, s_name AS source_file FROM b LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON s_suppkey = b.c WHERE b.node % 100 = 0""")
 def j13_edges_with_chunks(spark, sf_dir):
     from quarrion.operators import knowledge
 
-    e = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target"), F.col("l_suppkey").alias("source_chunk_id"))
+    e = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("source"), (F.col("l_partkey") + 1000000).alias("target"), F.col("l_suppkey").alias("source_chunk_id"))
     nodes = e.select(F.col("source").alias("node")).unionByName(e.select(F.col("target").alias("node"))).where("node % 100 = 0")
     chunks = table(spark, sf_dir, "supplier").where("s_suppkey % 3 <> 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("source_file"))
     return knowledge.neighbours_with_chunks(e, nodes, chunks).select("node", "neighbour", "source_file")

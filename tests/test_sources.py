@@ -104,7 +104,7 @@ def test_retrieval_end_to_end(spark, root):
     assert all(len(v) <= config.Config().max_results and [r.rank for r in v] == list(range(len(v))) for v in by.values())
     out = compiling.compiled(got, retrieve.intents(prompts).select("prompt_id", F.transform("identifiers", lambda x: F.lower(x)).alias("terms"))).collect()
     assert {r.prompt_id for r in out} == {1, 2} and all(r.tokens <= 1200 for r in out)
-    assert {r.prompt_id: r.tier for r in compiling.tier(got).collect()}[1].startswith("exact")
+    assert {r.prompt_id: r.tier for r in compiling.tier(got, retrieve.intents(prompts)).collect()}[1].startswith("exact")
     c.unpersist()
 
 
