@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-import re
 from xml.sax.saxutils import escape as _escape
 
 import pandas as pd
@@ -11,22 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.config import Config
+from quarrion.functions import content
+from quarrion.operators import packing
 from quarrion.operators.common import top
 
+tokens = packing.tokens
 LAYER_ORDER = ("session", "repo", "workspace", "global")
-CODE = re.compile(r"[{}()\[\];=<>]")
-
-
 def escape(text: str) -> str:
     return _escape(text, {'"': "&quot;", "'": "&apos;"})
 
 
-def tokens(text: str) -> int:
-    """The estimate of quarrion.functions.text.token_estimate, for the packer."""
-    n = len(text)
-    return math.ceil(n / (4.5 - min(len(CODE.findall(text)) / max(n, 1), 0.5) * 3)) if n else 0
-
-
 def primaries(hits: DataFrame, per_file: int = 2, total: int = 5) -> DataFrame:
     """The leading hits by column lead: at most per_file of a file and total in all, with their rank."""
     return top(top(hits, ["prompt_id", "source_file"], [F.desc("lead"), "id"], per_file), ["prompt_id"], [F.desc("lead"), "id"], total, "rank")
@@ -64,72 +56,6 @@ def tier(hits: DataFrame, intents: DataFrame) -> DataFrame:
     return per.select("prompt_id", F.when(F.col("e") & F.col("i"), "exact-implementation").when(F.col("e"), "exact").when(F.col("f"), "file").otherwise("explore").alias("tier"))
 
 
-def fitted(content: str, most: int, terms: list[str]) -> str:
-    """content cut to `most` tokens: lines with a signal term stay longest, then the first and last lines; gaps are marked."""
-    if tokens(content) <= most:
-        return content
-    lines = content.split("\n")
-    hit = [any(t in x.lower() for t in terms) for x in lines]
-    order = sorted(range(len(lines)), key=lambda i: (not hit[i], min(i, len(lines) - 1 - i), i))
-    kept: set[int] = set()
-    used = 0
-    for i in order:
-        n = tokens(lines[i] + "\n") + 1
-        if used + n > most:
-            continue
-        kept.add(i)
-        used += n
-    if not kept:
-        return content[: int(most * 3)] if most > 0 else ""
-    out, last = [], -1
-    for i in sorted(kept):
-        if i != last + 1:
-            out.append("…")
-        out.append(lines[i])
-        last = i
-    while len(out) > 1 and tokens("\n".join(out)) > most:
-        out.pop()
-    return "\n".join(out)
-
-
-def stub(row) -> str:
-    where = f"{row.source_file}:{int(row.line)}" if pd.notna(getattr(row, "line", None)) else row.source_file
-    return f"- {where}"
-
-
-def pack(hits: pd.DataFrame, budget: int, terms: list[str]) -> pd.DataFrame:
-    """hits of one prompt, best first, with body and kind (body, excerpt or stub); bodies and stubs stay within the budget.
-
-    The leader may take 40 % of the budget if others wait; a hit of up to 550 tokens is taken whole or not at all;
-    larger ones are cut to what is left below 92 % of the budget. A body that another holds is dropped.
-    """
-    out, used, bodies = [], 0, []
-    rows = list(hits.itertuples())
-    for i, r in enumerate(rows):
-        text, n = r.content, tokens(r.content)
-        if any(text in b for b in bodies):
-            continue
-        room = budget - used
-        if i == 0 and len(rows) > 1:
-            room = min(room, max(int(budget * 0.4), min(n, int(budget * 0.65))))
-        if n <= room:
-            kind = "body"
-        elif n > 550 and min(room, int(budget * 0.92) - used) >= 60 or i == 0:
-            text = fitted(text, min(room, max(int(budget * 0.92) - used, 0)), terms)
-            kind, n = "excerpt", tokens(text)
-        else:
-            text = stub(r)
-            kind, n = "stub", tokens(text)
-        if n == 0 or used + n > budget:
-            continue
-        used += n
-        bodies += [text] if kind != "stub" else []
-        out.append((r.Index, text, kind, n))
-    got = hits.loc[[x[0] for x in out]].copy()
-    got["body"], got["kind"], got["tokens"] = ([x[k] for x in out] for k in (1, 2, 3))
-    return got
-
-
 def common_folder(paths: list[str]) -> str:
     parts = [p.split("/")[:-1] for p in paths]
     same = []
@@ -166,7 +92,7 @@ def xml(packed: pd.DataFrame, most: int) -> tuple[str, list]:
         name = "more" if r.kind == "stub" else "chunk"
         body = escape(r.body) if r.kind == "stub" else f"<![CDATA[{r.body.replace(']]>', ']]]]><![CDATA[>')}]]>"
         element = f'<{name} path="{escape(r.source_file)}" layer="{escape(r.layer)}">{body}</{name}>\n'
-        if tokens(head + "".join(parts) + element + tail) <= most:
+        if packing.tokens(head + "".join(parts) + element + tail) <= most:
             parts.append(element)
             kept.append(r.Index)
     return head + "".join(parts) + tail, kept
@@ -175,9 +101,10 @@ def xml(packed: pd.DataFrame, most: int) -> tuple[str, list]:
 def compiled(hits: DataFrame, prompts: DataFrame, cfg: Config | None = None, budget: int | None = None, form: str = "markdown") -> DataFrame:
     """(prompt_id, output, tokens, n_body, n_excerpt, n_stub): one rendering a prompt, as markdown or xml, within the budget.
 
-    hits: prompt_id, id, source_file, layer, line, content, score, bounded a prompt by the final cap. prompts: prompt_id, terms.
-    Packing is a walk in order of score, so a prompt is one group; prompts run in parallel. A rendering over the budget
-    loses its last body until it fits.
+    hits: prompt_id, id, source_file, layer, line, content, score and, where there are any, symbol_name, symbol_kind, parent_symbol,
+    section_title, language, sent (boolean); bounded a prompt by the final cap. prompts: prompt_id, terms (identifiers and words) and, where there are
+    any, identifiers, concepts, tier. Packing is a walk in order, so a prompt is one group; prompts run in parallel. A rendering over
+    the budget loses its last body until it fits.
     """
     cfg = cfg or Config()
     most = budget or cfg.max_token_budget
@@ -185,17 +112,31 @@ def compiled(hits: DataFrame, prompts: DataFrame, cfg: Config | None = None, bud
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        packed = pack(pdf, inner, list(pdf.terms.iloc[0]))
+        first = pdf.iloc[0]
+        none = lambda x: [] if x is None else list(x)
+        s = packing.Signals(content.signals(none(first.terms), none(first.concepts)), frozenset(x.lower() for x in none(first.identifiers)), first.tier or "explore")
+        made = [
+            packing.Hit(r.id, r.source_file, r.content, r.score, r.Index, r.layer, r.symbol_name or "", r.symbol_kind or "", r.parent_symbol or "", r.section_title or "", int(r.line) if pd.notna(r.line) else None, r.language or "")
+            for r in pdf.itertuples()
+        ]
+        got = packing.pack(made, inner, s, frozenset(pdf.id[pdf.sent.fillna(False).astype(bool)]))
+        packed = pd.DataFrame([(h.key, h.source_file, h.layer, h.content, h.form) for h in got], columns=["key", "source_file", "layer", "body", "kind"])
         if form == "xml":
             text, kept = xml(packed, most)
             packed = packed.loc[kept]
         else:
             text = markdown(packed)
-        while form != "xml" and tokens(text) > most and len(packed):
-            packed = packed.iloc[:-1]
+        while form != "xml" and packing.tokens(text) > most and len(packed):
+            stubs = packed[packed.kind == "stub"]
+            packed = packed.drop(stubs.index[-1] if len(stubs) else packed.index[-1])
             text = markdown(packed)
         n = packed.kind.value_counts()
-        return pd.DataFrame({"prompt_id": [pdf.prompt_id.iloc[0]], "output": [text], "tokens": [tokens(text)], **{f"n_{k}": [int(n.get(k, 0))] for k in ("body", "excerpt", "stub")}})
+        return pd.DataFrame({"prompt_id": [first.prompt_id], "output": [text], "tokens": [packing.tokens(text)], **{f"n_{k}": [int(n.get(k, 0))] for k in ("body", "excerpt", "stub")}})
+
+    def some(df: DataFrame, **kinds: str) -> list:
+        return [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
 
-    rows = hits.select("prompt_id", "id", "source_file", "layer", "line", "content", "score").join(prompts.select("prompt_id", "terms"), "prompt_id")
-    return rows.groupBy("prompt_id").applyInPandas(run, "prompt_id long, output string, tokens long, n_body long, n_excerpt long, n_stub long")
+    names = {c: "string" for c in ("symbol_name", "symbol_kind", "parent_symbol", "section_title", "language")}
+    rows = hits.select("prompt_id", "id", "source_file", "layer", "line", "content", "score", *some(hits, **names, sent="boolean"))
+    asked = prompts.select("prompt_id", "terms", *some(prompts, identifiers="array<string>", concepts="array<string>", tier="string"))
+    return rows.join(asked, "prompt_id").groupBy("prompt_id").applyInPandas(run, "prompt_id long, output string, tokens long, n_body long, n_excerpt long, n_stub long")
