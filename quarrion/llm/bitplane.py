@@ -154,15 +154,15 @@ def open_file(uri: str):
 
 def encode_batches(batches, path: str | None, end_id: int, special_as_text: bool = False):
     """(columns without the text, ids of all rows with their end ids, number of each) of slices of batches whose second column is the text."""
-    coder = encoder(path, special_as_text)
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
-        for s in C.slices(sizes, sizes, SLICE):
-            part = batch.slice(s.start, s.stop - s.start)
-            ids, counts = coder.encode(part.column(1), end_id)
-            yield [part.column(k).to_pylist() for k in range(part.num_columns) if k != 1], ids, counts
-            del ids, counts
-        pa.default_memory_pool().release_unused()
+    with encoder(path, special_as_text) as coder:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist()
+            for s in C.slices(sizes, sizes, SLICE):
+                part = batch.slice(s.start, s.stop - s.start)
+                ids, counts = coder.encode(part.column(1), end_id)
+                yield [part.column(k).to_pylist() for k in range(part.num_columns) if k != 1], ids, counts
+                del ids, counts
+            pa.default_memory_pool().release_unused()
 
 
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, kind: str = "byte", special_as_text: bool = False) -> DataFrame:

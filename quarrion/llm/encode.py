@@ -12,8 +12,13 @@ against each other.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import json
 import os
+import threading
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,7 +33,12 @@ LONG_PIECE = 48
 SLICE = 4 << 20
 #: Pieces whose ids are gathered at a time.
 GATHER = 1 << 17
+#: Seconds after which an unused encoder goes.
+IDLE = 5.0
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_USES: list[tuple[str, bool]] = []
+_TIMER: list[threading.Timer] = []
+_LOCK = threading.Lock()
 #: Unknown pieces that the library gets as one text, a line each, and in one call.
 TOGETHER, CALL = 512, 8192
 #: Blanks other than ASCII's as UTF-8, by length (fixed values: the white space of Unicode, and U+180E, once one).
@@ -274,9 +284,33 @@ class Encoder:
         return ids, counts
 
 
-def encoder(path: str | None = None, special_as_text: bool = False) -> Encoder:
-    """One encoder a worker process, vocabulary file and setting."""
+@contextlib.contextmanager
+def encoder(path: str | None = None, special_as_text: bool = False) -> Iterator[Encoder]:
+    """One encoder a worker process, vocabulary file and setting. Workers outlive a stage, so one that isn't used for IDLE
+    seconds is let go, and its memory given back."""
     key = path or default_path(), special_as_text
-    if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder(*key)
-    return _ENCODERS[key]
+    with _LOCK:
+        if key not in _ENCODERS:
+            _ENCODERS[key] = Encoder(*key)
+        found = _ENCODERS[key]
+        _USES.append(key)
+    try:
+        yield found
+    finally:
+        with _LOCK:
+            _USES.remove(key)
+            if _TIMER:
+                _TIMER.pop().cancel()
+            _TIMER.append(threading.Timer(IDLE, _let_go))
+            _TIMER[0].daemon = True
+            _TIMER[0].start()
+
+
+def _let_go() -> None:
+    with _LOCK:
+        if not _USES:
+            _ENCODERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library isn't glibc
+        ctypes.CDLL(None).malloc_trim(0)

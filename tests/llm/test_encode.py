@@ -51,6 +51,22 @@ def test_forgetting(both, monkeypatch):
         same(both, [f"word{k} of the longer {t}" for t in ODD])
 
 
+def test_idle_encoders_go(monkeypatch):
+    import time
+
+    monkeypatch.setattr(encode, "IDLE", 0.2)
+    with encode.encoder() as a, encode.encoder() as b:
+        assert a is b
+        time.sleep(0.5)
+        assert encode._ENCODERS
+    with encode.encoder() as c:
+        assert c is a
+    time.sleep(0.6)
+    assert not encode._ENCODERS
+    with encode.encoder() as d:
+        assert d is not a and d.encode(pa.array(["a b"]))[1].tolist() == [2]
+
+
 def test_special_strings_as_text():
     e, plain = Encoder(default_path(), True), Tokenizer.from_file(default_path())
     plain.encode_special_tokens = True
