@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from quarrion.llm import common as C
@@ -252,24 +253,30 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, bits: int = BITS, folder: s
     queries = C.cut(queries.withColumn("_q", F.monotonically_increasing_id()), "va-queries")
     blocks = max(1, -(-queries.count() // BLOCK))
     groups = max(1, min(len(paths), -(-tasks(spark) // blocks)))
-    dealt = queries.withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(blocks))).withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def search(key, table):
-        parts = []
-        for at in range(0, table.num_rows, BLOCK):
-            part = table.slice(at, BLOCK).combine_chunks()
-            rows, q = integers(part.column("embedding").chunk(0))
-            if not len(rows):
-                continue
-            s = Search(part.column("vec_id").to_numpy()[rows], q, k)
-            for segment in segments_of(paths[key[1].as_py() :: groups]):
-                s.scan(segment)
-            s.resolve()
-            if len(s.query):
-                parts.append(pa.Table.from_arrays([pa.array(s.ids[s.query]), pa.array((s.rank + 1).astype("i4")), pa.array(s.vec), pa.array(s.score), pa.array(part.column("_q").to_numpy()[rows][s.query])], schema=schema))
-        return pa.concat_tables(parts) if parts else schema.empty_table()
-
-    found = dealt.groupBy("_b", "_g").applyInArrow(search, shape)
+    turn = F.pmod(F.xxhash64("_q"), F.lit(blocks)).cast("int") * groups
+    dealt = queries.withColumn("_t", F.explode(F.sequence(turn, turn + groups - 1))).repartitionByRange(blocks * groups, "_t").sortWithinPartitions("_t")
+
+    def search(batches):
+        rows = pa.Table.from_batches(batches, pa_queries)  # a block or so
+        turns = rows.column("_t").to_numpy()
+        for t in np.unique(turns):
+            first, last = np.searchsorted(turns, [t, t + 1])
+            for at in range(first, last, BLOCK):
+                yield from answered(rows.slice(at, min(BLOCK, last - at)).combine_chunks(), paths[int(t) % groups :: groups])
+
+    def answered(part: pa.Table, files: list[str]):
+        rows, q = integers(part.column("embedding").chunk(0))
+        if not len(rows):
+            return
+        s = Search(part.column("vec_id").to_numpy()[rows], q, k)
+        for segment in segments_of(files):
+            s.scan(segment)
+        s.resolve()
+        if len(s.query):
+            yield pa.RecordBatch.from_arrays([pa.array(s.ids[s.query]), pa.array((s.rank + 1).astype("i4")), pa.array(s.vec), pa.array(s.score), pa.array(part.column("_q").to_numpy()[rows][s.query])], schema=schema)
+
+    pa_queries = to_arrow_schema(dealt.schema)
+    found = dealt.mapInArrow(search, shape)
     if groups > 1:  # k rows a query and group
         by = Window.partitionBy("_q").orderBy(F.desc("score"), "vec_id")
         found = found.withColumn("rank", F.row_number().over(by).cast("int")).where(F.col("rank") <= k)
