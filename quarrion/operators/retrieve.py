@@ -105,10 +105,10 @@ def class_children(chunks: DataFrame, hits: DataFrame) -> DataFrame:
     return by_parent(chunks, named.select("prompt_id", F.col("symbol_name").alias("name")).distinct()).select("prompt_id", "id")
 
 
-def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None) -> DataFrame:
-    """All strategies' lists for intents i, each cut to its limit."""
+def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None, index: search.Index | None = None) -> DataFrame:
+    """All strategies' lists for intents i, each cut to its limit. index: of the chunks, if one is stored."""
     cfg = cfg or Config()
-    text = {"content": 10.0, "section_title": 8.0, "summary": 6.0}
+    text = config.COLUMN_WEIGHTS
     c = chunks.withColumn("summary", F.coalesce("summary", F.lit("")))
     lists = []
     terms = _unigrams(i)
@@ -122,18 +122,19 @@ def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None)
 
     long_ = terms.where((F.length("term") >= 6) & ~F.col("term").isin(*PLAIN_TERMS))
     asked = words.select("term").unionByName(idw.select("term")).unionByName(extra.select("term")).unionByName(long_.select("term")).distinct()
-    parts = settled(search.term_parts(c, asked, text))
+    words, idw, extra = (search.folded(x, "prompt_id") for x in (words, idw, extra))
+    parts = settled(search.index_parts(index or search.index(c, text), search.folded(asked)))
     any_ = search.summed(parts, words)
     n_terms = words.groupBy("prompt_id").agg(F.count("*").alias("n"))
     lists.append(_list(best(any_, cfg.fts_limit), "fts-or", 2.0))
     few = n_terms.where("n between 2 and 6")
     lists.append(_list(best(any_.join(few, "prompt_id").where("n_terms = n"), cfg.fts_limit), "fts-and", 2.0))
-    one = search.summed(parts, long_.select(F.concat_ws("\t", F.col("prompt_id").cast("string"), "term").alias("prompt_id"), "term"))
+    one = search.summed(parts, search.folded(long_.select(F.concat_ws("\t", F.col("prompt_id").cast("string"), "term").alias("prompt_id"), "term"), "prompt_id"))
     one = top(one, ["prompt_id"], [F.desc("score"), "id"], min(cfg.fts_limit, 8)).withColumn("k", F.split("prompt_id", "\t"))
     lists.append(_list(one.select(F.get("k", F.lit(0)).cast("long").alias("prompt_id"), "id", "score", F.concat(F.lit("fts-term:"), F.get("k", F.lit(1))).alias("s")), F.col("s"), 0.4))
     lists.append(_list(best(search.summed(parts, extra), min(cfg.fts_limit, 8)), "intent-aware", 1.0))
     phrases = i.select("prompt_id", F.explode("quoted").alias("q")).select(F.concat_ws("\t", F.col("prompt_id").cast("string"), "q").alias("prompt_id"), T.words(F.col("q")).alias("words")).where(F.size("words") > 0)
-    posts = search.postings(c, text, phrases.select(F.explode("words").alias("term")))
+    posts = search.postings(c, {"content": 1.0, "section_title": 1.0, "summary": 1.0}, phrases.select(F.explode("words").alias("term")))
     quoted = search.match_phrase(posts, phrases).select(F.get(F.split("prompt_id", "\t"), F.lit(0)).cast("long").alias("prompt_id"), "id", F.lit(1.0).alias("score"))
     lists.append(_list(best(quoted.groupBy("prompt_id", "id").agg(F.sum("score").alias("score")), cfg.fts_limit), "quoted-term", 1.0))
 
@@ -175,12 +176,12 @@ def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None)
     return out
 
 
-def retrieved(chunks: DataFrame, edges: DataFrame, prompts: DataFrame, feedback: DataFrame | None = None, cfg: Config | None = None, as_of_ms: Column | None = None) -> DataFrame:
+def retrieved(chunks: DataFrame, edges: DataFrame, prompts: DataFrame, feedback: DataFrame | None = None, cfg: Config | None = None, as_of_ms: Column | None = None, index: search.Index | None = None) -> DataFrame:
     """prompts to at most cfg.max_results chunks each, with score, rank and why: fuse, expand by graph, merge, re-score, diversify,
     drop what is contained or repeated, cap segments, cut."""
     cfg = cfg or Config()
     i = settled(intents(prompts))
-    direct = settled(fuse.rrf(candidate_lists(chunks, i, cfg), trace=True))
+    direct = settled(fuse.rrf(candidate_lists(chunks, i, cfg, index), trace=True))
     best = top(direct, ["prompt_id"], [F.desc("score"), "id"], 5).join(chunks.select("id", "keywords", "symbol_name"), "id")
     shaped = best.select("prompt_id", F.explode(F.concat(F.filter(F.coalesce("keywords", F.array().cast("array<string>")), T.is_identifier), F.array(F.coalesce("symbol_name", F.lit(""))))).alias("node")).where(F.length("node") > 2)
     seeds = _terms(i.select("prompt_id", F.concat("identifiers", "quoted").alias("x")), "x", "node").unionByName(shaped).distinct()

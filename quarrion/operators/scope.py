@@ -91,3 +91,61 @@ def resolved_imports(imports: DataFrame, manifests: DataFrame, exports: DataFram
     j = i.join(manifests, ["view_id", "dependency"], "left").join(exports.select(F.col("package").alias("target_package"), "subpath", "name", "ref"), ["target_package", "subpath", "name"], "left")
     n = j.groupBy("import_id").agg(F.count("ref").alias("n"), F.min("ref").alias("ref"), F.max(F.col("target_package").isNotNull()).alias("known"))
     return n.select("import_id", F.when(F.col("n") == 1, F.col("ref")).alias("target_ref"), F.when(F.col("n") == 1, "resolved").when(F.col("n") > 1, "ambiguous").when(F.col("known"), "missing").otherwise("unknown-dependency").alias("status"))
+
+
+def bound(tables: dict[str, DataFrame], old: dict, view: dict) -> tuple[dict[str, DataFrame], dict]:
+    """(tables, identity) of a store bound to a view: every row gets its view_id, and the identity says so.
+
+    old, view: view_id, root_path and whatever else is known. A store that was bound elsewhere needs to be indexed again; one that is bound
+    alike is left as it is.
+    """
+    if all(old.get(k) == v for k, v in view.items()):
+        return tables, old
+    moved = bool(old.get("view_id")) and old.get("root_path") != view["root_path"]
+    owned = {name: t.withColumn("view_id", F.lit(view["view_id"])) for name, t in tables.items()}
+    return owned if old.get("view_id") != view["view_id"] or moved else tables, {**old, **view, "needs_reindex": moved or old.get("needs_reindex", False)}
+
+
+def registered(dims: dict[str, DataFrame], found: DataFrame, group: str | None = None) -> dict[str, DataFrame]:
+    """dims(projects, worktrees, views, memberships) with what a discovery found: (project_id, name, worktree_id, root_path, branch, head).
+
+    A worktree has one view a branch, named worktree@branch; that of its branch now is active, the others stay, inactive. Rows
+    that change get a higher revision, others keep theirs. group: the projects join it.
+    """
+    views = found.select(F.concat_ws("@", "worktree_id", "branch").alias("view_id"), "worktree_id", "project_id", "branch", "head", F.lit(True).alias("active"))
+    seen = found.select("worktree_id").distinct()
+    idle = dims["views"].join(seen, "worktree_id", "left_semi").join(views, "view_id", "left_anti").withColumn("active", F.lit(False))
+    out = {
+        "projects": _revised(dims["projects"], found.groupBy("project_id").agg(F.min("name").alias("name")), ["project_id"]),
+        "worktrees": _revised(dims["worktrees"], found.select("worktree_id", "project_id", "root_path"), ["worktree_id"]),
+        "views": _revised(dims["views"], views.unionByName(idle.select(views.columns)), ["view_id"]),
+        "memberships": dims["memberships"],
+    }
+    if group is not None:
+        new = found.select(F.lit(group).alias("group_id"), "project_id").distinct()
+        out["memberships"] = dims["memberships"].unionByName(new.join(dims["memberships"], ["group_id", "project_id"], "left_anti"))
+    return out
+
+
+def _revised(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """old(key, ..., revision) with new rows in place: revision 1, or one more where any value differs."""
+    rest = [c for c in new.columns if c not in key]
+    j = new.join(old.select(*key, F.struct(*rest).alias("_o"), F.col("revision").alias("_r")), key, "left")
+    revision = F.when(F.col("_r").isNull(), 1).when(F.col("_o").eqNullSafe(F.struct(*rest)), F.col("_r")).otherwise(F.col("_r") + 1)
+    return old.join(new, key, "left_anti").unionByName(j.select(*new.columns, revision.cast("long").alias("revision")).select(old.columns))
+
+
+def learned_imports(hits: DataFrame, imports: DataFrame, resolved: DataFrame, files: int = 3, attempts: int = 6) -> tuple[DataFrame, DataFrame]:
+    """(links, suggestions) that the files of a prompt's best hits give.
+
+    hits: prompt_id, id, view_id, source_file, score. imports: view_id, source_file, source (the file's own ref), specifier, mode, k (place in the file), local
+    (whether it names a path or a mapped package). resolved: view_id, source, specifier, mode, target, target_view. Of each prompt, the first `files` script files by score are
+    looked at, and `attempts` distinct imports in all. What resolves into another view is a link; what looks local and doesn't resolve, a suggestion.
+    """
+    best = hits.where(F.col("source_file").rlike(r"(?i)\.[jt]sx?$")).groupBy("prompt_id", "view_id", "source_file").agg(F.max(F.struct("score", F.lit(0))).alias("s"), F.min("id").alias("id"))
+    first = top(best.withColumn("score", F.col("s.score")), ["prompt_id"], [F.desc("score"), "id"], files, "file")
+    each = imports.groupBy("view_id", "source_file", "source", "specifier", "mode").agg(F.min("k").alias("k"), F.max("local").alias("local"))
+    tried = top(first.select("prompt_id", "view_id", "source_file", "file").join(each, ["view_id", "source_file"]), ["prompt_id"], ["file", "k", "specifier", "mode"], attempts)
+    got = tried.join(resolved, ["view_id", "source", "specifier", "mode"], "left")
+    links = got.where(F.col("target").isNotNull() & (F.col("target_view") != F.col("view_id"))).select("prompt_id", "source", "target", F.lit("imports").alias("type"), "specifier")
+    return links.distinct(), got.where(F.col("target").isNull() & F.col("local")).select("prompt_id", "source", "specifier", "mode").distinct()

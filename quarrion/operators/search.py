@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from dataclasses import dataclass
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,35 +44,87 @@ def term_stats(posts: DataFrame) -> DataFrame:
     return posts.groupBy("view_id", "term", "id").agg(F.lit(1).alias("one")).groupBy("view_id", "term").agg(F.count("*").alias("df"))
 
 
-def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] | None = None) -> DataFrame:
-    """(prompt_id, view_id, id, score, n_terms) of the chunks that hold any of the prompts' terms(prompt_id, term)."""
-    return summed(term_parts(chunks, terms, columns), terms)
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings(view_id, term, id, tf), where terms are stems and tf is weighted by column; docs(view_id, id, dl);
+    terms(view_id, term, idf, avgdl). Statistics are those of a view."""
 
+    postings: DataFrame
+    docs: DataFrame
+    terms: DataFrame
 
-def summed(parts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Scores of prompts from the parts that single terms give."""
-    return parts.join(small(terms.distinct()), "term").groupBy("prompt_id", "view_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("n_terms"))
+
+def _text(column: str) -> Column:
+    """A column of text, or an array of words, as text."""
+    return F.concat_ws(" ", F.col(column))
+
+
+def folded(rows: DataFrame, *keep: str) -> DataFrame:
+    """(keep, term): rows(term) without accents and by their stems, each once. A distinct word is stemmed once."""
+    return stemmed(rows).select(*keep, F.col("stem").alias("term")).distinct()
+
+
+def stemmed(rows: DataFrame) -> DataFrame:
+    """rows(term) with their stem; accents go first."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda w: porter("".join(c for c in unicodedata.normalize("NFD", w) if unicodedata.category(c) != "Mn")))
+
+    vocabulary = settled(rows.select("term").distinct().withColumn("stem", run("term")))
+    return rows.join(small(vocabulary), "term")
+
+
+def idf(n: Column, df: Column) -> Column:
+    """Okapi's, at least a millionth, so that words of most chunks still count."""
+    return F.greatest(F.log((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
 
 
-def term_parts(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] | None = None) -> DataFrame:
-    """(view_id, id, term, part): what each of the given terms(term) adds to the score of each chunk that holds it.
+def index(chunks: DataFrame, columns: dict[str, float] | None = None, stem: bool = True, folder: str | None = None) -> Index:
+    """The index of chunks(view_id, id and the columns, texts or arrays of words), written to folder if one is given.
 
-    Weights multiply a column's term frequency. Prompts play no part, so several term sets can share one pass.
+    Weights multiply a column's term frequency; lengths count words of all columns. Only counts are kept, not positions.
     """
-    columns = columns or {"content": 1.0}
-    words = None
-    for c, weight in columns.items():  # each occurrence counts its column's weight; positions aren't needed here
-        w = chunks.select("view_id", "id", F.lit(float(weight)).alias("w"), F.explode(T.words(F.coalesce(F.col(c), F.lit("")))).alias("term"))
-        words = w if words is None else words.unionByName(w)
-    words = words.join(small(terms.select("term").distinct()), "term", "left_semi")
-    tf = words.groupBy("view_id", "term", "id").agg(F.sum("w").alias("tf"))
-    dl = lengths(chunks, columns)
-    stats = view_stats(dl)
-    df = tf.groupBy("view_id", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    columns = columns or config.COLUMN_WEIGHTS
+    parts = F.array(*(F.struct(F.lit(float(w)).alias("w"), T.words(_text(c)).alias("t")) for c, w in columns.items()))
+    split = chunks.select("view_id", "id", parts.alias("p"))
+    docs = split.select("view_id", "id", F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + F.size(x["t"])).alias("dl"))
+    words = split.select("view_id", "id", F.explode("p").alias("p")).select("view_id", "id", "p.w", F.explode("p.t").alias("term")).groupBy("view_id", "id", "term").agg(F.sum("w").alias("tf"))
+    if stem:
+        words = stemmed(words).groupBy("view_id", "id", F.col("stem").alias("term")).agg(F.sum("tf").alias("tf"))
+    keep = (lambda df, name: _written(df, f"{folder}/{name}")) if folder else lambda df, name: df
+    postings, docs = keep(words.select("view_id", "term", "id", "tf").repartition("term").sortWithinPartitions("term") if folder else words, "postings"), keep(docs, "docs")
+    df = postings.groupBy("view_id", "term").agg(F.count("*").alias("df")).join(F.broadcast(view_stats(docs)), "view_id")  # a row a view
+    return Index(postings, docs, keep(df.select("view_id", "term", idf(F.col("n"), F.col("df")).alias("idf"), "avgdl"), "terms"))
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scored(ix: Index, terms: DataFrame) -> DataFrame:
+    """(prompt_id, view_id, id, score, n_terms) of the chunks that hold any of the prompts' stems terms(prompt_id, term)."""
+    return summed(index_parts(ix, terms), terms)
+
+
+def index_parts(ix: Index, terms: DataFrame) -> DataFrame:
+    """(view_id, id, term, part): what each of the given stems adds to the score of each chunk that holds it. Prompts play no
+    part, so several term sets can share one pass over the postings, which the terms reach as a filter."""
+    wanted = small(terms.select("term").distinct())
+    tf = ix.postings.join(wanted, "term", "left_semi").join(small(ix.terms.join(wanted, "term", "left_semi")), ["view_id", "term"]).join(ix.docs, ["view_id", "id"])
     part = F.col("idf") * F.col("tf") * (config.K1 + 1) / (F.col("tf") + config.K1 * (1 - config.B + config.B * F.col("dl") / F.col("avgdl")))
-    known = df.join(F.broadcast(stats), "view_id").select("view_id", "term", idf.alias("idf"), "avgdl")  # a row a view
-    return tf.join(known, ["view_id", "term"]).join(dl, ["view_id", "id"]).select("view_id", "id", "term", part.alias("part"))
+    return tf.select("view_id", "id", "term", part.alias("part"))
+
+
+def bm25(chunks: DataFrame, terms: DataFrame, columns: dict[str, float] | None = None, stem: bool = True) -> DataFrame:
+    """scored() of chunks without a stored index; terms are words."""
+    return scored(index(chunks, columns or {"content": 1.0}, stem), folded(terms, "prompt_id") if stem else terms.select("prompt_id", "term").distinct())
+
+
+def summed(parts: DataFrame, terms: DataFrame) -> DataFrame:
+    """Scores of prompts from the parts that single terms give."""
+    return parts.join(small(terms.distinct()), "term").groupBy("prompt_id", "view_id", "id").agg(F.sum("part").alias("score"), F.count("*").alias("n_terms"))
 
 
 def match_all(posts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -112,7 +167,7 @@ def match_phrase_from_rarest(chunks: DataFrame, phrases: DataFrame) -> DataFrame
 
 def events_found(events: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
     """The n best of events(id, content) for each prompt of terms(prompt_id, term), by unweighted BM25, ranked from 0."""
-    return top_hits(bm25(events.withColumn("view_id", F.lit("")), terms).withColumn("score", F.round("score", 9)), n)
+    return top_hits(bm25(events.withColumn("view_id", F.lit("")), terms, stem=False).withColumn("score", F.round("score", 9)), n)
 
 
 def term_coverage(chunks: DataFrame, terms: DataFrame) -> DataFrame:
@@ -159,17 +214,6 @@ def top_hits(hits: DataFrame, n: int = 15) -> DataFrame:
     return top(hits, ["prompt_id"], [F.desc("score"), "id"], n, "rank")
 
 
-def stemmed(terms: DataFrame) -> DataFrame:
-    """terms(term) with their stem: each distinct word is stemmed once."""
-
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(porter)
-
-    vocabulary = terms.select("term").distinct().withColumn("stem", run("term"))
-    return terms.join(vocabulary, "term")
-
-
 def contains_words(column: Column, terms: Column) -> Column:
     """Share of the terms that occur in the text."""
     low = F.lower(column)

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrion.functions import text as T
+from quarrion.operators import search
+from quarrion.operators.common import shared_folder
 from quarrion.plans.registry import table
 
 LAYERS = ("global", "workspace", "repo", "session")
@@ -30,6 +34,23 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fielded(c: DataFrame) -> DataFrame:
+    """chunks with the columns that are searched: section_title, summary and keywords beside content."""
+    long_ = F.filter(T.words(F.col("content")), lambda x: F.length(x) >= 10)
+    return c.withColumns({"section_title": F.split_part("source_file", F.lit("/"), F.lit(1)), "summary": F.substring("content", 1, 60), "keywords": long_})
+
+
+_INDEXES: dict[tuple[str, str], search.Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The stored index of the chunks, written once a session and data folder."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = search.index(fielded(chunks(spark, sf_dir)), folder=f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    return _INDEXES[key]
+
+
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("prompt_id"), F.col("text").alias("prompt"))
 

@@ -11,7 +11,7 @@ from quarrion.operators.common import r6, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
 from quarrion.plans.registry import query, table
-from quarrion.plans.search_queries import BASE, BM25
+from quarrion.plans.search_queries import BASE, BM25, hits
 from quarrion.sources import upkeep
 
 
@@ -264,5 +264,5 @@ def a15_recall(spark, sf_dir):
     c, p = corpus.chunks(spark, sf_dir), corpus.prompts(spark, sf_dir)
     files = c.select("id", "source_file")
     expected = search.match_phrase_from_rarest(c, p.select("prompt_id", T.words(F.col("prompt")).alias("words"))).join(files, "id").select("prompt_id", "source_file").distinct()
-    best = search.top_hits(search.bm25(c, corpus.prompt_terms(p)).withColumn("score", F.round("score", 9)), 15).join(files, "id")
+    best = search.top_hits(hits(spark, sf_dir).withColumn("score", F.round("score", 9)), 15).join(files, "id")
     return search.recall(expected, best, 15).withColumn("recall", F.round("recall", 6))

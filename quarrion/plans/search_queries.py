@@ -11,21 +11,32 @@ from quarrion.operators.common import r6
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
 from quarrion.plans.registry import query, table
-
-BM25 = """,
-tf AS (SELECT w.view_id, w.id, w.term, CAST(count(*) AS DOUBLE) AS tf FROM words w WHERE term IN (SELECT term FROM prompt_terms) GROUP BY ALL),
-dl AS (SELECT c.view_id, c.id, count(w.term) AS dl FROM chunks c LEFT JOIN words w ON w.id = c.id GROUP BY ALL),
+from quarrion.plans.stem_sql import stems
+
+BM25 = (
+    """,
+fields AS (SELECT id, view_id, unnest([struct_pack(t := content, w := 10.0), struct_pack(t := substr(content, 1, 60), w := 6.0), struct_pack(t := split_part(source_file, '/', 1), w := 8.0),
+  struct_pack(t := array_to_string(list_filter(regexp_split_to_array(lower(content), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 10), ' '), w := 20.0)], recursive := true) FROM chunks),
+fw AS (SELECT id, view_id, w, unnest(list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS word FROM fields),
+voc AS (SELECT word FROM fw UNION SELECT term FROM prompt_terms),
+"""
+    + stems("voc")
+    + """,
+pt AS (SELECT DISTINCT prompt_id, stem AS term FROM prompt_terms JOIN stems ON word = term),
+tf AS (SELECT view_id, id, stem AS term, CAST(sum(w) AS DOUBLE) AS tf FROM fw JOIN stems USING (word) WHERE stem IN (SELECT term FROM pt) GROUP BY ALL),
+dl AS (SELECT c.view_id, c.id, count(fw.word) AS dl FROM chunks c LEFT JOIN fw ON fw.id = c.id GROUP BY ALL),
 st AS (SELECT view_id, count(*) AS n, avg(dl) AS avgdl FROM dl GROUP BY ALL),
 df AS (SELECT view_id, term, count(*) AS df FROM tf GROUP BY ALL),
 bm AS (SELECT p.prompt_id, tf.view_id, tf.id, count(*) AS n_terms,
-              sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl))) AS score
-       FROM tf JOIN df USING (view_id, term) JOIN st USING (view_id) JOIN dl USING (view_id, id) JOIN prompt_terms p USING (term)
+              sum(greatest(ln((st.n - df.df + 0.5) / (df.df + 0.5)), 1e-6) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl))) AS score
+       FROM tf JOIN df USING (view_id, term) JOIN st USING (view_id) JOIN dl USING (view_id, id) JOIN pt p USING (term)
        GROUP BY ALL)"""
+)
 BASE = ("chunks", "prompts", "words", "prompt_terms")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.bm25(corpus.chunks(spark, sf_dir), corpus.prompt_terms(corpus.prompts(spark, sf_dir)))
+    return search.scored(corpus.index(spark, sf_dir), search.folded(corpus.prompt_terms(corpus.prompts(spark, sf_dir)), "prompt_id"))
 
 
 @query("x2_bm25_topk", sql(BM25 + """
@@ -40,8 +51,14 @@ def x2_bm25_topk(spark, sf_dir):
 SELECT view_id, term, count(*) AS n_chunks, CAST(sum(tf) AS BIGINT) AS total_tf FROM (
   SELECT view_id, term, id, count(*) AS tf FROM words GROUP BY ALL) GROUP BY ALL""", "chunks", "words"))
 def x1_postings(spark, sf_dir):
-    p = search.postings(corpus.chunks(spark, sf_dir))
-    return p.groupBy("view_id", "term").agg(F.count("*").alias("n_chunks"), F.sum("tf").alias("total_tf"))
+    p = search.index(corpus.chunks(spark, sf_dir), {"content": 1.0}, stem=False).postings
+    return p.groupBy("view_id", "term").agg(F.count("*").alias("n_chunks"), F.sum("tf").cast("long").alias("total_tf"))
+
+
+@query("x1_stems", sql(",\n" + stems("words w0 (view_id, word)").replace("FROM words w0 (view_id, word)", "FROM (SELECT term AS word FROM words)") + "\nSELECT stem, count(*) AS n, min(term) AS first FROM words JOIN stems ON word = term GROUP BY stem", "chunks", "words"))
+def x1_stems(spark, sf_dir):
+    w = corpus.chunks(spark, sf_dir).select(F.explode(T.words(F.col("content"))).alias("term")).groupBy("term").count()
+    return search.stemmed(w).groupBy("stem").agg(F.sum("count").alias("n"), F.min("term").alias("first"))
 
 
 @query("a7_index_stats", sql("""

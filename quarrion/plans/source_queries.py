@@ -179,7 +179,7 @@ dl AS (SELECT c.conv_id || ':' || c.turn AS id, (SELECT count(*) FROM w WHERE w.
 st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
 tf AS (SELECT id, term, CAST(count(*) AS DOUBLE) AS tf FROM w GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
-bm AS (SELECT q.prompt_id, tf.id, round(sum(ln(1 + (st.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl))), 9) AS score
+bm AS (SELECT q.prompt_id, tf.id, round(sum(greatest(ln((st.n - df.df + 0.5) / (df.df + 0.5)), 1e-6) * tf.tf * 2.2 / (tf.tf + 1.2 * (0.25 + 0.75 * dl.dl / st.avgdl))), 9) AS score
        FROM q JOIN tf USING (term) JOIN df USING (term) JOIN dl USING (id), st GROUP BY ALL)
 SELECT prompt_id, id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY score DESC, id) - 1 AS rank FROM bm) WHERE rank < 10""")
 def x6_session_search(spark, sf_dir):
@@ -217,10 +217,11 @@ def c1_chunk_documents(spark, sf_dir):
 
 @query("r18_retrieve")
 def r18_retrieve(spark, sf_dir):
-    none = F.lit(None).cast("string")
-    c = corpus.chunks(spark, sf_dir)
-    c = c.withColumns({"view_id": F.lit("v"), "section_title": none, "summary": none, "keywords": F.array().cast("array<string>"), "symbol_name": none, "symbol_kind": none, "parent_symbol": none, "file_stem": T.file_stem(F.col("source_file")), "updated_at": F.lit(0).cast("long")})
-    h = retrieve.retrieved(c, corpus.edges(spark, sf_dir), corpus.prompts(spark, sf_dir))
+    c = corpus.fielded(corpus.chunks(spark, sf_dir))
+    symbol = F.regexp_extract("content", "[a-z]{6,}", 0)
+    kind = F.when(F.col("line") == 0, "class").otherwise("function")
+    c = c.withColumns({"symbol_name": F.when(symbol != "", symbol), "symbol_kind": kind, "parent_symbol": F.when(F.col("line") > 0, F.regexp_extract("source_file", "([0-9]+)", 1)), "file_stem": T.file_stem(F.col("source_file")), "updated_at": F.lit(0).cast("long")})
+    h = retrieve.retrieved(c, corpus.edges(spark, sf_dir), corpus.prompts(spark, sf_dir), index=corpus.index(spark, sf_dir))
     return h.select("prompt_id", "id", "source_file", "score", "rank")
 
 

@@ -60,42 +60,82 @@ def line_range(text: Column, start: int, n: int, most: int = 2000) -> Column:
     return F.array_join(F.slice(F.split(text, "\n"), start, min(n, most)), "\n")
 
 
+def lookup(rows: DataFrame, values: DataFrame | None = None, **equal) -> DataFrame:
+    """rows by key: those whose columns equal the given values (a list: any of them), and that match values(one column or more) on its columns."""
+    for column, value in equal.items():
+        rows = rows.where(F.col(column).isin(*value) if isinstance(value, (list, tuple, set)) else F.col(column).eqNullSafe(F.lit(value)))
+    return rows if values is None else rows.join(values.distinct(), list(values.columns), "left_semi")
+
+
+def united(stores: dict[str, DataFrame]) -> DataFrame:
+    """The rows of several stores, the first the nearest, with column store. Of rows with one id, the nearest store's stays."""
+    out = None
+    for k, (name, df) in enumerate(stores.items()):
+        part = df.withColumns({"store": F.lit(name), "_near": F.lit(k)})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    best = out.groupBy("id").agg(F.min("_near").alias("_near"))
+    return out.join(best, ["id", "_near"], "left_semi").drop("_near")
+
+
+def reconciled_after(indexed: DataFrame, scanned: DataFrame, completed: bool, failed: int = 0) -> DataFrame:
+    """indexed without the files that a scan didn't find; as it was, if the scan didn't complete or any file failed."""
+    return removed(indexed, stale(indexed, scanned), "path") if completed and not failed else indexed
+
+
 class Store:
-    """A folder of versions: tables are written first and the manifest, which names them, last. Readers see whole versions."""
+    """A folder of versions: tables are written first, then a numbered manifest that names them.
+
+    A manifest is written beside its place and moved there, which fails if that number is taken; so of two writers one wins,
+    nothing is ever replaced or deleted, and a reader always sees a whole version, the one with the highest number.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _manifest(self) -> dict:
-        at = self._path(f"{self.root}/MANIFEST.json")
-        if not self._fs.exists(at):
+        jvm = spark.sparkContext._jvm
+        self._path, conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(conf)
+        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), conf)
+
+    def _manifest(self, generation: int | None = None) -> dict:
+        """The newest manifest, or that of a generation."""
+        if generation is None:
+            found = self._fs.globStatus(self._path(f"{self.root}/MANIFEST-*.json")) or []
+            generation = max((int(x.getPath().getName()[9:-5]) for x in found), default=0)
+        if not generation:
             return {"generation": 0, "tables": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/MANIFEST.json", wholetext=True).first()[0])
+        return json.loads(self.spark.read.text(f"{self.root}/MANIFEST-{generation:012d}.json", wholetext=True).first()[0])
 
     def generation(self) -> int:
         return self._manifest()["generation"]
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._manifest()["tables"][name])
+    def read(self, name: str, generation: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(self._manifest(generation)["tables"][name])
+
+    def about(self) -> dict:
+        """What the newest version says besides its tables."""
+        return {k: v for k, v in self._manifest().items() if k not in ("generation", "tables")}
 
     def commit(self, tables: dict[str, DataFrame], expected: int | None = None, **about) -> int:
-        """Write a new version of the given tables; others keep theirs. expected: fail if another writer came first."""
+        """Write a new version of the given tables; others keep theirs. Fails if another writer came first, or after `expected`."""
         old, version = self._manifest(), uuid.uuid4().hex
+        if expected is not None and old["generation"] != expected:
+            raise RuntimeError("another version was committed")
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{version}/{name}")
-        now = self._manifest()
-        if expected is not None and now["generation"] != expected or now["generation"] != old["generation"]:
-            raise RuntimeError("another version was committed")
-        new = {"generation": old["generation"] + 1, "tables": old["tables"] | {n: f"{self.root}/{version}/{n}" for n in tables}, **about}
-        temp, final = self._path(f"{self.root}/MANIFEST.{version}"), self._path(f"{self.root}/MANIFEST.json")
+        new = {**{k: v for k, v in old.items() if k not in ("generation", "tables")}, **about, "generation": old["generation"] + 1, "tables": old["tables"] | {n: f"{self.root}/{version}/{n}" for n in tables}}
+        temp = self._path(f"{self.root}/{version}.manifest")
         out = self._fs.create(temp)
         out.write(bytearray(json.dumps(new).encode()))
         out.close()
-        self._fs.delete(final, False)
-        if not self._fs.rename(temp, final):
-            raise RuntimeError("the manifest couldn't be put in place")
+        gateway = self.spark.sparkContext._gateway
+        plain = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 0)  # doesn't overwrite
+        try:
+            self._files.rename(temp, self._path(f"{self.root}/MANIFEST-{new['generation']:012d}.json"), plain)
+        except Exception as error:
+            self._fs.delete(temp, False)
+            if "FileAlreadyExists" in str(error):
+                raise RuntimeError("another version was committed") from error
+            raise
         return new["generation"]
 
     def export(self, folder: str, repository: str) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -44,8 +44,8 @@ def index_events(events: DataFrame, store: upkeep.Store, chunker: Callable[[Data
 
 
 def bursts(events: DataFrame, most: int = BURST, seconds: int = BURST_SECONDS) -> DataFrame:
-    """(source, start, n): windows that begin with an event, last `seconds`, and hold `most` events or more; the next window
-    begins with the first event after. Works on a stream of (source, ts), in order of ts within a batch."""
+    """(source, start, n): a row as soon as a window holds `most` events, so n is `most`; what follows in the window gives no other.
+    A window begins with the first event after the last one and lasts `seconds`. Works on a stream of (source, ts), in order of ts within a batch."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         begin, n = state.get if state.exists else (None, 0)
@@ -58,7 +58,6 @@ def bursts(events: DataFrame, most: int = BURST, seconds: int = BURST_SECONDS) -
                 n += 1
                 if n == most:
                     out.append((key[0], begin, n))
-                    begin, n = None, 0
         state.update((begin, n))
         if out:
             yield pd.DataFrame(out, columns=["source", "start", "n"])
@@ -80,3 +79,28 @@ def unsent(chunks: DataFrame, ttl: str = "15 minutes") -> DataFrame:
 def read_feedback(retrieved: DataFrame, reads: DataFrame, delay: str = "1 minute") -> DataFrame:
     """memory.read_feedback on two streams, whose state the watermarks bound."""
     return memory.read_feedback(retrieved.withWatermark("ts", delay), reads.withWatermark("ts", delay))
+
+
+def replayed(buffered: DataFrame, most: int = 10_000) -> tuple[bool, DataFrame]:
+    """(bulk, events) of file events that came in during the first index: the last of each path, to be applied after it; or, if
+    there were more than `most`, none, and the whole is to be indexed again."""
+    if buffered.limit(most + 1).count() > most:
+        return True, buffered.limit(0)
+    return False, upkeep.latest(buffered, "path", "ts", "type")
+
+
+def prune(store: upkeep.Store, as_of: Column, prompts: int = 5000, events: int = 20_000, days: int = 30) -> int:
+    """Commit a version without prompts and events that are too old or too many."""
+    keep = lambda name, n: memory.retained(store.read(name), as_of, days * memory.DAY, n)
+    return store.commit({"prompts": keep("prompts", prompts), "events": keep("events", events)})
+
+
+def decay(store: upkeep.Store, as_of: Column) -> int:
+    """Commit a version of the facts in which confidence has faded."""
+    return store.commit({"facts": memory.decayed(store.read("facts"), as_of)})
+
+
+def every(spark: SparkSession, interval: str, job: Callable[[], object], checkpoint: str):
+    """Run a job again and again, as a stream whose batches hold nothing else."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(lambda *_: job()).option("checkpointLocation", checkpoint).trigger(processingTime=interval).start()

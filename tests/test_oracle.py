@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from quarrion.plans import graph_queries, rank_queries, scope_queries, search_queries, source_queries  # noqa: F401
+from quarrion.plans import graph_queries, rank_queries, scope_queries, search_queries, source_queries, upkeep_queries  # noqa: F401
 from quarrion.plans.registry import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
