@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Iterable, Iterator
@@ -50,6 +51,21 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that cut() wrote, when all that rests on it has been written."""
+    spark = df.sparkSession
+    for uri in df.inputFiles()[:1]:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri).getParent().getParent()
+        if "/quarrion/" in where.toString():
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished queries: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI that Hadoop understands."""
     from pyarrow import fs

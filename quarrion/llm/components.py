@@ -31,10 +31,12 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = C.cut(large, "large-star")
+        old, large = e, C.cut(large, "large-star")
         joined = _star(large, large)
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
         e = C.cut(small.where("u <> v").distinct(), "small-star")
+        C.discard(old)
+        C.discard(large)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

@@ -10,7 +10,8 @@ allows for the noise of short texts. Documents under the guards' lengths aren't
 and those of a language with fewer words by neither.
 
 Texts are read twice: once to count each language's words, once to count all else and to compare
-words. What the second pass finds is written out, and the classes are compared from there.
+words. What the second pass finds is written out, and the classes are compared from there. A filter, which
+returns texts, counts the classes in a pass of their own instead of writing texts out.
 """
 
 from __future__ import annotations
@@ -156,7 +157,11 @@ def word_distance(words: Column, common: Column, shares: Column) -> Column:
 
 
 def measured(docs: DataFrame, keep: list[Column], name: str) -> DataFrame:
-    """The columns `keep` of docs(text, lang) and, in a struct column `name`, all that the rules rest on but the class distance; materialised."""
+    """The columns `keep` of docs(text, lang), in a struct column `name` all that the rules rest on but the class distance, and a row number.
+
+    The optimizer would push a filter on the verdict below the projections that it rests on, and so compute them more than once;
+    it pushes none through a projection with a column that isn't deterministic and is used above, as the number is.
+    """
     refs = F.struct("common", "shares").alias(f"{name}_ref")
     known = _few(word_references(docs.select("text", "lang")).select(F.col("lang").alias(f"{name}_lang"), refs))
     text, words = F.col(f"{name}_text"), F.col(f"{name}_words")
@@ -175,13 +180,12 @@ def measured(docs: DataFrame, keep: list[Column], name: str) -> DataFrame:
         "known": F.col(f"{name}_ref").isNotNull(),
         "word_distance": F.when(F.col(f"{name}_ref").isNotNull() & (n >= WORD_WORDS), let(F.col(f"{name}_ref"), lambda r: word_distance(words, r["common"], r["shares"]))),
     }
-    return C.cut(d.select(*keep, F.struct(*(v.alias(k) for k, v in counts.items())).alias(name)), "measured")
+    return d.select(*keep, F.struct(*(v.alias(k) for k, v in counts.items())).alias(name), F.monotonically_increasing_id().alias(f"{name}_row"))
 
 
-def judged(rows: DataFrame, name: str) -> DataFrame:
-    """rows, from measured(), with n_symbols, base_failed, class_distance and kept added to the struct column `name`."""
+def judged(rows: DataFrame, refs: DataFrame, name: str) -> DataFrame:
+    """rows, from measured(), with n_symbols, base_failed, class_distance and kept added to the struct column `name`; refs: class_references()."""
     m = F.col(name)
-    refs = class_references(rows.select(m["lang"].alias("lang"), m["classes"].alias("classes")))
     d = rows.join(_few(refs.select(F.col("lang").alias(f"{name}_lang"), F.col("classes").alias(f"{name}_ref"))), m["lang"] == F.col(f"{name}_lang"), "left")
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     chars = F.aggregate(m["classes"], F.lit(0).cast("long"), lambda t, x: t + x)
@@ -200,7 +204,8 @@ def scores(docs: DataFrame) -> DataFrame:
     repeated rows are judged like others, an empty table gives an empty result, and other columns aren't read.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
-    d = judged(measured(docs.select("doc_id", "text", "lang"), [F.col("doc_id")], "_m"), "_m")
+    rows = C.cut(measured(docs.select("doc_id", "text", "lang"), [F.col("doc_id")], "_m"), "measured")  # without the texts
+    d = judged(rows, class_references(rows.select("_m.lang", "_m.classes")), "_m")
     return d.select("doc_id", *(F.col("_m")[x].alias(x) for x in names))
 
 
@@ -210,5 +215,8 @@ def kept(docs: DataFrame) -> DataFrame:
     Cases are as in scores(): null texts go, repeated rows share a fate, an empty table stays empty.
     """
     name = C.free_name(docs, "_m")
-    d = judged(measured(docs, C.same_columns(docs), name), name)
-    return d.where(F.col(name)["kept"]).select(*C.same_columns(docs))
+    text = C.text_of()
+    words = F.filter(F.split(text, C.BLANK), lambda x: x != "")
+    refs = class_references(docs.select(_lang().alias("lang"), let(words, lambda w: class_counts(text, w)).alias("classes")))
+    d = judged(measured(docs, C.same_columns(docs), name), refs, name)  # not written out, as that would be all texts again
+    return d.where(F.col(name)["kept"] & (F.col(f"{name}_row") >= 0)).select(*C.same_columns(docs))
