@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrion import config
-from quarrion.functions import text as T
-from quarrion.operators.common import small, top
+from quarrion.operators.common import top
+
+
+#: Query vectors that are sent at once.
+QUERIES = 4096
 
 
 def merge_unique(lists: DataFrame) -> DataFrame:
@@ -51,9 +56,36 @@ def confidence(hits: DataFrame, prompts: DataFrame, exact: DataFrame | None = No
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 15) -> DataFrame:
-    """(prompt_id, id, score, rank): exact top k by dot product. queries(prompt_id, q) are broadcast after a size check."""
-    pairs = vectors.crossJoin(small(queries)).select("prompt_id", "id", F.round(T.dot(F.col("q"), F.col("embedding")), 9).alias("score"))
-    return top(pairs, ["prompt_id"], [F.desc("score"), "id"], k, "rank")
+    """(prompt_id, id, score, rank): exact top k by dot product of vectors(id, embedding) for queries(prompt_id, q).
+
+    Queries are sent in blocks of QUERIES; each batch of vectors meets a block in one matrix product and gives its k best, so that what
+    is shuffled is k rows a query and batch, not a row a pair.
+    """
+    spark = vectors.sparkSession
+    q = queries.select("prompt_id", "q").where("q is not null").withColumn("_b", F.pmod(F.xxhash64("prompt_id"), F.lit(-(-max(queries.count(), 1) // QUERIES))))
+    found = None
+    for b in sorted(r[0] for r in q.select("_b").distinct().collect()):
+        rows = sorted(tuple(r) for r in q.where(F.col("_b") == b).select("prompt_id", "q").collect())  # QUERIES, about
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], dtype="f8")))
+        part = vectors.where("embedding is not null").select("id", "embedding").mapInPandas(_best(sent, k), f"prompt_id {dict(q.dtypes)['prompt_id']}, id {dict(vectors.dtypes)['id']}, score double")
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        none = vectors.limit(0).crossJoin(q.limit(0))
+        found = none.select("prompt_id", "id", F.lit(0.0).alias("score"))
+    return top(found, ["prompt_id"], [F.desc("score"), "id"], k, "rank")
+
+
+def _best(sent, k: int):
+    def run(batches):
+        names, q = sent.value
+        for pdf in batches:
+            ids = pdf.id.to_numpy()
+            score = np.round(q @ np.stack(pdf.embedding.to_numpy()).astype("f8").T, 9)
+            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+            kept = np.take_along_axis(score, order, axis=1)
+            yield pd.DataFrame({"prompt_id": np.repeat(names, order.shape[1]), "id": ids[order].ravel(), "score": kept.ravel()})
+
+    return run
 
 
 def embedding_agreement(direct: DataFrame, near: DataFrame, low: DataFrame) -> DataFrame:

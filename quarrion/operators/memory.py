@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,18 +85,26 @@ def retained(rows: DataFrame, as_of: Column, max_age_ms: int, max_count: int) ->
 def rotated(events: DataFrame, max_age_ms: int = config.SESSION_MAX_MS) -> DataFrame:
     """Sessions by age: one begins with the first event that is older than max_age_ms after the session's first.
 
-    events: user_id, at. A fold over each user's times, without Python.
+    events: user_id, at. Each user's times pass in order, one number is held of them.
     """
-    times = events.groupBy("user_id").agg(F.array_sort(F.collect_list("at")).alias("ts"))
-    start = F.struct(F.lit(None).cast("long").alias("begin"), F.array().cast("array<bigint>").alias("begins"))
-
-    def step(acc: Column, t: Column) -> Column:
-        new = acc["begin"].isNull() | (t - acc["begin"] > max_age_ms)
-        begin = F.when(new, t).otherwise(acc["begin"])
-        return F.struct(begin.alias("begin"), F.when(new, F.concat(acc["begins"], F.array(t))).otherwise(acc["begins"]).alias("begins"))
-
-    begins = F.aggregate("ts", start, step, lambda acc: acc["begins"])
-    return times.select("user_id", F.posexplode(begins).alias("session", "begins_at")).withColumn("session", F.col("session").cast("long"))
+    kind = dict(events.dtypes)["user_id"]
+    rows = events.where("at is not null").select("user_id", "at").repartition("user_id").sortWithinPartitions("user_id", "at")
+
+    def run(batches):
+        user, begin, n = None, None, 0
+        for pdf in batches:
+            out = []
+            for u, t in zip(pdf.user_id, pdf["at"], strict=True):
+                if u != user or begin is None:
+                    user, begin, n = u, t, 0
+                elif t - begin > max_age_ms:
+                    begin, n = t, n + 1
+                else:
+                    continue
+                out.append((u, n, t))
+            yield pd.DataFrame(out, columns=["user_id", "session", "begins_at"])
+
+    return rows.mapInPandas(run, f"user_id {kind}, session long, begins_at long")
 
 
 def merged_memory(prompts: DataFrame, facts: DataFrame, events: DataFrame, policy: str = "relevant", cap: int = config.MEMORY_TOKENS) -> DataFrame:
@@ -112,8 +121,11 @@ def merged_memory(prompts: DataFrame, facts: DataFrame, events: DataFrame, polic
     items = items.unionByName(events.select(F.when(F.col("event_type") == "error", "error").otherwise("event").alias("kind"), F.col("id").cast("string").alias("id"), "content", F.lit(5.0).alias("score")))
     words = items.select("kind", "id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("term"))
     shared = words.join(t, "term").groupBy("prompt_id", "kind", "id", "intent").agg(F.count("*").alias("shared"))
-    if policy == "always":
-        shared = prompts.select("prompt_id", "intent").crossJoin(items.select("kind", "id")).withColumn("shared", F.lit(0))
+    if policy == "always":  # items have a token each at least, so no prompt takes more than the first of each kind
+        first = items.where(F.length("content") > 0).orderBy(F.desc("score"), "kind", "id").limit(2 * cap + 2)
+        other = items.where((F.length("content") > 0) & (F.col("kind") != "error")).orderBy(F.desc("score"), "kind", "id").limit(cap + 1)
+        few = F.broadcast(first.unionByName(other).select("kind", "id").distinct())  # by the limits
+        shared = prompts.select("prompt_id", "intent", F.lit(True).alias("_all")).join(few.withColumn("_all", F.lit(True)), "_all").drop("_all").withColumn("shared", F.lit(0))
     hits = shared.where((F.col("kind") != "error") | (F.col("intent") == "fix")).join(items, ["kind", "id"])
     hits = hits.withColumn("tokens", T.token_estimate(F.col("content"))).withColumn("score", F.col("score") + F.col("shared"))
     w = Window.partitionBy("prompt_id").orderBy(F.desc("score"), "kind", "id").rowsBetween(Window.unboundedPreceding, 0)

@@ -44,7 +44,7 @@ def index_events(events: DataFrame, store: upkeep.Store, chunker: Callable[[Data
 
 
 def bursts(events: DataFrame, most: int = BURST, seconds: int = BURST_SECONDS) -> DataFrame:
-    """(source, start, n): a row as soon as a window holds `most` events, so n is `most`; what follows in the window gives no other.
+    """(source, start, n): a row as soon as a window holds `most` events, so n is `most`; counting then starts anew in the window.
     A window begins with the first event after the last one and lasts `seconds`. Works on a stream of (source, ts), in order of ts within a batch."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,6 +58,7 @@ def bursts(events: DataFrame, most: int = BURST, seconds: int = BURST_SECONDS) -
                 n += 1
                 if n == most:
                     out.append((key[0], begin, n))
+                    n = 0
         state.update((begin, n))
         if out:
             yield pd.DataFrame(out, columns=["source", "start", "n"])
