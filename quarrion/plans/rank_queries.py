@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrion.config import Config
-from quarrion.operators import fuse, rank
+from quarrion.operators import fuse, rank, windows
 from quarrion.operators.common import r6, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
@@ -94,9 +94,7 @@ def j5_overlap_merge(spark, sf_dir):
 SELECT DISTINCT f.prompt_id, h.id FROM fused f JOIN chunks c USING (id) JOIN chunks h ON h.source_file = c.source_file AND h.line = 0
 WHERE c.line > 0 AND (f.prompt_id, h.id) NOT IN (SELECT (prompt_id, id) FROM fused)""".replace("(f.prompt_id, h.id) NOT IN (SELECT (prompt_id, id) FROM fused)", "NOT EXISTS (SELECT 1 FROM fused g WHERE g.prompt_id = f.prompt_id AND g.id = h.id)"), *BASE))
 def j6_missing_parents(spark, sf_dir):
-    f, c = fused(spark, sf_dir), corpus.chunks(spark, sf_dir)
-    need = f.join(c.where("line > 0"), "id").select("prompt_id", "source_file").distinct().join(c.where("line = 0").select("source_file", "id"), "source_file")
-    return need.join(f, ["prompt_id", "id"], "left_anti").select("prompt_id", "id")
+    return windows.missing_parents(fused(spark, sf_dir), corpus.chunks(spark, sf_dir))
 
 
 @query("j7_feedback", sql(LISTS + """,
@@ -262,7 +260,5 @@ SELECT o_custkey, round((m1 - m2) / m1, 6) AS margin FROM (
   SELECT o_custkey, max(o_totalprice) FILTER (k = 1) AS m1, max(o_totalprice) FILTER (k = 2) AS m2 FROM (
     SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) GROUP BY 1)""")
 def w2_margins(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    r = o.withColumn("k", F.row_number().over(w)).withColumn("next", F.lead("o_totalprice").over(w)).where("k = 1")
-    return r.select("o_custkey", r6((F.col("o_totalprice") - F.col("next")) / F.col("o_totalprice"), "margin"))
+    m = windows.margins(table(spark, sf_dir, "orders"), ["o_custkey"], "o_totalprice", "o_orderkey")
+    return m.select("o_custkey", r6(F.col("margin"), "margin"))

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quarrion.functions import text as T
-from quarrion.operators import retrieve, scope, search
+from quarrion.operators import retrieve, scope, search, windows
 from quarrion.operators.common import r6, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
@@ -185,9 +184,7 @@ WITH x AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER
 y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM x)
 SELECT user_id, CAST(run AS BIGINT) AS run, min(event_type) AS event_type, count(*) AS n FROM y GROUP BY ALL""")
 def w8_same_file_runs(spark, sf_dir):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.when(F.lag("event_type").over(w) == F.col("event_type"), 0).otherwise(1)
-    x = table(spark, sf_dir, "events").withColumn("new", new).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = windows.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
     return x.groupBy("user_id", "run").agg(F.min("event_type").alias("event_type"), F.count("*").alias("n"))
 
 
@@ -223,8 +220,7 @@ def t6_latest_per_path(spark, sf_dir):
 , x AS (SELECT doc_id, line, sum(CASE WHEN length(content) < 60 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM chunks)
 SELECT doc_id, CAST(section AS BIGINT) AS section, count(*) AS n, min(line) AS first_line FROM x GROUP BY ALL""", "chunks"))
 def w9_sections(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    x = corpus.chunks(spark, sf_dir).withColumn("section", F.sum(F.when(F.length("content") < 60, 1).otherwise(0)).over(w))
+    x = windows.sections(corpus.chunks(spark, sf_dir), ["doc_id"], ["line"], F.length("content") < 60)
     return x.groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
 
 
@@ -232,9 +228,7 @@ def w9_sections(spark, sf_dir):
 , x AS (SELECT doc_id, line, sum(token_count) OVER (PARTITION BY doc_id ORDER BY line) AS used, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS k FROM chunks)
 SELECT doc_id, count(*) AS n FROM x WHERE used <= 120 OR k = 1 GROUP BY doc_id""", "chunks"))
 def w7_prefix_budget(spark, sf_dir):
-    w = Window.partitionBy("doc_id").orderBy("line")
-    x = corpus.chunks(spark, sf_dir).withColumn("used", F.sum("token_count").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("k", F.row_number().over(w))
-    return x.where("used <= 120 or k = 1").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return windows.within_budget(corpus.chunks(spark, sf_dir), ["doc_id"], ["line"], "token_count", 120).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 @query("c14_term_windows", sql("""

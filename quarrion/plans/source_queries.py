@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrion.functions import text as T
-from quarrion.operators import compiling, graph, rank, retrieve, search
+from quarrion.operators import compiling, graph, rank, retrieve, search, windows
 from quarrion.operators.common import r6, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
@@ -121,8 +121,8 @@ def p12_one_structure(spark, sf_dir):
 
 @query("p13_stale_files", "SELECT p.p_partkey AS path FROM part p JOIN orders o ON o.o_orderkey = p.p_partkey WHERE o.o_totalprice > p.p_retailprice * 200")
 def p13_stale_files(spark, sf_dir):
-    p, o = table(spark, sf_dir, "part"), table(spark, sf_dir, "orders")
-    return p.join(o, F.col("o_orderkey") == F.col("p_partkey")).where("o_totalprice > p_retailprice * 200").select(F.col("p_partkey").alias("path"))
+    p, o = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "path"), table(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "path")
+    return windows.stale_by(p, o, F.col("o_totalprice") > F.col("p_retailprice") * 200)
 
 
 @query("p8_junk_symbols", sql("\nSELECT term, count(*) AS n FROM words WHERE length(term) > 2 GROUP BY term", "chunks", "words"))
