@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quarrion.config import Config
 from quarrion.operators import fuse, rank, windows
-from quarrion.operators.common import r6, top
+from quarrion.operators.common import r6, small, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
 from quarrion.plans.registry import query, table
@@ -240,8 +240,8 @@ UNION ALL SELECT prompt_id, id, round(greatest(8, 14 - 1.5 * i), 6), 'insert' FR
 def j3_embedding_fusion(spark, sf_dir):
     near = _near(spark, sf_dir)
     v = table(spark, sf_dir, "embeddings")
-    q = F.broadcast(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("prompt_id")))  # stands for the prompts
-    direct = v.crossJoin(q).where((F.col("vec_id") + F.col("prompt_id")) % 11 == 0).select("prompt_id", F.col("vec_id").alias("id"), (10 + F.col("vec_id") % 13).cast("double").alias("score"))
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("prompt_id"), ((11 - F.col("vec_id") % 11) % 11).alias("rest"))  # stands for the prompts
+    direct = v.join(small(q), F.col("vec_id") % 11 == F.col("rest")).select("prompt_id", F.col("vec_id").alias("id"), (10 + F.col("vec_id") % 13).cast("double").alias("score"))
     low = near.select("prompt_id").distinct().select("prompt_id", (F.col("prompt_id") % 100 == 0).alias("low"))
     return fuse.embedding_agreement(direct, near, low).withColumn("score", F.round("score", 6))
 

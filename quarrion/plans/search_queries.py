@@ -103,11 +103,17 @@ def x4_sanitize_term(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.fts_term(t).alias("term"))
 
 
-@query("f1_tokenize", r"""
-SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_.\-]+'), lambda x: length(x) > 1 AND NOT regexp_matches(x, '^[-_.]+$')) AS tokens
-FROM conversations WHERE text NOT LIKE '%''%'""")
+TOKEN_TEXT = "text || ' It''s we''re I''ve SHE''LL he''d n''t end'"
+for _tail, _word in (("s", "is"), ("re", "are"), ("ve", "have"), ("ll", "will"), ("d", "would")):
+    TOKEN_TEXT = f"regexp_replace({TOKEN_TEXT}, '{'' if _tail == 's' else '(?i)'}\\b([A-Za-z]+)''{_tail}\\b', '\\1 {_word}', 'g')"
+TOKEN_TEXT = f"regexp_replace({TOKEN_TEXT}, '\\b([Nn])''t\\b', '\\1ot', 'g')"
+
+
+@query("f1_tokenize", f"""
+SELECT conv_id, turn, list_filter(regexp_split_to_array({TOKEN_TEXT}, '[^A-Za-z0-9_.\\-]+'), lambda x: length(x) > 1 AND NOT regexp_matches(x, '^[-_.]+$')) AS tokens FROM conversations""")
 def f1_tokenize(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").where(~F.contains("text", F.lit("'"))).select("conv_id", "turn", T.tokenize(F.col("text")).alias("tokens"))
+    t = F.concat("text", F.lit(" It's we're I've SHE'LL he'd n't end"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.tokenize(t).alias("tokens"))
 
 
 @query("f2_ngrams", sql("""
