@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrion.llm import binpack, bitplane, divergence, langid, mixing, packing, simhash, toxicity, vafile, warc
+from quarrion.llm import binpack, bitplane, changepoints, divergence, langid, mixing, packing, simhash, toxicity, vafile, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -86,3 +86,50 @@ def op8_bitmask_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changepoints.segments(table(spark, sf_dir, "sale_lines"))
+
+
+ORACLE["op12_change_points"] = """
+WITH RECURSIVE taken AS (
+  SELECT vendor_id, date_diff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)) AS day, CAST(sum(quantity) AS BIGINT) AS q
+  FROM sale_lines WHERE quantity IS NOT NULL AND shipped_at IS NOT NULL GROUP BY ALL
+), span AS (
+  SELECT vendor_id, unnest(range(min(day), max(day) + 1)) AS day FROM taken GROUP BY vendor_id
+), series AS (
+  SELECT s.vendor_id, list(coalesce(t.q, 0) ORDER BY s.day) AS x, min(s.day) AS first
+  FROM span s LEFT JOIN taken t ON s.vendor_id IS NOT DISTINCT FROM t.vendor_id AND s.day = t.day GROUP BY s.vendor_id
+), base AS (
+  SELECT vendor_id, first, x, len(x) AS n, least(14, len(x)) AS least_days,
+    list_transform(range(0, len(x) + 1), lambda e: CAST(coalesce(list_sum(x[1:e]), 0) AS HUGEINT)) AS p,
+    list_transform(range(0, len(x) + 1), lambda e: CAST(coalesce(list_sum(list_transform(x[1:e], lambda y: y * y)), 0) AS HUGEINT)) AS r
+  FROM series
+), step AS (
+  SELECT vendor_id, 0 AS e, CAST([{'c': 0, 's': 0, 'k': 0}] AS STRUCT(c BIGINT, s BIGINT, k BIGINT)[]) AS best FROM base
+  UNION ALL
+  SELECT t.vendor_id, t.e + 1, list_append(t.best, list_min(list_transform(
+    list_filter(range(0, t.e + 2 - b.least_days), lambda k: k = 0 OR k >= b.least_days),
+    lambda k: {
+      'c': CAST(t.best[k + 1].c + CASE WHEN k = 0 THEN 0 ELSE 40000 END
+        + (t.e + 1 - k) * floor(1000 * ln(CAST(1 + ((t.e + 1 - k) * (b.r[t.e + 2] - b.r[k + 1]) - (b.p[t.e + 2] - b.p[k + 1]) * (b.p[t.e + 2] - b.p[k + 1])) // ((t.e + 1 - k) * (t.e + 1 - k)) AS DOUBLE))) AS BIGINT),
+      's': CAST(t.best[k + 1].s + 1 AS BIGINT), 'k': CAST(k AS BIGINT)})))
+  FROM step t JOIN base b ON t.vendor_id IS NOT DISTINCT FROM b.vendor_id WHERE t.e < b.n
+), found AS (
+  SELECT b.vendor_id, b.first, b.p, b.r, t.best, b.n, t.best[b.n + 1].s AS n_segments, t.best[b.n + 1].c AS best_cost
+  FROM step t JOIN base b ON t.vendor_id IS NOT DISTINCT FROM b.vendor_id AND t.e = b.n
+), back AS (
+  SELECT *, n AS stop, best[n + 1].k AS start, n_segments AS segment_no FROM found
+  UNION ALL
+  SELECT * REPLACE (start AS stop, best[start + 1].k AS start, segment_no - 1 AS segment_no) FROM back WHERE start > 0
+), cut AS (
+  SELECT *, stop - start AS m, p[stop + 1] - p[start + 1] AS total, r[stop + 1] - r[start + 1] AS squares FROM back
+), valued AS (
+  SELECT *, 1 + (m * squares - total * total) // (m * m) AS spread FROM cut
+)
+SELECT vendor_id, CAST(segment_no AS INTEGER) AS segment_no, first + start AS first_day, CAST(m AS BIGINT) AS n_days, CAST(total AS BIGINT) AS total,
+  CAST(spread AS BIGINT) AS spread, CAST(m * floor(1000 * ln(CAST(spread AS DOUBLE))) AS BIGINT) AS cost, n_segments, best_cost
+FROM valued
+"""
