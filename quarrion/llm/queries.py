@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrion.llm import binpack, bitplane, changepoints, divergence, langid, mixing, packing, simhash, toxicity, vafile, warc
+from quarrion.llm import binpack, bitplane, changepoints, divergence, langid, mixing, packing, phrases, simhash, toxicity, vafile, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,3 +133,42 @@ SELECT vendor_id, CAST(segment_no AS INTEGER) AS segment_no, first + start AS fi
   CAST(spread AS BIGINT) AS spread, CAST(m * floor(1000 * ln(CAST(spread AS DOUBLE))) AS BIGINT) AS cost, n_segments, best_cost
 FROM valued
 """
+
+
+@query
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op13_phrase_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM words GROUP BY lang
+), grams AS (
+  SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase
+  FROM words, unnest([1, 2, 3, 4]) t(m) WHERE len(w) >= m
+), f AS (
+  SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT *, unnest(range(1, m)) AS k, string_split(phrase, ' ') AS w FROM f WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.m, c.phrase, c.a, min({'score': 2000000::HUGEINT * c.a // (l.a + r.a), 'k': c.k, 'l': l.a, 'r': r.a}) AS s
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:c.k], ' ')
+    JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[c.k + 1:], ' ')
+  GROUP BY ALL
+), spans AS (
+  SELECT lang, a, unnest(flatten(list_transform(range(2, m), lambda b: list_transform(range(1, m - b + 2), lambda i: array_to_string(string_split(phrase, ' ')[i:i + b - 1], ' '))))) AS phrase
+  FROM f WHERE m > 2
+), outer_ AS (
+  SELECT lang, phrase, max(a) AS a FROM spans GROUP BY ALL
+), ranked AS (
+  SELECT s.lang, s.phrase, s.a, s.s, row_number() OVER (PARTITION BY s.lang ORDER BY s.s.score DESC, s.a DESC, s.phrase) AS rank
+  FROM scored s LEFT JOIN outer_ o ON o.lang = s.lang AND o.phrase = s.phrase WHERE o.a IS NULL OR 100::HUGEINT * o.a < 80::HUGEINT * s.a
+)
+SELECT r.lang, r.rank, r.phrase, r.a, CAST(r.s.l AS BIGINT) AS l, CAST(r.s.r AS BIGINT) AS r, CAST(t.n AS BIGINT) AS n, CAST(r.s.score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE r.rank <= 2000
+"""
