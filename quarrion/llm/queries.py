@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrion.llm import binpack, bitplane, changepoints, divergence, langid, mixing, packing, phrases, simhash, toxicity, vafile, warc
+from quarrion.llm import additive, binpack, bitplane, changepoints, divergence, langid, mixing, packing, phrases, simhash, toxicity, vafile, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,6 +88,11 @@ def op9_drr_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return additive.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op12_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changepoints.segments(table(spark, sf_dir, "sale_lines"))
