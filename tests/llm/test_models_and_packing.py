@@ -151,12 +151,23 @@ def test_toxicity(spark):
 
 
 def test_toxicity_with_more_labels(spark):
-    """The bounded training sample full; a hashed share of the held-out documents."""
-    sf = "/root/testdata/check_s"
-    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = toxicity.fit(d, labels)
-    some = d.join(labels, "doc_id").where(toxicity.held_out()).where(F.abs(F.hash("doc_id")) % 3 == 0)
-    m = toxicity.scored(some, labels, model).toPandas().merge(labels.toPandas(), on="doc_id")
+    """A table made here: ordinary words by rank, insults of a small list in every tenth text; more labels than the supplied tables have."""
+    r = random.Random(12)
+    syllables = ["ba", "de", "ki", "lo", "mu", "ner", "sta", "tri", "vo", "zan", "pel", "gur"]
+    plain = ["".join(r.choice(syllables) for _ in range(r.randint(1, 4))) for _ in range(3000)]
+    weights = [1 / (k + 2) for k in range(3000)]
+    insults = ["scumbag", "imbecile", "moron", "parasite", "vermin", "halfwit", "cretin", "dimwit"]
+    rows, marks = [], []
+    for k in range(6000):
+        words = r.choices(plain, weights, k=r.randint(60, 200))
+        if k % 10 == 0:
+            for _ in range(3):
+                words.insert(r.randrange(len(words)), f"you {r.choice(insults)} {r.choice(insults)}")
+        rows.append((k, " ".join(words)))
+        marks.append((k, int(k % 10 == 0)))
+    d, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int")
+    m = toxicity.scored(d, labels).toPandas().merge(labels.toPandas(), on="doc_id")
+    m = m[m.held_out]
     assert m[m.toxic == 1].predicted.mean() > 0.9 and m[m.toxic == 0].predicted.mean() < 0.05
 
 
