@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +41,25 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: computed once, lineage cut, and of known size, so that the planner
+    broadcasts it in joins if it's small and shuffles it if it isn't. The files go when the driver's JVM ends."""
+    spark = df.sparkSession
+    path = fresh_folder(spark, "stored")
+    df.write.parquet(f"{path}/t")
+    return spark.read.schema(df.schema).parquet(f"{path}/t")
+
+
+def fresh_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder under the shared one that goes when the driver's JVM ends."""
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share, under spark.checkpoint.dir. Where that is unset, a local master, whose executors are
     the driver, gets one under /tmp; any other is refused."""

@@ -2,20 +2,23 @@
 
 chunks: id, view_id, source_file, layer, section_title, content, summary, keywords (array), hash, importance, token_count,
 symbol_name, symbol_kind, parent_symbol, file_stem, line, updated_at. prompts: prompt_id, prompt. Every strategy returns
-(prompt_id, strategy, weight, id, score). Names meet prompts by equi-joins: on the lower-cased name, on a prefix's first two
-characters, or on trigrams; never by a nested loop over all pairs.
+(prompt_id, strategy, weight, id, score). Names meet prompts by equi-joins: on the lower-cased name, or on the rarest trigram of what
+is asked for; never by a nested loop over all pairs.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion import config
 from quarrion.config import Config
 from quarrion.functions import text as T
-from quarrion.operators import fuse, graph, rank, search
-from quarrion.operators.common import settled, small, top
+from quarrion.operators import fulltext, fuse, graph, names, rank, search
+from quarrion.operators.common import fresh_folder, settled, small, top
+from quarrion.sources.store import Store
 
 # Words too common for a list of their own, expansions by intent, and scores.
 PLAIN_TERMS = "function method string number object return const import export class boolean array".split()
@@ -45,22 +48,23 @@ def _unigrams(i: DataFrame) -> DataFrame:
     return _terms(i, "concepts").where(~F.contains("term", F.lit(" ")))
 
 
-def by_symbol(chunks: DataFrame, names: DataFrame, limit: int = 20) -> DataFrame:
-    """(prompt_id, name, and the chunk) where the symbol equals or begins with name(prompt_id, name): exact first, then by id."""
-    n = names.select("prompt_id", "name", F.lower("name").alias("_n")).where(F.length("_n") >= 2).withColumn("_h", F.substring("_n", 1, 2))
-    s = chunks.where("symbol_name is not null").withColumn("_s", F.lower("symbol_name")).withColumn("_h", F.substring("_s", 1, 2))
-    hits = s.join(small(n), "_h").where(F.startswith("_s", F.col("_n"))).withColumn("_x", F.col("_s") == F.col("_n"))
-    return top(hits, ["prompt_id", "name"], [F.desc("_x"), "id"], limit).drop("_h", "_s", "_n", "_x")
+def by_symbol(chunks: DataFrame, asked: DataFrame, limit: int = 20, index: names.Names | None = None) -> DataFrame:
+    """(prompt_id, name, and the chunk) where the symbol equals or begins with asked(prompt_id, name): exact first, then by id.
+    index: of the lower-cased symbols, if one is stored."""
+    n = asked.select("prompt_id", "name", F.lower("name").alias("term")).where(F.length("term") >= 2)
+    s = chunks.where("symbol_name is not null").withColumn("_s", F.lower("symbol_name"))
+    pairs = (index or names.index(s.select(F.col("_s").alias("name")))).probed(n.withColumnRenamed("name", "_name"), prefix=True)
+    hits = s.join(pairs.select("prompt_id", F.col("name").alias("_s"), F.col("_name").alias("name"), (F.col("name") == F.col("term")).alias("_x")), "_s")
+    return top(hits, ["prompt_id", "name"], [F.desc("_x"), "id"], limit).drop("_s", "_x")
 
 
-def by_symbol_part(chunks: DataFrame, names: DataFrame, limit: int = 15) -> DataFrame:
-    """Where the symbol contains a name of five characters or more, found by the name's first trigram."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda k: F.substring(c, k, F.lit(3))))
-    n = names.select("prompt_id", "name", F.lower("name").alias("_n")).where(F.length("_n") >= 5).withColumn("_g", F.substring("_n", 1, 3))
-    dim = chunks.where("symbol_name is not null").select(F.lower("symbol_name").alias("_s")).distinct().select("_s", F.explode(grams(F.col("_s"))).alias("_g"))
-    pairs = dim.join(small(n), "_g").where(F.contains("_s", F.col("_n"))).select("prompt_id", "name", "_s").distinct()
-    hits = chunks.withColumn("_s", F.lower("symbol_name")).join(pairs, "_s").drop("_s")
-    return top(hits, ["prompt_id", "name"], ["id"], limit)
+def by_symbol_part(chunks: DataFrame, asked: DataFrame, limit: int = 15, index: names.Names | None = None) -> DataFrame:
+    """Where the symbol contains a name of five characters or more."""
+    n = asked.select("prompt_id", F.col("name").alias("_name"), F.lower("name").alias("term")).where(F.length("term") >= 5)
+    s = chunks.where("symbol_name is not null").withColumn("_s", F.lower("symbol_name"))
+    pairs = (index or names.index(s.select(F.col("_s").alias("name")))).probed(n)
+    hits = s.join(pairs.select("prompt_id", F.col("_name").alias("_n"), F.col("name").alias("_s")).distinct(), "_s").drop("_s")
+    return top(hits.withColumnRenamed("_n", "name"), ["prompt_id", "name"], ["id"], limit)
 
 
 def by_parent(chunks: DataFrame, names: DataFrame, limit: int = 30) -> DataFrame:
@@ -69,13 +73,11 @@ def by_parent(chunks: DataFrame, names: DataFrame, limit: int = 30) -> DataFrame
     return top(hits, ["prompt_id", "name"], ["id"], limit)
 
 
-def by_title(chunks: DataFrame, terms: DataFrame, limit: int = 5) -> DataFrame:
-    """Where the title contains a term, found by the term's first word of the title's words or, inside a word, by trigram."""
-    dim = chunks.where("section_title is not null").select(F.lower("section_title").alias("_s")).distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_s") - 2, F.lit(1))), lambda k: F.substring(F.col("_s"), k, F.lit(3))))
-    t = terms.where(F.length("term") >= 3).withColumn("_g", F.substring("term", 1, 3))
-    pairs = dim.select("_s", F.explode(grams).alias("_g")).join(small(t), "_g").where(F.contains("_s", F.col("term"))).select("prompt_id", "term", "_s").distinct()
-    return top(chunks.withColumn("_s", F.lower("section_title")).join(pairs, "_s").drop("_s"), ["prompt_id", "term"], ["id"], limit)
+def by_title(chunks: DataFrame, terms: DataFrame, limit: int = 5, index: names.Names | None = None) -> DataFrame:
+    """Where the title contains a term of three characters or more."""
+    s = chunks.where("section_title is not null").withColumn("_s", F.lower("section_title"))
+    pairs = (index or names.index(s.select(F.col("_s").alias("name")))).probed(terms.select("prompt_id", "term").where(F.length("term") >= 3))
+    return top(s.join(pairs.select("prompt_id", "term", F.col("name").alias("_s")).distinct(), "_s").drop("_s"), ["prompt_id", "term"], ["id"], limit)
 
 
 def stem_rank(stem: Column, v: Column, path: Column) -> Column:
@@ -87,13 +89,18 @@ def kind_rank(kind: Column, path: Column) -> Column:
     return F.when(path.rlike(r"\.(test|spec)\."), 0).when(kind.isin("function", "method", "class", "struct"), 2).otherwise(1)
 
 
-def by_stem(chunks: DataFrame, stems: DataFrame, limit: int = 20) -> DataFrame:
-    """(prompt_id, v, stem_rank, and the chunk) for stems(prompt_id, v): by rank of the match, of the kind, and id."""
-    files = chunks.select(F.lower("file_stem").alias("_f"), F.lower("source_file").alias("_p")).distinct()
-    whole = F.concat_ws(" ", "_f", "_p")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(whole) - 2, F.lit(1))), lambda k: F.substring(whole, k, F.lit(3))))
-    v = stems.withColumn("v", F.lower("v")).where(F.length("v") >= 3).distinct().withColumn("_g", F.substring("v", 1, 3))
-    pairs = files.select("_f", "_p", F.explode(grams).alias("_g")).join(small(v), "_g").withColumn("stem_rank", stem_rank(F.col("_f"), F.col("v"), F.col("_p"))).where("stem_rank > 0").select("prompt_id", "v", "_f", "_p", "stem_rank").distinct()
+def stem_and_path(chunks: DataFrame) -> DataFrame:
+    """(name, _f, _p) of the chunks' files: what stems are looked for in, and its two parts."""
+    return chunks.select(F.lower("file_stem").alias("_f"), F.lower("source_file").alias("_p")).distinct().select(F.concat_ws(" ", "_f", "_p").alias("name"), "_f", "_p")
+
+
+def by_stem(chunks: DataFrame, stems: DataFrame, limit: int = 20, index: names.Names | None = None) -> DataFrame:
+    """(prompt_id, v, stem_rank, and the chunk) for stems(prompt_id, v): by rank of the match, of the kind, and id.
+    index: of the names of stem_and_path(), if one is stored."""
+    files = stem_and_path(chunks)
+    v = stems.select("prompt_id", F.lower("v").alias("term")).where(F.length("term") >= 3).distinct()
+    pairs = (index or names.index(files)).probed(v).join(files, "name")
+    pairs = pairs.withColumnRenamed("term", "v").withColumn("stem_rank", stem_rank(F.col("_f"), F.col("v"), F.col("_p"))).where("stem_rank > 0").select("prompt_id", "v", "_p", "stem_rank").groupBy("prompt_id", "v", "_p").agg(F.max("stem_rank").alias("stem_rank"))
     hits = chunks.withColumn("_p", F.lower("source_file")).join(pairs, "_p").withColumn("_k", kind_rank(F.col("symbol_kind"), F.col("_p")))
     return top(hits, ["prompt_id", "v"], [F.desc("stem_rank"), F.desc("_k"), "id"], limit).drop("_p", "_k")
 
@@ -105,10 +112,27 @@ def class_children(chunks: DataFrame, hits: DataFrame) -> DataFrame:
     return by_parent(chunks, named.select("prompt_id", F.col("symbol_name").alias("name")).distinct()).select("prompt_id", "id")
 
 
-def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None, index: search.Index | None = None) -> DataFrame:
-    """All strategies' lists for intents i, each cut to its limit. index: of the chunks, if one is stored."""
+@dataclass
+class Indexes:
+    """What is stored of the chunks: full text, and names by trigrams."""
+
+    text: fulltext.Index
+    symbols: names.Names
+    titles: names.Names
+    files: names.Names
+
+
+def indexes(chunks: DataFrame, folder: str) -> Indexes:
+    """All indexes of the chunks, written under folder."""
+    low = lambda c: chunks.select(F.lower(c).alias("name"))
+    text = fulltext.create(Store(chunks.sparkSession, f"{folder}/text"), chunks)
+    return Indexes(text, names.index(low("symbol_name"), f"{folder}/symbols"), names.index(low("section_title"), f"{folder}/titles"), names.index(stem_and_path(chunks), f"{folder}/files"))
+
+
+def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None, index: Indexes | None = None) -> DataFrame:
+    """All strategies' lists for intents i, each cut to its limit. index: of the chunks, if they are stored."""
     cfg = cfg or Config()
-    text = config.COLUMN_WEIGHTS
+    index = index or indexes(chunks.withColumn("summary", F.coalesce("summary", F.lit(""))), fresh_folder(chunks.sparkSession, "indexes"))
     c = chunks.withColumn("summary", F.coalesce("summary", F.lit("")))
     lists = []
     terms = _unigrams(i)
@@ -123,7 +147,7 @@ def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None,
     long_ = terms.where((F.length("term") >= 6) & ~F.col("term").isin(*PLAIN_TERMS))
     asked = words.select("term").unionByName(idw.select("term")).unionByName(extra.select("term")).unionByName(long_.select("term")).distinct()
     words, idw, extra = (search.folded(x, "prompt_id") for x in (words, idw, extra))
-    parts = settled(search.index_parts(index or search.index(c, text), search.folded(asked)))
+    parts = settled(fulltext.parts(index.text, search.folded(asked)))
     any_ = search.summed(parts, words)
     n_terms = words.groupBy("prompt_id").agg(F.count("*").alias("n"))
     lists.append(_list(best(any_, cfg.fts_limit), "fts-or", 2.0))
@@ -134,11 +158,11 @@ def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None,
     lists.append(_list(one.select(F.get("k", F.lit(0)).cast("long").alias("prompt_id"), "id", "score", F.concat(F.lit("fts-term:"), F.get("k", F.lit(1))).alias("s")), F.col("s"), 0.4))
     lists.append(_list(best(search.summed(parts, extra), min(cfg.fts_limit, 8)), "intent-aware", 1.0))
     phrases = i.select("prompt_id", F.explode("quoted").alias("q")).select(F.concat_ws("\t", F.col("prompt_id").cast("string"), "q").alias("prompt_id"), T.words(F.col("q")).alias("words")).where(F.size("words") > 0)
-    posts = search.postings(c, {"content": 1.0, "section_title": 1.0, "summary": 1.0}, phrases.select(F.explode("words").alias("term")))
-    quoted = search.match_phrase(posts, phrases).select(F.get(F.split("prompt_id", "\t"), F.lit(0)).cast("long").alias("prompt_id"), "id", F.lit(1.0).alias("score"))
+    columns = phrases.select("*", F.explode(F.array(*map(F.lit, ("content", "section_title", "summary")))).alias("col"))
+    quoted = fulltext.phrases(index.text, columns).select(F.get(F.split("prompt_id", "\t"), F.lit(0)).cast("long").alias("prompt_id"), "id", F.lit(1.0).alias("score"))
     lists.append(_list(best(quoted.groupBy("prompt_id", "id").agg(F.sum("score").alias("score")), cfg.fts_limit), "quoted-term", 1.0))
 
-    symbol = by_symbol(c, ids)
+    symbol = by_symbol(c, ids, index=index.symbols)
     id_text = best(search.summed(parts, idw), cfg.fts_limit).join(c.select("id", "symbol_kind"), "id")
     exact = symbol.where(F.lower("symbol_name") == F.lower("name")).select("prompt_id", "source_file", F.col("id").alias("_own")).distinct()
     siblings = top(c.join(exact, "source_file").where("id <> _own"), ["prompt_id", "_own"], ["id"], 8)
@@ -149,13 +173,13 @@ def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None,
     weak = keyed.select("prompt_id", "id", F.lit(1.0).alias("score")).unionByName(by_parent(c, ids).select("prompt_id", "id", F.lit(1.0).alias("score"))).unionByName(id_text.select("prompt_id", "id", "score"))
     lists.append(_list(weak, "identifier-keyword", 1.0))
 
-    titles = by_title(c, terms.where(~F.col("term").isin(*PLAIN_TITLES)))
+    titles = by_title(c, terms.where(~F.col("term").isin(*PLAIN_TITLES)), index=index.titles)
     lists.append(_list(titles.select("prompt_id", "id", F.lit(1.0).alias("score")), "section-title", 0.5))
 
     named = i.select("prompt_id", F.concat(F.filter("concepts", lambda x: ~F.contains(x, F.lit(" ")) & (F.length(x) >= 3)), "identifiers").alias("s"), F.transform("identifiers", lambda x: F.lower(x)).alias("low"))
     stems = named.select("prompt_id", "low", F.explode("s").alias("s")).select("prompt_id", "low", F.explode(T.stem_variants(F.col("s"))).alias("v"))
     stems = stems.select("prompt_id", F.lower("v").alias("v"), ((F.length("v") < 5) & ~F.exists("low", lambda x: F.contains(x, F.lower("v")))).alias("weak")).distinct()
-    files = by_stem(c, stems.select("prompt_id", "v")).join(small(stems), ["prompt_id", "v"])
+    files = by_stem(c, stems.select("prompt_id", "v"), index=index.files).join(small(stems), ["prompt_id", "v"])
     same = F.translate(F.lower("file_stem"), "-", "") == F.translate("v", "-", "")
     n = F.length("v")
     lists.append(_list(files.where(same).select("prompt_id", "id", F.when(F.col("weak"), 8.0).otherwise(30.0 + F.least(n, F.lit(12))).alias("score")), "file-stem-exact", 2.0))
@@ -166,9 +190,9 @@ def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None,
 
     tokens = i.select("prompt_id", T.match_tokens(F.concat("identifiers", F.filter("concepts", lambda x: ~F.contains(x, F.lit(" "))))).alias("t"))
     tokens = tokens.select("prompt_id", F.explode("t").alias("name")).where(F.length("name") >= 4).distinct()
-    sym = by_symbol(c, tokens)
+    sym = by_symbol(c, tokens, index=index.symbols)
     lists.append(_list(sym.select("prompt_id", "id", F.lit(CONCEPT_SYMBOL).alias("score")).unionByName(class_children(c, sym).withColumn("score", F.lit(CONCEPT_CHILD))), "concept-symbol-exact", 2.0))
-    fuzzy = by_symbol_part(c, tokens.where((F.length("name") >= 7) & ~F.col("name").isin(*PLAIN_SYMBOLS)))
+    fuzzy = by_symbol_part(c, tokens.where((F.length("name") >= 7) & ~F.col("name").isin(*PLAIN_SYMBOLS)), index=index.symbols)
     lists.append(_list(fuzzy.select("prompt_id", "id", F.lit(CONCEPT_FUZZY).alias("score")), "concept-symbol-fuzzy", 1.0))
     out = lists[0]
     for x in lists[1:]:
@@ -176,7 +200,7 @@ def candidate_lists(chunks: DataFrame, i: DataFrame, cfg: Config | None = None,
     return out
 
 
-def retrieved(chunks: DataFrame, edges: DataFrame, prompts: DataFrame, feedback: DataFrame | None = None, cfg: Config | None = None, as_of_ms: Column | None = None, index: search.Index | None = None) -> DataFrame:
+def retrieved(chunks: DataFrame, edges: DataFrame, prompts: DataFrame, feedback: DataFrame | None = None, cfg: Config | None = None, as_of_ms: Column | None = None, index: Indexes | None = None) -> DataFrame:
     """prompts to at most cfg.max_results chunks each, with score, rank and why: fuse, expand by graph, merge, re-score, diversify,
     drop what is contained or repeated, cap segments, cut."""
     cfg = cfg or Config()

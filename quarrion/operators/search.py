@@ -146,25 +146,6 @@ def match_phrase(posts: DataFrame, phrases: DataFrame) -> DataFrame:
     return start.where("have = n").select("prompt_id", "view_id", "id").distinct()
 
 
-def match_phrase_from_rarest(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(prompt_id, view_id, id) of the chunks(view_id, id, content) in which the words of a phrase follow one another.
-
-    phrases: (prompt_id, words array). A chunk must hold the phrase's rarest word; only such pairs are looked at, on the chunk's
-    whole words, so that frequent words cost nothing.
-    """
-    words = chunks.select("id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("term"))
-    asked = phrases.where(F.size("words") > 0).select("prompt_id", F.explode(F.array_distinct("words")).alias("term"))
-    terms = small(asked.select("term").distinct())
-    held = settled(words.join(terms, "term", "left_semi"))
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    # A word that no chunk holds is the rarest: its phrase has no hit.
-    rare = asked.join(df, "term", "left").groupBy("prompt_id").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("r")).where("r.df > 0")
-    pairs = held.join(small(rare.select("prompt_id", F.col("r.term").alias("term"))), "term").select("prompt_id", "id")
-    line = lambda w: F.concat(F.lit(" "), F.array_join(w, " "), F.lit(" "))
-    both = pairs.join(small(phrases.select("prompt_id", line(F.col("words")).alias("p"))), "prompt_id").join(chunks.select("view_id", "id", "content"), "id")
-    return both.where(F.contains(line(T.words(F.col("content"))), F.col("p"))).select("prompt_id", "view_id", "id")
-
-
 def events_found(events: DataFrame, terms: DataFrame, n: int = 10) -> DataFrame:
     """The n best of events(id, content) for each prompt of terms(prompt_id, term), by unweighted BM25, ranked from 0."""
     return top_hits(bm25(events.withColumn("view_id", F.lit("")), terms, stem=False).withColumn("score", F.round("score", 9)), n)

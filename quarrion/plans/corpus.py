@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrion.functions import text as T
-from quarrion.operators import search
-from quarrion.operators.common import shared_folder
+from quarrion.operators import retrieve
+from quarrion.operators.common import fresh_folder
 from quarrion.plans.registry import table
 
 LAYERS = ("global", "workspace", "repo", "session")
@@ -40,14 +38,32 @@ def fielded(c: DataFrame) -> DataFrame:
     return c.withColumns({"section_title": F.split_part("source_file", F.lit("/"), F.lit(1)), "summary": F.substring("content", 1, 60), "keywords": long_})
 
 
-_INDEXES: dict[tuple[str, str], search.Index] = {}
+_INDEXES: dict[tuple, retrieve.Indexes] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    """What tells whether a table's files have changed: their names, sizes and times."""
+    sc = spark.sparkContext
+    out = []
+    for f in sorted(table(spark, sf_dir, name).inputFiles()):
+        at = sc._jvm.org.apache.hadoop.fs.Path(f)
+        status = at.getFileSystem(sc._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return sc.applicationId, *out
+
+
+def symbols(c: DataFrame) -> DataFrame:
+    """fielded chunks with names: the first long word is the symbol, the first line a class, other lines members of its file."""
+    symbol = F.regexp_extract("content", "[a-z]{6,}", 0)
+    kind = F.when(F.col("line") == 0, "class").otherwise("function")
+    return c.withColumns({"symbol_name": F.when(symbol != "", symbol), "symbol_kind": kind, "parent_symbol": F.when(F.col("line") > 0, F.regexp_extract("source_file", "([0-9]+)", 1)), "file_stem": T.file_stem(F.col("source_file")), "updated_at": F.lit(0).cast("long")})
 
 
-def index(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The stored index of the chunks, written once a session and data folder."""
-    key = spark.sparkContext.applicationId, sf_dir
+def indexes(spark: SparkSession, sf_dir: str) -> retrieve.Indexes:
+    """The stored indexes of the chunks, written once a session and state of the documents."""
+    key = _state(spark, sf_dir, "documents")
     if key not in _INDEXES:
-        _INDEXES[key] = search.index(fielded(chunks(spark, sf_dir)), folder=f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+        _INDEXES[key] = retrieve.indexes(symbols(fielded(chunks(spark, sf_dir))), fresh_folder(spark, "indexes"))
     return _INDEXES[key]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrion.functions import text as T
-from quarrion.operators import retrieve, scope, search, windows
+from quarrion.operators import fulltext, retrieve, scope, search, windows
 from quarrion.operators.common import r6, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
@@ -257,6 +257,7 @@ FROM expected e LEFT JOIN top USING (prompt_id, source_file) GROUP BY ALL""", *B
 def a15_recall(spark, sf_dir):
     c, p = corpus.chunks(spark, sf_dir), corpus.prompts(spark, sf_dir)
     files = c.select("id", "source_file")
-    expected = search.match_phrase_from_rarest(c, p.select("prompt_id", T.words(F.col("prompt")).alias("words"))).join(files, "id").select("prompt_id", "source_file").distinct()
+    q = p.select("prompt_id", T.words(F.col("prompt")).alias("words"), F.lit("content").alias("col"))
+    expected = fulltext.phrases(corpus.indexes(spark, sf_dir).text, q).join(files, "id").select("prompt_id", "source_file").distinct()
     best = search.top_hits(hits(spark, sf_dir).withColumn("score", F.round("score", 9)), 15).join(files, "id")
     return search.recall(expected, best, 15).withColumn("recall", F.round("recall", 6))

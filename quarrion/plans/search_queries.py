@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrion.functions import text as T
-from quarrion.operators import search
+from quarrion.operators import fulltext, search
 from quarrion.operators.common import r6
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
@@ -36,15 +36,36 @@ BASE = ("chunks", "prompts", "words", "prompt_terms")
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.scored(corpus.index(spark, sf_dir), search.folded(corpus.prompt_terms(corpus.prompts(spark, sf_dir)), "prompt_id"))
+    return fulltext.found(corpus.indexes(spark, sf_dir).text, asked(spark, sf_dir))
 
 
-@query("x2_bm25_topk", sql(BM25 + """
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(prompt_id, term): the prompts' stems."""
+    return search.folded(corpus.prompt_terms(corpus.prompts(spark, sf_dir)), "prompt_id")
+
+
+TOP_SQL = sql(BM25 + """
 SELECT prompt_id, id, rank, round(score, 6) AS score FROM (
-  SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm) WHERE rank < 15""", *BASE))
+  SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY round(score, 9) DESC, id) - 1 AS rank FROM bm) WHERE rank < 15""", *BASE)
+
+
+@query("x2_bm25_topk", TOP_SQL)
 def x2_bm25_topk(spark, sf_dir):
-    h = hits(spark, sf_dir).withColumn("score", F.round("score", 9))
-    return search.top_hits(h).select("prompt_id", "id", "rank", r6(F.col("score"), "score"))
+    h = fulltext.best(corpus.indexes(spark, sf_dir).text, asked(spark, sf_dir), 15)
+    return h.select("prompt_id", "id", "rank", r6(F.col("score"), "score"))
+
+
+@query("o1_topk_by_blocks", TOP_SQL)
+def o1_topk_by_blocks(spark, sf_dir):
+    """The same rows, with blocks of postings ruled out by the running k-th score, whatever the table's size."""
+    h = fulltext.top(corpus.indexes(spark, sf_dir).text, asked(spark, sf_dir), 15).rows
+    return h.select("prompt_id", "id", "rank", r6(F.col("score"), "score"))
+
+
+@query("o1_blocks_read")
+def o1_blocks_read(spark, sf_dir):
+    """Blocks that each prompt's search looked at, and all blocks of its stems."""
+    return fulltext.top(corpus.indexes(spark, sf_dir).text, asked(spark, sf_dir), 15).reads
 
 
 @query("x1_postings", sql("""
@@ -83,8 +104,20 @@ def x3_match_all(spark, sf_dir):
 t AS (SELECT id, view_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ' AS c FROM chunks)
 SELECT q.prompt_id, t.view_id, t.id FROM q JOIN t ON contains(t.c, ' ' || array_to_string(q.w, ' ') || ' ')""", "chunks", "prompts"))
 def x3_match_phrase(spark, sf_dir):
-    q = corpus.prompts(spark, sf_dir).select("prompt_id", T.words(F.col("prompt")).alias("words"))
-    return search.match_phrase_from_rarest(corpus.chunks(spark, sf_dir), q)
+    q = corpus.prompts(spark, sf_dir).select("prompt_id", T.words(F.col("prompt")).alias("words"), F.lit("content").alias("col"))
+    return fulltext.phrases(corpus.indexes(spark, sf_dir).text, q)
+
+
+@query("x3_match_column", sql(r"""
+, q AS (SELECT prompt_id, unnest(list_filter(regexp_split_to_array(lower(prompt), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 10)) AS word FROM prompts),
+k AS (SELECT id, view_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 10)) AS word FROM chunks)
+SELECT DISTINCT q.prompt_id, q.word, k.view_id, k.id FROM q JOIN k USING (word)""".replace("\\\\", "\\"), "chunks", "prompts"))
+def x3_match_column(spark, sf_dir):
+    """keywords:word for every long word of a prompt: chunks that have it as a keyword."""
+    w = corpus.prompts(spark, sf_dir).select("prompt_id", F.explode(F.array_distinct(F.filter(T.words(F.col("prompt")), lambda x: F.length(x) >= 10))).alias("word"))
+    q = w.select(F.concat_ws("\t", F.col("prompt_id").cast("string"), "word").alias("prompt_id"), F.array("word").alias("words"), F.lit("keywords").alias("col"))
+    k = F.split("prompt_id", "\t")
+    return fulltext.phrases(corpus.indexes(spark, sf_dir).text, q).select(F.get(k, F.lit(0)).cast("long").alias("prompt_id"), F.get(k, F.lit(1)).alias("word"), "view_id", "id")
 
 
 @query("x3_match_prefix", sql("""

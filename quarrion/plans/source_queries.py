@@ -217,11 +217,8 @@ def c1_chunk_documents(spark, sf_dir):
 
 @query("r18_retrieve")
 def r18_retrieve(spark, sf_dir):
-    c = corpus.fielded(corpus.chunks(spark, sf_dir))
-    symbol = F.regexp_extract("content", "[a-z]{6,}", 0)
-    kind = F.when(F.col("line") == 0, "class").otherwise("function")
-    c = c.withColumns({"symbol_name": F.when(symbol != "", symbol), "symbol_kind": kind, "parent_symbol": F.when(F.col("line") > 0, F.regexp_extract("source_file", "([0-9]+)", 1)), "file_stem": T.file_stem(F.col("source_file")), "updated_at": F.lit(0).cast("long")})
-    h = retrieve.retrieved(c, corpus.edges(spark, sf_dir), corpus.prompts(spark, sf_dir), index=corpus.index(spark, sf_dir))
+    c = corpus.symbols(corpus.fielded(corpus.chunks(spark, sf_dir)))
+    h = retrieve.retrieved(c, corpus.edges(spark, sf_dir), corpus.prompts(spark, sf_dir), index=corpus.indexes(spark, sf_dir))
     return h.select("prompt_id", "id", "source_file", "score", "rank")
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quarrion.sources.store import Conflict, Snapshot, Store  # noqa: F401  part of this module's names
+
 
 def changed(indexed: DataFrame, scanned: DataFrame) -> DataFrame:
     """(path, action) of files(path, hash) that are new or whose hash differs."""
@@ -80,81 +79,3 @@ def united(stores: dict[str, DataFrame]) -> DataFrame:
 def reconciled_after(indexed: DataFrame, scanned: DataFrame, completed: bool, failed: int = 0) -> DataFrame:
     """indexed without the files that a scan didn't find; as it was, if the scan didn't complete or any file failed."""
     return removed(indexed, stale(indexed, scanned), "path") if completed and not failed else indexed
-
-
-class Store:
-    """A folder of versions: tables are written first, then a numbered manifest that names them.
-
-    A manifest is written beside its place and moved there, which fails if that number is taken; so of two writers one wins,
-    nothing is ever replaced or deleted, and a reader always sees a whole version, the one with the highest number.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path, conf = jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
-        self._fs = self._path(self.root).getFileSystem(conf)
-        self._files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), conf)
-
-    def _manifest(self, generation: int | None = None) -> dict:
-        """The newest manifest, or that of a generation."""
-        if generation is None:
-            found = self._fs.globStatus(self._path(f"{self.root}/MANIFEST-*.json")) or []
-            generation = max((int(x.getPath().getName()[9:-5]) for x in found), default=0)
-        if not generation:
-            return {"generation": 0, "tables": {}}
-        return json.loads(self.spark.read.text(f"{self.root}/MANIFEST-{generation:012d}.json", wholetext=True).first()[0])
-
-    def generation(self) -> int:
-        return self._manifest()["generation"]
-
-    def read(self, name: str, generation: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(self._manifest(generation)["tables"][name])
-
-    def about(self) -> dict:
-        """What the newest version says besides its tables."""
-        return {k: v for k, v in self._manifest().items() if k not in ("generation", "tables")}
-
-    def commit(self, tables: dict[str, DataFrame], expected: int | None = None, **about) -> int:
-        """Write a new version of the given tables; others keep theirs. Fails if another writer came first, or after `expected`."""
-        old, version = self._manifest(), uuid.uuid4().hex
-        if expected is not None and old["generation"] != expected:
-            raise RuntimeError("another version was committed")
-        for name, df in tables.items():
-            df.write.parquet(f"{self.root}/{version}/{name}")
-        new = {**{k: v for k, v in old.items() if k not in ("generation", "tables")}, **about, "generation": old["generation"] + 1, "tables": old["tables"] | {n: f"{self.root}/{version}/{n}" for n in tables}}
-        temp = self._path(f"{self.root}/{version}.manifest")
-        out = self._fs.create(temp)
-        out.write(bytearray(json.dumps(new).encode()))
-        out.close()
-        gateway = self.spark.sparkContext._gateway
-        plain = gateway.new_array(gateway.jvm.org.apache.hadoop.fs.Options.Rename, 0)  # doesn't overwrite
-        try:
-            self._files.rename(temp, self._path(f"{self.root}/MANIFEST-{new['generation']:012d}.json"), plain)
-        except Exception as error:
-            self._fs.delete(temp, False)
-            if "FileAlreadyExists" in str(error):
-                raise RuntimeError("another version was committed") from error
-            raise
-        return new["generation"]
-
-    def export(self, folder: str, repository: str) -> None:
-        """Tables as JSON, and a description."""
-        m = self._manifest()
-        for name, path in m["tables"].items():
-            self.spark.read.parquet(path).write.json(f"{folder}/{name}")
-        self.spark.createDataFrame([(1, repository, m["generation"])], "version int, repository string, generation long").coalesce(1).write.json(f"{folder}/about")
-
-    def import_(self, folder: str, schemas: dict, root: str, owner: str = "view_id") -> int:
-        """The tables of an export, upserted: one owner only, and paths within root."""
-        from quarrion.operators.scope import inside
-
-        tables = {}
-        for name, (schema, key) in schemas.items():
-            df = self.spark.read.schema(schema).json(f"{folder}/{name}")
-            if owner in df.columns and df.select(owner).distinct().limit(2).count() > 1:
-                raise ValueError(f"{name} has rows of several owners")
-            if "path" in df.columns and not df.where(~inside(F.col("path"), F.lit(root))).isEmpty():
-                raise ValueError(f"{name} has paths outside {root}")
-            tables[name] = upserted(self.read(name), df, key) if name in self._manifest()["tables"] else df
-        return self.commit(tables)

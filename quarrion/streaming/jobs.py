@@ -9,17 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from quarrion.operators import memory
+from quarrion.operators import fulltext, memory
 from quarrion.sources import upkeep
 
 BURST, BURST_SECONDS = 100, 5
 
 
-def index_events(events: DataFrame, store: upkeep.Store, chunker: Callable[[DataFrame], DataFrame], checkpoint: str, trigger: dict | None = None):
+def index_events(events: DataFrame, store: upkeep.Store, chunker: Callable[[DataFrame], DataFrame], checkpoint: str, trigger: dict | None = None, index: bool = False):
     """Apply file events(path, type add|change|unlink, ts, text, language, parser) to the store's tables files and chunks.
 
-    Of a path's events in a batch the last holds; unchanged content is skipped; a batch that is run again gives the same
-    tables, because rows are keyed. Ordering within a path is by ts.
+    Of a path's events in a batch the last holds; unchanged content is skipped; a batch that is run again changes nothing, because
+    rows are keyed. Ordering within a path is by ts. A batch reads one snapshot; if another writer changed the tables meanwhile, it starts anew
+    from theirs. index: keep the full-text segments up to date, too: a batch adds a segment, and nothing of the others is rewritten but by
+    merges. On a fresh store both tables begin empty.
     """
 
     def apply(batch: DataFrame, _: int) -> None:
@@ -27,19 +29,36 @@ def index_events(events: DataFrame, store: upkeep.Store, chunker: Callable[[Data
         try:
             if last.isEmpty():
                 return
-            files, chunks = store.read("files"), store.read("chunks")
-            gone = last.where("type = 'unlink'").select("path")
-            new = last.where("type <> 'unlink'").withColumn("hash", F.sha2("text", 256))
-            fresh = new.join(files.select("path", "hash"), ["path", "hash"], "left_anti")
-            touched = gone.unionByName(fresh.select("path"))
-            store.commit({
-                "files": upkeep.removed(files, touched, "path").unionByName(fresh.select(*files.columns)),
-                "chunks": upkeep.removed(chunks, touched.withColumnRenamed("path", "source_file"), "source_file").unionByName(chunker(fresh).select(*chunks.columns)),
-            })
+
+            def tables(s: upkeep.Snapshot) -> dict[str, DataFrame]:
+                gone = last.where("type = 'unlink'").select("path")
+                new = last.where("type <> 'unlink'").withColumn("hash", F.sha2("text", 256))
+                fresh = new if "files" not in s.tables else new.join(s.read("files").select("path", "hash"), ["path", "hash"], "left_anti")
+                touched = gone.unionByName(fresh.select("path"))
+                chunks = chunker(fresh)
+                if "files" not in s.tables:
+                    return {"files": fresh.select("path", "hash", *(c for c in ("language", "parser") if c in fresh.columns)), "chunks": chunks}
+                files, old = s.read("files"), s.read("chunks")
+                return {
+                    "files": upkeep.removed(files, touched, "path").unionByName(fresh.select(*files.columns)),
+                    "chunks": upkeep.removed(old, touched.withColumnRenamed("path", "source_file"), "source_file").unionByName(chunks.select(*old.columns)),
+                }
+
+            store.update(tables)
+        finally:
+            last.unpersist()
+
+    def apply_with_index(batch: DataFrame, k: int) -> None:
+        last = upkeep.latest(batch, "path", "ts", "type").persist()
+        try:
+            if not last.isEmpty():
+                new = last.where("type <> 'unlink'").withColumn("hash", F.sha2("text", 256))
+                fulltext.apply(store, last.where("type = 'unlink'").select(F.col("path").alias("source_file")), new, chunker, (checkpoint, k))
+                fulltext.merge(store)
         finally:
             last.unpersist()
 
-    w = events.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    w = events.writeStream.foreachBatch(apply_with_index if index else apply).option("checkpointLocation", checkpoint)
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
@@ -92,13 +111,13 @@ def replayed(buffered: DataFrame, most: int = 10_000) -> tuple[bool, DataFrame]:
 
 def prune(store: upkeep.Store, as_of: Column, prompts: int = 5000, events: int = 20_000, days: int = 30) -> int:
     """Commit a version without prompts and events that are too old or too many."""
-    keep = lambda name, n: memory.retained(store.read(name), as_of, days * memory.DAY, n)
-    return store.commit({"prompts": keep("prompts", prompts), "events": keep("events", events)})
+    keep = lambda s, name, n: memory.retained(s.read(name), as_of, days * memory.DAY, n)
+    return store.update(lambda s: {"prompts": keep(s, "prompts", prompts), "events": keep(s, "events", events)})
 
 
 def decay(store: upkeep.Store, as_of: Column) -> int:
     """Commit a version of the facts in which confidence has faded."""
-    return store.commit({"facts": memory.decayed(store.read("facts"), as_of)})
+    return store.update(lambda s: {"facts": memory.decayed(s.read("facts"), as_of)})
 
 
 def every(spark: SparkSession, interval: str, job: Callable[[], object], checkpoint: str):

@@ -80,7 +80,9 @@ def test_store_versions(spark, tmp_path):
     for t in threads:
         t.join()
     assert won == [2] and len(lost) == 3 and s.generation() == 2 and s.read("t").count() == 1
-    assert s.commit({"t": df.unionByName(df)}) == 3 and s.read("t").count() == 2 and s.read("t", 2).count() == 1
+    with pytest.raises(ValueError):  # it would replace rows that nobody has said were read
+        s.commit({"t": df})
+    assert s.commit({"t": df.unionByName(df)}, expected=2) == 3 and s.read("t").count() == 2 and s.read("t", 2).count() == 1
     with pytest.raises(RuntimeError):
         s.commit({"t": df}, expected=1)
     assert not [p for p in (tmp_path / "s").iterdir() if p.name.endswith(".manifest")]
