@@ -67,6 +67,32 @@ def g5_trace(spark, sf_dir):
     return graph.traced(links, s, depth=4).withColumn("path", F.array_join("path", ">"))
 
 
+@query("g5_trace_limits", """
+WITH l AS (SELECT 'c' || c_custkey AS id, 'n' || c_nationkey AS node, 'c' || c_custkey AS next FROM customer UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'o' || o_orderkey FROM orders),
+r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY id) AS k, count(*) OVER (PARTITION BY node) AS n FROM l),
+s AS (SELECT n_nationkey AS prompt_id, 'n' || n_nationkey AS node FROM nation),
+-- The first 14 links of a nation bring a node each, which fills the budget of 15 with the nation itself; 20 links are looked at.
+one AS (SELECT s.prompt_id, s.node, r.next, r.k, r.n FROM s JOIN r USING (node) WHERE r.k <= 14),
+two AS (SELECT o.prompt_id, o.node, o.next, o.k, count(r.id) AS n FROM one o LEFT JOIN r ON r.node = o.next GROUP BY ALL)
+SELECT prompt_id, 'path' AS kind, node || '>' || next AS refs, NULL AS reason FROM two WHERE k <= 5
+UNION ALL SELECT prompt_id, 'path', node, NULL FROM s WHERE node NOT IN (SELECT node FROM r)
+UNION ALL SELECT prompt_id, 'stop', next, 'path_limit' FROM two WHERE k > 5
+UNION ALL SELECT prompt_id, 'stop', next, CASE WHEN n = 0 THEN 'no_recorded_connection' ELSE 'depth_limit' END FROM two
+UNION ALL SELECT prompt_id, 'stop', next, 'edge_limit' FROM two WHERE n > 20
+UNION ALL SELECT DISTINCT prompt_id, 'stop', node, 'edge_limit' FROM one WHERE n > 20
+UNION ALL SELECT DISTINCT prompt_id, 'stop', node, 'node_limit' FROM one WHERE n > 14
+UNION ALL SELECT prompt_id, 'stop', node, 'no_recorded_connection' FROM s WHERE node NOT IN (SELECT node FROM r)""")
+def g5_trace_limits(spark, sf_dir):
+    """Who is in a nation, and with what orders: searches that end by every limit."""
+    def way(name, a, b, x, y):
+        return table(spark, sf_dir, name).select(F.concat(F.lit(a), x).alias("id"), F.concat(F.lit(a), x).alias("source"), F.concat(F.lit(b), y).alias("target"), F.lit("fk").alias("type"), F.lit("valid").alias("status"))
+
+    links = way("customer", "c", "n", "c_custkey", "c_nationkey").unionByName(way("orders", "o", "c", "o_orderkey", "o_custkey"))
+    s = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("prompt_id"), F.concat(F.lit("n"), "n_nationkey").alias("node"))
+    found = graph.trace(links, s, direction="incoming", depth=1, nodes=15, edges=20, paths=5)
+    return found.select("prompt_id", "kind", F.array_join("refs", ">").alias("refs"), "reason")
+
+
 @query("p10_quality_entities", sql("""
 SELECT term, count(*) AS n FROM words WHERE length(term) >= 3 AND NOT regexp_matches(term, '^\\d+$') AND NOT list_contains(""".replace("\\\\", "\\") + corpus.STOP + ", term) GROUP BY term", "chunks", "words"))
 def p10_quality_entities(spark, sf_dir):

@@ -15,7 +15,7 @@ LINK = "id string, source string, target string, type string, status string"
 
 
 def rows_of(df):
-    return sorted((r.prompt_id, r.kind, tuple(r.refs), r.reason) for r in df.collect())
+    return sorted(((r.prompt_id, r.kind, tuple(r.refs), r.reason) for r in df.collect()), key=str)
 
 
 def test_trace_by_hand(spark):
@@ -38,8 +38,45 @@ def test_trace_by_hand(spark):
     assert sum(r[1] == "path" for r in got) == 4 and sum(r[3] == "path_limit" for r in got) == 26
 
 
+def searched(start, near, target, most):
+    """The search by one link after another, level by level; rows (kind, refs, reason)."""
+    level, seen, spent, rows, ends = [(start,)], [start], [], set(), []
+    for d in range(most["depth"] + 1):
+        after = []
+        for path in level:
+            if path[-1] == target:
+                return sorted({*rows, *(("path", p, None) for p in [*ends, path])}, key=str)
+            reasons, valid, longer = [], 0, False
+            for n, (link, to, status) in enumerate(near.get(path[-1], ())):
+                if n == most["edges"]:
+                    reasons.append("edge_limit")
+                    break
+                if status != "valid":
+                    reasons.append({"invalid": "stale_evidence"}.get(status, "unavailable_evidence"))
+                    continue
+                valid += 1
+                if to not in seen and d == most["depth"]:
+                    reasons.append("depth_limit")
+                elif link not in spent and len(spent) == most["edges"]:
+                    reasons.append("edge_limit")
+                elif to not in seen and len(seen) == most["nodes"]:
+                    reasons.append("node_limit")
+                else:
+                    spent += [link] * (link not in spent)
+                    if to not in seen:
+                        longer = True
+                        seen.append(to)
+                        after.append((*path, to))
+            rows |= {("stop", path[-1:], why) for why in reasons or (["no_recorded_connection"] if not valid else [])}
+            if not longer and target is None:
+                ends.append(path)
+        level = after
+    rows |= {("stop", p[-1:], "path_limit") for p in ends[most["paths"] :]}
+    return sorted({*rows, *(("path", p, None) for p in ends[: most["paths"]])}, key=str)
+
+
 def test_trace_sees_enough(spark):
-    """What is cut out for a prompt gives the same walk as all links do."""
+    """All searches at once, by counts, give what each gives link by link."""
     r = random.Random(4)
     links = [(f"{k:04d}", f"n{r.randint(0, 60)}", f"n{r.randint(0, 60)}", "t", r.choice(["valid"] * 8 + ["invalid"])) for k in range(300)]
     links = [x for x in links if x[1] != x[2]]
@@ -49,10 +86,12 @@ def test_trace_sees_enough(spark):
         near.setdefault(b, set()).add((i, a, s))
     near = {n: sorted(v) for n, v in near.items()}
     df, seeds = spark.createDataFrame(links, LINK), spark.createDataFrame([(k, f"n{k}") for k in range(8)], "prompt_id long, node string")
-    for limits in ({}, {"depth": 2}, {"nodes": 9}, {"edges": 12}, {"paths": 3}):
+    for limits in ({"depth": 2}, {"nodes": 9, "edges": 14}, {"edges": 12, "paths": 3, "depth": 3}):
         most = {"depth": 6, "nodes": 50, "edges": 100, "paths": 20} | limits
-        want = sorted((k, kind, tuple(refs), why) for k in range(8) for kind, refs, why in graph._walk(f"n{k}", near, None, **most))
-        assert rows_of(graph.trace(df, seeds, **limits)) == want, limits
+        want = sorted(str((k, *row)) for k in range(8) for row in searched(f"n{k}", near, None, most))
+        assert sorted(map(str, rows_of(graph.trace(df, seeds, **limits)))) == want, limits
+    to = sorted(str((k, *row)) for k in range(8) for row in searched(f"n{k}", near, "n33", {"depth": 3, "nodes": 40, "edges": 60, "paths": 20}))
+    assert sorted(map(str, rows_of(graph.trace(df, seeds, "n33", depth=3, nodes=40, edges=60)))) == to
 
 
 def test_extracted_edges(spark):
