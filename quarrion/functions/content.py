@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterable
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -45,45 +42,17 @@ def is_test_file(path: Column) -> Column:
     return path.rlike(TEST_PATHS)
 
 
-def _forms(term: str) -> Iterable[str]:
-    """A term and what else it may stand as: singular, stems, file stem, its long parts, and camel case of a joined name."""
-    weak = lambda x: x.lower() in WEAK_SIGNALS
-    yield term
-    for ending, least, drop, rest in (("s", 6, 1, 4), ("ing", 7, 3, 5)):
-        stem = term[:-drop]
-        if term.lower().endswith(ending) and len(term) >= least and len(stem) >= rest and not weak(stem):
-            yield stem
-    if term.lower().endswith("ated") and len(term) > 7:
-        yield term[:-1]
-    base = re.sub(ENDINGS, "", re.split(r"[/\\]", term)[-1], flags=re.IGNORECASE)
-    if base != term:
-        yield base
-    yield from (p for p in re.split(r"(?=[A-Z])|[\s_.-]+", term) if p and len(p) >= 5 and not weak(p))
-    if re.search("[-_]", base):
-        first, *rest = [p for p in re.split("[-_]+", base) if p] or [""]
-        camel = first.lower() + "".join(p.capitalize() for p in rest)
-        if len(camel) >= 5:
-            yield camel
-
-
-def signals(terms: Iterable[str], concepts: Iterable[str] = ()) -> list[str]:
-    """The 40 longest signal terms, 4 to 63 characters, of a prompt's terms and concepts; weak words give none. Ties keep their order."""
-    found = dict.fromkeys(c.strip() for c in concepts if c)
-    for t in (x.strip() for x in terms if x):
-        if len(t) >= 3 and t.lower() not in WEAK_SIGNALS:
-            found |= dict.fromkeys(_forms(t))
-    return sorted((x for x in found if 4 <= len(x) < 64), key=lambda x: -len(x))[:40]
-
-
-def signal_terms(terms: Column, concepts: Column) -> Column:
-    """signals() of arrays of strings."""
-
-    @F.pandas_udf("array<string>")
-    def run(t: pd.Series, c: pd.Series) -> pd.Series:
-        none = lambda x: [] if x is None else x
-        return pd.Series([signals(none(a), none(b)) for a, b in zip(t, c, strict=True)], dtype=object)
-
-    return run(terms, concepts)
+def signal_terms(terms: Column, concepts: Column, most: int = 40) -> Column:
+    """The longest signals, of 4 to 63 characters, of a prompt's terms and concepts (null: none): each with the spellings of its stem, without a
+    file ending, and its parts of five characters or more. Weak words give none. Ties: in order of the text."""
+    none = F.array().cast("array<string>")
+    given = F.filter(F.transform(F.coalesce(terms, none), lambda t: F.trim(t)), lambda t: (F.length(t) >= 3) & ~F.lower(t).isin(*WEAK_SIGNALS))
+    base = lambda t: F.regexp_replace(F.regexp_extract(t, r"([^/\\]*)$", 1), rf"(?i){ENDINGS}", "")
+    parts = lambda t: F.filter(F.split(t, r"(?=[A-Z])|[\s_.-]+"), lambda p: F.length(p) >= 5)
+    made = F.flatten(F.transform(given, lambda t: F.concat(F.array(t, base(t)), T.stem_variants(base(t)), parts(base(t)))))
+    all_ = F.array_distinct(F.concat(made, F.filter(F.transform(F.coalesce(concepts, none), lambda c: F.trim(c)), lambda c: c != "")))
+    fine = F.filter(all_, lambda x: F.length(x).between(4, 63) & ~F.lower(x).isin(*WEAK_SIGNALS))
+    return F.slice(F.transform(F.array_sort(F.transform(fine, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"]), 1, most)
 
 
 def exact_tokens(text: Column, tokenizer: str) -> Column:

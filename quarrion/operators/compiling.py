@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from xml.sax.saxutils import escape as _escape
+import math
+import re
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarrion.config import Config
-from quarrion.functions import content
+from quarrion.functions import text as T
 from quarrion.operators import packing
 from quarrion.operators.common import top
 
-tokens = packing.tokens
 LAYER_ORDER = ("session", "repo", "workspace", "global")
-def escape(text: str) -> str:
-    return _escape(text, {'"': "&quot;", "'": "&apos;"})
+
+
+def tokens(text: str) -> int:
+    """The estimate of quarrion.functions.text.token_estimate, of a string."""
+    n = len(text)
+    return math.ceil(n / (4.5 - min(len(re.findall(packing.CODE, text)) / max(n, 1), 0.5) * 3)) if n else 0
 
 
 def primaries(hits: DataFrame, per_file: int = 2, total: int = 5) -> DataFrame:
@@ -56,87 +59,64 @@ def tier(hits: DataFrame, intents: DataFrame) -> DataFrame:
     return per.select("prompt_id", F.when(F.col("e") & F.col("i"), "exact-implementation").when(F.col("e"), "exact").when(F.col("f"), "file").otherwise("explore").alias("tier"))
 
 
-def common_folder(paths: list[str]) -> str:
-    parts = [p.split("/")[:-1] for p in paths]
-    same = []
-    for level in zip(*parts, strict=False):
-        if len(set(level)) > 1:
-            break
-        same.append(level[0])
-    return "/".join(same)
-
-
-def markdown(packed: pd.DataFrame) -> str:
-    """Layers in their order; neighbours of one file under one heading; at most three stubs; a long common folder is named once."""
-    full, stubs = packed[packed.kind != "stub"], packed[packed.kind == "stub"]
-    folder = common_folder(list(full.source_file.unique())) if full.source_file.nunique() > 2 else ""
-    alias = bool(folder) and len(folder) * full.source_file.nunique() > len(folder) + 12
-    out = [f"`~` = {folder}"] if alias else []
-    for layer in LAYER_ORDER:
-        last = None
-        for r in full[full.layer == layer].itertuples():
-            if r.source_file != last:
-                out.append(f"## {r.source_file.replace(folder, '~', 1) if alias else r.source_file}")
-                last = r.source_file
-            out.append(r.body)
-    if len(stubs):
-        out += ["## More", *stubs.body.head(3)]
-    return "\n".join(out)
-
-
-def xml(packed: pd.DataFrame, most: int) -> tuple[str, list]:
-    """(document, kept rows): whole elements only, in layer order; one that doesn't fit is left out, and smaller ones after it may."""
-    order = packed.assign(_l=packed.layer.map({x: i for i, x in enumerate(LAYER_ORDER)}), _s=packed.kind == "stub").sort_values(["_s", "_l"], kind="stable")
-    head, tail, parts, kept = "<context>\n", "</context>", [], []
-    for r in order.itertuples():
-        name = "more" if r.kind == "stub" else "chunk"
-        body = escape(r.body) if r.kind == "stub" else f"<![CDATA[{r.body.replace(']]>', ']]]]><![CDATA[>')}]]>"
-        element = f'<{name} path="{escape(r.source_file)}" layer="{escape(r.layer)}">{body}</{name}>\n'
-        if packing.tokens(head + "".join(parts) + element + tail) <= most:
-            parts.append(element)
-            kept.append(r.Index)
-    return head + "".join(parts) + tail, kept
+def common_folder(files: Column) -> Column:
+    """The folder that all of the (distinct) paths lie in: what the least and the largest have in common."""
+    part = lambda c: F.split(c, "/")
+    a, b = part(F.array_min(files)), part(F.array_max(files))
+    n = F.least(F.size(a), F.size(b)) - 1
+    same = F.filter(F.sequence(F.lit(0), n), lambda k: F.slice(a, F.lit(1), k) == F.slice(b, F.lit(1), k))
+    return F.array_join(F.slice(a, F.lit(1), F.array_max(same)), "/")
 
 
 def compiled(hits: DataFrame, prompts: DataFrame, cfg: Config | None = None, budget: int | None = None, form: str = "markdown") -> DataFrame:
     """(prompt_id, output, tokens, n_body, n_excerpt, n_stub): one rendering a prompt, as markdown or xml, within the budget.
 
     hits: prompt_id, id, source_file, layer, line, content, score and, where there are any, symbol_name, symbol_kind, parent_symbol,
-    section_title, language, sent (boolean); bounded a prompt by the final cap. prompts: prompt_id, terms (identifiers and words) and, where there are
-    any, identifiers, concepts, tier. Packing is a walk in order, so a prompt is one group; prompts run in parallel. A rendering over
-    the budget loses its last body until it fits.
+    section_title, sent (boolean); bounded a prompt by the final cap. prompts: prompt_id, terms (identifiers and words) and, where there
+    are any, identifiers. Markdown has layers in their order, neighbours of one file under one heading, a long common folder named
+    once, and at most three stubs; xml has whole elements.
     """
     cfg = cfg or Config()
     most = budget or cfg.max_token_budget
     inner = max(min(380, most), most - cfg.framing_reserve)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True]).reset_index(drop=True)
-        first = pdf.iloc[0]
-        none = lambda x: [] if x is None else list(x)
-        s = packing.Signals(content.signals(none(first.terms), none(first.concepts)), frozenset(x.lower() for x in none(first.identifiers)), first.tier or "explore")
-        made = [
-            packing.Hit(r.id, r.source_file, r.content, r.score, r.Index, r.layer, r.symbol_name or "", r.symbol_kind or "", r.parent_symbol or "", r.section_title or "", int(r.line) if pd.notna(r.line) else None, r.language or "")
-            for r in pdf.itertuples()
-        ]
-        got = packing.pack(made, inner, s, frozenset(pdf.id[pdf.sent.fillna(False).astype(bool)]))
-        packed = pd.DataFrame([(h.key, h.source_file, h.layer, h.content, h.form) for h in got], columns=["key", "source_file", "layer", "body", "kind"])
-        if form == "xml":
-            text, kept = xml(packed, most)
-            packed = packed.loc[kept]
-        else:
-            text = markdown(packed)
-        while form != "xml" and packing.tokens(text) > most and len(packed):
-            stubs = packed[packed.kind == "stub"]
-            packed = packed.drop(stubs.index[-1] if len(stubs) else packed.index[-1])
-            text = markdown(packed)
-        n = packed.kind.value_counts()
-        return pd.DataFrame({"prompt_id": [first.prompt_id], "output": [text], "tokens": [packing.tokens(text)], **{f"n_{k}": [int(n.get(k, 0))] for k in ("body", "excerpt", "stub")}})
-
     def some(df: DataFrame, **kinds: str) -> list:
         return [F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()]
 
-    names = {c: "string" for c in ("symbol_name", "symbol_kind", "parent_symbol", "section_title", "language")}
-    rows = hits.select("prompt_id", "id", "source_file", "layer", "line", "content", "score", *some(hits, **names, sent="boolean"))
-    asked = prompts.select("prompt_id", "terms", *some(prompts, identifiers="array<string>", concepts="array<string>", tier="string"))
-    return rows.join(asked, "prompt_id").groupBy("prompt_id").applyInPandas(run, "prompt_id long, output string, tokens long, n_body long, n_excerpt long, n_stub long")
+    names = {c: "string" for c in ("symbol_name", "symbol_kind", "parent_symbol", "section_title")}
+    rows = hits.select("prompt_id", "id", "source_file", "layer", F.col("line").cast("int").alias("line"), "content", "score", *some(hits, **names, sent="boolean"))
+    asked = prompts.select("prompt_id", "terms", F.coalesce(*some(prompts, identifiers="array<string>"), F.array().cast("array<string>")).alias("identifiers"))
+    placed = packing.ordered(rows, asked, inner)
+    path, xml = F.col("source_file"), form == "xml"
+    frame = F.length("source_file") + (F.length("layer") + 52 if xml else 4)
+    h = packing.chosen(placed, inner, F.ceil(frame / 3))
+    text = F.when(F.col("form") == "body", F.col("content")).when(F.col("form") == "excerpt", packing.excerpt(F.col("content"), F.col("_terms"), F.col("most"))).otherwise(packing.stub())
+    h = h.withColumn("text", text)
+    if xml:
+        name = F.when(F.col("form") == "stub", "more").otherwise("chunk")
+        body = F.when(F.col("form") == "stub", T.escape_xml(F.col("text"))).otherwise(F.concat(F.lit("<![CDATA["), F.replace("text", F.lit("]]>"), F.lit("]]]]><![CDATA[>")), F.lit("]]>")))
+        piece = F.concat(F.lit("<"), name, F.lit(' path="'), T.escape_xml(path), F.lit('" layer="'), T.escape_xml(F.col("layer")), F.lit('">'), body, F.lit("</"), name, F.lit(">"))
+    else:
+        piece = F.when(F.col("form") == "stub", F.col("text")).otherwise(F.concat(F.lit("## "), path, F.lit("\n"), "text"))
+    around = "<context>\n</context>" if xml else "## More\n"
+    kept = packing.within(h.withColumn("piece", piece), most, len(around), sum(c in "<>" for c in around))
+    layer = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, name in enumerate(LAYER_ORDER) for x in (name, i))), F.col("layer")), F.lit(len(LAYER_ORDER)))
+    item = F.struct((F.col("form") == "stub").alias("late"), layer.alias("l"), "place", "source_file", "text", "piece", "form")
+    count = lambda k: F.sum((F.col("form") == k).cast("long")).alias(f"n_{k}")
+    per = kept.groupBy("prompt_id").agg(F.array_sort(F.collect_list(item)).alias("items"), *map(count, ("body", "excerpt", "stub")))
+    out = F.concat(F.lit("<context>\n"), F.array_join(F.transform("items", lambda x: F.concat(x["piece"], F.lit("\n"))), ""), F.lit("</context>")) if xml else _markdown(F.col("items"))
+    per = per.withColumn("output", out)
+    return per.select("prompt_id", "output", T.token_estimate(F.col("output")).alias("tokens"), "n_body", "n_excerpt", "n_stub")
+
+
+def _markdown(items: Column) -> Column:
+    full = F.filter(items, lambda x: ~x["late"])
+    stubs = F.transform(F.filter(items, lambda x: x["late"]), lambda x: x["text"])
+    files = F.array_distinct(F.transform(full, lambda x: x["source_file"]))
+    folder = F.when(F.size(files) > 2, common_folder(files)).otherwise("")
+    alias = (folder != "") & (F.length(folder) * F.size(files) > F.length(folder) + 12)
+    short = lambda p: F.when(alias, F.concat(F.lit("~"), F.substring(p, F.length(folder) + 1, F.length(p)))).otherwise(p)
+    head = lambda x, i: F.when((i > 0) & (F.get(full, i - 1)["source_file"] == x["source_file"]) & (F.get(full, i - 1)["l"] == x["l"]), x["text"]).otherwise(F.concat(F.lit("## "), short(x["source_file"]), F.lit("\n"), x["text"]))
+    named = F.when(alias, F.array(F.concat(F.lit("`~` = "), folder))).otherwise(F.array().cast("array<string>"))
+    more = F.when(F.size(stubs) > 0, F.concat(F.array(F.lit("## More")), stubs)).otherwise(F.array().cast("array<string>"))
+    return F.array_join(F.concat(named, F.transform(full, head), more), "\n")

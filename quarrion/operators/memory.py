@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quarrion import config
 from quarrion.functions import text as T
-from quarrion.operators.common import top
+from quarrion.operators.common import stored, top
 
 DAY = 24 * 3600 * 1000
 
@@ -82,29 +81,45 @@ def retained(rows: DataFrame, as_of: Column, max_age_ms: int, max_count: int) ->
     return whole.unionByName(last.where("k <= room").select(*rows.columns))
 
 
+def next_after(events: DataFrame, gap_ms: int) -> DataFrame:
+    """(user_id, at, next): each distinct event(user_id, at) with the user's first that is later by more than gap_ms; null if there is none.
+
+    Times are cut into buckets of gap_ms. The time looked for lies in the bucket after an event's own: the next event is there, or it is the first of
+    the next bucket that has any. So a task holds a bucket's events of a user, and a busy user is many tasks; what goes by user is a row a bucket.
+    """
+    e = events.where("at is not null").select("user_id", "at").distinct()
+    bucket = lambda c: F.floor(c / gap_ms)
+    probes = e.select("user_id", (F.col("at") + gap_ms).alias("v"), F.lit(1).alias("kind"), "at")
+    both = e.select("user_id", F.col("at").alias("v"), F.lit(0).alias("kind"), "at").unionByName(probes).withColumn("b", bucket(F.col("v")))
+    later = Window.partitionBy("user_id", "b").orderBy("v", "kind").rowsBetween(1, Window.unboundedFollowing)
+    near = both.withColumn("near", F.min(F.when(F.col("kind") == 0, F.col("v"))).over(later)).where("kind = 1").select("user_id", "at", "b", "near")
+    firsts = both.groupBy("user_id", "b").agg(F.min(F.when(F.col("kind") == 0, F.col("v"))).alias("f"))
+    far = firsts.select("user_id", "b", F.min("f").over(Window.partitionBy("user_id").orderBy("b").rowsBetween(1, Window.unboundedFollowing)).alias("far"))
+    return near.join(far, ["user_id", "b"]).select("user_id", "at", F.coalesce("near", "far").alias("next"))
+
+
+def followed(pointers: DataFrame) -> DataFrame:
+    """(user_id, at, k): what each user's first row reaches over pointers(user_id, at, next), and as the k-th. By doubling: after n rounds pointers
+    span 2 ** n steps, and what is reached has doubled as often, so rounds are the logarithm of the longest chain."""
+    jumps = stored(pointers)
+    reached = stored(jumps.groupBy("user_id").agg(F.min("at").alias("at")).withColumn("k", F.lit(0).cast("long")))
+    span = 1
+    while True:
+        more = stored(reached.join(jumps, ["user_id", "at"]).where("next is not null").select("user_id", F.col("next").alias("at"), (F.col("k") + span).alias("k")))
+        if more.isEmpty():
+            return reached
+        reached = stored(reached.unionByName(more))
+        half = jumps.select("user_id", F.col("at").alias("next"), F.col("next").alias("_n"))
+        jumps = stored(jumps.join(half, ["user_id", "next"]).where("_n is not null").select("user_id", "at", F.col("_n").alias("next")))
+        span *= 2
+
+
 def rotated(events: DataFrame, max_age_ms: int = config.SESSION_MAX_MS) -> DataFrame:
-    """Sessions by age: one begins with the first event that is older than max_age_ms after the session's first.
+    """(user_id, session, begins_at): sessions by age. One begins with the first event that is older than max_age_ms after the session's first.
 
-    events: user_id, at. Each user's times pass in order, one number is held of them.
+    events: user_id, at. Null times don't count; a null user has no sessions.
     """
-    kind = dict(events.dtypes)["user_id"]
-    rows = events.where("at is not null").select("user_id", "at").repartition("user_id").sortWithinPartitions("user_id", "at")
-
-    def run(batches):
-        user, begin, n = None, None, 0
-        for pdf in batches:
-            out = []
-            for u, t in zip(pdf.user_id, pdf["at"], strict=True):
-                if u != user or begin is None:
-                    user, begin, n = u, t, 0
-                elif t - begin > max_age_ms:
-                    begin, n = t, n + 1
-                else:
-                    continue
-                out.append((u, n, t))
-            yield pd.DataFrame(out, columns=["user_id", "session", "begins_at"])
-
-    return rows.mapInPandas(run, f"user_id {kind}, session long, begins_at long")
+    return followed(next_after(events.where("user_id is not null"), max_age_ms)).select("user_id", F.col("k").alias("session"), F.col("at").alias("begins_at"))
 
 
 def merged_memory(prompts: DataFrame, facts: DataFrame, events: DataFrame, policy: str = "relevant", cap: int = config.MEMORY_TOKENS) -> DataFrame:
@@ -151,3 +166,15 @@ def read_feedback(retrieved: DataFrame, reads: DataFrame, within: str = "5 minut
     r = retrieved.select(F.col("id").alias("retrieved_id"), F.col("key").alias("r_key"), F.col("ts").alias("r_ts"))
     d = reads.select(F.col("id").alias("read_id"), F.col("key").alias("d_key"), F.col("ts").alias("d_ts"))
     return r.join(d, F.expr(f"r_key = d_key AND d_ts >= r_ts AND d_ts <= r_ts + interval {within}")).select("retrieved_id", "read_id")
+
+
+def read_feedback_by_time(retrieved: DataFrame, reads: DataFrame, within: str = "5 minutes") -> DataFrame:
+    """read_feedback() of tables: keys meet by buckets of time as long as `within`, a retrieval in its own bucket and the next. So a
+    file that is read all day is as many groups as the day has buckets, each with what happened in two of them."""
+    bucket = lambda c: F.window(F.col(c).cast("timestamp"), within)["start"]
+    r = retrieved.where("ts is not null").select(F.col("id").alias("retrieved_id"), F.col("key").alias("_key"), F.col("ts").alias("r_ts"))
+    b = r.select("*", bucket("r_ts").alias("_b"))
+    r = b.withColumn("_b", F.explode(F.array(F.col("_b"), F.expr(f"_b + interval {within}"))))
+    d = reads.where("ts is not null").select(F.col("id").alias("read_id"), F.col("key").alias("_key"), F.col("ts").alias("d_ts"))
+    d = d.select("*", bucket("d_ts").alias("_b"))
+    return r.join(d, ["_key", "_b"]).where(F.expr(f"d_ts >= r_ts AND d_ts <= r_ts + interval {within}")).select("retrieved_id", "read_id")

@@ -1,394 +1,121 @@
-"""Which hits of a prompt lead a context, which accompany them, and how all are fitted into a budget of tokens.
+"""Fitting a prompt's hits into a budget of tokens, as columns.
 
-One prompt is a small, ordered problem, bounded by the final cut of its hits, so this is plain Python on one group; prompts run
-in parallel (quarrion.operators.compiling.compiled).
+A hit's place follows from its role and lead. A fold over a prompt's hits in that order (bounded by the final cut of its hits) decides
+which stay whole, which are cut to their telling lines, and which are only named; a second one, over what is then to be written, keeps the sum within
+the budget. All of it is built-in functions, so prompts run in parallel without leaving the JVM.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections.abc import Iterable
-from dataclasses import dataclass, field, replace
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quarrion.functions.content import ENDINGS, TEST_PATHS
+from quarrion.functions import content as C
+from quarrion.functions import text as T
 
-CODE = re.compile(r"[{}()\[\];=<>]")
-CALL = re.compile(r"\b([a-zA-Z_]\w*)\s*\(")
 GAP = "…"
-# Tokens of small bodies and windows, and the shares of the budget that a leader may take.
-SMALL, GIANT, TINY = 550, 900, 80
-LEAD_SHARE, LEAD_EXACT, RESERVE = 0.65, 0.92, 0.4
-
-
-def tokens(text: str) -> int:
-    """The estimate of quarrion.functions.text.token_estimate."""
-    n = len(text)
-    return math.ceil(n / (4.5 - min(len(CODE.findall(text)) / max(n, 1), 0.5) * 3)) if n else 0
-
-
-@dataclass
-class Hit:
-    id: str
-    source_file: str
-    content: str
-    score: float
-    key: object = None
-    layer: str = ""
-    symbol: str = ""
-    kind: str = ""
-    parent: str = ""
-    title: str = ""
-    line: int | None = None
-    language: str = ""
-    form: str = "body"
-    n: int = -1
-
-    def __post_init__(self):
-        self.n = tokens(self.content) if self.n < 0 else self.n
-
-    @property
-    def test(self) -> bool:
-        return re.search(TEST_PATHS, self.source_file) is not None
-
-    def cut(self, text: str, form: str) -> Hit:
-        return replace(self, content=text, form=form, n=tokens(text))
-
-
-def key_of(name: str) -> str:
-    return re.sub("[^a-z0-9]", "", name.lower())
-
-
-@dataclass
-class Signals:
-    """What a prompt is about: signal terms, identifiers (lower case) and the tier."""
-
-    terms: list[str]
-    ids: frozenset[str] = frozenset()
-    tier: str = "explore"
-    keys: list[str] = field(default_factory=list)
-
-    def __post_init__(self):
-        self.low = [t.lower() for t in self.terms]
-        self.keys = [k for k in map(key_of, self.terms) if len(k) >= 4]
-        self.words = {w for t in self.low for w in re.split(r"[\s_-]+", t)} | set(self.low)
-
-    @property
-    def exact(self) -> bool:
-        return self.tier.startswith("exact")
-
-    def names(self, symbol: str) -> bool:
-        """Whether the prompt names the symbol, or a longer name that begins with it."""
-        s = symbol.lower()
-        return bool(s) and (s in self.ids or any(i.startswith(s) and len(i) >= len(s) + 3 for i in self.ids))
-
-    def coverage(self, text: str) -> float:
-        low = text.lower()
-        return sum(t in low for t in self.low) / len(self.low) if self.low else 0.0
-
-    def _like(self, name: str) -> bool:
-        s = name.lower()
-        return bool(s) and any(s == t or len(t) >= 5 and (t in s or s in t) for t in self.low)
-
-    def stem(self, hit: Hit) -> bool:
-        """Whether the hit's file or symbol is named like a signal."""
-        file = key_of(re.sub(ENDINGS, "", hit.source_file.rpartition("/")[2], flags=re.IGNORECASE))
-        symbol = key_of(hit.symbol)
-        near = lambda a, k: a == k or len(k) >= 6 and (k in a or a in k)
-        return any(file and near(file, k) and (len(file) >= 4 or len(k) >= 6) or len(symbol) >= 4 and near(symbol, k) for k in self.keys)
-
-    def touch(self, hit: Hit) -> bool:
-        """Whether a signal shows in the hit's names or, from six letters on, in its text."""
-        parts = {p.lower() for p in re.split(r"(?=[A-Z])|[_\-.]+", hit.symbol) if p and len(p) >= 5}
-        if self._like(hit.symbol) or parts & self.words or hit.kind == "segment" and self._like(hit.parent) or self.stem(hit):
-            return True
-        low = hit.content.lower()
-        return any(len(t) >= 6 and t in low for t in self.low)
-
-
-def leaders(hits: list[Hit], s: Signals, budget: int) -> list[Hit]:
-    """The hits that lead, at most five and two a file, by score, coverage, names and whether they fit; no test files, if there are others.
-
-    A giant function that isn't named and doesn't fit follows its own best segments.
+#: The leader's share of the budget where others wait, the least that an excerpt is worth, most stubs, and what a line costs besides its own tokens.
+LEAD_SHARE, TINY, STUBS, LINE = 0.65, 80, 3, 2
+CODE = r"[{}()\[\];=<>]"
+
+
+def tokens_of(n: Column, code: Column) -> Column:
+    """The estimate of quarrion.functions.text.token_estimate, from a length and a number of code characters. It doesn't depend on their order."""
+    share = F.least(code / F.greatest(n, F.lit(1)), F.lit(0.5))
+    return F.when(n == 0, F.lit(0).cast("long")).otherwise(F.ceil(n / (F.lit(4.5) - share * 3)))
+
+
+def judged(hits: DataFrame, prompts: DataFrame, budget: int) -> DataFrame:
+    """hits with n (tokens), coverage, named, stem_match, touch, test and fits; prompts: prompt_id, terms and identifiers (lower case)."""
+    h = hits.join(prompts.select("prompt_id", F.filter(F.transform("terms", lambda t: F.lower(t)), lambda t: F.length(t) >= 4).alias("_terms"), F.transform("identifiers", lambda x: F.lower(x)).alias("_ids")), "prompt_id")
+    low, symbol = F.lower("content"), F.lower(F.coalesce("symbol_name", F.lit("")))
+    stem = F.regexp_replace(F.lower(F.regexp_extract("source_file", r"([^/\\]*)$", 1)), C.ENDINGS, "")
+    return h.withColumns({
+        "n": T.token_estimate(F.col("content")),
+        "coverage": F.size(F.filter("_terms", lambda t: F.contains(low, t))) / F.greatest(F.size("_terms"), F.lit(1)),
+        "named": F.coalesce((symbol != "") & F.array_contains("_ids", symbol), F.lit(False)),
+        "stem_match": F.coalesce(F.array_contains("_terms", stem), F.lit(False)),
+        "test": C.is_test_file(F.col("source_file")),
+    }).withColumns({"touch": F.col("named") | F.col("stem_match") | (F.col("coverage") > 0), "fits": F.col("n") <= budget})
+
+
+def ordered(hits: DataFrame, prompts: DataFrame, budget: int) -> DataFrame:
+    """judged() hits with lead, role and place (from 1): the leader, what touches a signal in its file and then in others, its file, the rest, tests."""
+    from quarrion.operators.compiling import lead_scores
+
+    w = Window.partitionBy("prompt_id")
+    h = lead_scores(judged(hits, prompts, budget))
+    first = w.orderBy("test", F.desc("lead"), "id")
+    h = h.withColumn("_k", F.row_number().over(first)).withColumn("_file", F.first("source_file").over(first))
+    here = F.col("source_file") == F.col("_file")
+    role = F.when(F.col("_k") == 1, 0).when(F.col("test"), 5).when(F.col("touch") & here, 1).when(F.col("touch"), 2).when(here, 3).otherwise(4)
+    h = h.withColumn("role", role)
+    return h.withColumn("place", F.row_number().over(w.orderBy("role", F.desc("lead"), "id"))).drop("_k", "_file")
+
+
+def excerpt(content: Column, terms: Column, most: Column) -> Column:
+    """The lines with a term, then the first and the others, as many as `most` tokens hold, in their order, gaps marked; else the text's beginning."""
+    weight = lambda x, i: F.when(F.exists(terms, lambda t: F.contains(F.lower(x), t)), 0).when(i == 0, 1).otherwise(2)
+    ranked = F.array_sort(F.transform(F.split(content, "\n"), lambda x, i: F.struct(weight(x, i).alias("w"), i.alias("i"), (T.token_estimate(x) + LINE).alias("n"), x.alias("x"))))
+    start = F.struct(most.cast("long").alias("room"), F.array().cast("array<struct<i: int, x: string>>").alias("kept"))
+
+    def take(s: Column, x: Column) -> Column:
+        return F.when(x["n"] <= s["room"], F.struct((s["room"] - x["n"]).alias("room"), F.concat(s["kept"], F.array(F.struct(x["i"].alias("i"), x["x"].alias("x")))).alias("kept"))).otherwise(s)
+
+    kept = F.array_sort(F.aggregate(ranked, start, take)["kept"])
+    line = F.struct(F.lit(-1).alias("last"), F.array().cast("array<string>").alias("t"))
+    grown = F.aggregate(kept, line, lambda s, x: F.struct(x["i"].alias("last"), F.concat(s["t"], F.when(x["i"] != s["last"] + 1, F.array(F.lit(GAP), x["x"])).otherwise(F.array(x["x"]))).alias("t")))
+    text = F.array_join(grown["t"], "\n")
+    return F.when(F.size(kept) > 0, text).otherwise(F.substring(content, F.lit(1), F.greatest(most * 3, F.lit(0)).cast("int")))
+
+
+def stub() -> Column:
+    """A line that says what is where."""
+    path = F.array_join(F.slice(F.split("source_file", "/"), F.greatest(F.size(F.split("source_file", "/")) - 2, F.lit(1)), F.lit(3)), "/")
+    lines = F.concat(F.lit(":"), F.col("line").cast("string"), F.lit("-"), (F.col("line") + F.regexp_count("content", F.lit("\n"))).cast("string"))
+    symbol = F.when(F.coalesce("symbol_name", F.lit("")) != "", F.concat_ws(" ", F.coalesce("symbol_kind", F.lit("symbol")), "symbol_name"))
+    name = F.coalesce(symbol, F.col("section_title"), F.regexp_extract("source_file", r"([^/\\]*)$", 1))
+    return F.concat(name, F.lit(" — "), path, F.coalesce(lines, F.lit("")))
+
+
+def chosen(placed: DataFrame, budget: int, overhead: Column) -> DataFrame:
+    """placed hits with form (body, excerpt, stub) and most (an excerpt's tokens). overhead: what a hit's frame costs, in tokens.
+
+    In order of place: what was sent before is named, but for the leader; what fits stays whole; what touches a signal is cut to the room that is
+    left; a leader too large takes its share. A segment whose whole function is there is named only.
     """
-    able = [h for h in hits if not h.test]
-    if not able:
-        return hits[:3]
-    best, room = max(max(h.score for h in able), 1.0), 0.92 * max(380, budget - 140)
-    lead = {id(h): h.score / best + 1.5 * s.coverage(h.content) + s.names(h.symbol) + 0.5 * s.stem(h) - 0.4 * (h.n > room) for h in able}
-    out, files = [], {}
-    for h in sorted(able, key=lambda h: (-lead[id(h)], h.id)):
-        if len(out) < 5 and files.get(h.source_file, 0) < 2:
-            out.append(h)
-            files[h.source_file] = files.get(h.source_file, 0) + 1
-    top = out[0]
-    if top.kind in ("function", "method") and top.n > max(GIANT, room) and not s.names(top.symbol):
-        own = [h for h in hits if h.kind == "segment" and h.source_file == top.source_file and h.parent == top.symbol]
-        own = sorted(own, key=lambda h: (-h.score, h.id))[:3]
-        out = [*own, *(h for h in out if h not in own)]
-    return out
-
-
-def companions(hits: list[Hit], lead: list[Hit], s: Signals) -> list[Hit]:
-    """What accompanies the leaders: the leader's file first, signals first in it (five at most, two for an exact answer), then signals
-    of other files, each with one small neighbour (eight in all, three for an exact answer). Of a function, three segments at most."""
-    out, parts = [], {}
-    taken = {h.id for h in lead}
-
-    def admit(h: Hit) -> bool:
-        if h.kind == "segment" and h.parent:
-            place = h.source_file, h.parent
-            if parts.get(place, 0) >= 3:
-                return False
-            parts[place] = parts.get(place, 0) + 1
-        return True
-
-    def add(h: Hit) -> bool:
-        if admit(h):
-            out.append(h)
-            taken.add(h.id)
-            return True
-        return False
-
-    for h in lead:
-        if h.kind == "segment" and h.parent:
-            parts[h.source_file, h.parent] = parts.get((h.source_file, h.parent), 0) + 1
-    open_ = lambda h: h.id not in taken and not h.test
-    exact = s.tier == "exact"
-    if lead:
-        same = [h for h in hits if h.source_file == lead[0].source_file and open_(h)]
-        for h in sorted(same, key=lambda h: not s.touch(h)):
-            add(h)
-            if len(out) >= (2 if exact else 5):
-                break
-    for h in hits:
-        if open_(h) and s.touch(h) and add(h):
-            near = next((x for x in hits if x.source_file == h.source_file and open_(x) and x.n <= SMALL), None)
-            if near:
-                add(near)
-            if len(out) >= (3 if exact else 8):
-                break
-    return out
-
-
-def order(lead: list[Hit], extra: list[Hit], s: Signals) -> list[Hit]:
-    """The order of packing: the leader; leaders that are small, segments or named; signals of the leader's file, then of others; the
-    rest of the companions; large leaders."""
-    if not lead:
-        return []
-    hot = lambda h: h.kind == "segment" or h.n <= SMALL or h.symbol.lower() in s.ids or h.parent.lower() in s.ids
-    file = lead[0].source_file
-    place = {lead[0].id: 0}
-    for h in lead[1:]:
-        place.setdefault(h.id, 1 if hot(h) else 5)
-    for h in extra:
-        place.setdefault(h.id, 4 if not s.touch(h) else 2 if h.source_file == file else 3)
-    seen: dict[str, Hit] = {}
-    for h in (*lead, *extra):
-        seen.setdefault(h.id, h)
-    return sorted(seen.values(), key=lambda h: place[h.id])
-
-
-def call_names(hits: Iterable[Hit]) -> list[str]:
-    """Signal terms that the hits themselves give: symbols of the first ten, and what is called twice or more; sixteen at most."""
-    hits = list(hits)
-    found = dict.fromkeys(x for h in hits[:10] for x in (h.symbol, h.parent) if x)
-    n: dict[str, int] = {}
-    for h in hits:
-        for x in CALL.findall(h.content):
-            n[x] = n.get(x, 0) + 1
-    found |= dict.fromkeys(x for x, k in n.items() if k >= 2)
-    return [x for x in found if len(x) >= 4][:16]
-
-
-def stripped(code: str) -> str:
-    """quarrion.functions.content.strip_comments, for the packer."""
-    quoted = "|".join(rf"{q}[^{q}\\]*(?:\\.[^{q}\\]*)*(?:{q}|\\?\Z)" for q in "\"'`")
-    bare = re.sub(rf"({quoted})|//[^\n]*|/\*.*?(?:\*/|\Z)", lambda m: m[1] or "", code, flags=re.DOTALL)
-    return re.sub(r"^\s*[\r\n]", "", bare, flags=re.MULTILINE)
-
-
-def fitted(content: str, most: int, terms: list[str]) -> str:
-    """content cut to `most` tokens: lines with a signal term stay longest, the longest terms first, with the line before and after them; then
-    the first and last lines. Gaps are marked."""
-    if tokens(content) <= most:
-        return content
-    lines, low = content.split("\n"), sorted({t.lower() for t in terms if len(t) >= 4}, key=lambda t: -len(t))
-    weight = [next((len(t) for t in low if t in x.lower()), 0) for x in lines]
-    near = [max(weight[max(i - 1, 0) : i + 2]) for i in range(len(lines))]
-    rank = sorted(range(len(lines)), key=lambda i: (-weight[i], -near[i], min(i, len(lines) - 1 - i), i))
-    kept: set[int] = set()
-    used = 0
-    for i in rank:
-        n = tokens(lines[i] + "\n") + 1
-        if used + n <= most:
-            kept.add(i)
-            used += n
-    if not kept:
-        return content[: int(most * 3)] if most > 0 else ""
-    out, last = [], -1
-    for i in sorted(kept):
-        if i != last + 1:
-            out.append(GAP)
-        out.append(lines[i])
-        last = i
-    while len(out) > 1 and tokens("\n".join(out)) > most:
-        out.pop()
-    return "\n".join(out)
-
-
-def place_of(hit: Hit) -> str:
-    """The last three parts of the path, and the lines."""
-    path = "/".join([p for p in hit.source_file.replace("\\", "/").split("/") if p][-3:])
-    return path if hit.line is None else f"{path}:{hit.line}-{hit.line + hit.content.count(chr(10))}"
-
-
-def signature(hit: Hit) -> str:
-    """The declaration at the beginning of a symbol's body, without comments and decorators, up to its brace; 120 characters at most."""
-    out = []
-    for x in (x.strip() for x in hit.content.split("\n")):
-        if x and not x.startswith(("//", "/*", "*", "@")):
-            out.append(x)
-            if "{" in x or len(out) > 4:
-                break
-    text = re.sub(r"\s*\{.*$", "", " ".join(out)).strip()
-    return text if len(text) <= 120 else text[:117] + "..."
-
-
-def stub(hit: Hit) -> Hit:
-    """One line that says what is where."""
-    where, name = place_of(hit), f"{hit.kind or 'symbol'} {hit.symbol}" if hit.symbol else hit.title or hit.source_file.rpartition("/")[2]
-    head = signature(hit) if hit.symbol else ""
-    return hit.cut(f"{head if hit.symbol and hit.symbol in head else name} — {where}", "stub")
-
-
-def snippet(hit: Hit, terms: list[str]) -> Hit | None:
-    """The first line and up to fifteen lines with a signal; none if there is no such line."""
-    lines, low = hit.content.split("\n"), [t.lower() for t in terms if len(t) >= 4]
-    found = [x for x in lines if len(x) < 200 and any(t in x.lower() for t in low)]
-    if not found:
-        return None
-    rest = [x for x in found if x != lines[0]][:15]
-    return hit.cut("\n".join([lines[0], *rest, *([GAP] if len(found) > 16 else [])]), "excerpt")
-
-
-class Packer:
-    """Takes hits in order; full holds bodies and excerpts, stubs the rest. used never exceeds the budget in the end."""
-
-    def __init__(self, budget: int, s: Signals, terms: list[str], sent: frozenset[str] = frozenset()):
-        self.budget, self.s, self.sent = budget, s, sent
-        self.common = list(dict.fromkeys([*s.terms, *terms]))
-        self.full: list[Hit] = []
-        self.stubs: list[Hit] = []
-
-    @property
-    def used(self) -> int:
-        return sum(h.n for h in self.full)
-
-    def _terms(self, h: Hit) -> list[str]:
-        return [*self.common, h.symbol] if h.symbol else self.common
-
-    def _aside(self, h: Hit) -> None:
-        """A snippet of h if there is room for one, else a stub."""
-        small = snippet(h, self._terms(h))
-        if small and self.used + small.n <= self.budget:
-            self.full.append(small)
-        else:
-            self.stubs.append(stub(h))
-
-    def _lead(self, h: Hit, waiting: list[Hit]) -> None:
-        small = [x.n for x in waiting if x.n <= SMALL and (x.source_file == h.source_file or self.s.touch(x))][:3]
-        reserve = min(RESERVE * self.budget, max(0.9 * sum(small), min(400, max(small, default=0))))
-        most = max(280, self.budget - reserve) if reserve else self.budget
-        named = self.s.names(h.symbol) or h.parent.lower() in self.s.ids
-        if named:
-            most = min(most, int(LEAD_EXACT * self.budget))
-        elif h.n > 800:
-            most = min(most, int(LEAD_SHARE * self.budget))
-        most = max(most, h.n + 100) if named and self.s.tier == "exact-implementation" else min(most, self.budget - 60)
-        self.full.append(h if h.n <= most else h.cut(fitted(h.content, int(most), self._terms(h)), "excerpt"))
-
-    def _shrink_leader(self, most: int) -> None:
-        lead = self.full[0]
-        if lead.n > most:
-            self.full[0] = lead.cut(fitted(lead.content, most, self._terms(lead)), "excerpt")
-
-    def _evict(self, enough, spare) -> None:
-        """Bodies without a signal go, the last first, until enough() holds; those that spare() are passed over."""
-        for k in range(len(self.full) - 1, 0, -1):
-            if enough():
-                return
-            if not self.s.touch(self.full[k]) and not spare(self.full[k]):
-                self.stubs.append(stub(self.full.pop(k)))
-
-    def add(self, h: Hit, waiting: list[Hit]) -> None:
-        room = self.budget - self.used
-        if self.full and h.id in self.sent:
-            self.stubs.append(stub(h))
-        elif not self.full:
-            self._lead(h, waiting)
-        elif room < 40:
-            self._aside(h)
-        elif h.n <= room:
-            self.full.append(h)
-        elif not (self.s.touch(h) or h.source_file == self.full[0].source_file):
-            if h.n > SMALL and room > TINY:
-                self.full.append(h.cut(fitted(h.content, room, self._terms(h)), "excerpt"))
-            else:
-                self._aside(h)
-        elif h.n <= SMALL:  # whole or not at all
-            self._shrink_leader(max(220, self.budget - h.n - 20))
-            self._evict(lambda: self.used + h.n <= self.budget, lambda x: x.source_file == h.source_file)
-            if self.used + h.n <= self.budget:
-                self.full.append(h)
-            else:
-                self._aside(h)
-        else:
-            self._evict(lambda: self.budget - self.used >= 400, lambda x: x.source_file == self.full[0].source_file)
-            if self.budget - self.used < 300 and self.full[0].n > 250:
-                self._shrink_leader(max(220, self.budget - 350))
-            room = self.budget - self.used
-            if room > TINY:
-                self.full.append(h.cut(fitted(h.content, room, self._terms(h)), "excerpt"))
-            else:
-                self._aside(h)
-
-    def finish(self) -> list[Hit]:
-        """Comments of larger bodies go if the budget is exceeded, then bodies of low score, then lines of the largest; segments whose whole function is there go."""
-        for k in range(len(self.full) - 1, 0, -1):
-            h = self.full[k]
-            if self.used > self.budget and h.n > 400 and h.language and h.language != "markdown":
-                self.full[k] = h.cut(stripped(h.content), h.form)
-        while self.used > self.budget and len(self.full) > 1:
-            keep = lambda k: self.s.touch(self.full[k]) and self.full[k].n <= TINY
-            k = min((k for k in range(1, len(self.full)) if not keep(k)), key=lambda k: self.full[k].score, default=len(self.full) - 1)
-            self._aside(self.full.pop(k))
-        for _ in range(12):
-            over = self.used - self.budget
-            k = max(range(len(self.full)), key=lambda k: self.full[k].n, default=-1)
-            if over <= 0 or k < 0:
-                break
-            h = self.full[k]
-            self.full[k] = h.cut(fitted(h.content, max(0, h.n - over), self._terms(h)), "excerpt")
-        whole = {(h.source_file, h.symbol) for h in self.full if h.kind != "segment" and h.form == "body" and h.symbol}
-        inside = [h for h in self.full if h.kind == "segment" and (h.source_file, h.parent) in whole]
-        self.stubs += [stub(h) for h in inside]
-        return [*(h for h in self.full if h not in inside and h.n), *self.stubs]
-
-
-def pack(hits: list[Hit], budget: int, s: Signals, sent: frozenset[str] = frozenset()) -> list[Hit]:
-    """hits, best first, as bodies and excerpts within the budget, then stubs; a body that another holds is dropped."""
-    lead = leaders(hits, s, budget)
-    queue = order(lead, companions(hits, lead, s), s)
-    chosen = {h.id for h in queue}
-    rest = [h for h in hits if h.id not in chosen]
-    p = Packer(budget, s, call_names([*queue, *rest]), sent)
-    for k, h in enumerate(queue):
-        if any(h.content in x.content for x in p.full if x.form == "body"):
-            continue
-        p.add(h, queue[k + 1 :])
-        if s.exact and p.used >= budget:
-            rest = [*queue[k + 1 :], *rest]
-            break
-    p.stubs += [stub(h) for h in rest]
-    return p.finish()
+    item = F.struct("place", "id", F.col("n").cast("long").alias("n"), overhead.cast("long").alias("o"), "touch", F.coalesce("sent", F.lit(False)).alias("sent"))
+    per = placed.groupBy("prompt_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    lead = F.lit(int(LEAD_SHARE * budget)).cast("long")
+    start = F.struct(F.lit(budget).cast("long").alias("room"), F.array().cast("array<struct<id: string, form: string, most: bigint>>").alias("out"))
+
+    def decide(s: Column, x: Column) -> Column:
+        first, room = F.size(s["out"]) == 0, s["room"] - x["o"]
+        cut = F.when(first, F.greatest(F.least(lead, room), F.lit(1).cast("long"))).otherwise(room)
+        form = F.when(~first & x["sent"], "stub").when(x["n"] <= room, "body").when(first | x["touch"] & (room > TINY), "excerpt").otherwise("stub")
+        cost = F.when(form == "body", x["n"] + x["o"]).when(form == "excerpt", cut + x["o"]).otherwise(0)
+        return F.struct((s["room"] - cost).alias("room"), F.concat(s["out"], F.array(F.struct(x["id"].alias("id"), form.alias("form"), cut.alias("most")))).alias("out"))
+
+    got = per.select("prompt_id", F.explode(F.aggregate("items", start, decide)["out"]).alias("d")).select("prompt_id", F.col("d.id").alias("id"), "d.form", "d.most")
+    h = placed.join(got, ["prompt_id", "id"])
+    whole = F.collect_set(F.when((F.col("form") == "body") & (F.coalesce("symbol_kind", F.lit("")) != "segment"), F.col("symbol_name"))).over(Window.partitionBy("prompt_id", "source_file"))
+    inside = (F.col("symbol_kind") == "segment") & F.array_contains(whole, F.col("parent_symbol"))
+    return h.withColumn("form", F.when(F.coalesce(inside, F.lit(False)), "stub").otherwise(F.col("form")))
+
+
+def within(pieces: DataFrame, budget: int, frame: int, frame_code: int) -> DataFrame:
+    """pieces(prompt_id, id, form, place, piece, ...) that the budget holds as they are written: bodies and excerpts by place, then STUBS stubs.
+    frame, frame_code: length and code characters of what is written around all."""
+    item = F.struct((F.col("form") == "stub").alias("late"), "place", "id", F.length("piece").cast("long").alias("n"), F.regexp_count("piece", F.lit(CODE)).cast("long").alias("c"))
+    per = pieces.groupBy("prompt_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    zero = lambda v, name: F.lit(v).cast("long").alias(name)
+    start = F.struct(zero(frame, "n"), zero(frame_code, "c"), zero(0, "stubs"), F.array().cast("array<string>").alias("ids"))
+
+    def take(s: Column, x: Column) -> Column:
+        n, c = s["n"] + x["n"] + 1, s["c"] + x["c"]
+        ok = (tokens_of(n, c) <= budget) & (~x["late"] | (s["stubs"] < STUBS))
+        return F.when(ok, F.struct(n.alias("n"), c.alias("c"), (s["stubs"] + x["late"].cast("long")).alias("stubs"), F.concat(s["ids"], F.array(x["id"])).alias("ids"))).otherwise(s)
+
+    kept = per.select("prompt_id", F.explode(F.aggregate("items", start, take)["ids"]).alias("id"))
+    return pieces.join(kept, ["prompt_id", "id"], "left_semi")

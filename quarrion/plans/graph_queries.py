@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrion import config
 from quarrion.functions import text as T
 from quarrion.operators import graph, memory
 from quarrion.operators.common import r6, top
@@ -219,7 +220,11 @@ def w12_retention(spark, sf_dir):
     return memory.retained(e, F.lit(as_of), 20 * memory.DAY, 5000).select("id")
 
 
-@query("w15_session_rotation")
+@query("w15_session_rotation", f"""
+WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS at FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+n AS (SELECT a.user_id, a.at, min(b.at) AS next FROM e a JOIN e b ON b.user_id = a.user_id AND b.at > a.at + {config.SESSION_MAX_MS} GROUP BY ALL),
+s AS (SELECT user_id, 0 AS session, min(at) AS begins_at FROM e GROUP BY ALL UNION ALL SELECT s.user_id, s.session + 1, n.next FROM s JOIN n ON n.user_id = s.user_id AND n.at = s.begins_at)
+SELECT user_id, CAST(session AS BIGINT) AS session, begins_at FROM s""")
 def w15_session_rotation(spark, sf_dir):
     return memory.rotated(events(spark, sf_dir).select(F.col("session_id").alias("user_id"), F.col("created_at").alias("at")))
 
@@ -287,7 +292,7 @@ def o8_recent_prompts(spark, sf_dir):
 SELECT r.event_id AS retrieved_id, d.event_id AS read_id FROM events r JOIN events d ON r.user_id = d.user_id AND r.event_type = 'view' AND d.event_type = 'click' AND d.ts >= r.ts AND d.ts <= r.ts + INTERVAL 5 MINUTE""")
 def j17_read_feedback(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts", "event_type")
-    return memory.read_feedback(e.where("event_type = 'view'"), e.where("event_type = 'click'"))
+    return memory.read_feedback_by_time(e.where("event_type = 'view'"), e.where("event_type = 'click'"))
 
 
 @query("j16_sent_dedup", """

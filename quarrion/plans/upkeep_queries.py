@@ -37,7 +37,15 @@ def c17_test_files(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", content.is_test_file(F.concat("url", F.get(tails, (F.col("page_id") % 5).cast("int")))).alias("test"))
 
 
-@query("c5_signal_terms")
+WEAK = "[" + ",".join(f"'{w}'" for w in sorted(content.WEAK_SIGNALS)) + "]"
+
+
+@query("c5_signal_terms", corpus.sql(rf"""
+, w AS (SELECT prompt_id, list_filter(regexp_split_to_array(lower(prompt), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM prompts),
+t AS (SELECT prompt_id, unnest(w) AS s FROM w),
+v AS (SELECT prompt_id, unnest([s, regexp_replace(s, 'ing$', 'er'), regexp_replace(s, 'ing$', ''), regexp_replace(s, 'ion$', ''), regexp_replace(s, 'tion$', 't'), regexp_replace(s, 's$', '')]) AS x FROM t WHERE length(s) >= 3 AND NOT list_contains({WEAK}, s)),
+a AS (SELECT DISTINCT prompt_id, x FROM (SELECT * FROM v UNION ALL SELECT prompt_id, unnest(w[1:2]) FROM w) WHERE length(x) BETWEEN 4 AND 63 AND NOT list_contains({WEAK}, x))
+SELECT prompt_id, list_slice(list(x ORDER BY length(x) DESC, x), 1, 40) AS signals FROM a GROUP BY prompt_id""", "prompts"))
 def c5_signal_terms(spark, sf_dir):
     p = corpus.prompts(spark, sf_dir).withColumn("w", text.words(F.col("prompt")))
     return p.select("prompt_id", content.signal_terms(F.col("w"), F.slice("w", 1, 2)).alias("signals"))
@@ -50,23 +58,20 @@ def f14_exact_tokens(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", content.exact_tokens(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")).alias("tokens"))
 
 
-@query("c8_packing_order")
+@query("c8_packing_order", corpus.sql(FULL_SQL + r""",
+q AS (SELECT prompt_id, list_distinct(list_filter(regexp_split_to_array(lower(prompt), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 4)) AS u, list_filter(regexp_split_to_array(lower(prompt), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 4) AS terms FROM prompts),
+h AS (SELECT *, CAST(ceil(length(content) / (4.5 - least(len(regexp_extract_all(content, '[{}()\[\];=<>]')) / greatest(length(content), 1), 0.5) * 3)) AS BIGINT) AS n FROM (
+  SELECT hit.prompt_id, hit.id, hit.score, hit.source_file, hit.content, row_number() OVER (PARTITION BY hit.prompt_id ORDER BY hit.score DESC, hit.id) AS k FROM hit) WHERE k <= 25),
+c AS (SELECT h.*, len(list_filter(q.terms, lambda t: contains(lower(h.content), t))) / greatest(len(q.terms), 1) AS coverage, list_contains(q.terms, lower(regexp_extract(h.source_file, '([^/]*)$', 1))) AS stem FROM h JOIN q USING (prompt_id)),
+l AS (SELECT *, score / greatest(max(score) OVER (PARTITION BY prompt_id), 1e-9) + 1.5 * coverage + 0.5 * stem::INT - 0.4 * (n > 1200)::INT AS lead, stem OR coverage > 0 AS touch FROM c),
+f AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY lead DESC, id) AS r, first_value(source_file) OVER (PARTITION BY prompt_id ORDER BY lead DESC, id) AS file FROM l),
+o AS (SELECT *, CASE WHEN r = 1 THEN 0 WHEN touch AND source_file = file THEN 1 WHEN touch THEN 2 WHEN source_file = file THEN 3 ELSE 4 END AS role FROM f)
+SELECT prompt_id, id, CAST(role AS INTEGER) AS role, CAST(row_number() OVER (PARTITION BY prompt_id ORDER BY role, lead DESC, id) AS INTEGER) AS place FROM o""", *BASE))
 def c8_packing_order(spark, sf_dir):
-    """Leaders, companions and their order for each prompt's hits."""
-    p = corpus.prompts(spark, sf_dir).select("prompt_id", text.words(F.col("prompt")).alias("terms"))
-    h = compiling.top(full(spark, sf_dir), ["prompt_id"], [F.desc("score"), "id"], 25).join(p, "prompt_id")
-
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values(["score", "id"], ascending=[False, True])
-        s = packing.Signals(content.signals(pdf.terms.iloc[0]))
-        hits = [packing.Hit(r.id, r.source_file, r.content, r.score, kind=r.symbol_kind, parent=r.parent_symbol or "") for r in pdf.itertuples()]
-        lead = packing.leaders(hits, s, 1200)
-        out = [x.id for x in packing.order(lead, packing.companions(hits, lead, s), s)]
-        return pd.DataFrame({"prompt_id": int(pdf.prompt_id.iloc[0]), "id": out, "place": range(len(out))})
-
-    return h.groupBy("prompt_id").applyInPandas(run, "prompt_id long, id string, place long")
+    """The leader, and in what order the other hits of each prompt follow."""
+    p = corpus.prompts(spark, sf_dir).select("prompt_id", text.words(F.col("prompt")).alias("terms"), F.array().cast("array<string>").alias("identifiers"))
+    h = compiling.top(full(spark, sf_dir), ["prompt_id"], [F.desc("score"), "id"], 25).withColumn("symbol_name", F.lit(None).cast("string"))
+    return packing.ordered(h, p, 1200).select("prompt_id", "id", "role", "place")
 
 
 @query("s13_lookup", "SELECT p_partkey FROM part WHERE p_brand = 'Brand#11' OR FALSE UNION ALL SELECT p_partkey FROM part WHERE p_size IN (1, 2) AND p_partkey IN (SELECT l_partkey FROM lineitem)")

@@ -52,9 +52,24 @@ def test_best_first_is_within_reach(spark):
 
 
 def test_rotation(spark):
+    """Against one user after another, a time after another; feedback by buckets against all pairs."""
+    import random
+
     from quarrion.operators import memory
 
-    h = 3_600_000
-    rows = [("a", t * h) for t in (0, 1, 24, 25, 26, 60)] + [("b", 5)]
+    h, r = 3_600_000, random.Random(7)
+    rows = [("a", t * h) for t in (0, 1, 24, 25, 26, 60)] + [("b", 5), ("b", None), (None, 7)] + [("busy", r.randint(0, 900) * h // 3) for _ in range(400)] + [("c", -50 * h), ("c", -26 * h), ("c", -2 * h - 1)]
+    want = []
+    for u in ("a", "b", "busy", "c"):
+        begin, k = None, -1
+        for t in sorted(t for x, t in rows if x == u and t is not None):
+            if begin is None or t - begin > 24 * h:
+                begin, k = t, k + 1
+                want.append((u, k, t))
     got = memory.rotated(spark.createDataFrame(rows, "user_id string, at long")).collect()
-    assert sorted(tuple(r) for r in got) == [("a", 0, 0), ("a", 1, 25 * h), ("a", 2, 60 * h), ("b", 0, 5)]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+    at = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    one, two = ([(k, r.choice(["f", "f", "g", None]), at(r.randint(0, 3000))) for k in range(n)] for n in (80, 90))
+    shape = "id long, key string, ts timestamp"
+    found = memory.read_feedback_by_time(spark.createDataFrame([*one, (900, "f", None)], shape), spark.createDataFrame(two, shape)).collect()
+    assert sorted(tuple(x) for x in found) == sorted((a, b) for a, x, s in one for b, y, t in two if x and x == y and 0 <= (t - s).total_seconds() <= 300)

@@ -3,11 +3,13 @@
 import json
 import random
 import re
+import xml.dom.minidom
 
 import pytest
 from pyspark.sql import functions as F
 
 from quarrion.functions import content as C
+from quarrion.operators import compiling
 from quarrion.operators import packing as P
 
 CODE = ["a = 1 // x\nb", 's = "// no" // yes\n', "x /* a\nb */ y", "'it\\'s // in' /* out", "`t // ${a}` // c\n\n\nz", "// only\n\n  \nk", '"open // string', "no comments", "", "url = 'http://a/b' // c", '"\\\\" // after', "a / b // c"]
@@ -45,7 +47,7 @@ def test_comments(spark):
     texts = CODE + ["".join(r.choice("ab\"'`/*\\\n ") for _ in range(r.randint(0, 40))) for _ in range(300)] + ["'" + "\\n" * 20_000 + "' // x", "/*" + "a" * 100_000]
     got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", C.strip_comments(F.col("t")).alias("s")).collect()
     for x in got:
-        assert x.s == plain_strip(texts[x.i]) == P.stripped(texts[x.i]), texts[x.i]
+        assert x.s == plain_strip(texts[x.i]), texts[x.i]
 
 
 def test_minified_json(spark):
@@ -58,12 +60,11 @@ def test_minified_json(spark):
 
 
 def test_signals(spark):
-    got = C.signals(["get_context", "deduplicated", "sessions", "src/core/query-store.ts", "the", "score", "matching", "ab"], ["token"])
-    assert {"get_context", "getContext", "deduplicated", "deduplicate", "sessions", "session", "query-store", "queryStore", "matching", "match", "token"} <= set(got)
-    assert not {"the", "score", "ab", "store"} & set(got) and [len(x) for x in got] == sorted(map(len, got), reverse=True)
-    assert len(C.signals([f"identifierNumber{k}" for k in range(100)])) == 40 and C.signals(["x" * 64, ""]) == []
-    d = spark.createDataFrame([(["get_context"], ["token"]), (None, None)], "t array<string>, c array<string>")
-    assert [list(x[0]) for x in d.select(C.signal_terms(F.col("t"), F.col("c"))).collect()] == [C.signals(["get_context"], ["token"]), []]
+    rows = [(["get_context", "Querying", "sessions", "src/core/query-store.ts", "the", "score", "loadUserProfile", "ab"], [" token "]), (None, None), ([f"identifier{k}" for k in range(100)], []), (["x" * 64, ""], None)]
+    got = [list(x[0]) for x in spark.createDataFrame(rows, "t array<string>, c array<string>").coalesce(1).select(C.signal_terms(F.col("t"), F.col("c"))).collect()]
+    assert {"get_context", "get-context", "context", "Querying", "Query", "sessions", "session", "query-store", "query_store", "query", "loadUserProfile", "Profile", "profile", "token"} <= set(got[0])
+    assert not {"the", "score", "ab", "store"} & set(got[0]) and got[0] == sorted(got[0], key=lambda x: (-len(x), x))
+    assert got[1] == [] and len(got[2]) == 40 and got[3] == []
 
 
 def test_exact_tokens(spark):
@@ -77,62 +78,66 @@ def test_exact_tokens(spark):
     assert [x[0] for x in got] == [len(t.encode(x or "", add_special_tokens=False).ids) for x in rows]
 
 
-def hit(i, file="main.ts", n=100, score=10.0, **more):
-    return P.Hit(str(i), file, "\n".join(f"w{i} line {k}" for k in range(max(1, n // 3))), score, i, "repo", **more)
-
-
-def test_leaders():
-    s = P.Signals(["loadUser"], frozenset({"loaduser"}))
-    hits = [hit(1, score=20.0), hit(2, symbol="loadUser", score=8.0), hit(3), hit(4), hit(5, "t.test.ts", score=90.0)] + [hit(k, f"f{k}.ts") for k in range(6, 12)]
-    got = P.leaders(hits, s, 1200)
-    assert got[0].id == "2" and len(got) == 5 and not any(h.test for h in got) and sum(h.source_file == "main.ts" for h in got) == 2
-    assert [h.id for h in P.leaders([hit(1, "x.spec.js")], s, 1200)] == ["1"]
-    giant = [hit(1, n=6000, kind="function", symbol="other", score=50.0)] + [hit(k, kind="segment", parent="other", score=float(k)) for k in range(2, 7)]
-    assert [h.id for h in P.leaders(giant, s, 1200)][:4] == ["6", "5", "4", "1"]
-
-
-def test_companions_and_order():
-    s = P.Signals(["loadUser", "session"], frozenset({"loaduser"}))
-    lead = [hit(0, symbol="loadUser"), hit(30, "z.ts", 3000)]
-    same = [hit(k) for k in range(1, 9)] + [hit(9, symbol="session")]
-    other = [hit(k, f"o{k % 2}.ts", symbol="session") for k in range(10, 20)]
-    got = P.companions([*lead, *same, *other], lead, s)
-    assert [h.id for h in got[:5]] == ["9", "1", "2", "3", "4"] and len(got) >= 8 and all(h.source_file != "main.ts" for h in got[5:])
-    exact = P.companions([*lead, *same, *other], lead, P.Signals(["session"], frozenset(), "exact"))
-    assert [h.source_file for h in exact[:2]] == ["main.ts"] * 2 and len(exact) <= 4
-    parts = [hit(k, kind="segment", parent="f") for k in range(40, 50)]
-    assert sum(h.kind == "segment" for h in P.companions([*lead, *parts], lead, s)) == 3
-    queue = P.order(lead, got, s)
-    assert queue[0].id == "0" and queue[-1].id == "30" and [h.id for h in queue[1:2]] == ["9"] and len({h.id for h in queue}) == len(queue)
-
-
-@pytest.mark.parametrize("budget", [90, 380, 1200, 5000])
-def test_pack_keeps_the_budget(budget):
-    r = random.Random(budget)
-    for _ in range(60):
-        s = P.Signals(r.sample(["session", "loadUser", "w3 line", "verify"], 2), frozenset({"loaduser"}), r.choice(["explore", "file", "exact"]))
-        hits = [hit(k, f"f{r.randint(0, 4)}.ts", r.choice([5, 60, 300, 900, 4000]), r.random() * 30, symbol=r.choice(["", "loadUser", "run"]), kind=r.choice(["function", "class", "segment"]), parent=r.choice(["", "run"]), language="ts") for k in range(r.randint(1, 25))]
-        hits.sort(key=lambda h: (-h.score, h.id))
-        got = P.pack(hits, budget, s)
-        full = [h for h in got if h.form != "stub"]
-        assert sum(P.tokens(h.content) for h in full) <= budget and all(h.n == P.tokens(h.content) for h in full)
-        assert len({h.id for h in got}) == len(got) and {h.id for h in got} <= {h.id for h in hits}
-        whole = {(h.source_file, h.symbol) for h in full if h.kind != "segment" and h.form == "body" and h.symbol}
-        assert not any(h.kind == "segment" and (h.source_file, h.parent) in whole for h in full)
-        by = {h.id: h for h in hits}
-        assert all(h.content == by[h.id].content for h in full if h.form == "body" and h.n <= P.SMALL)
-
-
-def test_pack_rules():
-    s = P.Signals(["session"])
-    two = P.pack([hit(1, n=900, score=9.0), hit(2, n=60, score=3.0)], 400, s)
-    assert [(h.id, h.form) for h in two] == [("1", "excerpt"), ("2", "body")]  # the leader leaves room
-    sent = P.pack([hit(1, score=9.0), hit(2, "b.ts", score=8.0)], 1200, s, frozenset({"1", "2"}))
-    assert [(h.id, h.form) for h in sent] == [("1", "body"), ("2", "stub")]  # the leader is sent again
-    a = P.Hit("5", "x/y/z/w.ts", "// note\nexport function go(a) {\n  return a\n}", 1.0, symbol="go", kind="function", line=7)
-    assert P.stub(a).content == "export function go(a) — y/z/w.ts:7-10" and P.stub(hit(1, title="T")).content.startswith("T — main.ts")
-    assert P.snippet(hit(1), ["zzzz"]) is None and P.snippet(hit(1), ["line 3"]).content.split("\n")[0] == "w1 line 0"
-    text = "\n".join(f"line {k}" if k != 40 else "the session is here" for k in range(80))
-    cut = P.fitted(text, 60, ["session"])
-    assert "the session is here" in cut and P.GAP in cut and P.tokens(cut) <= 60
-    assert P.call_names([hit(1, symbol="main"), P.Hit("2", "b", "load(1); load(2); once(3)", 1.0)]) == ["main", "load"]
+SHAPE = "prompt_id long, id string, source_file string, layer string, line int, content string, score double, symbol_name string, symbol_kind string, parent_symbol string, section_title string, sent boolean"
+ASKED = "prompt_id long, terms array<string>, identifiers array<string>"
+
+
+def hit(i, file="main.ts", lines=30, score=10.0, symbol=None, kind=None, parent=None, sent=False, prompt=1, text=None):
+    return (prompt, f"{i:03d}", file, "repo", 1, text if text is not None else "\n".join(f"w{i} line {k}" for k in range(lines)), score, symbol, kind, parent, None, sent)
+
+
+def test_places(spark):
+    hits = [hit(1, score=20.0), hit(2, symbol="loadUser", score=12.0), hit(3), hit(4, "o.ts", text="a session here"), hit(5, "t.test.ts", score=90.0), hit(6, "p.ts"), hit(7, text="session in this file", score=30.0)]
+    got = P.ordered(spark.createDataFrame(hits, SHAPE), spark.createDataFrame([(1, ["session"], ["loadUser"])], ASKED), 1200).orderBy("place").collect()
+    assert [r.id for r in got] == ["007", "002", "004", "001", "003", "006", "005"] and [r.role for r in got] == [0, 1, 2, 3, 3, 4, 5]
+    assert [r.place for r in got] == list(range(1, 8))
+
+
+def test_forms(spark):
+    """The leader takes its share, what fits stays whole, what was sent before and segments of whole functions are named."""
+    hits = [hit(1, lines=400, score=50.0, symbol="lead"), hit(2, lines=10), hit(3, lines=10, sent=True), hit(4, "z.ts", lines=900)]
+    hits += [hit(5, lines=10, symbol="run", kind="function"), hit(6, lines=3, kind="segment", parent="run")]
+    asked = spark.createDataFrame([(1, ["absent"], [])], ASKED)
+    placed = P.ordered(spark.createDataFrame(hits, SHAPE), asked, 600)
+    got = {r.id: (r.form, r.most) for r in P.chosen(placed, 600, F.lit(5)).collect()}
+    assert got["001"] == ("excerpt", int(P.LEAD_SHARE * 600)) and got["002"][0] == got["005"][0] == "body"
+    assert got["003"][0] == got["004"][0] == got["006"][0] == "stub"
+
+
+def test_excerpts(spark):
+    text = "\n".join("the session is here" if k == 40 else f"line {k}" for k in range(80))
+    rows = [(text, ["session"], 30), (text, [], 12), ("x" * 1000, ["x"], 50), ("", ["a"], 5)]
+    got = [r[0] for r in spark.createDataFrame(rows, "c string, t array<string>, m long").coalesce(1).select(P.excerpt(F.col("c"), F.col("t"), F.col("m"))).collect()]
+    assert "the session is here" in got[0] and got[0].startswith("line 0\n") and P.GAP in got[0] and compiling.tokens(got[0]) <= 30
+    assert got[1].split("\n") == ["line 0", "line 1", "line 2"] and got[2] == "x" * 150 and got[3] == ""
+
+
+@pytest.mark.parametrize("form", ["markdown", "xml"])
+def test_budget_is_kept(spark, form):
+    """Many prompts at once: within the budget, bodies as they are, at most three stubs, no hit twice."""
+    r = random.Random(5)
+    hits, prompts = [], []
+    for p in range(40):
+        prompts.append((p, r.sample(["session", "loadUser", "w3 line", "verify"], 2), ["loaduser"]))
+        for k in range(r.randint(1, 25)):
+            text = r.choice([None, "{()};=<>" * r.randint(1, 200), "a]]>b & <c>", ""])
+            hits.append(hit(k, f"a/long/common/folder/f{r.randint(0, 4)}.ts", r.choice([1, 20, 100, 300, 1300]), r.random() * 30, r.choice([None, "loadUser", "run"]), r.choice([None, "function", "segment"]), r.choice([None, "run"]), r.random() < 0.2, p, text))
+    frames = spark.createDataFrame(hits, SHAPE), spark.createDataFrame(prompts, ASKED)
+    for budget in (90, 1200):
+        got = compiling.compiled(*frames, budget=budget, form=form).collect()
+        assert len(got) >= 38 and all(x.tokens == compiling.tokens(x.output) <= budget and x.n_stub <= P.STUBS for x in got)
+        for x in got:
+            if form == "xml":
+                doc = xml.dom.minidom.parseString(x.output)
+                assert len(doc.getElementsByTagName("chunk")) == x.n_body + x.n_excerpt and len(doc.getElementsByTagName("more")) == x.n_stub
+            elif x.n_body and not x.n_excerpt:
+                assert any(h[5] in x.output for h in hits if h[0] == x.prompt_id)
+    assert compiling.compiled(frames[0].limit(0), frames[1]).collect() == []
+
+
+def test_markdown(spark):
+    hits = [hit(k, f"root/some/deep/folder/f{k // 2}.ts", 2, 30.0 - k) for k in range(6)]
+    r = compiling.compiled(spark.createDataFrame(hits, SHAPE), spark.createDataFrame([(1, ["none"], [])], ASKED), budget=900).first()
+    assert r.output.startswith("`~` = root/some/deep/folder\n## ~/f0.ts\nw0 line 0") and r.output.count("## ~/f1.ts") == 1 and r.n_body == 6
+    files = spark.createDataFrame([(["a/b/c.ts", "a/b/d/e.ts"],), (["x.ts", "y.ts"],), (["a/b.ts", "a/b.ts"],), (["a/bc/x", "a/b/x"],)], "f array<string>").coalesce(1)
+    assert [x[0] for x in files.select(compiling.common_folder(F.col("f"))).collect()] == ["a/b", "", "a", "a"]
