@@ -94,6 +94,27 @@ def g5_trace_limits(spark, sf_dir):
     return found.select("prompt_id", "kind", F.array_join("refs", ">").alias("refs"), "reason")
 
 
+@query("g1_extracted_edges", """
+WITH p AS (SELECT p_partkey, upper(replace(p_name, ' ', '_')) AS name, 'B' || replace(lower(p_brand), '#', '') AS brand, lower(split_part(p_type, ' ', 1)) AS kind, p_size FROM part)
+SELECT lower(name) AS source, 'queue:' || kind AS target, 'references' AS type, CAST(1.0 AS DOUBLE) AS weight, p_partkey AS source_chunk_id FROM p
+UNION ALL SELECT lower(name), 'table:' || lower(brand), 'references', 1.0, p_partkey FROM p
+UNION ALL SELECT 'part-' || p_partkey, kind || '-maker', 'depends_on', 2.0, p_partkey FROM p
+UNION ALL SELECT 'part-' || p_partkey, kind, 'produces', 2.0, p_partkey FROM p
+UNION ALL SELECT 'load' || p_size, brand || 'Store', 'uses', 0.8, p_partkey FROM p
+UNION ALL SELECT 'load' || p_size, name, 'uses', 0.8, p_partkey FROM p
+UNION ALL SELECT 'load' || p_size, kind || '/lib', 'imports', 2.0, p_partkey FROM p""")
+def g1_extracted_edges(spark, sf_dir):
+    """A chunk of code about each part, and the edges in it."""
+    kind, brand = F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))), F.concat(F.lit("B"), F.translate(F.lower("p_brand"), "#", ""))
+    p, key = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    content = F.concat(
+        F.lit("reads queue:"), kind, F.lit(" and table:"), F.lower(brand), F.lit("\npart-"), key, F.lit(" depends on "), kind, F.lit("-maker\npart-"), key, F.lit(" produces "), kind,
+        F.lit("\nlet x = require('"), kind, F.lit("/lib')\n"), brand, F.lit("Store()"),
+    )
+    c = p.select(F.col("p_partkey").alias("id"), F.upper(F.translate("p_name", " ", "_")).alias("title"), content.alias("content"), F.lit("code").alias("file_type"), F.concat(F.lit("load"), "p_size").alias("symbol_name"))
+    return graph.extracted(c)
+
+
 @query("p10_quality_entities", sql("""
 SELECT term, count(*) AS n FROM words WHERE length(term) >= 3 AND NOT regexp_matches(term, '^\\d+$') AND NOT list_contains(""".replace("\\\\", "\\") + corpus.STOP + ", term) GROUP BY term", "chunks", "words"))
 def p10_quality_entities(spark, sf_dir):
@@ -223,7 +244,7 @@ def w12_retention(spark, sf_dir):
 @query("w15_session_rotation", f"""
 WITH RECURSIVE e AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS at FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
 n AS (SELECT a.user_id, a.at, min(b.at) AS next FROM e a JOIN e b ON b.user_id = a.user_id AND b.at > a.at + {config.SESSION_MAX_MS} GROUP BY ALL),
-s AS (SELECT user_id, 0 AS session, min(at) AS begins_at FROM e GROUP BY ALL UNION ALL SELECT s.user_id, s.session + 1, n.next FROM s JOIN n ON n.user_id = s.user_id AND n.at = s.begins_at)
+s AS (SELECT user_id, 0 AS session, min(e.at) AS begins_at FROM e GROUP BY ALL UNION ALL SELECT s.user_id, s.session + 1, n.next FROM s JOIN n ON n.user_id = s.user_id AND n.at = s.begins_at)
 SELECT user_id, CAST(session AS BIGINT) AS session, begins_at FROM s""")
 def w15_session_rotation(spark, sf_dir):
     return memory.rotated(events(spark, sf_dir).select(F.col("session_id").alias("user_id"), F.col("created_at").alias("at")))

@@ -95,9 +95,18 @@ def test_trace_sees_enough(spark):
 
 
 def test_extracted_edges(spark):
-    c = spark.createDataFrame([("1", "Title Thing", "orders uses billing and orderapi -> paymentapi\nconst x = require('left-pad')\nimport y from 'react'")], "id string, title string, content string")
-    got = {(r.source, r.target, r.type) for r in graph.extracted(c).collect()}
-    assert {("orders", "billing", "uses"), ("orderapi", "paymentapi", "calls"), ("title thing", "left-pad", "imports"), ("title thing", "react", "imports")} <= got
+    code = "orders service -> billing\nJob consumes queue:mail-x and depends on Redis\nORDER_TOTAL and API_KEY in api/v1/orders, TODO, json\nconst x = require('left-pad')\nimport y from 'react'\nfrom os.path import join\nloadUser(UserStore, The)"
+    rows = [("1", "ORDER_SHEET and user-service", code, "src/a.ts", "code", "loadUser", "function", "a"), ("2", "T", code, "x/node_modules/b.ts", "code", "s", None, "b"), ("3", None, "a -> b, a->c", None, None, None, None, None), ("4", "", None, None, None, None, None, None), ("5", "t", "import { Alpha } from './x'", "c.ts", "code", "imp", "import", "c")]
+    c = spark.createDataFrame(rows, "id string, title string, content string, source_file string, file_type string, symbol_name string, symbol_kind string, file_stem string")
+    got = {(r.source_chunk_id, r.source, r.target, r.type, r.weight) for r in graph.extracted(c).collect()}
+    want = {("1", "orders-service", "billing", "produces", 2.0), ("1", "job", "queue:mail-x", "consumes", 2.0), ("1", "and", "redis", "depends_on", 2.0)}
+    want |= {("1", t, x, "references", 1.0) for t in ("order_sheet", "user-service") for x in ("queue:mail-x", "order_total", "api_key", "api/v1/orders")}
+    want |= {("1", "loadUser", x, "uses", 0.8) for x in ("Redis", "ORDER_TOTAL", "API_KEY", "TODO", "UserStore", "ORDER_SHEET")}
+    want |= {("1", "loadUser", x, "imports", 2.0) for x in ("left-pad", "react", "os.path")} | {("3", "a", "b", "produces", 2.0)}
+    want |= {("5", "imp", "Alpha", "imports", 2.0), ("5", "imp", "./x", "imports", 2.0)}
+    assert got == want
+    many = " ".join(f"NAME_{'X' * k}" for k in range(1, 15))
+    assert graph.extracted(spark.createDataFrame([("1", many.lower().upper(), many)], "id string, title string, content string")).count() <= 50
 
 
 def test_store_versions(spark, tmp_path):
