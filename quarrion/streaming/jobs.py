@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quarrion.operators import fulltext, memory
 from quarrion.sources import upkeep
@@ -62,27 +62,84 @@ def index_events(events: DataFrame, store: upkeep.Store, chunker: Callable[[Data
     return w.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def bursts(events: DataFrame, most: int = BURST, seconds: int = BURST_SECONDS) -> DataFrame:
-    """(source, start, n): a row as soon as a window holds `most` events, so n is `most`; counting then starts anew in the window.
-    A window begins with the first event after the last one and lasts `seconds`. Works on a stream of (source, ts), in order of ts within a batch."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        begin, n = state.get if state.exists else (None, 0)
-        out = []
-        for pdf in batches:
-            for t in sorted(pdf.ts):
-                ms = int(t.timestamp() * 1000)
-                if begin is None or ms - begin > seconds * 1000:
-                    begin, n = ms, 0
-                n += 1
-                if n == most:
-                    out.append((key[0], begin, n))
-                    n = 0
-        state.update((begin, n))
+BURST_SHAPE = "source string, action string, path string, type string, at timestamp"
+
+
+class _Bursts(StatefulProcessor):
+    """Event by event in order of time, once the watermark has passed them; see bursts()."""
+
+    def __init__(self, most: int, seconds: int, quiet: int):
+        self.most, self.window, self.quiet = most, seconds * 1000, quiet * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long, path string, type string", "n long")
+        self.now = handle.getValueState("now", "begin long, n long, bulk boolean, last long")
+        self.held = handle.getMapState("held", "path string", "type string, at long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        for pdf in rows:
+            for t, path, kind in zip(pdf["ts"], pdf["path"], pdf["type"], strict=True):
+                row = int(t.timestamp() * 1000), path, kind
+                n = self.waiting.getValue(row)[0] if self.waiting.containsKey(row) else 0
+                self.waiting.updateValue(row, (n + 1,))
+                self.handle.registerTimer(row[0])
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        due, out = timerValues.getCurrentWatermarkInMs(), []  # all up to here have come
+        begin, n, bulk, last = self.now.get() if self.now.exists() else (None, 0, False, 0)
+        rows = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator() if k[0] <= due)
+
+        def replay():
+            out.extend((path, "replay", kind, last + self.quiet) for path, (kind, _) in sorted((k[0], tuple(v)) for k, v in list(self.held.iterator())))
+            self.held.clear()
+
+        for (at, path, kind), times in rows:
+            self.waiting.removeKey((at, path, kind))
+            for _ in range(times):
+                if bulk and at - last > self.quiet:
+                    replay()
+                    begin, n, bulk = None, 0, False
+                if not bulk and (begin is None or at - begin > self.window):
+                    begin, n = at, 0
+                    self.held.clear()
+                n, last = n + 1, at
+                self.held.updateValue((path,), (kind, at))  # of the events of a window, and of the burst, each path's last
+                if bulk:
+                    continue
+                if n < self.most:
+                    out.append((path, "apply", kind, at))
+                else:
+                    bulk = True
+                    out.append((None, "bulk", None, at))
+        if bulk and due - last > self.quiet:
+            replay()
+            begin, n, bulk = None, 0, False
+        elif bulk:
+            self.handle.registerTimer(last + self.quiet + 1)
+        self.now.update((begin, n, bulk, last))
         if out:
-            yield pd.DataFrame(out, columns=["source", "start", "n"])
+            times = pd.to_datetime([x[3] for x in out], unit="ms", utc=True)
+            yield pd.DataFrame({"source": [key[0]] * len(out), "action": [x[1] for x in out], "path": [x[0] for x in out], "type": [x[2] for x in out], "at": times})
 
-    return events.groupBy("source").applyInPandasWithState(run, "source string, start long, n long", "begin long, n long", "append", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
+
+
+def bursts(events: DataFrame, most: int = BURST, seconds: int = BURST_SECONDS, quiet: int = 2, delay: str = "10 seconds") -> DataFrame:
+    """(source, action, path, type, at) of a stream of file events(source, path, type, ts): what is to be done.
+
+    apply: index the event's file. bulk: `most` events came within `seconds` of a window's first, so everything is indexed anew; what comes after is
+    held until no event has come for `quiet` seconds. Then, replay: the last state of each path of the window and the burst, in order of path, so that neither
+    queued old work nor what the bulk pass saw too early wins. A window begins with the first event later than `seconds` after the last one's begin, or
+    after a burst. Events take effect in order of time (ties: path, type), when the watermark has passed them; later ones than `delay` are dropped. A source's
+    events pass through one state, whose size is the paths of a burst and the events of the delay. Needs the RocksDB state store, which is set if none is.
+    """
+    conf = events.sparkSession.conf
+    if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return events.withWatermark("ts", delay).groupBy("source").transformWithStateInPandas(_Bursts(most, seconds, quiet), BURST_SHAPE, "Append", "EventTime")
 
 
 def debounced(events: DataFrame, gap: str = "400 milliseconds", delay: str = "1 minute") -> DataFrame:

@@ -43,12 +43,47 @@ def test_incremental_index(spark, tmp_path):
     assert {r.path for r in store.read("files").collect()} == {"a.md", "c.md"}
 
 
+def planned(events, most, seconds, quiet):
+    """What is to be done, by a list of events in order."""
+    out, begin, inside, bulk, last = [], None, {}, False, None
+    for t, path, kind in [*sorted(events), (10**9, None, None)]:
+        if bulk and t - last > quiet:
+            out += [("replay", p, k) for p, k in sorted(inside.items())]
+            begin, bulk = None, False
+        if path is None:
+            break
+        if not bulk and (begin is None or t - begin > seconds):
+            begin, count, inside = t, 0, {}
+        inside[path], last = kind, t
+        count += 1
+        if not bulk:
+            bulk = count == most
+            out.append(("bulk", None, None) if bulk else ("apply", path, kind))
+    return out
+
+
 def test_bursts(spark, tmp_path):
-    rows = [("w", at(k * 0.01)) for k in range(250)] + [("w", at(60 + k)) for k in range(20)] + [("x", at(k * 0.01)) for k in range(99)]
-    spark.createDataFrame(rows, "source string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = jobs.bursts(stream(spark, tmp_path / "in", "source string, ts timestamp")).writeStream.format("memory").queryName("bursts").outputMode("append").start()
+    """Bursts, what is held and replayed, and quiet times, of events out of order over several batches."""
+    import random
+
+    r = random.Random(3)
+    events = {"w": [(k * 0.05, f"p{r.randint(0, 6)}", r.choice(["add", "change", "unlink"])) for k in range(60)] + [(60 + 2.0 * k, f"q{k}", "change") for k in range(9)] + [(120 + k * 0.1, "z", "change") for k in range(25)], "x": [(float(k), f"p{k}", "add") for k in range(12)]}
+    rows = [(src, p, k, at(t)) for src, some in events.items() for t, p, k in some]
+    rows = sorted(rows, key=lambda x: x[3])
+    shape = "source string, path string, type string, ts timestamp"
+    for k in range(3):  # within a batch in any order; the last event moves the watermark beyond all
+        part = rows[k * len(rows) // 3 : (k + 1) * len(rows) // 3] + ([("end", "e", "add", at(1000))] if k == 2 else [])
+        r.shuffle(part)
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = jobs.bursts(stream(spark, tmp_path / "in", shape), 20, 5, 2, "10 seconds").writeStream.format("memory").queryName("bursts").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
     drained(q)
-    assert sorted((r.source, r.n) for r in spark.table("bursts").collect()) == [("w", 100), ("w", 100)]
+    got = {}
+    for x in spark.table("bursts").collect():
+        got.setdefault(x.source, []).append((x.action, x.path, x.type))
+    for src, some in events.items():
+        want = planned([(round(t, 3), p, k) for t, p, k in some], 20, 5, 2)
+        assert got[src] == want, src
+    assert sum(x[0] == "bulk" for x in got["w"]) == 2 and ("replay", "z", "change") in got["w"] and all(x[0] == "apply" for x in got["x"])
 
 
 def test_debounce_and_sends(spark, tmp_path):
