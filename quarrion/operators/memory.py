@@ -122,6 +122,18 @@ def rotated(events: DataFrame, max_age_ms: int = config.SESSION_MAX_MS) -> DataF
     return followed(next_after(events.where("user_id is not null"), max_age_ms)).select("user_id", F.col("k").alias("session"), F.col("at").alias("begins_at"))
 
 
+def crowded(events: DataFrame, most: int, window_ms: int) -> DataFrame:
+    """(user_id, begins_at, n): windows of at least `most` events(user_id, at). A window begins with the first event that is later by more than
+    window_ms than the last one's begin, so it isn't tied to the clock.
+
+    An event meets its window by buckets of window_ms: the window began in the event's own bucket or the one before.
+    """
+    e = events.where("user_id is not null and at is not null").select("user_id", "at").withColumn("b", F.floor(F.col("at") / window_ms))
+    starts = rotated(events, window_ms).select("user_id", "begins_at", F.explode(F.array(F.floor(F.col("begins_at") / window_ms), F.floor(F.col("begins_at") / window_ms) + 1)).alias("b"))
+    inside = e.join(starts, ["user_id", "b"]).where((F.col("at") >= F.col("begins_at")) & (F.col("at") <= F.col("begins_at") + window_ms))
+    return inside.groupBy("user_id", "begins_at").agg(F.count("*").alias("n")).where(F.col("n") >= most)
+
+
 def merged_memory(prompts: DataFrame, facts: DataFrame, events: DataFrame, policy: str = "relevant", cap: int = config.MEMORY_TOKENS) -> DataFrame:
     """(prompt_id, kind, id, score, tokens) of what memory adds to each prompt, within `cap` tokens; the first is always let in.
 

@@ -8,6 +8,8 @@ is asked for; never by a nested loop over all pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from quarrion import config
 from quarrion.config import Config
 from quarrion.functions import text as T
 from quarrion.operators import fulltext, fuse, graph, names, rank, search
-from quarrion.operators.common import fresh_folder, settled, small, top
+from quarrion.operators.common import fresh_folder, settled, small, stored, top
 from quarrion.sources.store import Store
 
 # Words too common for a list of their own, expansions by intent, and scores.
@@ -233,3 +235,56 @@ def retrieved(chunks: DataFrame, edges: DataFrame, prompts: DataFrame, feedback:
     h = rank.segment_cap(settled(rank.hash_deduplicated(h)))
     h = top(h, ["prompt_id"], [F.desc("score"), "id"], cfg.max_results, "rank")
     return h.join(direct.select("prompt_id", "id", "contributions"), ["prompt_id", "id"], "left")
+
+
+#: How much more a hit of the active view counts, where there are several.
+LOCALITY = 1.1
+
+
+@dataclass
+class View:
+    """A view to be searched: its chunks and edges are made when it's their turn, so that what is broken there fails there."""
+
+    view_id: str
+    chunks: Callable[[], DataFrame]
+    edges: Callable[[], DataFrame]
+    index: Indexes | None = None
+
+
+def over_views(views: list[View], prompts: DataFrame, active: DataFrame, shared: View | None = None, cfg: Config | None = None, layers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hits, status) of retrieved() over several views and the shared store, if there is one.
+
+    Each view is a plan of its own over its own statistics; fused scores are what compares. A view that fails has a row in status (view_id, ok, n,
+    error) and no hits; if all fail, so does the search. active(prompt_id, active_view): where there are several views, hits of a prompt's active view
+    count LOCALITY times. The shared store gives its layer `global` only, and is left out if that isn't among `layers`. hits have the view's id and
+    ref, an id that is unique over views; cfg.max_results a prompt, ties by view and id.
+    """
+    cfg = cfg or Config()
+    asked = [(v, None) for v in views] + ([(shared, "global")] if shared and (not layers or "global" in layers) else [])
+
+    def one(view: View, layer: str | None) -> tuple[DataFrame | None, str | None]:
+        try:
+            chunks = view.chunks()
+            if layer:
+                chunks = chunks.where(F.col("layer") == layer)
+            got = retrieved(chunks, view.edges(), prompts, cfg=cfg, index=view.index)
+            if layers:
+                got = got.where(F.col("layer").isin(*layers))
+            return stored(got.drop("view_id", "rank").withColumn("view_id", F.lit(view.view_id))), None
+        except Exception as error:  # whatever is wrong with a view, the others answer
+            return None, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}"
+
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda x: one(*x), asked))
+    if views and not any(df is not None for df, _ in found[: len(views)]):
+        raise RuntimeError("all views failed: " + "; ".join(f"{v.view_id}: {e}" for (v, _), (_, e) in zip(asked, found, strict=True) if e))
+    spark = prompts.sparkSession
+    status = spark.createDataFrame([(v.view_id, e is None, None if df is None else df.count(), e) for (v, _), (df, e) in zip(asked, found, strict=True)], "view_id string, ok boolean, n long, error string")
+    hits = None
+    for df, _ in found:
+        if df is not None:
+            hits = df if hits is None else hits.unionByName(df, allowMissingColumns=True)
+    near = (F.col("view_id") == F.col("active_view")) & F.lit(len(views) > 1)
+    hits = hits.join(small(active.select("prompt_id", "active_view").distinct()), "prompt_id", "left").withColumn("score", F.when(F.coalesce(near, F.lit(False)), F.col("score") * LOCALITY).otherwise(F.col("score")))
+    hits = hits.withColumn("ref", T.ref(F.col("view_id"), "chunk", F.col("id"))).drop("active_view")
+    return top(hits, ["prompt_id"], [F.desc("score"), "view_id", "id"], cfg.max_results, "rank"), status

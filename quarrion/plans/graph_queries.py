@@ -250,6 +250,16 @@ def w15_session_rotation(spark, sf_dir):
     return memory.rotated(events(spark, sf_dir).select(F.col("session_id").alias("user_id"), F.col("created_at").alias("at")))
 
 
+@query("w14_burst_windows", """
+WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS at FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL),
+n AS (SELECT a.user_id, a.at, min(b.at) AS next FROM e a JOIN e b ON b.user_id = a.user_id AND b.at > a.at + 604800000 GROUP BY ALL),
+s AS (SELECT user_id, min(e.at) AS begins_at FROM e GROUP BY user_id UNION SELECT s.user_id, n.next FROM s JOIN n ON n.user_id = s.user_id AND n.at = s.begins_at)
+SELECT s.user_id, s.begins_at, count(*) AS n FROM s JOIN e ON e.user_id = s.user_id AND e.at BETWEEN s.begins_at AND s.begins_at + 604800000 GROUP BY ALL HAVING count(*) >= 4""")
+def w14_burst_windows(spark, sf_dir):
+    """Weeks of four events or more, each week counted from its first event."""
+    return memory.crowded(events(spark, sf_dir).select(F.col("session_id").alias("user_id"), F.col("created_at").alias("at")), 4, 7 * memory.DAY)
+
+
 @query("m8_latest_session", "SELECT user_id, arg_max(event_id, (epoch_us(ts) // 1000) * 1000000 + event_id) AS latest, count(*) AS n FROM events GROUP BY user_id")
 def m8_latest_session(spark, sf_dir):
     return events(spark, sf_dir).groupBy(F.col("session_id").alias("user_id")).agg(F.max_by("id", F.struct("created_at", "id")).alias("latest"), F.count("*").alias("n"))

@@ -171,6 +171,32 @@ def test_compile(spark):
     assert "needle" in r.output and r.n_excerpt == 1 and r.output.index("note") < r.output.index("alpha")
 
 
+def test_views_that_fail(spark):
+    """Three views, one broken, and a shared store: the others answer, the broken one has a row, the active one counts more."""
+    shape = "id string, view_id string, source_file string, layer string, section_title string, content string, summary string, keywords array<string>, hash string, importance long, token_count long, symbol_name string, symbol_kind string, parent_symbol string, file_stem string, line long, updated_at long"
+
+    def chunks(view, layer="repo"):
+        rows = [(f"{k}", view, f"src/{w}.ts", layer, w, f"the {w} loads sessions of {view} {k}", "", [w], f"{view}{k}", 5, 9, w, "function", None, w, k, 0) for k, w in enumerate(("loader", "writer", "loadSession"))]
+        return lambda: spark.createDataFrame(rows, shape)
+
+    def broken():
+        raise OSError("no such store")
+
+    edges = lambda: spark.createDataFrame([("loader", "writer", "calls", 2.0)], "source string, target string, type string, weight double")
+    prompts = spark.createDataFrame([(1, "where is loadSession and the loader of sessions")], "prompt_id long, prompt string")
+    active = spark.createDataFrame([(1, "b")], "prompt_id long, active_view string")
+    views = [retrieve.View("a", chunks("a"), edges), retrieve.View("b", chunks("b"), edges), retrieve.View("c", broken, edges)]
+    hits, status = retrieve.over_views(views, prompts, active, retrieve.View("global", chunks("g", "global"), edges))
+    said = {r.view_id: (r.ok, r.error) for r in status.collect()}
+    assert said == {"a": (True, None), "b": (True, None), "c": (False, "OSError: no such store"), "global": (True, None)}
+    got = hits.orderBy("rank").collect()
+    score = {(r.view_id, r.id): r.score for r in got}
+    assert {v for v, _ in score} == {"a", "b", "global"} and got[0].view_id == "b" and [r.rank for r in got] == list(range(len(got))) and len({r.ref for r in got}) == len(got)
+    assert all(score["b", i] == pytest.approx(1.1 * s) for (v, i), s in score.items() if v == "a" and ("b", i) in score)
+    with pytest.raises(RuntimeError):
+        retrieve.over_views(views[2:], prompts, active)
+
+
 def test_memory_policy(spark):
     p = spark.createDataFrame([(1, "general", ["parser"]), (2, "fix", ["parser"])], "prompt_id long, intent string, terms array<string>")
     facts = spark.createDataFrame([(1, "the parser is strict", 0.9), (2, "parser old", 0.2)], "id long, fact string, confidence double")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrion.operators import fuse, graph, memory, scope
-from quarrion.sources import upkeep
+from quarrion.sources import store, upkeep
 from quarrion.streaming import jobs
 
 LINK = "id string, source string, target string, type string, status string"
@@ -136,6 +136,43 @@ def test_store_versions(spark, tmp_path):
     assert not [p for p in (tmp_path / "s").iterdir() if p.name.endswith(".manifest")]
 
 
+def test_snapshots_and_appends(spark, tmp_path):
+    """A writer that has read what another then changes fails or starts anew; others, and appends, go through."""
+    s = upkeep.Store(spark, f"file://{tmp_path}/s")
+    one = lambda *x: spark.createDataFrame([(y,) for y in x], "path string")
+    names = lambda t: sorted(r.path for r in s.read(t).collect())
+    s.commit({"files": one("a"), "other": one("o")})
+    pinned, late = s.snapshot(), s.snapshot()
+    mine = pinned.read("files")
+    s.update(lambda x: {"files": x.read("files").unionByName(one("b"))})
+    assert sorted(r.path for r in mine.collect()) == ["a"] and names("files") == ["a", "b"]
+    with pytest.raises(upkeep.Conflict):
+        pinned.commit({"files": mine.unionByName(one("c"))})
+    with pytest.raises(upkeep.Conflict):  # it has read what changed, though it writes something else
+        pinned.commit({"sums": mine})
+    assert late.commit({"new": one("n")}) == 3 and names("new") == ["n"] and names("files") == ["a", "b"]
+    tries = []
+
+    def slow(x):
+        tries.append(x.generation)
+        if len(tries) == 1:  # another writer comes between
+            s.update(lambda y: {"files": y.read("files").unionByName(one("d"))})
+        return {"files": x.read("files").unionByName(one("c"))}
+
+    s.update(slow)
+    assert len(tries) == 2 and names("files") == ["a", "b", "c", "d"]
+    before = s.snapshot()
+    assert s.append("log", one("x")) and before.commit(append={"log": one("y")}) and names("log") == ["x", "y"]
+    assert len(s.snapshot().tables["log"]) == 2 and len(list((tmp_path / "s").glob("*.manifest"))) == 0
+    one("p", "q").write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        store.appended(s, spark.readStream.schema("path string").parquet(str(tmp_path / "in")), "log", str(tmp_path / "cp")).awaitTermination()
+    assert names("log") == ["p", "q", "x", "y"]
+    kept = s.snapshot()
+    assert s.vacuum(keep=1, hours=24) == 0 and s.vacuum(keep=1, hours=-1) > 0
+    assert names("log") == ["p", "q", "x", "y"] and names("files") == ["a", "b", "c", "d"] and kept.generation == s.generation()
+
+
 def test_jobs(spark, tmp_path):
     day = memory.DAY
     s = upkeep.Store(spark, f"file://{tmp_path}/s")
