@@ -30,7 +30,7 @@ LEAST, LONGEST, INSIDE, TOP = 30, 4, 80, 2000
 #: Bytes of text for a slot of the bitmaps, and bounds of the binary logarithm of their number.
 SLOT_BYTES, FEWEST_BITS, MOST_BITS = 64, 16, 27
 #: Bytes of text that are tokenised at a time; phrases that a task counts before it emits them; slots of a block of counts.
-CHUNK, HELD, BLOCK = 1 << 21, 400_000, 1 << 16
+CHUNK, HELD, BLOCK = 1 << 19, 200_000, 1 << 16
 #: Pieces that a language's candidates are ranked in before they meet.
 SALTS = 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
