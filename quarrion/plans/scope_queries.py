@@ -11,7 +11,7 @@ from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
 from quarrion.plans.registry import query, table
 from quarrion.plans.search_queries import BASE, BM25, hits
-from quarrion.sources import upkeep
+from quarrion.sources import purge, upkeep
 
 
 def symbols(spark, sf_dir):
@@ -179,6 +179,22 @@ def k6_purge_views(spark, sf_dir):
     return scope.without_views({"c": c}, gone)["c"].groupBy("view_id").agg(F.count("*").alias("n"))
 
 
+@query("k6_cleanup_actions", """
+WITH v AS (SELECT 'v' || s_suppkey AS view_id, 't' || s_nationkey AS worktree_id, 'p' || n_regionkey AS project_id, 'b' || (s_suppkey % 7) AS branch, s_acctbal > 5000 AS active FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+t AS (SELECT 't' || n_nationkey AS worktree_id FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 2 = 1),
+b AS (SELECT DISTINCT 'p' || n_regionkey AS project_id, 'b' || (c_custkey % 5) AS branch FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey <> 4)
+SELECT 'worktree' AS kind, worktree_id AS id, project_id, view_id, 'worktree is gone' AS reason FROM v WHERE worktree_id IN (SELECT worktree_id FROM t)
+UNION ALL SELECT 'branch', view_id, project_id, view_id, 'branch is gone' FROM v WHERE NOT active AND worktree_id NOT IN (SELECT worktree_id FROM t) AND project_id IN (SELECT project_id FROM b) AND (project_id, branch) NOT IN (SELECT (project_id, branch) FROM b)""")
+def k6_cleanup_actions(spark, sf_dir):
+    of = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    n = table(spark, sf_dir, "nation").select("n_nationkey", of("p", "n_regionkey").alias("project_id"))
+    v = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).withColumn("k", F.col("s_suppkey") % 7)
+    v = v.select(of("v", "s_suppkey").alias("view_id"), of("t", "s_nationkey").alias("worktree_id"), "project_id", of("b", "k").alias("branch"), (F.col("s_acctbal") > 5000).alias("active"))
+    trees = n.select(of("t", "n_nationkey").alias("worktree_id"), (F.col("n_nationkey") % 3 == 0).alias("removed"), (F.col("n_nationkey") % 2 == 0).alias("locked"))
+    branches = table(spark, sf_dir, "customer").join(n.where("project_id <> 'p4'"), F.col("c_nationkey") == F.col("n_nationkey")).withColumn("k", F.col("c_custkey") % 5).select("project_id", of("b", "k").alias("branch")).distinct()
+    return purge.actions(v, trees, branches)
+
+
 @query("w8_same_file_runs", """
 WITH x AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS new FROM events),
 y AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM x)

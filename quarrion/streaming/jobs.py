@@ -136,9 +136,7 @@ def bursts(events: DataFrame, most: int = BURST, seconds: int = BURST_SECONDS, q
     after a burst. Events take effect in order of time (ties: path, type), when the watermark has passed them; later ones than `delay` are dropped. A source's
     events pass through one state, whose size is the paths of a burst and the events of the delay. Needs the RocksDB state store, which is set if none is.
     """
-    conf = events.sparkSession.conf
-    if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass", ""):
-        conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    _with_map_state(events.sparkSession)
     return events.withWatermark("ts", delay).groupBy("source").transformWithStateInPandas(_Bursts(most, seconds, quiet), BURST_SHAPE, "Append", "EventTime")
 
 
@@ -153,6 +151,89 @@ def unsent(chunks: DataFrame, ttl: str = "15 minutes") -> DataFrame:
     return chunks.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(["hash"])
 
 
+SENT_SHAPE = "session string, hash string, ts timestamp, sent boolean"
+
+
+class _Sent(StatefulProcessor):
+    """Row by row in order of time, once the watermark has passed them; see sent()."""
+
+    def __init__(self, ttl: int, most: int):
+        self.ttl, self.most = ttl * 1000, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "at long, hash string, whole boolean", "n long")
+        self.held = handle.getMapState("held", "hash string", "at long, turn long")
+        self.turn = handle.getValueState("turn", "turn long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        due = set()
+        for pdf in rows:
+            for t, hash_, whole in zip(pdf["ts"], pdf["hash"], pdf["whole"], strict=True):
+                row = int(t.timestamp() * 1000), None if pd.isna(hash_) else hash_, bool(whole) and not pd.isna(whole)
+                n = self.waiting.getValue(row)[0] if self.waiting.containsKey(row) else 0
+                self.waiting.updateValue(row, (n + 1,))
+                due.add((row[0] // 1000 + 1) * 1000)
+        for at in due:  # one a second
+            self.handle.registerTimer(at)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        now = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(((tuple(k), v[0]) for k, v in self.waiting.iterator() if k[0] <= now), key=lambda r: (r[0][0], r[0][1] is not None, r[0][1] or "", r[0][2]))
+        before = {k[0]: tuple(v) for k, v in self.held.iterator()}
+        held = dict(sorted(before.items(), key=lambda x: x[1][1]))  # the longest unmarked first; `most` at most
+        turn, out = self.turn.get()[0] if self.turn.exists() else 0, []
+        for (at, hash_, whole), times in rows:
+            self.waiting.removeKey((at, hash_, whole))
+            if hash_ is None:
+                held.clear()
+                continue
+            for _ in range(times):
+                sent = hash_ in held and at - held[hash_][0] <= self.ttl
+                out.append((hash_, at, sent))
+                if whole or not sent:
+                    held.pop(hash_, None)
+                    if len(held) >= self.most:
+                        del held[next(iter(held))]
+                    turn += 1
+                    held[hash_] = at, turn
+        live = {h: v for h, v in held.items() if now - v[0] <= self.ttl}
+        for h in before.keys() - live.keys():
+            self.held.removeKey((h,))
+        for h, v in live.items():
+            if before.get(h) != v:
+                self.held.updateValue((h,), v)
+        if live:
+            self.turn.update((turn,))
+            self.handle.registerTimer(max(at for at, _ in live.values()) + self.ttl + 1)
+        elif self.turn.exists():
+            self.turn.clear()  # a session that has been quiet leaves nothing
+        if out:
+            times = pd.to_datetime([x[1] for x in out], unit="ms", utc=True)
+            yield pd.DataFrame({"session": [key[0]] * len(out), "hash": [x[0] for x in out], "ts": times, "sent": [x[2] for x in out]})
+
+    def close(self) -> None:
+        pass
+
+
+def sent(events: DataFrame, ttl: int = 900, most: int = 200, delay: str = "10 seconds") -> DataFrame:
+    """(session, hash, ts, sent) of a stream of uses(session, hash, ts, whole): whether the chunk was sent before, so that a stub will do.
+
+    A chunk counts as sent for `ttl` seconds from its mark, while it's among the `most` last marked of its session. It is marked when it wasn't sent before, or
+    when it goes out in whole anyway. A null hash forgets all that the session was sent (files have changed). Rows take effect in order of time (ties:
+    forgetting first, then by hash, stubs before whole ones) when the watermark has passed them; those later than `delay` are dropped. A session's state is `most` marks and
+    the rows of the delay; it's empty again `ttl` seconds after the last mark. Needs the RocksDB state store, which is set if none is.
+    """
+    _with_map_state(events.sparkSession)
+    return events.withWatermark("ts", delay).groupBy("session").transformWithStateInPandas(_Sent(ttl, most), SENT_SHAPE, "Append", "EventTime")
+
+
+def _with_map_state(spark: SparkSession) -> None:
+    if "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def read_feedback(retrieved: DataFrame, reads: DataFrame, delay: str = "1 minute") -> DataFrame:
     """memory.read_feedback on two streams, whose state the watermarks bound."""
     return memory.read_feedback(retrieved.withWatermark("ts", delay), reads.withWatermark("ts", delay))

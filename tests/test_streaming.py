@@ -104,3 +104,43 @@ def test_read_feedback(spark, tmp_path):
     q = jobs.read_feedback(stream(spark, tmp_path / "r", shape), stream(spark, tmp_path / "d", shape))
     drained(q.writeStream.format("memory").queryName("fb").outputMode("append").start())
     assert [tuple(r) for r in spark.table("fb").collect()] == [(1, 7)]
+
+
+def sends(rows, ttl, most):
+    """(hash, time, sent) of one session's uses (time, hash, whole), by a list of marks."""
+    marks, out = [], []
+    for t, h, whole in sorted(rows, key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2])):
+        if h is None:
+            marks = []
+            continue
+        seen = any(m == h and t - at_ <= ttl for m, at_ in marks)
+        out.append((h, t, seen))
+        if whole or not seen:
+            marks = [m for m in marks if m[0] != h]
+            marks = [*(marks[1:] if len(marks) >= most else marks), (h, t)]
+    return out
+
+
+def test_sent_registry(spark, tmp_path):
+    """Times to live, eviction, marks made anew, forgetting, ties and repeated rows, of rows out of order over several batches."""
+    import random
+
+    r = random.Random(8)
+    uses = {f"s{k}": [(r.randrange(0, 400_000, 500) / 1000, None if r.random() < 0.02 else f"h{r.randint(0, 11)}", r.random() < 0.2) for _ in range(150)] for k in range(3)}
+    uses["s0"] += uses["s0"][:20]
+    uses["quiet"] = [(1.0, "a", False), (2.0, "a", False), (61.0, "a", False), (61.001, "b", False), (121.002, "a", True)]
+    shape = "session string, hash string, ts timestamp, whole boolean"
+    rows = sorted(((s, h, at(t), w) for s, some in uses.items() for t, h, w in some), key=lambda x: x[2])
+    for k in range(4):
+        part = rows[k * len(rows) // 4 : (k + 1) * len(rows) // 4] + ([("end", "e", at(2000), False)] if k == 3 else [])
+        r.shuffle(part)
+        spark.createDataFrame(part, shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q = jobs.sent(stream(spark, tmp_path / "in", shape), 60, 5).writeStream.format("memory").queryName("sent_registry").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    drained(q)
+    got = {}
+    for x in spark.table("sent_registry").collect():
+        got.setdefault(x.session, []).append((x.hash, (x.ts - T0).total_seconds(), x.sent))
+    for s, some in uses.items():
+        assert sorted(got[s]) == sorted(sends(some, 60, 5)), s
+    assert [x[2] for x in sorted(got["quiet"], key=lambda x: x[1])] == [False, True, True, False, False]
+    assert {x[2] for x in got["s0"]} == {True, False}
