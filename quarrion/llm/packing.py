@@ -28,19 +28,27 @@ from quarrion.llm import common as C
 
 LENGTH = 1024
 PIECE = 256
-#: Bytes of text a part: its ids, at most one a byte, are held in memory when it is packed.
-PART_BYTES = 64 << 20
+#: Bytes of text a part, least and most: its ids, at most one a byte, are held in memory when it is packed. The least is some 500
+#: sequences, so that a part's last, which is padded, and its documents' sources are a small share of it.
+LEAST_BYTES, PART_BYTES = 2 << 20, 64 << 20
+#: Parts that a table of middling size gets; a smaller one has fewer, a larger one more.
+PARTS = 1024
 SHAPE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
+def n_parts(size: int) -> int:
+    """Parts of a table with so many bytes of text."""
+    each = min(max(size // PARTS, LEAST_BYTES), PART_BYTES)
+    return max(1, -(-size // each))
+
+
 def encode_parts(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """Encode documents(doc_id, text, source) into one bit-plane file a part; returns (part, path, source, tokens), materialised.
 
     Parts are dealt by row, so that each has a like mix and a source or repeated document of any size is spread.
-    There are enough of them that one holds about PART_BYTES of text, whatever the session's shuffle partitions.
+    Their number follows from the bytes of text alone, whatever the session's shuffle partitions.
     """
-    size = docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0
-    n = max(C.partitions(docs.sparkSession), -(-size // PART_BYTES))
+    n = n_parts(docs.agg(F.sum(F.octet_length(F.col("text")))).first()[0] or 0)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), C.text_of().alias("text"), F.col("source").cast("string").alias("source"), F.monotonically_increasing_id().alias("_i"))
     d = d.repartition(n, "_i").sortWithinPartitions("_i").drop("_i")
     shape = "part long, path string, source string, tokens long"

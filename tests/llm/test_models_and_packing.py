@@ -245,6 +245,29 @@ def test_packing(spark):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def test_parts_follow_the_text_alone(spark, monkeypatch):
+    """The same rows, and as little padding, at 1, 8 and 200 shuffle partitions, in one part and in several."""
+    assert [packing.n_parts(x) for x in (0, 1, 2 << 20, (2 << 20) + 1, 1 << 30, 1 << 34, 1 << 46)] == [1, 1, 1, 2, 512, 1024, 1 << 20]
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    size = sum(len((r.text or "").encode()) for r in d.collect())
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for least, parts in ((packing.LEAST_BYTES, 1), (-(-size // 3), 3)):
+            monkeypatch.setattr(packing, "LEAST_BYTES", least)
+            assert packing.n_parts(size) == parts
+            results = []
+            for n in (1, 8, 200):
+                spark.conf.set("spark.sql.shuffle.partitions", str(n))
+                results.append(sorted(map(repr, packing.pack(d).collect())))
+                fills = Counter()
+                for r in packing.pack(d).select("sequence_id", "length").collect():
+                    fills[r.sequence_id] += r.length
+                assert sum(x < packing.LENGTH for x in fills.values()) <= parts
+            assert results[0] == results[1] == results[2]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def test_proportions_and_carry():
     """Every prefix of windows is near the shares, and a part's deficits continue in the next."""
     from collections import deque
@@ -269,4 +292,4 @@ def test_proportions_and_carry():
 def test_everything_is_registered():
     from quarrion.llm import queries
 
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
