@@ -28,9 +28,9 @@ from quarrion.llm import common as C
 
 LENGTH = 1024
 PIECE = 256
-#: Bytes of text a part, least and most: its ids, at most one a byte, are held in memory when it is packed. The least is some 500
+#: Bytes of text a part, least and most: its ids, at most one a byte, are held in memory when it is packed. The least is some 1000
 #: sequences, so that a part's last, which is padded, and its documents' sources are a small share of it.
-LEAST_BYTES, PART_BYTES = 2 << 20, 64 << 20
+LEAST_BYTES, PART_BYTES = 4 << 20, 64 << 20
 #: Parts that a table of middling size gets; a smaller one has fewer, a larger one more.
 PARTS = 1024
 SHAPE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"

@@ -247,7 +247,7 @@ def test_packing(spark):
 
 def test_parts_follow_the_text_alone(spark, monkeypatch):
     """The same rows, and as little padding, at 1, 8 and 200 shuffle partitions, in one part and in several."""
-    assert [packing.n_parts(x) for x in (0, 1, 2 << 20, (2 << 20) + 1, 1 << 30, 1 << 34, 1 << 46)] == [1, 1, 1, 2, 512, 1024, 1 << 20]
+    assert [packing.n_parts(x) for x in (0, 1, 4 << 20, (4 << 20) + 1, 1 << 30, 1 << 34, 1 << 46)] == [1, 1, 1, 2, 256, 1024, 1 << 20]
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
     size = sum(len((r.text or "").encode()) for r in d.collect())
     old = spark.conf.get("spark.sql.shuffle.partitions")
