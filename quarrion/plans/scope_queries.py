@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrion.functions import text as T
-from quarrion.operators import fulltext, retrieve, scope, search, windows
+from quarrion.operators import expand, fulltext, retrieve, scope, search, windows
 from quarrion.operators.common import r6, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
@@ -258,6 +258,22 @@ def c14_term_windows(spark, sf_dir):
     return upkeep.merged_windows(hits, ["doc_id"])
 
 
+@query("c14_expanded", r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents WHERE text IS NOT NULL AND octet_length(encode(text)) <= 2097152),
+h AS (SELECT *, CASE WHEN contains(lower(l), 'stupid') OR contains(lower(l), 'license') THEN line END AS hit FROM l),
+n AS (SELECT *, max(hit) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS near FROM h),
+p AS (SELECT doc_id, line, CASE WHEN lag(line) OVER w < line - 1 THEN chr(10) || '// ...' || chr(10) || chr(10) ELSE '' END || substring(l, 1, 65536) || chr(10) AS piece FROM n WHERE near IS NOT NULL WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+u AS (SELECT doc_id, line, piece, sum(length(piece)) OVER w AS c, sum(len(regexp_extract_all(piece, '[{}()\[\];=<>]'))) OVER w AS s FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+k AS (SELECT *, CAST(ceil(c / (4.5 - least(s / greatest(c, 1), 0.5) * 3)) AS BIGINT) AS used FROM u),
+g AS (SELECT doc_id, string_agg(piece, '' ORDER BY line) FILTER (used <= 2000) AS content, max(used) FILTER (used <= 2000) AS tokens, max(used) AS whole FROM k GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NULL THEN 'missing' WHEN octet_length(encode(text)) > 2097152 THEN 'too large' WHEN whole IS NULL THEN 'no match' WHEN whole > 2000 THEN 'cut' ELSE 'whole' END AS status, coalesce(tokens, 0) AS tokens, md5(coalesce(content, '')) AS content
+FROM documents LEFT JOIN g USING (doc_id)""")
+def c14_expanded(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("request"), F.lit("d").alias("path"), F.lit(0).alias("k"), "text")
+    terms = d.select("request", F.explode(F.array(F.lit("Stupid"), F.lit("LICENSE"))).alias("term"), F.lit(0).alias("k"))
+    return expand.expanded(d, terms).select(F.col("request").alias("doc_id"), "status", "tokens", F.md5("content").alias("content"))
+
+
 @query("s21_line_range", "SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 4), chr(10)) AS lines FROM documents")
 def s21_line_range(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", upkeep.line_range(F.col("text"), 2, 3).alias("lines"))
