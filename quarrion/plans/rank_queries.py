@@ -229,6 +229,23 @@ def o6_knn(spark, sf_dir):
     return _near(spark, sf_dir).select("prompt_id", "id", "rank", r6(F.col("score"), "score"))
 
 
+@query("j9_containment", """
+WITH k AS (SELECT o_custkey AS prompt_id, o_orderkey AS o, n, floor(price / 1000) AS score FROM (SELECT l_orderkey, l_linenumber AS n, max(CAST(l_extendedprice AS DOUBLE)) AS price FROM lineitem GROUP BY ALL) JOIN orders ON o_orderkey = l_orderkey),
+s AS (SELECT o, max(score) AS best, sum(score) AS total, count(*) AS n FROM k GROUP BY o),
+c AS (SELECT o_custkey AS prompt_id, o_orderkey AS o, floor(CAST(o_totalprice AS DOUBLE) / 4000) AS score, total, s.n, CASE WHEN s.n IS NULL THEN 'alone' WHEN o_orderkey % 700 < 80 THEN 'both' WHEN o_orderkey % 700 > 500 OR best >= floor(CAST(o_totalprice AS DOUBLE) / 4000) THEN 'kids' ELSE 'class' END AS fate FROM orders LEFT JOIN s ON o = o_orderkey)
+SELECT prompt_id, 'o' || o AS id, round(score + CASE WHEN fate = 'class' THEN 0.25 * total ELSE 0 END, 6) AS score FROM c WHERE fate <> 'kids'
+UNION ALL SELECT k.prompt_id, 'o' || k.o || '-' || k.n, round(k.score + CASE WHEN fate = 'kids' THEN 0.15 * c.score / c.n ELSE 0 END, 6) FROM k JOIN c USING (o) WHERE fate <> 'class'""")
+def j9_containment(spark, sf_dir):
+    """Orders as classes of their customer's file, lines as their methods."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("prompt_id"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("id"), F.floor(F.col("o_totalprice").cast("double") / 4000).cast("double").alias("score"), (F.col("o_orderkey") % 700).alias("token_count"))
+    m = table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("parent_symbol"), "l_linenumber").agg(F.max(F.col("l_extendedprice").cast("double")).alias("price"))
+    m = m.join(o.select("prompt_id", F.col("id").alias("parent_symbol")), "parent_symbol")
+    m = m.select("prompt_id", F.concat_ws("-", "parent_symbol", F.col("l_linenumber").cast("string")).alias("id"), F.floor(F.col("price") / 1000).cast("double").alias("score"), F.lit(90).cast("long").alias("token_count"), "parent_symbol", F.lit("method").alias("symbol_kind"))
+    hits = o.withColumns({"parent_symbol": F.lit(None).cast("string"), "symbol_kind": F.lit("class")}).withColumn("token_count", F.col("token_count").cast("long")).unionByName(m)
+    hits = hits.withColumns({"symbol_name": F.col("id"), "source_file": F.lit("f"), "exact": F.lit(False)})
+    return rank.containment(hits).select("prompt_id", "id", F.round("score", 6).alias("score"))
+
+
 @query("j3_embedding_fusion", KNN + """,
 direct AS (SELECT prompt_id, id, CAST(10 + (id % 13) AS DOUBLE) AS score FROM s WHERE (id + prompt_id) % 11 = 0),
 low AS (SELECT DISTINCT prompt_id FROM q WHERE prompt_id % 100 = 0),
