@@ -74,6 +74,16 @@ def j10_class_children(spark, sf_dir):
     return top(classes, ["prompt_id", "name"], [F.desc(F.length("symbol_name")), "symbol_name"], config.CLASS_CHILDREN).groupBy("prompt_id").agg(F.count("*").alias("n_classes"))
 
 
+@query("j10_children", NAMES.format(values(("small", "red"))) + """,
+h AS (SELECT prompt_id, name, s FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id, name ORDER BY lower(s) = lower(name) DESC, id) AS k FROM n JOIN p ON starts_with(lower(s), lower(name))) WHERE k <= 20 AND p_size % 2 = 0),
+c AS (SELECT DISTINCT prompt_id, name, s FROM h), d AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, name ORDER BY length(s) DESC, s) AS k FROM c)
+SELECT prompt_id, id FROM (SELECT e.prompt_id, p.id, row_number() OVER (PARTITION BY e.prompt_id, e.s ORDER BY p.id) AS k FROM (SELECT DISTINCT prompt_id, s FROM d WHERE k <= 3) e JOIN p ON lower(p.s) = lower(e.s)) WHERE k <= 30""".replace(",\nh AS", ", h AS").replace(")\n, h AS", "), h AS"))
+def j10_children(spark, sf_dir):
+    """Parts of a name are its members; a class is found by its name's start."""
+    s = symbols(spark, sf_dir).withColumn("parent_symbol", F.col("symbol_name"))
+    return retrieve.class_children(s, retrieve.by_symbol(s, names(spark, ("small", "red"))))
+
+
 @query("p1_layer_filter", sql("\nSELECT layer, count(*) AS n, CAST(sum(token_count) AS BIGINT) AS tokens FROM chunks WHERE layer IN ('repo', 'session') GROUP BY layer", "chunks"))
 def p1_layer_filter(spark, sf_dir):
     return corpus.chunks(spark, sf_dir).where(F.col("layer").isin("repo", "session")).groupBy("layer").agg(F.count("*").alias("n"), F.sum("token_count").alias("tokens"))
