@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from quarrion.config import Config
 from quarrion.operators import fuse, rank, windows
-from quarrion.operators.common import r6, small, top
+from quarrion.operators.common import r6, small, stored, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
 from quarrion.plans.registry import query, table
@@ -23,11 +23,11 @@ fused AS (SELECT prompt_id, id, round(sum(weight / (61 + rank) * 100), 9) AS sco
 
 
 def lists(spark, sf_dir):
-    h = hits(spark, sf_dir)
+    h = hits(spark, sf_dir, 15)
     parts = (("any", 2.0, F.col("score"), "n_terms >= 1"), ("several", 1.0, F.col("score") * F.col("n_terms"), "n_terms >= 2"), ("one", 0.4, F.col("score"), "n_terms = 1"))
     kinds = F.explode(F.array(*(F.struct(F.lit(n).alias("strategy"), F.lit(w).alias("weight"), F.round(s, 9).alias("score"), F.expr(c).alias("ok")) for n, w, s, c in parts)))
     all_ = h.select("prompt_id", "id", "n_terms", "score").withColumn("k", kinds).where("k.ok").select("prompt_id", "k.strategy", "k.weight", "id", "k.score")
-    return top(all_, ["prompt_id", "strategy"], [F.desc("score"), "id"], 15)
+    return stored(top(all_, ["prompt_id", "strategy"], [F.desc("score"), "id"], 15))
 
 
 def fused(spark, sf_dir):
@@ -37,7 +37,7 @@ def fused(spark, sf_dir):
 def full(spark, sf_dir):
     """Fused hits with their chunks' columns."""
     c = corpus.chunks(spark, sf_dir)
-    return fused(spark, sf_dir).join(c, "id").withColumns({"exact": F.col("doc_id") % 7 == 0, "parent_symbol": F.when(F.col("doc_id") % 5 == 0, "p"), "symbol_kind": F.when(F.col("line") == 0, "class").otherwise("function")})
+    return c.join(small(stored(fused(spark, sf_dir))), "id").withColumns({"exact": F.col("doc_id") % 7 == 0, "parent_symbol": F.when(F.col("doc_id") % 5 == 0, "p"), "symbol_kind": F.when(F.col("line") == 0, "class").otherwise("function")})
 
 
 @query("w1_strategy_rank", sql(LISTS + "\nSELECT prompt_id, strategy, id, rank FROM cut", *BASE))

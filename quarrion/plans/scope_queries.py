@@ -301,5 +301,5 @@ def a15_recall(spark, sf_dir):
     files = c.select("id", "source_file")
     q = p.select("prompt_id", T.words(F.col("prompt")).alias("words"), F.lit("content").alias("col"))
     expected = fulltext.phrases(corpus.indexes(spark, sf_dir).text, q).join(files, "id").select("prompt_id", "source_file").distinct()
-    best = search.top_hits(hits(spark, sf_dir).withColumn("score", F.round("score", 9)), 15).join(files, "id")
+    best = search.top_hits(hits(spark, sf_dir, 15).withColumn("score", F.round("score", 9)), 15).join(files, "id")
     return search.recall(expected, best, 15).withColumn("recall", F.round("recall", 6))
