@@ -168,3 +168,17 @@ def test_stream_writes_with_the_batch(spark, tmp_path):
     terms = spark.createDataFrame([("p", "gamma"), ("q", "number2"), ("q", "number3")], "prompt_id string, term string")
     assert [(r.prompt_id, r.id) for r in fulltext.top(fulltext.opened(store), search.folded(terms, "prompt_id"), 5).rows.orderBy("prompt_id", "rank").collect()] == [("p", "f1:0"), ("q", "f3:0")]
     assert [(r.prompt_id, r.id) for r in fulltext.top(before, search.folded(terms, "prompt_id"), 5).rows.orderBy("id").collect()] == [("q", "f2:0"), ("q", "f3:0")]
+
+
+def test_words_are_grouped_in_their_row(monkeypatch):
+    """Positions and stems of a chunk come from its own row, whatever the slices of a batch; no occurrence needs a shuffle."""
+    import pyarrow as pa
+
+    rows = [[["run", "runs", "eta", "run"], ["run"]], [[], []], [["x"], ["x", "x"]], [[], ["running"]]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c", "d"]), pa.array(rows, pa.list_(pa.list_(pa.string())))], ["id", "t"])
+    for most in (500_000, 2):
+        monkeypatch.setattr(fulltext, "OCCURRENCES", most)
+        got = [r for b in fulltext._grouped([1.0, 10.0])(iter([batch, batch.slice(0, 0)])) for r in b.to_pylist()]
+        assert [(r["id"], r["dl"]) for r in got] == [("a", 5), ("b", 0), ("c", 3), ("d", 1)]
+        assert [sorted(zip(r["stems"], r["tfs"], strict=True)) for r in got] == [[("eta", 1.0), ("run", 13.0)], [], [("x", 21.0)], [("run", 10.0)]]
+        assert [sorted((x["word"], x["col"], x["positions"]) for x in r["held"]) for r in got] == [[("eta", 0, [2]), ("run", 0, [0, 3]), ("run", 1, [0]), ("runs", 0, [1])], [], [("x", 0, [0]), ("x", 1, [0, 1])], [("running", 1, [0])]]
