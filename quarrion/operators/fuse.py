@@ -12,8 +12,8 @@ from quarrion import config
 from quarrion.operators.common import top
 
 
-#: Query vectors that are sent at once.
-QUERIES = 4096
+#: Query vectors that are sent at once, and cells (query, vector) that a task scores at once.
+QUERIES, CELLS = 4096, 1 << 20
 
 
 def merge_unique(lists: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def confidence(hits: DataFrame, prompts: DataFrame, exact: DataFrame | None = No
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 15) -> DataFrame:
     """(prompt_id, id, score, rank): exact top k by dot product of vectors(id, embedding) for queries(prompt_id, q).
 
-    Queries are sent in blocks of QUERIES; each batch of vectors meets a block in one matrix product and gives its k best, so that what
-    is shuffled is k rows a query and batch, not a row a pair.
+    Queries are sent in blocks of QUERIES; each task's vectors meet a block in matrix products of CELLS cells, and the task gives its k best,
+    so that what is shuffled is k rows a query and task, not a row a pair.
     """
     spark = vectors.sparkSession
     q = queries.select("prompt_id", "q").where("q is not null").withColumn("_b", F.pmod(F.xxhash64("prompt_id"), F.lit(-(-max(queries.count(), 1) // QUERIES))))
@@ -76,14 +76,24 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 15) -> DataFrame:
 
 
 def _best(sent, k: int):
+    """A task's k best of each query. Cells (query, vector) are scored CELLS at a time and meet the best so far, so memory is bounded by these."""
+
     def run(batches):
         names, q = sent.value
+        best = None
+        step = max(1, CELLS // max(len(names), 1))
         for pdf in batches:
-            ids = pdf.id.to_numpy()
-            score = np.round(q @ np.stack(pdf.embedding.to_numpy()).astype("f8").T, 9)
-            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-            kept = np.take_along_axis(score, order, axis=1)
-            yield pd.DataFrame({"prompt_id": np.repeat(names, order.shape[1]), "id": ids[order].ravel(), "score": kept.ravel()})
+            all_ids = pdf.id.to_numpy()
+            for first in range(0, len(pdf), step):
+                v = np.stack(pdf.embedding.iloc[first : first + step].to_numpy()).astype("f8")
+                score = np.round(q @ v.T, 9)
+                ids = np.broadcast_to(all_ids[first : first + step], score.shape)
+                if best is not None:
+                    score, ids = np.concatenate([best[0], score], axis=1), np.concatenate([best[1], ids], axis=1)
+                order = np.lexsort((ids, -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, order, axis=1), np.take_along_axis(ids, order, axis=1)
+        if best is not None:
+            yield pd.DataFrame({"prompt_id": np.repeat(names, best[0].shape[1]), "id": best[1].ravel(), "score": best[0].ravel()})
 
     return run
 
