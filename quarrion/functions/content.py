@@ -55,6 +55,18 @@ def signal_terms(terms: Column, concepts: Column, most: int = 40) -> Column:
     return F.slice(F.transform(F.array_sort(F.transform(fine, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"]), 1, most)
 
 
+def counted(tokenizer, texts: list[str]) -> list[int]:
+    """Tokens of each text. Texts are encoded ENCODED characters at a time, since what an encoding holds is many times its text."""
+    out, begin = [], 0
+    while begin < len(texts):
+        end, size = begin + 1, len(texts[begin])
+        while end < len(texts) and size + len(texts[end]) <= ENCODED:
+            size, end = size + len(texts[end]), end + 1
+        out += [len(x.ids) for x in tokenizer.encode_batch(texts[begin:end], add_special_tokens=False)]
+        begin = end
+    return out
+
+
 def exact_tokens(text: Column, tokenizer: str) -> Column:
     """Tokens of each text by a tokenizers file, instead of the estimate; null: 0."""
 
@@ -64,10 +76,11 @@ def exact_tokens(text: Column, tokenizer: str) -> Column:
 
         if tokenizer not in _TOKENIZERS:
             _TOKENIZERS[tokenizer] = Tokenizer.from_file(tokenizer)
-        found = _TOKENIZERS[tokenizer].encode_batch([x or "" for x in s], add_special_tokens=False)
-        return pd.Series([len(x.ids) for x in found])
+        return pd.Series(counted(_TOKENIZERS[tokenizer], [x or "" for x in s]), dtype="int64")
 
     return run(text)
 
 
 _TOKENIZERS: dict = {}
+#: Characters of the texts that are encoded at once.
+ENCODED = 1 << 18
