@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from quarrion import config
 from quarrion.functions import text as T
-from quarrion.operators.common import stored, top
+from quarrion.operators.common import small, stored, top
 
 DAY = 24 * 3600 * 1000
 
@@ -147,7 +147,11 @@ def merged_memory(prompts: DataFrame, facts: DataFrame, events: DataFrame, polic
     items = facts.where("confidence >= 0.6").select(F.lit("fact").alias("kind"), F.col("id").cast("string").alias("id"), F.col("fact").alias("content"), (F.col("confidence") * 10).alias("score"))
     items = items.unionByName(events.select(F.when(F.col("event_type") == "error", "error").otherwise("event").alias("kind"), F.col("id").cast("string").alias("id"), "content", F.lit(5.0).alias("score")))
     words = items.select("kind", "id", F.explode(F.array_distinct(T.words(F.col("content")))).alias("term"))
-    shared = words.join(t, "term").groupBy("prompt_id", "kind", "id", "intent").agg(F.count("*").alias("shared"))
+    # An item has a token at least, so a prompt takes `cap` items at most and looks at one more. Items of a kind and score that hold the same of all asked terms
+    # come in the order of their ids with every prompt, so of each such group the first cap + 2 meet the prompts.
+    asked = words.join(small(t.select("term").distinct()), "term").groupBy("kind", "id").agg(F.sort_array(F.collect_list("term")).alias("terms"))
+    few = stored(top(items.select("kind", "id", "score").join(asked, ["kind", "id"]), ["kind", "score", "terms"], ["id"], cap + 2).select("kind", "id", "terms").distinct())
+    shared = few.select("kind", "id", F.explode("terms").alias("term")).join(small(t), "term").groupBy("prompt_id", "kind", "id", "intent").agg(F.count("*").alias("shared"))
     if policy == "always":  # items have a token each at least, so no prompt takes more than the first of each kind
         first = items.where(F.length("content") > 0).orderBy(F.desc("score"), "kind", "id").limit(2 * cap + 2)
         other = items.where((F.length("content") > 0) & (F.col("kind") != "error")).orderBy(F.desc("score"), "kind", "id").limit(cap + 1)
@@ -155,6 +159,7 @@ def merged_memory(prompts: DataFrame, facts: DataFrame, events: DataFrame, polic
         shared = prompts.select("prompt_id", "intent", F.lit(True).alias("_all")).join(few.withColumn("_all", F.lit(True)), "_all").drop("_all").withColumn("shared", F.lit(0))
     hits = shared.where((F.col("kind") != "error") | (F.col("intent") == "fix")).join(items, ["kind", "id"])
     hits = hits.withColumn("tokens", T.token_estimate(F.col("content"))).withColumn("score", F.col("score") + F.col("shared"))
+    hits = top(hits, ["prompt_id"], [F.desc("score"), "kind", "id"], cap + 2)
     w = Window.partitionBy("prompt_id").orderBy(F.desc("score"), "kind", "id").rowsBetween(Window.unboundedPreceding, 0)
     sums = hits.withColumn("used", F.sum("tokens").over(w)).withColumn("k", F.row_number().over(Window.partitionBy("prompt_id").orderBy(F.desc("score"), "kind", "id")))
     # The walk stops at the first item that doesn't fit, so a prefix sum decides it.
