@@ -106,7 +106,8 @@ UNION ALL SELECT 'load' || p_size, kind || '/lib', 'imports', 2.0, p_partkey FRO
 def g1_extracted_edges(spark, sf_dir):
     """A chunk of code about each part, and the edges in it."""
     kind, brand = F.lower(F.split_part("p_type", F.lit(" "), F.lit(1))), F.concat(F.lit("B"), F.translate(F.lower("p_brand"), "#", ""))
-    p, key = table(spark, sf_dir, "part"), F.col("p_partkey").cast("string")
+    p = table(spark, sf_dir, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))  # short rows, of which a file's one row group has very many
+    key = F.col("p_partkey").cast("string")
     content = F.concat(
         F.lit("reads queue:"), kind, F.lit(" and table:"), F.lower(brand), F.lit("\npart-"), key, F.lit(" depends on "), kind, F.lit("-maker\npart-"), key, F.lit(" produces "), kind,
         F.lit("\nlet x = require('"), kind, F.lit("/lib')\n"), brand, F.lit("Store()"),
