@@ -79,12 +79,17 @@ def prompt_terms(p: DataFrame, n: int = 15) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys of the star schema as typed, weighted edges between entities."""
+    return repeated_edges(spark, sf_dir).distinct()
+
+
+def repeated_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """edges(), each as often as the tables have it, for what takes repeated ones as one."""
     o = table(spark, sf_dir, "orders").select(F.concat(F.lit("order:"), "o_orderkey").alias("source"), F.concat(F.lit("customer:"), "o_custkey").alias("target"), F.lit("placed_by").alias("type"), F.lit(2.0).alias("weight"))
     li = table(spark, sf_dir, "lineitem")
     s = li.select(F.concat(F.lit("order:"), "l_orderkey").alias("source"), F.concat(F.lit("supplier:"), "l_suppkey").alias("target"), F.lit("ships_from").alias("type"), F.lit(0.8).alias("weight"))
     c = table(spark, sf_dir, "customer").select(F.concat(F.lit("customer:"), "c_custkey").alias("source"), F.concat(F.lit("nation:"), "c_nationkey").alias("target"), F.lit("lives_in").alias("type"), F.lit(1.0).alias("weight"))
     n = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), "n_nationkey").alias("source"), F.concat(F.lit("region:"), "n_regionkey").alias("target"), F.lit("part_of").alias("type"), F.lit(0.4).alias("weight"))
-    return o.unionByName(s).unionByName(c).unionByName(n).distinct()
+    return o.unionByName(s).unionByName(c).unionByName(n)
 
 
 #: The same, as common table expressions for the oracle.

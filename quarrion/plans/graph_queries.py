@@ -44,12 +44,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY depth, score
 
 @query("g2_expand_levels", sql(BOTH + G2 + "\nSELECT prompt_id, node, CAST(depth AS BIGINT) AS depth, round(score, 6) AS score FROM r WHERE k <= 20", "edges"))
 def g2_expand_levels(spark, sf_dir):
-    return graph.expanded(corpus.edges(spark, sf_dir), seeds(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return graph.expanded(corpus.repeated_edges(spark, sf_dir), seeds(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("g2_expand_best_first")
 def g2_expand_best_first(spark, sf_dir):
-    return graph.expanded_exactly(corpus.edges(spark, sf_dir), seeds(spark, sf_dir))
+    return graph.expanded_exactly(corpus.repeated_edges(spark, sf_dir), seeds(spark, sf_dir))
 
 
 @query("g5_trace", """

@@ -90,3 +90,19 @@ def test_edges_are_found_by_many_tasks(spark):
     from quarrion.plans.registry import QUERIES
 
     assert QUERIES["g1_extracted_edges"](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 4
+
+
+def test_expansion_reads_edges_once(spark, monkeypatch):
+    """Best first takes the edges that the levels have written; repeated edges are as good as one."""
+    from quarrion.operators import graph
+
+    made = []
+    whole = graph.both_ways
+    monkeypatch.setattr(graph, "both_ways", lambda e: made.append(1) or whole(e))
+    edges = spark.createDataFrame([("aaa", "bbb", "t", 1.0), ("bbb", "ccc", "t", 0.8), ("aaa", "ddd", "t", 2.0)], "source string, target string, type string, weight double")
+    seeds = spark.createDataFrame([(1, "aaa")], "prompt_id long, node string")
+    want = [(1, "ddd", 1, 1.0), (1, "bbb", 1, 0.5), (1, "ccc", 2, 0.2)]
+    for e in (edges, edges.unionByName(edges).unionByName(edges)):
+        assert [tuple(r) for r in graph.expanded(e, seeds, hub=2).orderBy("depth", "score").collect()] == sorted(want, key=lambda r: (r[2], r[3]))
+        assert sorted(tuple(r) for r in graph.expanded_exactly(e, seeds, hub=2).collect()) == sorted(want)
+    assert len(made) == 4
