@@ -55,6 +55,8 @@ LEVELS = (1, 2, 4)
 PAD = bytes(65 + k * k * 7 % 26 for k in range(48))
 #: Windows that are compressed at a time.
 CHUNK = 1 << 14
+#: Windows whose distances a task keeps.
+KNOWN = 1 << 19
 #: A document is predicted toxic from this score on.
 LIMIT = 0.3
 
@@ -70,15 +72,18 @@ def windows(text: str) -> list[bytes]:
 
 
 def compressor(content: bytes):
-    """compress() with the dictionary."""
+    """A compressor with the dictionary."""
     p = zstandard.ZstdCompressionParameters(window_log=19, hash_log=17, chain_log=17, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False, write_dict_id=False)
     d = zstandard.ZstdCompressionDict(content + PAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=p)
-    return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=p)
 
 
-def lengths(compress, some: list[bytes]) -> np.ndarray:
-    return np.fromiter((len(compress(x + PAD)) for x in some), "i4", len(some))
+def lengths(compressor, some: list[bytes]) -> np.ndarray:
+    if not some:
+        return np.zeros(0, "i4")
+    got = compressor.multi_compress_to_buffer([x + PAD for x in some], threads=1)  # a call for all
+    return np.fromiter(map(len, got), "i4", len(some))
 
 
 def trained(samples: list[bytes], shape: tuple[int, int, int]) -> bytes:
@@ -133,12 +138,21 @@ class Model:
     def open(self) -> Model:
         """Prepare the compressors, once a process."""
         self.plain, self.others = compressor(self.ordinary), [compressor(t + self.ordinary) for t in self.toxic]
+        self.known: dict[bytes, int] = {}
         return self
 
+    def gains(self, some: list[bytes]) -> np.ndarray:
+        """distances(), of which those of the last KNOWN windows are kept: lines and passages come again in other documents."""
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        new = [x for x in dict.fromkeys(some) if x not in self.known]
+        self.known.update(zip(new, distances(self.plain, self.others, new).tolist(), strict=True))
+        return np.fromiter(map(self.known.__getitem__, some), "i4", len(some))
+
     def features(self, text: str) -> tuple[float, ...]:
         some, counts = windows(text), np.zeros(len(LEVELS))
         for k in range(0, len(some), CHUNK):
-            d = distances(self.plain, self.others, some[k : k + CHUNK])
+            d = self.gains(some[k : k + CHUNK])
             counts += [(d >= x).sum() for x in LEVELS]
         share = np.minimum(100 * counts / max(len(some), 8), 25.0)
         return (1.0, *np.log1p(counts).tolist(), *share.tolist())

@@ -293,3 +293,15 @@ def test_everything_is_registered():
     from quarrion.llm import queries
 
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES) == list(range(1, 14))
+
+
+def test_equal_windows_are_compressed_once(monkeypatch):
+    """A window that comes again, in another text too, has the distance that it had, and isn't compressed again."""
+    seen = []
+    whole = toxicity.distances
+    monkeypatch.setattr(toxicity, "distances", lambda a, b, some: seen.extend(some) or whole(a, b, some))
+    m = toxicity.Model(b" the quick brown fox jumps " * 3, [b" utter scoundrel and knave ", b" knave and scoundrel utterly "]).open()
+    text = "utter scoundrel and knave the quick brown fox " * 5
+    first = m.features(text)
+    assert m.features(text + text) == m.features(text + text) and m.features(text) == first
+    assert sorted(seen) == sorted(set(toxicity.windows(text)))
