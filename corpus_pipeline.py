@@ -18,7 +18,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similarity 0.8 by five-word shingles stays."""
+    """One document of each group of similarity 0.8 by five-word shingles stays: found by SimHash with BK-trees, and what is further apart exactly."""
     return similar.deduplicated(docs)
 
 

@@ -79,11 +79,23 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     for k in range(0, n, CHUNK):
         some = words[k : min(k + CHUNK, n) + shingle - 1]
         parts = zip(*(some[j:] for j in range(shingle)), strict=False) if len(words) >= shingle else [words]
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(p), 42) for p in parts], dtype="<u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([xxhash.xxh64_intdigest(b" ".join(p), 42) for p in parts], dtype="<u8"))
+    return _majority(ones, n)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def of_hashes(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles by their 64-bit hashes; 0 if there are none."""
+    return _majority(sum((_ones(hashes[k : k + CHUNK]) for k in range(0, len(hashes), CHUNK)), np.zeros(64, dtype=np.int64)), len(hashes))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) and h (XXH64 of the text, to find the row again), materialised."""
     shape = "doc_id long, h long, fp long"

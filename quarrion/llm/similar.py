@@ -1,18 +1,22 @@
-"""Near-duplicates by word shingles: all pairs of Jaccard similarity of at least 0.8, exactly.
+"""Near-duplicates by word shingles: SimHash with BK-trees, then all else of Jaccard similarity of at least 0.8, exactly.
 
 A document is the set of its 5-word shingles, as 64-bit hashes. Distinct sets, each with its
-smallest doc_id, are the nodes. All sets are put in one global order, and of n shingles the
+smallest doc_id, are the nodes. Each has a SimHash fingerprint. Sets that share one, and those that BK-trees
+find within two bits (`simhash.links`), are compared as whole sets and make the first classes.
+
+Most pairs of similarity 0.8 are more than two bits apart, so the rest is found between these classes: all sets are put in one global order, and of n shingles the
 first n - ceil(0.8 n) + 1 are a set's prefix: two sets of similarity 0.8 share a shingle of
-their prefixes. So sets meet by equality of prefix shingles, and lengths and places rule out
-most that meet by chance, as do sketches: BITS parities of a set's shingles, of which two sets
+their prefixes. So sets meet by equality of prefix shingles. What a pair has in common lies at or after the first shingle that it shares,
+in both sets, so a shingle so far back that too little follows needn't be tried: the pair meets in its first one, or isn't similar. Sketches rule out more: BITS parities of a set's shingles, of which two sets
 differ in as many as they differ in shingles at most. The order has frequent shingles last, as counted over
 all documents in a table of fixed size, which keeps common passages out of prefixes; it changes how many pairs
 are tried, never which are found. What is left is decided on whole sets.
 
-Only components are wanted. First, each set is tried against the smallest that shares a
-shingle, so that a large group of near copies becomes one component by a number of trials
+Only components are wanted. First, each set is tried against the one of those sharing a shingle
+that has it foremost. Of a group of near copies that's one with few edits of its own, to which nearly all that
+may be similar to any are similar: so a large group becomes one component by a number of trials
 that grows with its size. Then the pairs that meet and are still in different components are tried: a shingle's first members
-against all, then more of them, and at last all; a round that joins components leaves fewer pairs to the next.
+against all, and at last all; a round that joins components leaves fewer pairs to the next.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrion.llm import common as C
+from quarrion.llm import simhash
 from quarrion.llm.components import components
 from quarrion.llm.simhash import one_of_each
 
@@ -32,7 +37,7 @@ SHINGLE = 5
 #: Slots in which shingles are counted for the order, and rows that the slots' sums are made in. Results don't depend on them.
 SLOTS, PARTS = 1 << 20, 64
 #: Of the members of a shingle, those up to these places are tried against all, round by round; at last all are.
-ROUNDS = (4, 16, 64)
+ROUNDS = (16,)
 #: Bits of a sketch.
 BITS = 1024
 #: Texts whose shingles go into one Arrow batch.
@@ -72,16 +77,16 @@ def _sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """doc_id, h (XXH64 of the text), fp (the set's hash), n (its size) and sketch, materialised."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sketch", pa.list_(pa.int64()))])
+    """doc_id, h (XXH64 of the text), fp (the set's hash), n (its size), sim (its SimHash fingerprint) and sketch, materialised."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("sim", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 
     def run(batches):
         for b in batches:
-            rows = [(_name(s), len(s), _sketch(s)) for s in map(shingles, b.column(2).to_pylist())]
-            fps = pa.array(np.array([r[0] for r in rows], dtype="u8").view("i8"))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], schema=schema)
+            rows = [(_name(s), len(s), simhash.of_hashes(s), _sketch(s)) for s in map(shingles, b.column(2).to_pylist())]
+            fps, sims = (pa.array(np.array([r[k] for r in rows], dtype="u8").view("i8")) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), fps, pa.array([r[1] for r in rows], pa.int32()), sims, pa.array([r[3] for r in rows], pa.list_(pa.int64()))], schema=schema)
 
-    return C.cut(_text(docs).mapInArrow(run, "doc_id long, h long, fp long, n int, sketch array<long>"), "sets")
+    return C.cut(_text(docs).mapInArrow(run, "doc_id long, h long, fp long, n int, sim long, sketch array<long>"), "sets")
 
 
 def _counted(docs: DataFrame) -> np.ndarray:
@@ -136,8 +141,20 @@ def _prefixes(docs: DataFrame) -> DataFrame:
 
 
 def _possible(n: Column, at: Column, m: Column, to: Column) -> Column:
-    """Whether sets of n and m shingles that share the one at these places can have similarity 0.8."""
-    return 9 * (F.least(at, to) + F.least(n - at, m - to)) >= 4 * (n + m)
+    """Whether sets of n and m shingles whose first common one is at these places can have similarity 0.8."""
+    return 9 * F.least(n - at, m - to) >= 4 * (n + m)
+
+
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _near(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) that connect the sets whose fingerprints are within simhash.RADIUS bits, materialised."""
+    sets = nodes.where("n > 0").select("fp", "sim")
+    fps = C.cut(sets.groupBy("sim").agg(F.min("fp").alias("rep")), "fingerprints")
+    same = sets.join(fps, "sim").where("fp <> rep").select(*_pair("fp", "rep"))
+    return C.cut(same.unionByName(simhash.links(fps.select(F.col("sim").alias("fp"), "rep")).select(*_pair("a", "b"))).distinct(), "near")
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -177,30 +194,42 @@ def _similar(docs: DataFrame, names: DataFrame, nodes: DataFrame, pairs: DataFra
 def classes(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(fp, component_id) of the sets in names(doc_id, h, fp), which is _named(docs). Tables are deleted when they have been used."""
     spark = docs.sparkSession
-    nodes = C.cut(names.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
-    row = F.struct("s", "n", "at")
-    meets = _prefixes(docs).withColumn("m", F.first(row).over(Window.partitionBy("g").orderBy("s")))
-    meets = C.cut(meets.where("s <> m.s").distinct(), "meets")
-    C.tidy(spark)
-    tried = C.cut(meets.where(_possible(F.col("m.n"), F.col("m.at"), F.col("n"), F.col("at"))).select(F.col("m.s").alias("a"), F.col("s").alias("b")).distinct(), "tried")
+    nodes = C.cut(names.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(x) for x in ("n", "sim", "sketch"))), "nodes")
 
     def rooted(links: DataFrame) -> DataFrame:
         by_rep = links.join(nodes.select(F.col("fp").alias("a"), F.col("rep").alias("p")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("rep").alias("q")), "b")
         roots = components(by_rep.select(F.col("p").alias("a"), F.col("q").alias("b")))
         return C.cut(nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "rooted")
 
+    tried = _near(nodes)
     links = _similar(docs, names, nodes, tried)
     so_far = rooted(links)
+    C.tidy(spark)
+
+    # The shingle's foremost member is its middle: it has the fewest shingles of its own before.
+    row, foremost = F.struct("s", "n", "at"), (F.col("at") / F.col("n"), F.col("s"))
+    meets = _prefixes(docs).withColumn("m", F.first(row).over(Window.partitionBy("g").orderBy(*foremost)))
+    meets = C.cut(meets.where("s <> m.s").distinct(), "meets")
+    C.tidy(spark)
+    star = meets.where(_possible(F.col("m.n"), F.col("m.at"), F.col("n"), F.col("at"))).select(*_pair("m.s", "s")).distinct()
+    for x in "ab":
+        star = star.join(so_far.select(F.col("fp").alias(x), F.col("component_id").alias(f"c{x}")), x)
+    star = C.cut(star.where("ca <> cb").select("a", "b").join(tried, ["a", "b"], "left_anti"), "star")
+    tried = C.cut(tried.unionByName(star), "tried")
+    found = _similar(docs, names, nodes, star)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        so_far = rooted(links)
     members = C.cut(meets.select("g", "s", "n", "at").unionByName(meets.select("g", "m.*").distinct()), "members")
     C.discard(meets)
     C.tidy(spark)
     for last in (*ROUNDS, None):
         now = members.drop("c", "place").join(so_far.select(F.col("fp").alias("s"), F.col("component_id").alias("c")), "s")
         # Shingles of one passage have the same members, and a pair is tried by one shingle as well as by all: of shingles whose
-        # members agree, by their number and two hashes, one stays.
-        like = now.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("s", F.lit(1)).cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(2))).alias("y"))
-        open_ = like.where("lo <> hi").groupBy("k", "x", "y").agg(F.min("g").alias("g")).select("g")
-        now = now.join(open_, "g", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy("s")))
+        # members agree, by their number and two hashes, one stays: the first in the order, where all their pairs have the most still to come.
+        like = now.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k"), F.sum(F.xxhash64("s", F.lit(1)).cast("decimal(38,0)")).alias("x"), F.bit_xor(F.xxhash64("s", F.lit(2))).alias("y"), F.min_by("at", "s").alias("first"))
+        open_ = like.where("lo <> hi").groupBy("k", "x", "y").agg(F.min_by("g", "first").alias("g")).select("g")
+        now = now.join(open_, "g", "left_semi").withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(*foremost)))
         old, members = members, C.cut(now, "members")
         C.discard(old)
         C.tidy(spark)
@@ -209,7 +238,7 @@ def classes(docs: DataFrame, names: DataFrame) -> DataFrame:
         first = members if last is None else members.where(F.col("place") <= last)
         first = first.select("g", *(F.col(x).alias(f"{x}_") for x in ("s", "n", "at", "c", "place")))
         more = members.join(first, "g").where((F.col("place") > F.col("place_")) & (F.col("c") != F.col("c_")) & _possible(F.col("n"), F.col("at"), F.col("n_"), F.col("at_")))
-        more = C.cut(more.select(F.col("s_").alias("a"), F.col("s").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "more")
+        more = C.cut(more.select(*_pair("s_", "s")).distinct().join(tried, ["a", "b"], "left_anti"), "more")
         if not more.isEmpty():
             tried = C.cut(tried.unionByName(more), "tried")
             found = _similar(docs, names, nodes, more)
