@@ -43,6 +43,12 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def splittable(text: Column) -> Column:
+    """Lower-cased, with blanks for what words() doesn't know as a character, so that Arrow, whose Unicode is newer, splits it into the same words."""
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.regexp_replace(low, r"\p{Cn}", " "))
+
+
 def tokenize(text: Column) -> Column:
     """Contractions are spelled out, then runs of word characters, dots and dashes, of two characters or more."""
     t = F.regexp_replace(text, r"\b([A-Za-z]+)'s\b", "$1 is")
