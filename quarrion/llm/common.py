@@ -125,6 +125,12 @@ def hot_limit(rows: int) -> int:
     return max(1000, rows // 100_000)
 
 
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows, in a task for 20,000 of them, 16 at least: of few rows, a session's many shuffle partitions would each be all but empty
+    and cost a task each. Of many, the session's partitions stay."""
+    return df.coalesce(max(16, -(-rows // 20_000)))
+
+
 def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame) -> DataFrame:
     """left, left-joined with right, which has one row a key; null keys match nothing.
 

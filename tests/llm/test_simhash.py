@@ -147,3 +147,17 @@ def test_odd_rows(spark):
     kept = simhash.deduplicated(df).collect()
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(want.values())) and sum(r.doc_id is None for r in kept) == 2
     assert simhash.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_few_edges_take_few_tasks(spark):
+    """A session's many shuffle partitions don't make a task each for some edges, in any round."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 64)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = components(spark.range(1, 900).selectExpr("id AS a", "id - id % 3 AS b"))
+        assert 0 < len(got.inputFiles()) <= 16
+        assert {x.node: x.root for x in got.collect()} == {k: max(k - k % 3, 0) for k in range(1, 900) if k % 3}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
