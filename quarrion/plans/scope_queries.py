@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrion.functions import text as T
-from quarrion.operators import expand, fulltext, retrieve, scope, search, windows
-from quarrion.operators.common import r6, top
+from quarrion.operators import expand, fulltext, retrieve, scan, scope, search, windows
+from quarrion.operators.common import r6, small, stored, top
 from quarrion.plans import corpus
 from quarrion.plans.corpus import sql
 from quarrion.plans.registry import query, table
@@ -300,6 +300,8 @@ def a15_recall(spark, sf_dir):
     c, p = corpus.chunks(spark, sf_dir), corpus.prompts(spark, sf_dir)
     files = c.select("id", "source_file")
     q = p.select("prompt_id", T.words(F.col("prompt")).alias("words"), F.lit("content").alias("col"))
-    expected = fulltext.phrases(corpus.indexes(spark, sf_dir).text, q).join(files, "id").select("prompt_id", "source_file").distinct()
-    best = search.top_hits(hits(spark, sf_dir, 15).withColumn("score", F.round("score", 9)), 15).join(files, "id")
+    found = scan.phrases(c, q)
+    found = fulltext.phrases(corpus.indexes(spark, sf_dir).text, q) if found is None else found
+    expected = files.join(small(stored(found)), "id").select("prompt_id", "source_file").distinct()
+    best = files.join(small(stored(search.top_hits(hits(spark, sf_dir, 15).withColumn("score", F.round("score", 9)), 15))), "id")
     return search.recall(expected, best, 15).withColumn("recall", F.round("recall", 6))

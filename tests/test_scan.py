@@ -72,3 +72,20 @@ def test_matches_shuffle_no_postings(spark):
     plan = lambda q: QUERIES[q](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan("x3_match_all") and "Exchange" not in plan("x3_match_prefix")
     assert "md5" not in plan("x1_postings")
+
+
+def test_phrases_by_scan(spark, monkeypatch):
+    """phrases() against looking for each phrase in each text; null views and texts, phrases of one word, without words, of absent words. Recall builds no index."""
+    from quarrion.plans import corpus
+
+    r = random.Random(4)
+    some = ["a", "b", "été", "c", "d"]
+    rows = [("v" if k % 3 else None, f"c{k}", " ".join(r.choice(some) for _ in range(r.choice([0, 1, 3, 9])))) for k in range(300)] + [("v", "null", None), ("v", "odd", "A,b--Été")]
+    chunks = spark.createDataFrame(rows, "view_id string, id string, content string")
+    asked = [(p, [r.choice(some) for _ in range(p % 5)]) for p in range(20)] + [(50, ["absent", "a"])]
+    found = scan.phrases(chunks, spark.createDataFrame(asked, "prompt_id long, words array<string>"))
+    text = lambda c: " " + (c or "").lower().replace(",", " ").replace("--", " ") + " "
+    want = sorted((p, i) for p, ws in asked if ws for _, i, c in rows if f" {' '.join(ws)} " in text(c))
+    assert want and sorted((x.prompt_id, x.id) for x in found.collect()) == want
+    monkeypatch.setattr(corpus, "indexes", lambda *a: 1 / 0)
+    assert QUERIES["a15_recall"](spark, "/root/testdata/sf0.001").count() > 0
