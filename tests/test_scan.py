@@ -76,7 +76,7 @@ def test_matches_shuffle_no_postings(spark):
 
 def test_phrases_by_scan(spark, monkeypatch):
     """phrases() against looking for each phrase in each text; null views and texts, phrases of one word, without words, of absent words. Recall builds no index."""
-    from quarrion.plans import corpus
+    from quarrion.plans import corpus, scope_queries  # noqa: F401
 
     r = random.Random(4)
     some = ["a", "b", "été", "c", "d"]
