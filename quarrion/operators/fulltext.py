@@ -417,7 +417,7 @@ def phrases(ix: Index, asked: DataFrame) -> DataFrame:
     each = q.select("prompt_id", "want", F.size("words").alias("m"), F.posexplode("words").alias("k", "word"))
     wanted = small(each.select("word").distinct())
     counts = ix.words.join(wanted, "word", "left_semi").groupBy("view_id", "word").agg(F.sum("n").alias("n"))
-    distinct = q.select("prompt_id", F.size(F.array_distinct("words")).alias("m"), F.explode(F.array_distinct("words")).alias("word"))
+    distinct = q.select("prompt_id", F.size(F.array_distinct("words")).alias("m"), F.explode(F.array_distinct("words")).alias("word")).distinct()  # a phrase may be asked of several columns
     # A view that lacks one of the words has no hit.
     per = distinct.join(small(counts), "word").groupBy("prompt_id", "view_id").agg(F.count("*").alias("have"), F.first("m").alias("m"), F.min(F.struct("n", "word")).alias("r")).where("have = m")
     rare = stored(per.select("prompt_id", "view_id", F.col("r.word").alias("word")))

@@ -38,8 +38,12 @@ def rrf(lists: DataFrame, k: int = config.RRF_K, trace: bool = False) -> DataFra
 
 def entity_scores(matches: DataFrame) -> DataFrame:
     """(prompt_id, id, score): 0.5 for a chunk's first matched entity and 0.15 for each further one."""
-    n = matches.groupBy("prompt_id", "id").agg(F.count("*").alias("n"))
-    return n.select("prompt_id", "id", (0.5 + 0.15 * (F.col("n") - 1)).alias("score"))
+    return scored_entities(matches.groupBy("prompt_id", "id").agg(F.count("*").alias("n")))
+
+
+def scored_entities(counts: DataFrame) -> DataFrame:
+    """entity_scores() of counts(prompt_id, id, n)."""
+    return counts.select("prompt_id", "id", (0.5 + 0.15 * (F.col("n") - 1)).alias("score"))
 
 
 def confidence(hits: DataFrame, prompts: DataFrame, exact: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrion.operators.common import stored
+from quarrion.operators.common import small, stored
 
 START, GRAM = "\x02", 3
 
@@ -39,7 +39,7 @@ class Names:
         known = wanted.join(self.counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         rare = known.groupBy("term").agg(F.min(F.struct("n", "gram")).alias("r")).where("r.n > 0").select("term", F.col("r.gram").alias("gram"))
         match = F.startswith("name", F.col("term")) if prefix else F.contains("name", F.col("term"))
-        return terms.join(self.pairs.join(rare, "gram").where(match).select("term", "name"), "term")
+        return terms.join(self.pairs.join(small(rare), "gram").where(match).select("term", "name"), "term")
 
 
 def index(rows: DataFrame, folder: str | None = None) -> Names:
@@ -53,3 +53,10 @@ def index(rows: DataFrame, folder: str | None = None) -> Names:
     pairs = rows.sparkSession.read.schema("gram string, name string").parquet(f"{folder}/pairs")
     pairs.groupBy("gram").agg(F.count("*").alias("n")).write.parquet(f"{folder}/counts")
     return Names(pairs, rows.sparkSession.read.schema("gram string, n long").parquet(f"{folder}/counts"))
+
+
+def passing(rows: DataFrame) -> Names:
+    """The same of rows(name) for a few probes: distinct names are stored, and each probe makes their grams anew."""
+    found = stored(rows.where("name is not null").select("name").distinct())
+    pairs = found.select(F.explode(grams(F.concat(F.lit(START), F.col("name")))).alias("gram"), "name")
+    return Names(pairs, stored(pairs.groupBy("gram").agg(F.count("*").alias("n"))))
